@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import chat_format, fingerprints, language_id, mixing, ngram_join, pieces, secrets, token_files, url_filters
+from loomgraph.llm import chat_format, fingerprints, language_id, mixing, nearest, ngram_join, pieces, secrets, token_files, url_filters
 from loomgraph.llm.common import table
 
 
@@ -31,6 +32,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return nearest.nearest(rows, rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -51,5 +57,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_preferences(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_token_files, op4_mixing, op6_simhash, op7_pieces, op8_language_id, op9_secrets, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_token_files, op4_mixing, op5_nearest, op6_simhash, op7_pieces, op8_language_id, op9_secrets, op10_chat_format)}
 ORACLES = {"op2_url_filters": url_filters.ORACLE, "op4_mixing": mixing.ORACLE, "op10_chat_format": chat_format.ORACLE}
