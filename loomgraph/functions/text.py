@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that a search term loses, and the words that a phrase loses.
 MARKUP = "®™©°*[](){}\"'`"
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     """NFKD without combining marks; Spark has no such function."""
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
