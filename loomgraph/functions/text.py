@@ -64,9 +64,9 @@ def product_prefix(text: Column) -> Column:
 
 
 def abbreviation(name: Column) -> Column:
-    """The code of `AB — words`, `words (AB)` or a bare `AB`, lower-cased; null if there is none."""
-    first = lambda p: F.nullif(F.regexp_extract(strip(name), p, 1), F.lit(""))
-    return F.lower(F.coalesce(first(r"^([A-Z]{2,5})\s*[—–-]\s+\S"), first(r"\(([A-Z]{2,5})\)\s*$"), first(r"^([A-Z]{2,3})$")))
+    """The code, 2 to 5 letters, of `AB — words`, else of `words (AB)`, else a bare `AB` of 2 or 3 capitals, lower-cased; null if there is none."""
+    first = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
+    return F.lower(F.coalesce(first(r"^([A-Za-z]{2,5})\s*[—–-]"), first(r"\(([A-Za-z]{2,5})\)"), first(r"^([A-Z]{2,3})$")))
 
 
 def predicate_name(raw: Column) -> Column:
