@@ -5,7 +5,7 @@ values are compared a few at a time, and a pair is dropped once the posterior pr
 threshold is below the tolerance. What is left is verified exactly on the 64-bit hashes of the 5-grams.
 
 Buckets of a band that are small give pairs. The members of large ones are dealt into chunks, and every two chunks that
-meet in such a bucket are compared as blocks in one task: a chunk pair returns link counts and a spanning forest, so a
+meet in such a bucket are compared as blocks in one row of a task: it returns link counts and a spanning forest, so a
 group of near copies never becomes a row for each of its pairs. Components of the links are the groups.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, mix64, shingle_hashes, word_hashes
+from loomgraph.llm.common import arrow_rows, cut, mix64, shingle_hashes, word_hashes
 from loomgraph.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -30,6 +30,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-5
 #: Largest bucket that gives pairs, and members of a chunk of larger ones.
 SMALL_BUCKET, CHUNK = 24, 256
+#: 5-grams of a chunk, about: one of long texts has fewer members.
+CHUNK_GRAMS = 150_000
 #: Ids of documents are broadcast up to this number, else joined.
 BROADCAST_IDS = 2_000_000
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -174,62 +176,63 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 CHUNKED = "a binary, b binary, links long, classes long"
+_CHUNKED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64()), ("classes", pa.int64())])
 
 
-def _chunk_pairs(threshold: float, rule: list[tuple[int, int]]):
-    """Rows of a chunk pair: (cid, sig, grams, copies, right: of the second chunk, both: the chunk with itself).
+def compare_chunks(left: list[dict], right: list[dict] | None, threshold: float, rule: list[tuple[int, int]]) -> list[dict]:
+    """Compares two chunks (lists of cid, sig, grams, copies), or one with itself (right: None), as blocks.
 
-    Returns a row for each class with links (a, links, classes), and a row (a, b) for each edge of a spanning forest.
+    Gives a row for each class with links (a, links, classes), and a row (a, b) for each edge of a spanning forest.
     """
+    rows = left + (right or [])
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, HASHES)
+    grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    n = len(left)
+    ia, ib = np.arange(n), np.arange(n) if right is None else np.arange(n, len(rows))
+    wide = sig.view(np.uint64).reshape(len(sig), BANDS, ROWS // 2)
+    meet = np.zeros((len(ia), len(ib)), bool)
+    for band in range(BANDS):
+        meet |= (wide[ia][:, None, band, 0] == wide[ib][None, :, band, 0]) & (wide[ia][:, None, band, 1] == wide[ib][None, :, band, 1])
+    pi, pj = np.nonzero(np.triu(meet, 1) if right is None else meet)
+    keep = [lo + prune(sig[ia[pi[lo : lo + 65536]]], sig[ib[pj[lo : lo + 65536]]], rule) for lo in range(0, len(pi), 65536)]
+    if not keep:
+        return []
+    pi, pj = pi[np.concatenate(keep)], pj[np.concatenate(keep)]
+    if len(pi):
+        size = np.array([len(g) for g in grams])
+        good = enough(_common(grams[:n], grams if right is None else grams[n:])[pi, pj], size[ia[pi]] + size[ib[pj]], threshold)
+        pi, pj = pi[good], pj[good]
+    copies = np.array([r["copies"] for r in rows], np.int64)
+    links, classes = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for x, y in ((ia[pi], ib[pj]), (ib[pj], ia[pi])):
+        np.add.at(links, x, copies[y])
+        np.add.at(classes, x, 1)
+    root = list(range(len(rows)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = [{"a": rows[k]["cid"], "b": None, "links": int(links[k]), "classes": int(classes[k])} for k in np.flatnonzero(classes)]
+    for x, y in zip(ia[pi].tolist(), ib[pj].tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            root[q] = p
+            out.append({"a": rows[x]["cid"], "b": rows[y]["cid"], "links": None, "classes": None})
+    return out
+
 
-    def compare(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        same = bool(rows["both"][0])
-        sides = []
-        for right in (False, True):
-            at = [k for k in range(table.num_rows) if same or rows["right"][k] == right]
-            sides.append((at, np.frombuffer(b"".join(rows["sig"][k] for k in at), np.uint32).reshape(-1, HASHES), [np.frombuffer(rows["grams"][k], np.uint64) for k in at]))
-        (ia, sa, ga), (ib, sb, gb) = sides
-        if not ia or not ib:
-            return pa.Table.from_pylist([], schema=schema)
-        meet = np.zeros((len(ia), len(ib)), bool)
-        wide = [s.view(np.uint64).reshape(len(s), BANDS, ROWS // 2) for s in (sa, sb)]
-        for band in range(BANDS):
-            meet |= (wide[0][:, None, band, 0] == wide[1][None, :, band, 0]) & (wide[0][:, None, band, 1] == wide[1][None, :, band, 1])
-        if same:
-            meet = np.triu(meet, 1)
-        pi, pj = np.nonzero(meet)
-        keep = np.concatenate([lo + prune(sa[pi[lo : lo + 65536]], sb[pj[lo : lo + 65536]], rule) for lo in range(0, len(pi), 65536)]) if len(pi) else np.empty(0, int)
-        pi, pj = pi[keep], pj[keep]
-        if len(pi):
-            common = _common(ga, gb)
-            la, lb = np.array([len(s) for s in ga]), np.array([len(s) for s in gb])
-            good = enough(common[pi, pj], la[pi] + lb[pj], threshold)
-            pi, pj = pi[good], pj[good]
-        copies = np.array(rows["copies"], np.int64)
-        ia, ib = np.array(ia), np.array(ib)
-        links, classes = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, np.int64)
-        for x, y in ((ia[pi], ib[pj]), (ib[pj], ia[pi])):
-            np.add.at(links, x, copies[y])
-            np.add.at(classes, x, 1)
-        root = list(range(table.num_rows))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        out = [{"a": rows["cid"][k], "b": None, "links": int(links[k]), "classes": int(classes[k])} for k in np.flatnonzero(classes)]
-        for x, y in zip(ia[pi].tolist(), ib[pj].tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                root[q] = p
-                out.append({"a": rows["cid"][x], "b": rows["cid"][y], "links": None, "classes": None})
-        return pa.Table.from_pylist(out, schema=schema)
-
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64()), ("classes", pa.int64())])
-    return compare
+def _chunk_pairs(threshold: float, rule: list[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = batch.column("m1")[i].as_py(), batch.column("m2")[i].as_py()
+                out = compare_chunks(left, right, threshold, rule)
+                yield pa.RecordBatch.from_pylist(out, schema=_CHUNKED)
+
+    return run
 
 
 def _limited(df: DataFrame, n: int) -> DataFrame:
@@ -252,12 +255,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     rule = least_matches(threshold, tolerance)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(own.mapInArrow(_signer(words), SIGNED))
-    classes = cut(signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    classes = cut(signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     bands = [F.xxhash64(F.expr(f"substring(sig, {4 * ROWS * b + 1}, {4 * ROWS})"), F.lit(b)) for b in range(BANDS)]
-    keyed = classes.select("cid", F.explode(F.array(*bands)).alias("key"))
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    met = cut(keyed.join(sizes, "key"))
+    keyed = classes.select("cid", "n", F.explode(F.array(*bands)).alias("key"))
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1"))
+    met = cut(keyed.drop("n").join(sizes, "key"))
 
     # small buckets: pairs
     lists = met.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("m"))
@@ -268,8 +271,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     hot = met.where(F.col("size") > SMALL_BUCKET)
     any_hot = bool(hot.take(1))
     if any_hot:
-        home = hot.groupBy("cid").agg(F.max(F.struct("size", "key")).alias("home"))
-        chunk = F.struct(F.col("home.key").alias("key"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("home.size") / CHUNK)).alias("salt"))
+        home = hot.groupBy("cid").agg(F.max(F.struct("size", "key", "grams")).alias("home"))
+        n_chunks = F.ceil(F.greatest(F.col("home.size") / CHUNK, F.col("home.grams") / CHUNK_GRAMS))
+        chunk = F.struct(F.col("home.key").alias("key"), F.pmod(F.xxhash64("cid"), n_chunks).alias("salt"))
         home = cut(home.select("cid", F.xxhash64(chunk["key"], chunk["salt"]).alias("g")))
         spread = hot.join(home, "cid").select("key", "g").distinct()
         chunk_pairs = cut(spread.withColumnRenamed("g", "g1").join(spread.withColumnRenamed("g", "g2"), "key").where("g1 <= g2").select("g1", "g2").distinct())
@@ -294,15 +298,20 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     grams = texts.mapInArrow(_setter(words), SETS).join(_limited(needed.select("cid"), needed.count()), "cid", "left_semi")
     grams = cut(grams.groupBy("cid").agg(F.first("grams").alias("grams")))
     ga, gb = grams.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("cid").alias("b"), F.col("grams").alias("gb"))
-    linked = cut(left.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(_verifier(threshold), "a binary, b binary"))
+    with arrow_rows(docs.sparkSession, 500):
+        linked = cut(left.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(_verifier(threshold), "a binary, b binary"))
     copies = classes.select(F.col("cid").alias("b"), "copies")
     counts = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, "b").groupBy("a").agg(F.sum("copies").alias("links"))
     edges = linked
     if any_hot:
+        # a chunk is one row, so a pair of chunks is one row too, and not a row for each of their members
         members = home.join(grams, "cid").join(classes.select("cid", "sig", "copies"), "cid")
-        ends = chunk_pairs.select("g1", "g2", F.explode(F.expr("if(g1 = g2, array(struct(g1 as g, false as right)), array(struct(g1 as g, false as right), struct(g2 as g, true as right)))")).alias("e"))
-        rows = ends.select("g1", "g2", F.col("e.g").alias("g"), F.col("e.right").alias("right"), (F.col("g1") == F.col("g2")).alias("both")).join(members, "g")
-        blocks = cut(rows.select("g1", "g2", "right", "both", "cid", "sig", "grams", "copies").groupBy("g1", "g2").applyInArrow(_chunk_pairs(threshold, rule), CHUNKED))
+        chunks = cut(members.groupBy("g").agg(F.collect_list(F.struct("cid", "sig", "grams", "copies")).alias("m")))
+        first = chunk_pairs.join(chunks.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1")
+        second = chunks.select(F.col("g").alias("g2"), F.col("m").alias("m2"))
+        rows = first.join(second, "g2").select("m1", F.when(F.col("g1") != F.col("g2"), F.col("m2")).alias("m2"))
+        with arrow_rows(docs.sparkSession, 4):
+            blocks = cut(rows.mapInArrow(_chunk_pairs(threshold, rule), CHUNKED))
         counts = counts.unionByName(blocks.where("b is null").select("a", "links")).groupBy("a").agg(F.sum("links").alias("links"))
         edges = edges.unionByName(blocks.where("b is not null").select("a", "b"))
 
