@@ -27,8 +27,8 @@ SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 60, 4000
 FOLDS = 5
 SYMBOLS = 64
 UNKNOWN = "und"
-#: A document of that many letters is rejected if its bits a letter are above the limit of the sample.
-LEAST_LETTERS = 40
+#: A document of that many letters is rejected if no language does better on it than even odds over the alphabet, log2 of its size.
+LEAST_LETTERS = 200
 
 
 def _letters() -> np.ndarray:
@@ -109,13 +109,12 @@ class CrossParser:
     @classmethod
     def fit(cls, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> CrossParser:
         """samples: texts of each language, of which whole ones are taken until there are `chars` characters."""
-        taken, held = {}, []
+        taken: dict[str, np.ndarray] = {}
         for lang in sorted(samples):
             parts, n = [], 0
             for t in samples[lang]:
                 if n >= chars:
-                    held.append(t)
-                    continue
+                    break
                 code, _, _ = letters_of([t])
                 parts += [code, np.zeros(1, np.int32)]
                 n += len(code) + 1
@@ -139,11 +138,7 @@ class CrossParser:
         table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
         log_size = np.log2([max(len(c), 2) for c in taken.values()]) if taken else np.empty(0)
         out = cls(list(taken), symbol, width, table, np.array(roots, np.int32), log_size)
-        if held and taken:
-            bits, letters = out.bits(held[:200])
-            best = bits.min(1)[letters >= LEAST_LETTERS]
-            if len(best):
-                out.limit = float(np.quantile(best, 0.99) * 1.6)
+        out.limit = float(np.log2(max(width - 1, 2)))
         return out
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -243,7 +238,7 @@ def predict_languages(docs: DataFrame, model: CrossParser | None = None) -> Data
 
 
 def keep_known(docs: DataFrame, model: CrossParser | None = None) -> DataFrame:
-    """docs without those that it rejects: no letters, or 40 letters and more that fit no language (bits above the sample's limit)."""
+    """docs without those that it rejects: no letters, or 200 letters and more that fit no language (bits above log2 of the alphabet's size)."""
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.withColumn("__l", language(F.col("text"), shared))

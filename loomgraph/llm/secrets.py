@@ -24,6 +24,19 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Shortest token that the models judge.
 TOKEN = 20
+#: Words of the labelled sample of ordinary identifiers, beside those of the documents.
+ORDINARY = """account action address array async average backend batch block branch bucket buffer build button cache change channel check child
+class clean client code column command commit config connection content context control copy count create current customer data date
+default delete description detail device digit directory document domain download driver element email encode engine entity error event
+example factory feature field file filter final find folder format frame function general global graph group handler header height helper
+history house identifier image import index input instance integer internal invoice item iterator key label language last layer length level library
+line link list load local location long manager match memory message method middle model module monitor name network next node normal
+number object option order ordinary output owner package page parent parse password path pattern people person picture player point policy
+position prefix process product profile project property public query queue random range read record reference region release remote
+report request resource response result return river root route sample schema screen script search second section select server service
+session setting shape simple size source split start state status stream string style summary system table target task template test text
+thread time title token total transfer tree type unique unit update upload user utility value variable vector version view water weight
+width window word worker write yellow year""".split()
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 _CODE = np.zeros(256, np.int16)
@@ -77,8 +90,8 @@ def labelled_samples(texts: list[str], n: int = 4000, seed: int = 11) -> tuple[l
     alphabets = [SYMBOLS[:62], SYMBOLS[:64], SYMBOLS[26:62], SYMBOLS[:26] + SYMBOLS[52:62], "0123456789abcdef"]
     found = [m[2] for t in texts for m in ASSIGN.finditer(t) if len(m[2]) >= LEAST["assign"] and re.search(r"\d", m[2])][:n]
     random_strings = found + ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(20, 48))) for i in range(n)]
-    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,14}", t)] or ["name", "value", "index", "table", "file"]
-    pick = lambda k: [words[i] for i in rng.integers(0, len(words), k)]
+    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,14}", t)] or ORDINARY
+    pick = lambda k: [(lambda pool: pool[rng.integers(0, len(pool))])(words if rng.random() < 0.5 else ORDINARY) for _ in range(k)]
     identifiers = []
     for i in range(2 * n):
         w = pick(int(rng.integers(3, 7)))
