@@ -121,3 +121,25 @@ def parse_action(response: Column) -> Column:
     """struct<tool, args> of the first action of a response: TOOL(args) after `Action:`, in back-ticks or bare; nulls if there is none."""
     pattern = r"(?s)(?:Action:\s*)?`?\b([A-Z][A-Z_]{2,})\((.*?)\)`?(?:\n|$)"
     return F.struct(F.nullif(F.regexp_extract(response, pattern, 1), F.lit("")).alias("tool"), F.when(F.regexp_extract(response, pattern, 1) != "", F.regexp_replace(F.regexp_extract(response, pattern, 2), "^[\"']|[\"']$", "")).alias("args"))
+
+
+def is_evidence(step: Column) -> Column:
+    """A step of a tool that found something."""
+    return (step["tool"] != "ANSWER") & (step["observation"] != "") & (step["observation"] != "(no results)")
+
+
+def evidence_digest(actions: Column, most: int = 10) -> Column:
+    """The first steps that found something, one line each, arguments and observations capped."""
+    line = lambda s: F.concat(F.lit("["), s["tool"], F.lit("("), F.substring(s["args"], 1, 300), F.lit(")] "), F.substring(s["observation"], 1, 500))
+    return F.array_join(F.transform(F.slice(F.filter(actions, is_evidence), 1, most), line), "\n")
+
+
+def action_summary(actions: Column, lines: int = 8, names: int = 10) -> Column:
+    """How many graph queries ran, and the first names that they found: the first cells of their first rows."""
+    graph = F.filter(actions, lambda s: s["tool"] == "GRAPH_QUERY")
+    found = F.filter(graph, is_evidence)
+    cell = lambda row: F.regexp_replace(F.get(F.split(row, r" \| "), F.lit(0)), r"^\s+|\s+$", "")
+    every = F.flatten(F.transform(found, lambda s: F.transform(F.slice(F.split(s["observation"], "\n"), 1, lines), cell)))
+    some = F.slice(F.array_distinct(F.filter(every, lambda n: n != "")), 1, names)
+    ran = F.when(F.size(graph) > 0, F.concat(F.lit("    Queries: "), F.size(graph).cast("string"), F.lit(" graph queries executed")))
+    return F.concat_ws("\n", ran, F.when(F.size(some) > 0, F.concat(F.lit("    Entities found: "), F.array_join(some, ", "))))
