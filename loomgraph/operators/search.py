@@ -35,24 +35,47 @@ def top_hits(nodes: DataFrame, limit: int) -> DataFrame:
     return nodes.orderBy(F.desc_nulls_last("confidence"), "canonical_name", "label").limit(limit)
 
 
+GRAM = 3
+
+
+def grams(fields: list[str]) -> Column:
+    """The distinct three-character substrings of the fields, lower-cased: a text that holds a key holds the key's first gram."""
+    of = lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.length(f) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.lower(F.col(f)), i, F.lit(GRAM)))
+    return F.array_distinct(F.flatten(F.filter(F.array(*(of(f) for f in fields)), lambda g: g.isNotNull())))
+
+
+def contains_join(nodes: DataFrame, probes: DataFrame, fields: list[str], hit: Column) -> DataFrame:
+    """nodes and probes (with a column `block`: three characters that a hit must hold, or null) that meet `hit`.
+
+    An equi-join on the block, so a probe meets only the nodes that hold it; probes without one, of keys that are too short,
+    are tried against every node.
+    """
+    blocked = nodes.withColumn("block", F.explode(grams(fields))).join(probes.where("block is not null"), "block").where(hit).drop("block")
+    free = probes.where("block is null").drop("block")
+    return blocked.unionByName(nodes.join(free, hit))
+
+
 def find(nodes: DataFrame, queries: DataFrame, fields: list[str], limit: int = 10, exact_first: bool = False, noise: list[str] = NOISE) -> DataFrame:
     """queries (qid, term) to (qid, tier, rank, label, canonical_name, confidence).
 
-    Tier 1: the whole term; then each keyword in order; last: all words. The first tier with hits answers. The questions'
-    tiers are few rows beside the nodes, so the substring join streams the nodes once past them.
+    Tier 1: the whole term; then each keyword in order; last: all words. The first tier with hits answers. All tiers of all
+    questions are one join with the nodes, blocked on three characters.
     """
     norm = queries.select("qid", search_term(F.col("term")).alias("term")).where("term != ''")
-    keys = F.transform(keywords(F.col("term"), noise), lambda k, i: F.struct((i + 2).alias("tier"), k.alias("key"), F.lit(False).alias("words")))
-    own = F.array(F.struct(F.lit(1).alias("tier"), F.col("term").alias("key"), F.lit(False).alias("words")))
-    every = F.array(F.struct(F.lit(1000).alias("tier"), F.col("term").alias("key"), F.lit(True).alias("words")))
-    exact = F.array(F.struct(F.lit(0).alias("tier"), F.col("term").alias("key"), F.lit(False).alias("words"))) if exact_first else F.array().cast("array<struct<tier:int,key:string,words:boolean>>")
+    row = lambda tier, key, words: F.struct(tier.alias("tier"), key.alias("key"), F.lit(words).alias("words"))
+    keys = F.transform(keywords(F.col("term"), noise), lambda k, i: row(i + 2, k, False))
+    own = F.array(row(F.lit(1), F.col("term"), False))
+    every = F.array(row(F.lit(1000), F.col("term"), True))
+    exact = F.array(row(F.lit(0), F.col("term"), False)) if exact_first else F.array().cast("array<struct<tier:int,key:string,words:boolean>>")
     tiers = norm.select("qid", F.explode(F.concat(exact, own, keys, every)).alias("t")).select("qid", "t.tier", "t.key", "t.words")
-    n = nodes.where(domain("label"))
+    longest = F.array_max(F.transform(F.split("key", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    block = F.substring(F.when(F.col("words"), longest).otherwise(F.col("key")), 1, GRAM)
+    tiers = tiers.withColumn("block", F.when(F.length(block) == GRAM, block))
+    n = nodes.where(domain("label")).select(*dict.fromkeys(["label", "canonical_name", "confidence", *fields]))
     hit = F.when(F.col("tier") == 0, F.lower("canonical_name") == F.col("key")).when(F.col("words"), all_words(F.col("key"), fields)).otherwise(matches(F.col("key"), fields))
-    met = n.join(tiers, hit).select("qid", "tier", "label", "canonical_name", "confidence")
+    met = contains_join(n, tiers, fields, hit).select("qid", "tier", "label", "canonical_name", "confidence")
     w = Window.partitionBy("qid").orderBy("tier", F.desc_nulls_last("confidence"), "canonical_name", "label")
-    first = Window.partitionBy("qid")
-    best = met.withColumn("best", F.min("tier").over(first)).where("tier = best").drop("best")
+    best = met.withColumn("best", F.min("tier").over(Window.partitionBy("qid"))).where("tier = best").drop("best")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
@@ -121,7 +144,7 @@ def suggestions(nodes: DataFrame, failed: DataFrame, per_word: int = 8, total: i
     """For failed lookups (qid, term): verified names that hold a word of three letters and more, few for each word and question."""
     words = failed.select("qid", F.explode(F.array_distinct(F.filter(F.split(search_term(F.col("term")), " "), lambda w: F.length(w) >= 3))).alias("word"))
     ok = nodes.where(domain("label") & F.coalesce("verified", F.lit(True))).select("canonical_name").distinct()
-    met = ok.join(words, F.contains("canonical_name", "word"))
+    met = contains_join(ok, words.withColumn("block", F.substring("word", 1, GRAM)), ["canonical_name"], F.contains("canonical_name", "word"))
     some = met.withColumn("r", F.row_number().over(Window.partitionBy("qid", "word").orderBy("canonical_name"))).where(F.col("r") <= per_word)
     names = some.select("qid", "canonical_name").distinct()
     return names.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("canonical_name"))).where(F.col("rank") <= total)

@@ -245,12 +245,14 @@ def pln1_value_conflicts(spark, sf):
 @query("""with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(qv, embedding)::double, 5) as score from q join embeddings e on e.vec_id <> query_id)
   select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
 def pln4_cosine_top10(spark, sf):
-    """A stated set of query vectors against all rows: the questions are a hundredth of the table, dealt against it in blocks by the join."""
+    """A stated set of query vectors, a hundredth of the table, against all rows in blocks: the questions go to every block of rows."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v"))))).withColumn("one", F.lit(1))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("one"))
-    met = e.join(q, (e["one"] == q["one"]) & (F.col("vec_id") != F.col("query_id"))).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 5).alias("score"))
+    e = e.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))))
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    met = rows.join(q, "block").where("vec_id != query_id").select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 5).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r")
 
