@@ -85,10 +85,6 @@ def delete_by_key(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFra
     return table.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
-def structural_links(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("label").isin(*STRUCTURAL))
-
-
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge touches, structural ones counted as edges if they are among `edges`."""
     ends = edges.select(F.col("subj_label").alias("label"), F.col("subj").alias("canonical_name")).unionByName(edges.select(F.col("obj_label").alias("label"), F.col("obj").alias("canonical_name")))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomgraph.functions.text import abbreviation, canonical_name, digit_runs
+from loomgraph.sources.folders import shared_folder
 
 THRESHOLD = 0.9
 LEAST_CONTAINED, CONTAINED_SHARE = 4, 0.35
@@ -81,11 +82,7 @@ def leaders(groups: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
     Each round decides all names that have no undecided earlier match: those without an earlier leader lead, and followers take
     their earliest leader. A round is two joins on the pairs; checkpoints cut the plan.
     """
-    spark = groups.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(groups.sparkSession)
     order = groups.select("label", F.col("canonical_name").alias("name"), "ord")
     e = pairs.join(order.select("label", F.col("name").alias("a"), F.col("ord").alias("oa")), ["label", "a"]).join(order.select("label", F.col("name").alias("b"), F.col("ord").alias("ob")), ["label", "b"]).select("label", "a", "oa", "b", "ob").checkpoint()
     state = order.select("label", "name", "ord", F.lit(None).cast("string").alias("leader"))
@@ -153,6 +150,3 @@ def _longest(met: DataFrame, predicate: str) -> DataFrame:
     w = Window.partitionBy("o", "oo").orderBy(F.desc(F.length("s")), "so")
     return met.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("s").alias("subj"), F.lit(predicate.upper()).alias("predicate"), F.col("o").alias("obj"), F.lit(0.9).alias("confidence"))
 
-
-def similar(a: Column, b: Column) -> Column:
-    return similarity_ratio(a, b)

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import register
-from loomgraph.functions import text as T
-from loomgraph.operators import logs, merge, ontology, pipe_tables, resolve, search
+from loomgraph.operators import logs, merge, ontology, pipe_tables, resolve
 from loomgraph.plans import demo, doc_queries, record_queries
-from loomgraph.plans.demo import _plain, graph_sql, node_sql
+from loomgraph.plans.demo import graph_sql, node_sql
 from loomgraph.plans.registry import query
-from loomgraph.sources import documents as D
+from loomgraph.sources.folders import shared_folder
 from loomgraph.streaming import ingest
 
 _SE = "with " + ", ".join((doc_queries.PAGES, doc_queries.ENTRIES, doc_queries.SECTIONS))
 
 
 def _folder(spark, name):
-    return f"{ingest.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(_SE + " select doc_id || ':' || node_id as section_id, pg.text from se join pg using (doc_id) where page_no = start_page and node_id <= '0002'")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import audit, logs, merge, ontology, resolve
+from loomgraph.operators import logs, merge, ontology, resolve
 from loomgraph.plans import demo
 from loomgraph.plans.demo import _plain, node_sql
 from loomgraph.plans.registry import query
@@ -132,7 +132,7 @@ def er2_same_pairs(spark, sf):
 
 
 def _clusters(spark, sf):
-    g = _groups(spark, sf).checkpoint() if spark.sparkContext.getCheckpointDir() else _groups(spark, sf)
+    g = _groups(spark, sf)
     return g, resolve.leaders(g, resolve.same_pairs(g))
 
 
