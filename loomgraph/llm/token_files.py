@@ -7,6 +7,7 @@ a temporary name and renamed, by a name that depends on its place only, so a tas
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -265,10 +266,17 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return rows.select("content", "before").mapInArrow(_read_shards, READ)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark reads it by, so that Python writes to the same store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^(\w+):/(?!/)", r"\1:///", full)
+
+
 def token_offsets(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the documents to a new folder in the shared one and reads them back."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     manifest = write_token_files(docs, folder, vocabulary, end_id, shard_ids)
     if not manifest.take(1):
         return spark.createDataFrame([], READ)
