@@ -196,6 +196,13 @@ def str1_incremental_ingest(spark, sf):
     return out.select("label", "canonical_name", F.size(F.split("source_docs", ", ")).cast("long").alias("n"), "confidence", "last_confirmed_at")
 
 
+@query("select distinct sha256(text) as content from documents")
+def str2_seen_contents(spark, sf):
+    """The documents as a stream of three files; contents that an earlier batch had are skipped."""
+    stream = _arriving(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3, "doc_id"), 1)
+    return ingest.ingest_mentions(stream, _folder(spark, "contents"), ingest.first_contents).select("content")
+
+
 @query("select time_bucket(interval '1 hour', ts) as started, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def str3_live_activity(spark, sf):
     stream = _arriving(spark, spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))

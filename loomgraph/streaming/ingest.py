@@ -44,6 +44,12 @@ def ingest_mentions(stream: DataFrame, folder: str, merge_rows=merge.merge_nodes
     return spark.read.parquet(snapshot_path(f"{folder}/nodes", last))
 
 
+def first_contents(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Seen contents (content, doc_id) and the batch's (doc_id, text) that are new, one row each."""
+    new = batch.groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"))
+    return new if old is None else old.unionByName(new.join(old, "content", "left_anti"))
+
+
 def new_contents(stream: DataFrame, time: str, late: str = "1 hour") -> DataFrame:
     """The first row of each content hash within the watermark."""
     return stream.withColumn("content", F.sha2("text", 256)).withWatermark(time, late).dropDuplicatesWithinWatermark(["content"])
