@@ -39,7 +39,7 @@ GRAM = 3
 
 
 def grams(fields: list[str]) -> Column:
-    """The distinct three-character substrings of the fields, lower-cased: a text that holds a key holds the key's first gram."""
+    """The distinct three-character substrings of the fields, lower-cased: a text that holds a key holds the key's last three characters."""
     of = lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.length(f) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.lower(F.col(f)), i, F.lit(GRAM)))
     return F.array_distinct(F.flatten(F.filter(F.array(*(of(f) for f in fields)), lambda g: g.isNotNull())))
 
@@ -69,7 +69,7 @@ def find(nodes: DataFrame, queries: DataFrame, fields: list[str], limit: int = 1
     exact = F.array(row(F.lit(0), F.col("term"), False)) if exact_first else F.array().cast("array<struct<tier:int,key:string,words:boolean>>")
     tiers = norm.select("qid", F.explode(F.concat(exact, own, keys, every)).alias("t")).select("qid", "t.tier", "t.key", "t.words")
     longest = F.array_max(F.transform(F.split("key", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    block = F.substring(F.when(F.col("words"), longest).otherwise(F.col("key")), 1, GRAM)
+    block = F.right(F.when(F.col("words"), longest).otherwise(F.col("key")), F.lit(GRAM))  # names differ at their ends more than at their starts
     tiers = tiers.withColumn("block", F.when(F.length(block) == GRAM, block))
     n = nodes.where(domain("label")).select(*dict.fromkeys(["label", "canonical_name", "confidence", *fields]))
     hit = F.when(F.col("tier") == 0, F.lower("canonical_name") == F.col("key")).when(F.col("words"), all_words(F.col("key"), fields)).otherwise(matches(F.col("key"), fields))
@@ -144,7 +144,7 @@ def suggestions(nodes: DataFrame, failed: DataFrame, per_word: int = 8, total: i
     """For failed lookups (qid, term): verified names that hold a word of three letters and more, few for each word and question."""
     words = failed.select("qid", F.explode(F.array_distinct(F.filter(F.split(search_term(F.col("term")), " "), lambda w: F.length(w) >= 3))).alias("word"))
     ok = nodes.where(domain("label") & F.coalesce("verified", F.lit(True))).select("canonical_name").distinct()
-    met = contains_join(ok, words.withColumn("block", F.substring("word", 1, GRAM)), ["canonical_name"], F.contains("canonical_name", "word"))
+    met = contains_join(ok, words.withColumn("block", F.right("word", F.lit(GRAM))), ["canonical_name"], F.contains("canonical_name", "word"))
     some = met.withColumn("r", F.row_number().over(Window.partitionBy("qid", "word").orderBy("canonical_name"))).where(F.col("r") <= per_word)
     names = some.select("qid", "canonical_name").distinct()
     return names.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("canonical_name"))).where(F.col("rank") <= total)

@@ -138,10 +138,10 @@ def prj2_properties(spark, sf):
     return _props(spark, sf)
 
 
-@query(graph_sql("""select subj as canonical_name, '→' as direction, predicate, obj_label as other_label, obj as other from edges where subj in (select lower(s_name) from supplier where s_suppkey <= 5) and predicate <> 'x'
-  union all select obj, '←', predicate, subj_label, subj from edges where obj in (select lower(s_name) from supplier where s_suppkey <= 5)"""))
+@query(graph_sql("""select subj as canonical_name, '→' as direction, predicate, obj_label as other_label, obj as other from edges where subj in (select lower(s_name) from supplier)
+  union all select obj, '←', predicate, subj_label, subj from edges where obj in (select lower(s_name) from supplier)"""))
 def join6_related(spark, sf):
-    names = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey <= 5").select(F.lower("s_name").alias("canonical_name"))
+    names = spark.read.parquet(f"{sf}/supplier.parquet").select(F.lower("s_name").alias("canonical_name"))
     return search.related(demo.edges(spark, sf), names)
 
 
@@ -242,8 +242,8 @@ def gq3_all_words_search(spark, sf):
     return demo.nodes(spark, sf).where(search.all_words(F.lit("1 supplier"), ["canonical_name", "source_docs"])).select("label", "canonical_name")
 
 
-#: Questions: every supplier's name, every nation's with a word too many, and every brand with noise words.
-_ASKED = """select concat('s', cast(s_suppkey as string)) as qid, concat('**', s_name, '**') as term from {supplier} where s_suppkey % 10 = 0
+#: Questions: every supplier's name in marks, every nation's with a noise word and a word too many, every region's in brackets.
+_ASKED = """select concat('s', cast(s_suppkey as string)) as qid, concat('**', s_name, '**') as term from {supplier}
   union all select concat('n', cast(n_nationkey as string)), concat('the ', n_name, ' nowhere') from {nation} union all select concat('r', cast(r_regionkey as string)), concat('[', r_name, ']') from {region}"""
 _FIND = """, q as (select qid, lower(translate(term, '®™©°*[](){}', '')) as term from (""" + demo._plain(_ASKED) + """)),
   w as (select qid, term, list_filter(string_split(term, ' '), lambda x: length(x) > 1 and x not in ('the','a','an','of','for','and','or','in','on','to','is','at','by','with')) as words from q),
@@ -262,7 +262,7 @@ def gq4_find(spark, sf):
     return out.select("qid", "label", "canonical_name", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
-@query(node_sql("""select 's' || s_suppkey as qid, 'SUPPLIER' as label, lower(s_name) as canonical_name from supplier where s_suppkey % 10 = 0 union all select 'r' || r_regionkey, 'REGION', lower(r_name) from region"""))
+@query(node_sql("""select 's' || s_suppkey as qid, 'SUPPLIER' as label, lower(s_name) as canonical_name from supplier union all select 'r' || r_regionkey, 'REGION', lower(r_name) from region"""))
 def gq5_resolve_name(spark, sf):
     asked = demo.base(spark, sf, _ASKED).where("qid not like 'n%'")
     return search.find(demo.nodes(spark, sf), asked, ["canonical_name"], limit=1, exact_first=True).select("qid", "label", "canonical_name")
@@ -307,7 +307,7 @@ def mut5_delete_orphans(spark, sf):
     return merge.delete_orphans(demo.nodes(spark, sf), demo.edges(spark, sf)).select("label", "canonical_name")
 
 
-_NAMES = "select lower(s_name) as canonical_name from {supplier} where s_suppkey % 3 = 0"
+_NAMES = "select lower(s_name) as canonical_name from {supplier} where s_acctbal < 3000"
 
 
 @query(node_sql("select label, canonical_name, case when canonical_name in (" + demo._plain(_NAMES) + ") then date '2025-06-30' else last_confirmed_at end as last_confirmed_at from nodes"))
@@ -322,7 +322,7 @@ def mut7_delete_by_name(spark, sf):
     return n.select(F.lit("node").alias("kind"), F.col("label").alias("a"), F.col("canonical_name").alias("b")).unionByName(e.select(F.lit("edge").alias("kind"), F.col("subj").alias("a"), F.col("obj").alias("b")))
 
 
-_DECIDED = "select 'CUSTOMER' as label, lower(c_name) as canonical_name from {customer} where c_custkey % 2 = 0"
+_DECIDED = "select 'CUSTOMER' as label, lower(c_name) as canonical_name from {customer} where c_acctbal > 2500"
 
 
 @query(node_sql("select label, canonical_name, case when label = 'CUSTOMER' and canonical_name in (select canonical_name from (" + demo._plain(_DECIDED) + ")) then true else verified end as verified from nodes"))
@@ -330,7 +330,7 @@ def mut8_verify_nodes(spark, sf):
     return merge.verify_nodes(demo.nodes(spark, sf), demo.base(spark, sf, _DECIDED)).select("label", "canonical_name", "verified")
 
 
-_EDGES_DECIDED = "select lower(s_name) as subj, 'LOCATED_IN' as predicate, lower(n_name) as obj from {supplier} join {nation} on s_nationkey = n_nationkey where s_suppkey % 2 = 0"
+_EDGES_DECIDED = "select lower(s_name) as subj, 'LOCATED_IN' as predicate, lower(n_name) as obj from {supplier} join {nation} on s_nationkey = n_nationkey where s_acctbal > 2500"
 
 
 @query(graph_sql(", d as (" + demo._plain(_EDGES_DECIDED) + ") select subj_label, subj, predicate, obj_label, obj, case when exists (select 1 from d where d.subj = e.subj and d.predicate = e.predicate and d.obj = e.obj) then true else verified end as verified from edges e"))

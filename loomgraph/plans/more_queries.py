@@ -21,14 +21,14 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(_SE + " select doc_id || ':' || node_id as section_id, pg.text from se join pg using (doc_id) where page_no = start_page and node_id <= '0002'")
+@query(_SE + " select doc_id || ':' || node_id as section_id, pg.text from se join pg using (doc_id) where page_no = start_page")
 def snk1_section_store(spark, sf):
-    """Section texts written as Parquet and looked up by id."""
+    """Section texts, written as Parquet by id and read back."""
     pages = doc_queries._pages(spark, sf).select("doc_id", F.col("page_no").alias("start_page"), "text")
     s = doc_queries._sections(spark, sf).join(pages, ["doc_id", "start_page"])
     path = _folder(spark, "sections")
     s.select(F.concat_ws(":", F.col("doc_id").cast("string"), "node_id").alias("section_id"), "text").write.parquet(path)
-    return spark.read.parquet(path).where(F.element_at(F.split("section_id", ":"), -1) <= "0002")
+    return spark.read.parquet(path)
 
 
 @query("with " + doc_queries._MD + " select doc_id as source_doc, row_index, name as part_name from md")
@@ -128,13 +128,13 @@ def gq15_review_context(spark, sf):
     return n.join(s, "canonical_name").join(e, "user_id").select("canonical_name", F.when(F.length("name") > 12, F.col("name")).otherwise(F.col("source_docs")).alias("detail"), "event_id")
 
 
-@query("select doc_id, arg_max(title, o) as title, min(o) as first from (select doc_id, source as title, 0 as o from documents union all select doc_id, 'new ' || lang, 1 from documents where doc_id % 3 = 0 union all select doc_id + 1000000, lang, 1 from documents where doc_id % 5 = 0) group by doc_id")
+@query("select doc_id, arg_max(title, o) as title, min(o) as first from (select doc_id, source as title, 0 as o from documents union all select doc_id, 'new ' || lang, 1 from documents where lang <> 'en' union all select doc_id + 1000000, lang, 1 from documents where lang = 'de') group by doc_id")
 def mut3_document_upsert(spark, sf):
     """A known document takes the batch's title; a new one is added."""
     d = doc_queries._docs(spark, sf)
     old = d.select("doc_id", F.col("source").alias("title"), F.lit(0).alias("first"))
-    new = d.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("new "), "lang").alias("title"), F.lit(1).alias("first"), F.lit(1).alias("ord"))
-    new = new.unionByName(d.where("doc_id % 5 = 0").select(F.col("doc_id") + 1_000_000, "lang", F.lit(1), F.lit(1)).toDF("doc_id", "title", "first", "ord"))
+    new = d.where("lang != 'en'").select("doc_id", F.concat(F.lit("new "), "lang").alias("title"), F.lit(1).alias("first"), F.lit(1).alias("ord"))
+    new = new.unionByName(d.where("lang = 'de'").select(F.col("doc_id") + 1_000_000, "lang", F.lit(1), F.lit(1)).toDF("doc_id", "title", "first", "ord"))
     merged = merge.upsert_by_key(old, new, ["doc_id"], "ord").select("doc_id", "title")
     return merged.join(old.select("doc_id", "first"), "doc_id", "left").select("doc_id", "title", F.coalesce("first", F.lit(1)).alias("first"))
 
@@ -153,14 +153,14 @@ def mut11_reset_and_load(spark, sf):
     return merge.merge_nodes(empty, merge.keyed_mentions(demo.mentions(spark, sf)).where("label = 'NATION'"))
 
 
-@query("select conv_id as session_id, case when conv_id % 2 = 0 then 'renamed ' || conv_id else 'session ' || conv_id end as name, count(*) as turns from conversations where conv_id % 7 <> 0 group by conv_id")
+@query("select conv_id as session_id, case when bool_or(role = 'system') then 'renamed ' || conv_id else 'session ' || conv_id end as name, count(*) as turns from conversations group by conv_id having count(*) <= 6")
 def mut15_sessions(spark, sf):
-    """Sessions created, the even ones renamed, every seventh deleted with its turns."""
+    """Sessions created, those with a system turn renamed, those of more than six turns deleted with their turns."""
     c = spark.read.parquet(f"{sf}/conversations.parquet").withColumnRenamed("conv_id", "session_id")
     name = lambda p: F.concat(F.lit(p), F.col("session_id").cast("string")).alias("name")
     s = c.select("session_id").distinct()
-    sessions = merge.upsert_by_key(s.select("session_id", name("session ")), s.where("session_id % 2 = 0").select("session_id", name("renamed "), F.lit(1).alias("ord")), ["session_id"], "ord")
-    gone = s.where("session_id % 7 = 0")
+    sessions = merge.upsert_by_key(s.select("session_id", name("session ")), c.where("role = 'system'").select("session_id").distinct().select("session_id", name("renamed "), F.lit(1).alias("ord")), ["session_id"], "ord")
+    gone = c.groupBy("session_id").count().where("count > 6")
     turns = merge.delete_by_key(c, gone, ["session_id"]).groupBy("session_id").agg(F.count("*").alias("turns"))
     return merge.delete_by_key(sessions, gone, ["session_id"]).join(turns, "session_id")
 

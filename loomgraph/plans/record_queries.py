@@ -274,10 +274,10 @@ def flt8_valid_entities(spark, sf):
     return ontology.valid_entities(demo.base(spark, sf, RECORDS))
 
 
-@query("with e as (select distinct p_size as section, lower(p_name) as k from part where p_partkey % 2 = 0) select p_size as section, lower(p_name) as subj, 'LIKE' as predicate, lower(p_name) as obj from part p where exists (select 1 from e where e.section = p_size and e.k = lower(p_name))")
+@query("with e as (select distinct p_size as section, lower(p_name) as k from part where p_retailprice > 950) select p_size as section, lower(p_name) as subj, 'LIKE' as predicate, lower(p_name) as obj from part p where exists (select 1 from e where e.section = p_size and e.k = lower(p_name))")
 def flt9_valid_edges(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    ents = p.where("p_partkey % 2 = 0").select(F.col("p_size").alias("section"), F.col("p_name").alias("text"))
+    ents = p.where("p_retailprice > 950").select(F.col("p_size").alias("section"), F.col("p_name").alias("text"))
     return ontology.valid_edges(p.select(F.col("p_size").alias("section"), F.concat(F.lit(" "), "p_name").alias("subj"), F.lit("like").alias("predicate"), F.upper("p_name").alias("obj")), ents)
 
 
@@ -431,9 +431,9 @@ def agg13_dashboard_totals(spark, sf):
     return d.join(e).join(spark.read.parquet(f"{sf}/pages.parquet").agg(F.sum(F.length("html")).alias("page_chars")))
 
 
-@query("select event_id, ts from events where event_type = 'click' and user_id % 10 = 1")
+@query("select event_id, ts from events where event_type = 'click'")
 def agg14_action_items(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click' and user_id % 10 = 1").select("event_id", "ts").orderBy("ts", "event_id")
+    return spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'").select("event_id", "ts").orderBy("ts", "event_id")
 
 
 @query(f"with {EPISODES} select id, case when confidence < 0.1 then 'No reliable answer was found.' else answer end as answer from ep")
@@ -488,12 +488,12 @@ def win6_newest_rows(spark, sf):
     return merge.newest(e, ["event_type"], "o").select("event_type", "event_id")
 
 
-@query("with s as (select distinct 's-' || conv_id as session_id, 'n' || conv_id % 7 as name, conv_id as started_at from conversations), r as (select distinct 'n' || conv_id % 7 as ref from conversations union select distinct 's-' || conv_id from conversations where conv_id % 5 = 0 union select 's-1'), m as (select ref, session_id, case when name = ref then 1 when session_id = ref then 2 else 3 end as tier, started_at from r join s on name = ref or starts_with(session_id, ref)) select ref, session_id, tier from m qualify row_number() over (partition by ref order by tier, started_at desc, session_id) = 1")
+@query("with s as (select distinct 's-' || conv_id as session_id, 'n' || conv_id % 7 as name, conv_id as started_at from conversations), r as (select distinct 'n' || conv_id % 7 as ref from conversations union select distinct 's-' || conv_id from conversations union select 's-1'), m as (select ref, session_id, case when name = ref then 1 when session_id = ref then 2 else 3 end as tier, started_at from r join s on name = ref or starts_with(session_id, ref)) select ref, session_id, tier from m qualify row_number() over (partition by ref order by tier, started_at desc, session_id) = 1")
 def win7_session_references(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     sid = F.concat(F.lit("s-"), F.col("conv_id").cast("string"))
     s = c.select(sid.alias("session_id"), F.concat(F.lit("n"), (F.col("conv_id") % 7).cast("string")).alias("name"), F.col("conv_id").alias("started_at")).distinct()
-    refs = s.select(F.col("name").alias("ref")).union(c.where("conv_id % 5 = 0").select(sid)).union(spark.range(1).select(F.lit("s-1"))).distinct()
+    refs = s.select(F.col("name").alias("ref")).union(c.select(sid)).union(spark.range(1).select(F.lit("s-1"))).distinct()
     return logs.resolve_session(s, refs)
 
 
