@@ -91,7 +91,12 @@ def labelled_samples(texts: list[str], n: int = 4000, seed: int = 11) -> tuple[l
     found = [m[2] for t in texts for m in ASSIGN.finditer(t) if len(m[2]) >= LEAST["assign"] and re.search(r"\d", m[2])][:n]
     random_strings = found + ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(20, 48))) for i in range(n)]
     words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,14}", t)] or ORDINARY
-    pick = lambda k: [(lambda pool: pool[rng.integers(0, len(pool))])(words if rng.random() < 0.5 else ORDINARY) for _ in range(k)]
+    either = [words, ORDINARY]
+
+    def pick(k: int) -> list[str]:
+        pools = [either[i] for i in rng.integers(0, 2, k)]
+        return [pool[rng.integers(0, len(pool))] for pool in pools]
+
     identifiers = []
     for i in range(2 * n):
         w = pick(int(rng.integers(3, 7)))
@@ -115,9 +120,14 @@ def labelled_samples(texts: list[str], n: int = 4000, seed: int = 11) -> tuple[l
 
 
 def train(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 6000, text: str = "text") -> TokenModel:
-    """Models fitted on at most sample_rows rows (those with the smallest hash) of at most sample_chars characters each."""
-    rows = docs.where(F.length(text) <= sample_chars).orderBy(F.xxhash64(text), text).limit(sample_rows).select(text).collect()
-    return fit_models(*labelled_samples([r[0] for r in rows]))
+    """Models fitted on at most sample_rows distinct texts (those with the smallest hash) of at most sample_chars characters each.
+
+    The smallest hashes are found first, so that a task sends the driver hashes, and not texts that will not be taken.
+    """
+    short = docs.where(F.length(text) <= sample_chars).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    least = [r[0] for r in short.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
+    rows = short.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample_rows).collect() if least else []
+    return fit_models(*labelled_samples([r["t"] for r in rows]))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
