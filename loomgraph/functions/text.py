@@ -105,14 +105,7 @@ def truncate_rows(obs: Column, rows: int = 15) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end at . ! ? ; a lone end mark belongs to the sentence after it, as one character makes no sentence."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def step(acc, ch):
-        cur = F.concat(acc["cur"], ch)
-        full = ch.isin(".", "!", "?") & (F.length(strip(cur)) > 1)
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(strip(cur)))).otherwise(acc["out"]).alias("out"), F.when(full, "").otherwise(cur).alias("cur"))
-
-    return F.aggregate(F.split(text, ""), start, step, lambda a: F.when(strip(a["cur"]) != "", F.concat(a["out"], F.array(strip(a["cur"])))).otherwise(a["out"]))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\s*\S[^.!?]*(?:[.!?]|\z)"), F.lit(0)), strip)
 
 
 def truncate_sentences(text: Column, most: int = 5) -> Column:

@@ -175,7 +175,7 @@ def fn12_truncate_rows(spark, sf):
     return _docs(spark, sf).select("doc_id", T.truncate_rows(F.col("text"), 3).alias("obs"))
 
 
-@query()
+@query(r"with s as (select doc_id, text, list_transform(regexp_extract_all(text, '\s*\S[^.!?]*(?:[.!?]|$)'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) as l from documents) select doc_id, case when len(l) > 5 then array_to_string(l[1:5], ' ') || ' ... (' || len(l) || ' total sentences)' else text end as obs from s")
 def fn13_truncate_sentences(spark, sf):
     return _docs(spark, sf).select("doc_id", T.truncate_sentences(F.col("text")).alias("obs"))
 

@@ -456,7 +456,7 @@ def join16_as_of(spark, sf):
     return logs.as_of(left, right, "user_id", "ts", "rts", "rid").select("event_id", "user_id", F.coalesce("r_rid", F.lit(-1)).alias("r_rid"))
 
 
-@query("with s as (select user_id as session_id, event_id as at, value < 50 as e from events where value is not null), g as (select *, sum(case when e then 0 else 1 end) over (partition by session_id order by at) as g from s), r as (select session_id, g, count(*) as n from g where e group by session_id, g) select s.session_id, coalesce(sum(t), 0)::bigint as triggers from (select distinct session_id from s) s left join (select session_id, n // 3 as t from r) r using (session_id) group by s.session_id")
+@query("with s as (select user_id as session_id, event_id as step, value < 50 as e from events where value is not null), g as (select *, sum(case when e then 0 else 1 end) over (partition by session_id order by step) as g from s), r as (select session_id, g, count(*) as n from g where e group by session_id, g) select s.session_id, coalesce(sum(t), 0)::bigint as triggers from (select distinct session_id from s) s left join (select session_id, n // 3 as t from r) r using (session_id) group by s.session_id")
 def win8_empty_runs(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null")
     return logs.empty_runs(e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("at"), (F.col("value") < 50).alias("empty")))
