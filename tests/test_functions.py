@@ -32,7 +32,18 @@ def test_search_terms_and_keywords(spark):
 def test_sentences(spark):
     text = "One. Two! Three? Four... Five. Six. Seven. Eight. Nine. Ten."
     assert apply(spark, T.truncate_sentences, ["a. b.", text])[0] == "a. b."
-    assert apply(spark, T.sentences, ["One. Two!  x"]) == [["One.", "Two!", "x"]]
+    rng = random.Random(3)
+    texts = ["One. Two!  x", "", "  ", "...", "?"] + ["".join(rng.choice("ab .!?\n") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    want = []
+    for t in texts:
+        out, cur = [], ""
+        for c in t:
+            cur += c
+            if c in ".!?" and len(cur.strip()) > 1:
+                out.append(cur.strip())
+                cur = ""
+        want.append(out + ([cur.strip()] if cur.strip() else []))
+    assert apply(spark, T.sentences, texts) == want
 
 
 def plain_long(text, size):
