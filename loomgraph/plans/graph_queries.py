@@ -10,7 +10,7 @@ from loomgraph.plans import demo
 from loomgraph.plans.demo import graph_sql, node_sql
 from loomgraph.plans.registry import query
 
-AS_OF = F.to_date(F.lit("2025-06-30"))
+AS_OF = "2025-06-30"
 TYPES = ["REGION", "NATION", "CUSTOMER", "SUPPLIER", "PART", "BRAND", "SEGMENT", "MATERIAL", "PROCESS"]
 TYPES_SQL = "types as (select unnest(['REGION','NATION','CUSTOMER','SUPPLIER','PART','BRAND','SEGMENT','MATERIAL','PROCESS']) as type_name)"
 
@@ -191,13 +191,13 @@ _DECAY = "round(confidence * pow(0.998, date_diff('day', last_confirmed_at, date
 
 @query(node_sql(f"select label, canonical_name, {_DECAY} as effective from nodes"))
 def fn18_effective_confidence(spark, sf):
-    eff = T.effective_confidence(F.col("confidence"), F.col("last_confirmed_at"), AS_OF, 0.998)
+    eff = T.effective_confidence(F.col("confidence"), F.col("last_confirmed_at"), F.to_date(F.lit(AS_OF)), 0.998)
     return demo.nodes(spark, sf).select("label", "canonical_name", F.round(eff, 6).alias("effective"))
 
 
 @query(node_sql(f"select label, canonical_name, {_DECAY} as effective from nodes where confidence * pow(0.998, date_diff('day', last_confirmed_at, date '2025-06-30')) < 0.3"))
 def fn19_decayed(spark, sf):
-    return audit.decayed(demo.nodes(spark, sf), AS_OF, 0.998, 0.3).select("label", "canonical_name", "effective").orderBy("effective")
+    return audit.decayed(demo.nodes(spark, sf), F.to_date(F.lit(AS_OF)), 0.998, 0.3).select("label", "canonical_name", "effective").orderBy("effective")
 
 
 @query(node_sql("select label, canonical_name, confidence from nodes order by confidence desc nulls last, canonical_name, label limit 25"))
@@ -312,7 +312,7 @@ _NAMES = "select lower(s_name) as canonical_name from {supplier} where s_acctbal
 
 @query(node_sql("select label, canonical_name, case when canonical_name in (" + demo._plain(_NAMES) + ") then date '2025-06-30' else last_confirmed_at end as last_confirmed_at from nodes"))
 def mut6_reconfirm(spark, sf):
-    return merge.reconfirm(demo.nodes(spark, sf), demo.base(spark, sf, _NAMES), AS_OF).select("label", "canonical_name", "last_confirmed_at")
+    return merge.reconfirm(demo.nodes(spark, sf), demo.base(spark, sf, _NAMES), F.to_date(F.lit(AS_OF))).select("label", "canonical_name", "last_confirmed_at")
 
 
 @query(graph_sql(", gone as (" + demo._plain(_NAMES) + """) select 'node' as kind, label as a, canonical_name as b from nodes where canonical_name not in (select canonical_name from gone)
