@@ -105,7 +105,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     end = np.flatnonzero(edge == -1)  # the last byte is a separator
     ends_at = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
     out = np.empty(len(start), np.uint64)
-    step = 1 << 22  # bytes at a time: the prefix sums of a part need 8 times its bytes
+    step = 1 << 19  # bytes at a time: the prefix sums of a part need 8 times its bytes
     lo = 0
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(start, start[lo] + step)))

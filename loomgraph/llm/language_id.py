@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import crc_fold
 
-BLOCK = 2048
+BLOCK = 512
+#: Characters that are parsed together.
+PART_CHARS = 2_000_000
 #: Blocks that are parsed in step.
 IN_STEP = 4096
 #: The labelled sample: characters of each language, rows of each language, and longest row.
@@ -218,7 +220,7 @@ def language(text: Column, model: Broadcast) -> Column:
         for t in texts:
             part.append(t)
             n += len(t or "")
-            if n > 8_000_000:
+            if n > PART_CHARS:
                 parts.append(model.value.predict(part))
                 part, n = [], 0
         parts.append(model.value.predict(part))

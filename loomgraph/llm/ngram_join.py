@@ -53,7 +53,7 @@ def class_key(ngrams: np.ndarray) -> bytes:
     return int(mix64(ngrams + np.uint64(1)).sum(dtype=np.uint64)).to_bytes(8, "big") + int(mix64(ngrams ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
-def _parts(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")

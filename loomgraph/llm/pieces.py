@@ -26,7 +26,7 @@ DRAWS = 8
 DROPOUT = 0.1
 SEED = 29
 #: Bytes of text that are encoded together.
-PART_BYTES = 6 << 20
+PART_BYTES = 2 << 20
 _NONE = np.iinfo(np.int32).max
 _FOREIGN = 1 << 21  # code of a character that no piece has: this plus its code point
 
