@@ -15,28 +15,42 @@ from loomgraph.llm.common import shared_dir
 from loomgraph.llm.queries import vocabulary
 
 
+#: Rows of a batch to Python: texts are long, and what a batch takes is taken in the JVM and in Python, on every core.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The pipeline is an application, so it sets its session's batch size for all that its stages run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and documents that fit no learned language go."""
+    small_batches(spark)
     return language_id.keep_known(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word Jaccard similarity 0.8 and more stays."""
+    small_batches(spark)
     return ngram_join.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated and left out so that sources come near their targets."""
+    small_batches(spark)
     return mixing.mix_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and piece ids, with merge-dropout."""
+    small_batches(spark)
     return pieces.encode_documents(docs, vocabulary("piece_bpe_32k.model"))
 
 
