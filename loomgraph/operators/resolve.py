@@ -76,11 +76,12 @@ def same_pairs(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return ratio.unionByName(inside).unionByName(coded).groupBy("label", "a", "b").agg(F.max("why").alias("why"))
 
 
-def leaders(groups: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def leaders(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """(label, canonical_name, leader): in first-seen order a leader takes every later match that is still free; members are compared to it alone.
 
     Each round decides all names that have no undecided earlier match: those without an earlier leader lead, and followers take
-    their earliest leader. A round is two joins on the pairs; checkpoints cut the plan.
+    their earliest leader. A round is two joins on the pairs; checkpoints cut the plan. Every round decides the first open name
+    at least, so it ends; long chains take as many rounds as links.
     """
     shared_folder(groups.sparkSession)
     order = groups.select("label", F.col("canonical_name").alias("name"), "ord")
@@ -88,7 +89,7 @@ def leaders(groups: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
     state = order.select("label", "name", "ord", F.lit(None).cast("string").alias("leader"))
     loose = e.select("label", F.col("b").alias("name")).distinct()
     state = state.join(loose.withColumn("later", F.lit(True)), ["label", "name"], "left").withColumn("leader", F.when(F.col("later").isNull(), F.col("name"))).drop("later").checkpoint()
-    for _ in range(rounds):
+    while True:
         seen = e.join(state.select("label", F.col("name").alias("a"), F.col("leader").alias("la")), ["label", "a"])
         verdict = seen.groupBy("label", F.col("b").alias("name")).agg(
             F.min(F.when(F.col("la").isNull(), F.col("oa"))).alias("open"),
