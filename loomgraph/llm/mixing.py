@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
+#: The plan is broadcast up to so many sources, else joined.
+BROADCAST_SOURCES = 100_000
 #: Hexadecimal digits of a document's key that name its bucket: 4,096 buckets for each source.
 BUCKET = 3
 
@@ -91,7 +93,8 @@ def mix_plan(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weigh=turn_weight
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     named = plan.select(F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "cut_key")))
-    return rows.join(named, rows["source"].eqNullSafe(named["__source"]), "left")
+    few = plan.count() <= BROADCAST_SOURCES  # then neither texts nor a large source's rows move
+    return rows.join(F.broadcast(named) if few else named, rows["source"].eqNullSafe(named["__source"]), "left")
 
 
 def _copies() -> Column:
