@@ -26,7 +26,7 @@ TREES, SYMBOLS, SEED = 48, 3, 5
 #: Candidates: this many, and this share of the distinct vectors, at least.
 LEAST_CANDIDATES, SHARE = 1000, 0.08
 BUCKET_ROWS = 8192
-#: Rows whose mean centres the hashes.
+#: Rows, about, whose mean centres the hashes.
 SAMPLE_ROWS = 2000
 
 
@@ -151,8 +151,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
     entries = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = cut(entries.select(F.get("ids", F.lit(0)).alias("qid"), F.xxhash64("v").alias("qhash"), "v", "ids"))
     n = entries.count()
-    sample = np.array([r[0] for r in entries.orderBy("qhash").limit(SAMPLE_ROWS).select("v").collect()], np.float64)
-    mean = sample.mean(0).tolist()
+    # hashes are even over all longs, so a bound on them takes about SAMPLE_ROWS entries, the same ones in every run
+    bound = (1 << 63) - 1 if n <= SAMPLE_ROWS else -(1 << 63) + (1 << 64) * SAMPLE_ROWS // n
+    sample = np.array([r[0] for r in entries.where(F.col("qhash") <= bound).orderBy("qhash", "qid").select("v").collect()], np.float64)
+    mean = sample.mean(0).tolist() if len(sample) else [0.0] * dims
     if route is None:
         route = 1
         while route < symbols and n / (2 * dims) ** route > 16 * BUCKET_ROWS:
