@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding of a BPE vocabulary with byte fallback, with seeded merge-dropout.
 
 Agenda order: of a segment's candidate merges the one with the best score, then the leftmost, is done first. Dropout skips
-a candidate by a keyed hash of seed, draw, place and merged piece, so a rerun gives the same pieces. No merge reaches over
-two characters that stand side by side in no piece; texts are cut there, and each distinct (segment, draw) is merged once
-in a batch, all segments in step. Decoding is a gather of the pieces' bytes and gives back every text.
+a candidate by a keyed 64-bit hash of seed, document, occurrence, place and merged piece, so a rerun gives the same pieces.
+No merge reaches over two characters that stand side by side in no piece; texts are cut there, and each distinct segment is
+merged once in a batch without dropout. Occurrences of which a candidate is skipped are merged one by one, all in step.
+Decoding is a gather of the pieces' bytes and gives back every text.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from loomgraph.llm.common import mix64
 from loomgraph.llm.token_files import text_parts
 
 SPACE, MARK = 0x20, 0x2581
-#: Segments of the same letters fall into so many draws; a draw's candidates are skipped alike throughout.
-DRAWS = 8
 DROPOUT = 0.1
 SEED = 29
 #: Bytes of text that are encoded together.
 PART_BYTES = 2 << 20
+#: Candidates whose skips are looked up together.
+CANDIDATES = 1 << 19
 _NONE = np.iinfo(np.int32).max
 _FOREIGN = 1 << 21  # code of a character that no piece has: this plus its code point
 
@@ -112,12 +113,11 @@ class PieceModel:
             left = left[~same & (held != -1)]
         return out
 
-    def merge_all(self, symbols: np.ndarray, lengths: np.ndarray, draw: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of all segments (symbols one after another), and their number for each segment."""
-        limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+    def merge_all(self, symbols: np.ndarray, lengths: np.ndarray, key: np.ndarray | None = None, limit: np.uint64 = np.uint64(0), seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all segments (symbols one after another), and their number for each segment. key: of each segment, for
+        skipping; seen: takes (segment, candidates' hashes)."""
         seg = np.repeat(np.arange(len(lengths)), lengths)
         pos = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = mix64(draw.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         sym = symbols.astype(np.int32)
         made = np.full(len(sym), -1, np.int32)
         order = np.full(len(sym), _NONE, np.int64)
@@ -129,9 +129,13 @@ class PieceModel:
             new = self.merged(sym[at], sym[at + 1])
             got = new >= 0
             at, new = at[got], new[got]
-            if dropout > 0:
-                h = mix64(key[seg[at]] ^ mix64(pos[at].astype(np.uint64) << np.uint64(32) | new.astype(np.uint64)))
-                at, new = at[h >= limit], new[h >= limit]
+            if key is not None or seen is not None:
+                h = mix64(pos[at].astype(np.uint64) << np.uint64(32) | new.astype(np.uint64))
+                if seen is not None:
+                    seen.append((seg[at], h))
+                if key is not None:
+                    take = mix64(key[seg[at]] ^ h) >= limit
+                    at, new = at[take], new[take]
             made[at], order[at] = new, self.rank[new]
 
         look(np.arange(len(sym)))
@@ -163,8 +167,8 @@ class PieceModel:
         seg, sym, pos = map(np.concatenate, (done_seg, done_sym, done_pos))
         return sym[np.lexsort((pos, seg))], np.bincount(seg, minlength=len(lengths))
 
-    def encode(self, texts: list[str], rows: np.ndarray, dropout: float = 0.0, seed: int = SEED, draws: int = DRAWS) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of all texts, one after another, and their number for each; rows: a key of each text for its draws."""
+    def encode(self, texts: list[str], rows: np.ndarray, dropout: float = 0.0, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts, one after another, and their number for each; rows: a key of each text for its skips."""
         body = [" " + t if t else "" for t in texts]
         code = np.frombuffer("".join(body).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         if not len(code):
@@ -183,31 +187,49 @@ class PieceModel:
         segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.concatenate((first, ends[-1:])) * 4), pa.py_buffer(symbol)])
         coded = segments.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if dropout > 0:
-            inside = np.arange(len(first)) - np.searchsorted(first, text_at)[owner]
-            occurrence = mix64(mix64(rows.astype(np.uint64) + np.uint64(seed))[owner] + inside.astype(np.uint64))
-            draw = (occurrence % np.uint64(draws)).astype(np.int64)
-        else:
-            draw, draws = np.zeros(len(first), np.int64), 1
         n = len(coded.dictionary)
-        used = np.zeros(n * draws, bool)
-        used[which * draws + draw] = True
-        combos = np.flatnonzero(used)
-        number = np.cumsum(used) - 1
         start = np.frombuffer(coded.dictionary.buffers()[1], np.int64, n + 1) // 4
         letters = np.frombuffer(coded.dictionary.buffers()[2], np.int32, int(start[-1]))
-        of = combos // draws
-        length = np.diff(start)[of]
-        pick = np.arange(int(length.sum())) + np.repeat(start[of] - (np.cumsum(length) - length), length)
-        out, counts = self.merge_all(letters[pick], length, combos % draws, dropout, seed)
+        at = which
+        if dropout > 0:
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            out, counts = self.merge_all(letters, np.diff(start), seen=seen)
+            inside = np.arange(len(first)) - np.searchsorted(first, text_at)[owner]
+            key = mix64(mix64(rows.astype(np.uint64) ^ mix64(np.array([seed], np.int64).view(np.uint64)))[owner] + inside.astype(np.uint64))
+            limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+            again = self._skipping(which, key, limit, n, seen)
+            of = which[again]
+            length = np.diff(start)[of]
+            pick = np.arange(int(length.sum())) + np.repeat(start[of] - (np.cumsum(length) - length), length)
+            more, n_more = self.merge_all(letters[pick], length, key[again], limit)
+            out, counts = np.concatenate((out, more)), np.concatenate((counts, n_more))
+            at = which.copy()
+            at[again] = n + np.arange(len(again))
+        else:
+            out, counts = self.merge_all(letters, np.diff(start))
         out, counts = self._spell(out, counts)
-        at = number[which * draws + draw]
         n_each = counts[at]
         ends = np.cumsum(n_each)
         base = (np.cumsum(counts) - counts)[at]
         ids = out[np.arange(int(ends[-1])) + np.repeat(base - (ends - n_each), n_each)]
         return ids, np.bincount(owner, weights=n_each, minlength=len(body)).astype(np.int64)
 
+    def _skipping(self, which: np.ndarray, key: np.ndarray, limit: np.uint64, n: int, seen: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The occurrences (segment and key of each) that skip one of their segment's candidates or more; the others are merged as without dropout."""
+        of, h = map(np.concatenate, zip(*seen, strict=True))
+        h = h[np.argsort(of, kind="stable")]
+        number = np.bincount(of, minlength=n)
+        base, each = (np.cumsum(number) - number)[which], number[which]
+        ends = np.cumsum(each)
+        begin = ends - each
+        cuts = np.append(np.searchsorted(ends, np.arange(0, max(int(ends[-1]), 1), CANDIDATES)), len(which)).tolist()
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            who = np.repeat(np.arange(lo, hi), each[lo:hi])
+            at = np.arange(len(who)) + np.repeat(base[lo:hi] - (begin[lo:hi] - begin[lo]), each[lo:hi])
+            out.append(np.unique(who[mix64(key[who] ^ h[at]) < limit]))
+        return np.concatenate(out)
+
     def _spell(self, out: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that are no piece become their bytes."""
         odd = np.flatnonzero((out >= _FOREIGN) | ((out >= self.n_pieces) & (out < _FOREIGN)))
@@ -243,7 +265,7 @@ def piece_model(path: str) -> PieceModel:
 
 
 def row_keys(doc_ids: pa.Array) -> np.ndarray:
-    """A key of each row for its draws; null ids are -1."""
+    """A key of each row for its skips; null ids are -1."""
     return np.array([-1 if d is None else d for d in doc_ids.to_pylist()], np.int64).view(np.uint64)
 
 
@@ -251,14 +273,14 @@ REPORT = "doc_id long, n_tokens long, ids_crc32 long, lossless boolean"
 PIECES = "doc_id long, ids array<int>"
 
 
-def _encoder(path: str, dropout: float, seed: int, draws: int, report: bool):
+def _encoder(path: str, dropout: float, seed: int, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
             for lo, hi in text_parts(batch.column("text"), PART_BYTES):
                 names = batch.column("doc_id")[lo:hi]
                 texts = [t or "" for t in batch.column("text")[lo:hi].to_pylist()]
-                ids, counts = model.encode(texts, row_keys(names), dropout, seed, draws)
+                ids, counts = model.encode(texts, row_keys(names), dropout, seed)
                 at = np.concatenate(([0], np.cumsum(counts)))
                 if not report:
                     yield pa.RecordBatch.from_pydict({"doc_id": names, "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))})
@@ -272,19 +294,19 @@ def _encoder(path: str, dropout: float, seed: int, draws: int, report: bool):
     return run
 
 
-def _encoded(docs: DataFrame, vocabulary: str, schema: str, dropout: float, seed: int, draws: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(vocabulary, dropout, seed, draws, schema == REPORT), schema)
+def _encoded(docs: DataFrame, vocabulary: str, schema: str, dropout: float, seed: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(vocabulary, dropout, seed, schema == REPORT), schema)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id and ids of every row's text. Null and empty texts: no ids. A literal U+2581 is spelled in bytes, so that decoding
     is lossless. Rows alike in doc_id and text are encoded alike; nothing is shuffled, so skew and order don't matter."""
-    return _encoded(docs, vocabulary, PIECES, dropout, seed, draws)
+    return _encoded(docs, vocabulary, PIECES, dropout, seed)
 
 
-def encode_report(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
+def encode_report(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, n_tokens, crc32 of the ids as little-endian 32-bit integers, and whether decoding them gave the text back."""
-    return _encoded(docs, vocabulary, REPORT, dropout, seed, draws)
+    return _encoded(docs, vocabulary, REPORT, dropout, seed)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:

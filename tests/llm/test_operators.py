@@ -332,6 +332,44 @@ def test_dropout_of_one_leaves_characters():
     assert counts.tolist() == [6] and m.decode(ids, counts) == [b"hello"]
 
 
+def plain_dropout(m, segment, key, limit):
+    """Agenda order by a loop over one segment's symbols; the pieces, and (candidates, skipped ones)."""
+    sym, pos, met = list(segment), list(range(len(segment))), {}
+    while True:
+        best = None
+        for k in range(len(sym) - 1):
+            new = int(m.merged(np.array(sym[k : k + 1]), np.array(sym[k + 1 : k + 2]))[0])
+            if new >= 0:
+                h = pieces.mix64(key ^ pieces.mix64(np.array([pos[k]], np.uint64) << np.uint64(32) | np.array([new], np.uint64)))[0]
+                met[pos[k], new] = h < limit
+                if h >= limit and (best is None or m.rank[new] < best[0]):
+                    best = (m.rank[new], k, new)
+        if best is None:
+            return sym, met
+        _, k, new = best
+        sym[k], pos[k + 1 : k + 2], sym[k + 1 : k + 2] = new, [], []
+
+
+def test_dropout_is_drawn_for_each_occurrence(monkeypatch):
+    m = pieces.piece_model(vocabulary("piece_bpe_32k.model"))
+    n = 6000
+    for letter in "asto":  # one candidate each
+        _, counts = m.encode([letter] * n, np.arange(n, dtype=np.uint64), 0.1)
+        assert 0.085 < (counts == 2).mean() < 0.115
+    _, inside = m.encode([" ".join(["a"] * n)], np.zeros(1, np.uint64), 0.1)
+    assert 1.085 * n < inside[0] < 1.115 * n
+    assert m.encode(["😀?"], np.zeros(1, np.uint64), 0.1)[1] >= 2
+    monkeypatch.setattr(pieces, "CANDIDATES", 1000)
+    ids, counts = m.encode(["information"] * n, np.arange(n, dtype=np.uint64), 0.1)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert len(set(map(tuple, got))) > 50
+    letters = m.char_id[[ord(c) for c in " information"]].tolist()
+    rows = pieces.mix64(np.arange(n, dtype=np.uint64) ^ pieces.mix64(np.array([pieces.SEED], np.uint64)))
+    for i in range(300):
+        assert plain_dropout(m, letters, pieces.mix64(rows[i : i + 1]), np.uint64(int(0.1 * 2**64)))[0] == got[i]
+
+
 # ---- 8 ----
 
 
