@@ -1,7 +1,7 @@
 """Secret scans: three fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
-A token that no pattern covers is a secret if its log-likelihood ratio under the two models is above a threshold taken
-from the labelled samples. The text column alone crosses to Python, in Arrow batches; nothing is shuffled.
+A run of token characters is a secret if its log-likelihood ratio under the two models is above a threshold taken from the
+labelled samples, and so is a stretch of it that is above one of its own; parts that patterns cover are left to them. The text column alone crosses to Python, in Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -44,20 +44,54 @@ _CODE[list(SYMBOLS.encode())] = np.arange(1, len(SYMBOLS) + 1)
 _IS_TOKEN = _CODE > 0
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
-_IS_DIGIT = np.zeros(256, bool)
-_IS_DIGIT[list(b"0123456789")] = True
+_IS_JOINT = np.zeros(256, bool)
+_IS_JOINT[list(b"/_.=-")] = True
 
 
 @dataclass(frozen=True)
 class TokenModel:
-    """ratio[a, b]: log of P(b | a, random) / P(b | a, identifier), with 0 as start; threshold: mean ratio of a symbol that a secret exceeds."""
+    """ratio[a, b]: log of P(b | a, random) / P(b | a, identifier), with 0 as start; threshold: mean ratio of a symbol that a secret exceeds;
+    stretch: the mean that a stretch of TOKEN symbols or more of a longer run exceeds."""
 
     ratio: np.ndarray
     threshold: float
+    stretch: float = float("inf")
+
+    def ratios(self, piece: np.ndarray) -> np.ndarray:
+        codes = _CODE[piece]
+        return self.ratio[np.concatenate(([0], codes[:-1])), codes]
 
     def score(self, token: str) -> float:
-        codes = _CODE[np.frombuffer(token.encode(), np.uint8)]
-        return float(self.ratio[np.concatenate(([0], codes[:-1])), codes].mean())
+        return float(self.ratios(np.frombuffer(token.encode(), np.uint8)).mean())
+
+    def best_stretch(self, token: str) -> float:
+        """The largest mean of a stretch of TOKEN symbols or more; one of twice that and more has a half that is no worse."""
+        total = np.concatenate(([0], np.cumsum(self.ratios(np.frombuffer(token.encode(), np.uint8)))))
+        return max((float((total[k:] - total[:-k]).max()) / k for k in range(TOKEN, min(2 * TOKEN, len(total)))), default=-np.inf)
+
+    def secrets(self, piece: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of a run's secrets: the whole run, or else its stretches with the largest sums over the limit, each out to the next joints."""
+        r = self.ratios(piece)
+        if r.mean() > self.threshold:
+            return [(0, len(r))]
+        total = np.concatenate(([0], np.cumsum(r - self.stretch))) if np.isfinite(self.stretch) else np.zeros(1)
+        out, open_ = [], [(0, len(total) - 1)]
+        while open_:
+            lo, hi = open_.pop()
+            if hi - lo < TOKEN:
+                continue
+            t = total[lo : hi + 1]
+            gain = t[TOKEN:] - np.minimum.accumulate(t[:-TOKEN])
+            end = int(gain.argmax())
+            if gain[end] <= 0:
+                continue
+            a, b = lo + int(t[: end + 1].argmin()), lo + end + TOKEN
+            joint = _IS_JOINT[piece]
+            before, after = np.flatnonzero(joint[lo:a]), np.flatnonzero(joint[b:hi])
+            x, y = lo + int(before[-1]) + 1 if len(before) else lo, b + int(after[0]) if len(after) else hi
+            out.append((x, y))
+            open_ += [(lo, x), (y, hi)]
+        return sorted(out)
 
 
 def _transitions(samples: list[str]) -> np.ndarray:
@@ -72,20 +106,25 @@ def _transitions(samples: list[str]) -> np.ndarray:
 
 
 def fit_models(random_strings: list[str], identifiers: list[str], false_share: float = 1e-3) -> TokenModel:
-    """Models of two labelled samples; the threshold lets at most that share of the held-back identifiers (every fourth) pass, and is positive."""
+    """Models of two labelled samples; the threshold lets at most that share of the held-back identifiers (every fourth) pass,
+    and is positive; so does that of their stretches."""
     held = identifiers[::4]
     kept = [s for i, s in enumerate(identifiers) if i % 4] or identifiers
     ratio = _transitions(random_strings) - _transitions(kept)
     ratio[:, 0] = 0
     rough = TokenModel(ratio, 0.0)
-    scores = sorted(rough.score(s) for s in held) or [0.0]
-    top = scores[min(len(scores) - 1, int(len(scores) * (1 - false_share)))]
-    return TokenModel(ratio, max(top + 0.1, 0.25))
+
+    def limit(scores: list[float]) -> float:
+        scores = sorted(scores) or [0.0]
+        return max(scores[min(len(scores) - 1, int(len(scores) * (1 - false_share)))] + 0.1, 0.25)
+
+    return TokenModel(ratio, limit([rough.score(s) for s in held]), limit([rough.best_stretch(s) for s in held]))
 
 
 def labelled_samples(texts: list[str], n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
     """(random strings, ordinary identifiers): the first drawn evenly from the alphabets of keys, with the values that the base
-    patterns find in the texts; the second made of the texts' words, joined as people join names."""
+    patterns find in the texts; the second made of the texts' words, joined as people
+    join names, paths and compounds, and rows of one or two characters."""
     rng = np.random.default_rng(seed)
     alphabets = [SYMBOLS[:62], SYMBOLS[:64], SYMBOLS[26:62], SYMBOLS[:26] + SYMBOLS[52:62], "0123456789abcdef"]
     found = [m[2] for t in texts for m in ASSIGN.finditer(t) if len(m[2]) >= LEAST["assign"] and re.search(r"\d", m[2])][:n]
@@ -116,6 +155,24 @@ def labelled_samples(texts: list[str], n: int = 4000, seed: int = 11) -> tuple[l
         if rng.random() < 0.6:
             s += rng.choice(["_", "-", ".", "/", ""]) + str(rng.integers(0, 3000))
         identifiers.append(s)
+    for i in range(n):
+        style, k = i % 5, i // 5
+        if style == 0:
+            s = "".join(x.lower() for x in pick(int(rng.integers(2, 5))))
+            s = s.capitalize() if k % 2 else s
+        elif style == 1:
+            s = "".join(x + rng.choice(list("/.-_=")) for x in pick(int(rng.integers(5, 25))))
+        elif style == 2:
+            s = "www." + ".".join(x.lower() for x in pick(2)) + ".com/" + "/".join(x.lower() for x in pick(int(rng.integers(2, 9)))) + rng.choice(["", ".html", "/"])
+        elif style == 3:
+            s = ".".join(x.lower() for x in pick(2)) + "/" + "_".join(x.capitalize() for x in pick(int(rng.integers(2, 9))))
+        elif k % 3 == 0:  # each symbol is held back once in four rounds
+            s = SYMBOLS[(k // 3 + k // 3 // len(SYMBOLS)) % len(SYMBOLS)] * int(rng.integers(20, 80))
+        elif k % 3 == 1:
+            s = "".join(rng.choice(list("+/_.=-"), 2)) * int(rng.integers(10, 40))
+        else:
+            s = SYMBOLS[26 * (k % 2) :][:26]
+        identifiers.append(s)
     return random_strings, identifiers
 
 
@@ -158,11 +215,8 @@ def scan_texts(texts: list[str | None], model: TokenModel | None) -> list[list[d
     if model is not None:
         start, end = _runs(_IS_TOKEN[buf], TOKEN)
         for s, e, i in zip(start.tolist(), end.tolist(), owner(start).tolist(), strict=True):
-            piece = buf[s:e]
-            if _IS_DIGIT[piece].any():
-                codes = _CODE[piece]
-                if model.ratio[np.concatenate(([0], codes[:-1])), codes].mean() > model.threshold:
-                    tokens.setdefault(i, []).append((s - int(first[i]), e - int(first[i])))
+            for a, b in model.secrets(buf[s:e]):
+                tokens.setdefault(i, []).append((s + a - int(first[i]), s + b - int(first[i])))
     out: list[list[dict]] = []
     for i, t in enumerate(texts):
         spans: list[tuple[int, int, int]] = []
@@ -170,10 +224,16 @@ def scan_texts(texts: list[str | None], model: TokenModel | None) -> list[list[d
             low = t.lower()
             if i in has_hex or "AKIA" in t or any(k in low for k in KEYWORDS):
                 spans = base_spans(t)
+            based = list(spans)
             for s, e in tokens.get(i, ()):
                 a = len(raw[i][:s].decode("utf-8", "surrogatepass"))
                 b = a + e - s
-                if not any(x < b and a < y for x, _, y in spans):
+                for x, _, y in based:  # by start
+                    if a < x < b:
+                        spans.append((a, 3, x))
+                    if x < b:
+                        a = max(a, y)
+                if a < b:
                     spans.append((a, 3, b))
             spans.sort()
         out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])

@@ -465,6 +465,33 @@ def test_markov_models_tell_keys_from_names():
     assert np.mean([m.score(k) > m.threshold for k in others]) < 0.02
 
 
+def test_every_run_and_stretch_is_scored():
+    rng = random.Random(12)
+    m = secrets.fit_models(*secrets.labelled_samples([prose(rng, 400)]))
+    key = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    path = lambda sep, n: sep.join(rng.choice(secrets.ORDINARY) for _ in range(n)) + sep
+
+    def found(before, k, after=""):
+        spans = secrets.scan_texts([f"é {before}{k}{after} x"], m)[0]
+        at = 2 + len(before)
+        return {x for s in spans for x in range(s["start"], s["end"])} >= set(range(at, at + len(k)))
+
+    assert np.mean([found("", key(secrets.SYMBOLS[:52], 24)) for _ in range(200)]) > 0.95  # no digit
+    assert np.mean([found("www.example.com/" + path("/", 30), key(secrets.SYMBOLS[:62], 32)) for _ in range(200)]) > 0.95
+    assert np.mean([found(path(".", 8)[:-1] + "=", key(secrets.SYMBOLS[:62], 32), "." + path("_", 8)) for _ in range(200)]) > 0.95
+    two = [(key(secrets.SYMBOLS[:62], 32), key(secrets.SYMBOLS[:62], 32)) for _ in range(100)]
+    assert np.mean([found(path("/", 9) + a + "/" + path("/", 12), b) for a, b in two]) > 0.95 and np.mean([found(path("/", 9), a, "/" + path("/", 12) + b) for a, b in two]) > 0.95
+    for plain in ("-" * 40, "x" * 5000, "=-" * 20, "rechtsschutzversicherungsgesellschaft", "Donaudampfschifffahrtsgesellschaft", "/usr/local/lib/python/site/packages/module/language", "getElementsByClassNameAndTagName", "SELECT_COUNT_FROM_TABLE_WHERE"):
+        assert secrets.scan_texts([plain], m)[0] == []
+
+
+def test_uncovered_parts_of_a_run_are_kept():
+    rng = random.Random(13)
+    m = secrets.fit_models(*secrets.labelled_samples([prose(rng, 400)]))
+    key = "kX9fQz71LmVb3Tn8Wp2RsYc6" + "deadbeefdeadbeef" + "Zq8WvT3nKx5RbLm2"
+    assert [(s["kind"], s["start"], s["end"]) for s in secrets.scan_texts([key], m)[0]] == [("markov", 0, 22), ("hex", 22, 40), ("markov", 40, 56)]
+
+
 # ---- 10 ----
 
 
