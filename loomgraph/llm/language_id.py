@@ -27,9 +27,8 @@ IN_STEP = 4096
 #: The labelled sample: characters of each language, rows of each language, and longest row.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 60, 4000
 FOLDS = 5
-SYMBOLS = 64
 UNKNOWN = "und"
-#: A document of that many letters is rejected if no language does better on it than even odds over the alphabet, log2 of its size.
+#: A document of that many letters is rejected if its language does worse on it than even odds over its own alphabet, and than on most of its held-back rows.
 LEAST_LETTERS = 200
 
 
@@ -62,8 +61,8 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code[keep], kept[first[1:]] - kept[first[:-1]], lets[first[1:]] - lets[first[:-1]]
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings: next[state, symbol], -1 where there is none; state 0 is the root."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings: of each state, symbol to next; state 0 is the root."""
     link, longest, step = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -89,28 +88,79 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.full((len(step), width), -1, np.int32)
-    for s, d in enumerate(step):
-        for c, t in d.items():
-            out[s, c] = t
-    return out
+    return step
+
+
+@dataclass
+class Transitions:
+    """A table of keys (state * width + symbol) and next states by open addressing, at most one third full; -1: free."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    bits: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray, to: np.ndarray) -> Transitions:
+        """Filled in rounds: of the keys that want a free slot the first gets it."""
+        bits = max(4, (len(keys) * 3).bit_length())
+        out = cls(np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32), bits)
+        at, left = out._slot(keys), np.arange(len(keys))
+        while len(left):
+            _, first = np.unique(np.where(out.keys[at] == -1, at, -1), return_index=True)
+            first = first[out.keys[at[first]] == -1]
+            out.keys[at[first]], out.to[at[first]] = keys[left[first]], to[left[first]]
+            wait = np.ones(len(left), bool)
+            wait[first] = False
+            left, at = left[wait], (at[wait] + 1) & (len(out.keys) - 1)
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, keys: np.ndarray) -> np.ndarray:
+        """The next state of each key, or -1."""
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], -1)
+        left = np.flatnonzero((held != keys) & (held != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[left]]
+            same = held == keys[left]
+            out[left[same]] = self.to[at[left[same]]]
+            left = left[~same & (held != -1)]
+        return out
 
 
 @dataclass
 class CrossParser:
-    """langs in order; symbol of each code point; one table of all automata, entries and states times its width; roots; log2 of the samples' lengths."""
+    """langs in order; symbol of each code point; the transitions of all automata; roots and their next states [language, symbol];
+    log2 of the samples' lengths; the bits over which a document of the language is rejected."""
 
     langs: list[str]
     symbol: np.ndarray
     width: int
-    table: np.ndarray
+    table: Transitions
     roots: np.ndarray
+    first: np.ndarray
     log_size: np.ndarray
-    limit: float = float("inf")
+    limits: np.ndarray
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> CrossParser:
         """samples: texts of each language, of which whole ones are taken until there are `chars` characters."""
+        out = cls._fit(samples, chars)
+        half = cls._fit({lang: texts[::2] for lang, texts in samples.items()}, chars // 2)
+        for k, lang in enumerate(out.langs):
+            if lang in half.langs and len(samples[lang]) > 1:
+                bits, letters = half.bits(samples[lang][1::2])
+                held = bits[letters >= LEAST_LETTERS, half.langs.index(lang)]
+                if len(held):
+                    out.limits[k] = max(out.limits[k], float(np.quantile(held, 0.95)))
+        return out
+
+    @classmethod
+    def _fit(cls, samples: dict[str, list[str]], chars: int) -> CrossParser:
         taken: dict[str, np.ndarray] = {}
         for lang in sorted(samples):
             parts, n = [], 0
@@ -122,26 +172,25 @@ class CrossParser:
                 n += len(code) + 1
             if n:
                 taken[lang] = np.concatenate(parts)
-        counts = np.zeros(0x110000, np.int64)
-        for code in taken.values():
-            counts += np.bincount(code, minlength=len(counts))
-        common = [c for c in np.argsort(-counts, kind="stable")[:SYMBOLS] if counts[c] and c]
-        width = len(common) + 2  # 0: no letter; the last: any other letter
-        symbol = np.full(0x110000, width - 1, np.uint8)
+        own = [np.unique(code) for code in taken.values()]
+        known = np.unique(np.concatenate([*own, np.zeros(1, np.int32)]))[1:]
+        width = len(known) + 2  # 0: no letter; the last: a letter of no language, which no automaton has
+        symbol = np.full(0x110000, width - 1, np.min_scalar_type(width - 1))
         symbol[0] = 0
-        symbol[common] = np.arange(1, len(common) + 1)
-        tables, roots, at = [], [], 0
-        for code in taken.values():
-            t = suffix_automaton(symbol[code].tolist(), width)
-            t[:, width - 1] = -1
-            tables.append(np.where(t < 0, -1, (t + at) * width).astype(np.int32))
-            roots.append(at * width)
-            at += len(t)
-        table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        symbol[known] = np.arange(1, len(known) + 1)
+        keys, to, roots, at = [], [], [], 0
+        first = np.full((len(taken), width), -1, np.int32)
+        for k, code in enumerate(taken.values()):
+            step = suffix_automaton(symbol[code].tolist())
+            keys += [(s + at) * width + c for s, d in enumerate(step) for c in d]
+            to += [t + at for d in step for t in d.values()]
+            first[k, list(step[0])] = [t + at for t in step[0].values()]
+            roots.append(at)
+            at += len(step)
+        table = Transitions.of(np.array(keys, np.int64), np.array(to, np.int32))
         log_size = np.log2([max(len(c), 2) for c in taken.values()]) if taken else np.empty(0)
-        out = cls(list(taken), symbol, width, table, np.array(roots, np.int32), log_size)
-        out.limit = float(np.log2(max(width - 1, 2)))
-        return out
+        limits = np.array([np.log2(max(len(u), 2)) for u in own])
+        return cls(list(taken), symbol, width, table, np.array(roots, np.int32), first, log_size, limits)
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """phrases[text, language]."""
@@ -167,12 +216,12 @@ class CrossParser:
         live = np.searchsorted(-length, -np.arange(length[0]), "left")  # blocks longer than t
         for t in range(int(length[0])):
             n = int(live[t])
-            c = symbols[start[:n] + t].astype(np.int32)
+            c = symbols[start[:n] + t].astype(np.int64)
             s = state[:, :n]
-            to = self.table[s + c]
+            to = self.table.next((s.astype(np.int64) * self.width + c).ravel()).reshape(s.shape)
             fresh = (to < 0) | (s == root)
             count[:, :n] += fresh
-            again = self.table[root + c]
+            again = self.first[:, c]
             np.copyto(to, np.where(again < 0, root, again), where=to < 0)
             state[:, :n] = to
         return count.T
@@ -240,9 +289,13 @@ def predict_languages(docs: DataFrame, model: CrossParser | None = None) -> Data
 
 
 def keep_known(docs: DataFrame, model: CrossParser | None = None) -> DataFrame:
-    """docs without those that it rejects: no letters, or 200 letters and more that fit no language (bits above log2 of the alphabet's size)."""
+    """docs without those that it rejects: no letters, or 200 letters and more that fit no language (bits above the limit of the best one).
+    Where no language could be learned, every document with letters stays."""
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.withColumn("__l", language(F.col("text"), shared))
-    odd = (F.col("__l.letters") >= LEAST_LETTERS) & (F.col("__l.bits") > F.lit(float(model.limit)))
-    return out.where((F.col("__l.lang") != UNKNOWN) & ~odd).drop("__l")
+    keep = F.col("__l.letters") > 0
+    if model.langs:
+        limits = F.create_map(*[F.lit(x) for pair in zip(model.langs, model.limits.tolist(), strict=True) for x in pair])
+        keep &= (F.col("__l.letters") < LEAST_LETTERS) | (F.col("__l.bits") <= limits[F.col("__l.lang")])
+    return out.where(keep).drop("__l")
