@@ -65,14 +65,61 @@ def plain_groups(texts):
     return {i: (group[i], sum(link[i])) for i in range(n)}
 
 
-@pytest.mark.parametrize(("small", "chunk"), [(24, 256), (4, 8), (1000, 256)])
-def test_ngram_join_is_brute_force(spark, texts, monkeypatch, small, chunk):
-    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+@pytest.mark.parametrize(("small", "chunk", "block", "sparse"), [(24, 256, 512, 0.02), (4, 8, 3, 0.0), (4, 16, 5, 1.0), (1000, 256, 512, 0.02)])
+def test_ngram_join_is_brute_force(spark, texts, monkeypatch, small, chunk, block, sparse):
+    for name, value in (("SMALL_BUCKET", small), ("CHUNK", chunk), ("BLOCK", block), ("SPARSE", sparse)):
+        monkeypatch.setattr(ngram_join, name, value)
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_groups(docs(spark, rows_of(texts))).collect()}
     assert got == plain_groups(texts)
 
 
+def near_copies(rng, n, words=120, edits=3):
+    base = prose(rng, words).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(words)] = f"edit{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def counted(texts):
+    """class and links of each text, by the product of the texts' rows over all n-grams."""
+    sets = plain_sets(texts)
+    terms = {t: k for k, t in enumerate({t for s in sets for t in s})}
+    m = np.zeros((len(texts), len(terms)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [terms[t] for t in s]] = 1
+    common, size = m @ m.T, m.sum(1)
+    link = common >= 0.8 * (size[:, None] + size - common) - 1e-6
+    np.fill_diagonal(link, False)
+    group = np.arange(len(texts))
+    while True:
+        after = np.minimum(group, np.where(link, group[None, :], len(texts)).min(1))
+        if (after == group).all():
+            return {i: (int(g), int(n)) for i, (g, n) in enumerate(zip(group, link.sum(1), strict=True))}
+        group = after
+
+
+@pytest.mark.parametrize("n", [1, 24, 25, 3000])
+def test_ngram_join_of_one_group(spark, monkeypatch, n):
+    monkeypatch.setattr(ngram_join, "CHUNK", 1024)
+    rng = random.Random(n)
+    texts = near_copies(rng, n) + [prose(rng, 90) for _ in range(20)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_groups(docs(spark, rows_of(texts))).collect()}
+    assert got == counted(texts)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, texts):
+    """Another text under the same id is a document of its own; a row goes for its own text's sake alone."""
+    a, b, near = texts[0], texts[1], texts[0] + " x"
+    rows = docs(spark, [(1, a, "en", "a", 1, "k", 1), (1, b, "en", "a", 1, "k", 1), (2, near, "en", "b", 1, "k", 1), (2, b + " y", "en", "b", 1, "q", 1), (2, texts[2], "en", "b", 1, "k", 1), (3, a, "en", "c", 1, "k", 1), (3, a, "de", "c", 1, "k", 1), (None, a, "en", "c", 1, "k", 1), (None, texts[4], "en", "c", 1, "k", 1), (None, texts[4], "en", "c", 1, "k", 2)])
+    kept = sorted((str(r.doc_id), r.text) for r in ngram_join.keep_first(rows).collect())
+    assert kept == sorted([("1", a), ("1", b), ("2", texts[2]), ("None", texts[4])])
+
+
 def test_ngram_join_odd_rows(spark, texts):
     assert ngram_join.similar_groups(docs(spark, [])).count() == 0
     t = texts[0]
@@ -82,7 +129,7 @@ def test_ngram_join_odd_rows(spark, texts):
     assert {r.class_id for r in out if r.n_copies == 2} == {5}
     kept = ngram_join.keep_first(docs(spark, rows))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "6", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "6"]  # the null ids' text is near the one of 5
 
 
 def test_keep_first_leaves_one_of_each_group(spark, texts):
