@@ -19,7 +19,7 @@ from loomgraph.llm.common import cut, mix64, shingle_hashes, word_hashes
 
 #: Words of a term, bits of a fingerprint (a multiple of 64).
 TERM_WORDS, BITS = 2, 128
-#: Hamming radius, and the blocks of 64 bits: a pair within the radius agrees in blocks - radius of them at least.
+#: Hamming radius, and the blocks of all bits: a pair within the radius agrees in blocks - radius of them at least.
 RADIUS, BLOCKS = 3, 5
 _STEP = 100_000
 
@@ -134,45 +134,46 @@ def fingerprint_rows(docs: DataFrame, term_words: int = TERM_WORDS, bits: int =
 # ---- search within a radius ----
 
 
-def block_keys(fingerprint: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
-    """array<struct<t, key>>: for each choice of blocks - radius of the blocks, the table's number and the bits of those blocks.
+def block_keys(fingerprint: Column, radius: int = RADIUS, blocks: int = BLOCKS, bits: int = BITS) -> Column:
+    """array<struct<t, key>>: for each choice of blocks - radius of the blocks, the table's number and the digits of those blocks.
 
-    This is the fingerprint with the chosen blocks permuted to the front, cut after them. fingerprint: a long.
+    This is the fingerprint (hexadecimal) with the chosen blocks permuted to the front, cut after them.
     """
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    out = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        out.append(F.struct(F.lit(t).alias("t"), fingerprint.bitwiseAND(F.lit(signed).cast("long")).alias("key")))
-    return F.array(*out)
+    edges = [round(bits // 4 * i / blocks) for i in range(blocks + 1)]
+    part = [F.substring(fingerprint, a + 1, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    chosen = combinations(range(blocks), blocks - radius)
+    return F.array(*(F.struct(F.lit(t).alias("t"), F.concat(*(part[b] for b in c)).alias("key")) for t, c in enumerate(chosen)))
 
 
-def as_long(hexadecimal: Column) -> Column:
-    """The first 64 bits of a hexadecimal fingerprint, as a long."""
-    high, low = (F.conv(F.substring(hexadecimal, a, 8), 16, 10).cast("long") for a in (1, 9))
-    return F.call_function("shiftleft", high, F.lit(32)).bitwiseOR(low)
+def distance(a: Column, b: Column, bits: int = BITS) -> Column:
+    """Bits in which two hexadecimal fingerprints differ."""
+    number = lambda x, at: F.conv(F.substring(x, at, 8), 16, 10).cast("long")
+    parts = [F.bit_count(number(a, at).bitwiseXOR(number(b, at))) for at in range(1, bits // 4 + 1, 8)]
+    return sum(parts[1:], parts[0])
 
 
-def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """q and f (distinct longs of either table's column `fp`) that differ in at most radius bits, each pair once, and their distance.
+def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bits: int = BITS) -> DataFrame:
+    """q and f (distinct hexadecimal fingerprints of either table's column `fp`) that differ in at most radius of all bits, each pair
+    once, and their distance.
 
-    Exact for 64 bits. A pair is taken from the first table in which it meets. Many copies of a fingerprint are one row here.
+    Two that differ in so few bits agree in blocks - radius blocks at least, so they meet in a table; a pair is taken from the
+    first in which it does. Many copies of a fingerprint are one row here.
     """
-    q = queries.select("fp").distinct().select(F.col("fp").alias("q"), F.explode(block_keys(F.col("fp"), radius, blocks)).alias("b")).select("q", "b.t", "b.key")
-    f = fingerprints.select("fp").distinct().select(F.col("fp").alias("f"), F.explode(block_keys(F.col("fp"), radius, blocks)).alias("b")).select("f", "b.t", "b.key")
-    met = q.join(f, ["t", "key"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("f"))))
-    a, b = block_keys(F.col("q"), radius, blocks), block_keys(F.col("f"), radius, blocks)
+    keys = lambda name: F.explode(block_keys(F.col(name), radius, blocks, bits)).alias("b")
+    q = queries.select(F.col("fp").alias("q")).distinct().select("q", keys("q")).select("q", "b.t", "b.key")
+    f = fingerprints.select(F.col("fp").alias("f")).distinct().select("f", keys("f")).select("f", "b.t", "b.key")
+    met = q.join(f, ["t", "key"]).withColumn("distance", distance(F.col("q"), F.col("f"), bits)).where(F.col("distance") <= radius)
+    a, b = block_keys(F.col("q"), radius, blocks, bits), block_keys(F.col("f"), radius, blocks, bits)
     first = F.array_min(F.filter(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.when(z["a"] == z["b"], z["a"]["t"])), lambda t: t.isNotNull()))
-    return met.where((F.col("distance") <= radius) & (F.col("t") == first)).select("q", "f", "distance")
+    return met.where(F.col("t") == first).select("q", "f", "distance")
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fingerprint_rows, with near_docs: for documents whose id is divisible by 100, the other documents within the radius; null for others."""
     rows = cut(fingerprint_rows(docs))
-    fp = as_long(F.col("fingerprint")).alias("fp")
-    queries = rows.where("doc_id % 100 = 0").select(fp)
+    fp = F.col("fingerprint").alias("fp")
+    asked = F.col("doc_id") % 100 == 0
     copies = rows.groupBy(fp).agg(F.count("*").alias("copies"))
-    near = within_radius(queries, copies, radius).join(copies.withColumnRenamed("fp", "f"), "f").groupBy("q").agg(F.sum("copies").alias("n"))
-    joined = rows.where("doc_id % 100 = 0").withColumn("q", as_long(F.col("fingerprint"))).join(near, "q").drop("q").withColumn("near_docs", F.col("n") - 1).drop("n")
-    return joined.unionByName(rows.where("doc_id is null or doc_id % 100 != 0").withColumn("near_docs", F.lit(None).cast("long")))
+    near = within_radius(rows.where(asked).select(fp), copies, radius).join(copies.withColumnRenamed("fp", "f"), "f").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("copies").alias("n"))
+    joined = rows.where(asked).join(near, "fingerprint").withColumn("near_docs", F.col("n") - 1).select(*rows.columns, "near_docs")
+    return joined.unionByName(rows.where(F.col("doc_id").isNull() | ~asked).withColumn("near_docs", F.lit(None).cast("long")))
