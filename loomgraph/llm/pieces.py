@@ -4,11 +4,13 @@ Agenda order: of a segment's candidate merges the one with the best score, then
 a candidate by a keyed 64-bit hash of seed, document, occurrence, place and merged piece, so a rerun gives the same pieces.
 No merge reaches over two characters that stand side by side in no piece; texts are cut there, and each distinct segment is
 merged once in a batch without dropout. Occurrences of which a candidate is skipped are merged one by one, all in step.
+Segments of more than LONG characters have an agenda of their own, a heap, so that their time grows with n log n.
 Decoding is a gather of the pieces' bytes and gives back every text.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +30,8 @@ SEED = 29
 PART_BYTES = 2 << 20
 #: Candidates whose skips are looked up together.
 CANDIDATES = 1 << 19
+#: Longest segment that is merged in step with others.
+LONG = 128
 _NONE = np.iinfo(np.int32).max
 _FOREIGN = 1 << 21  # code of a character that no piece has: this plus its code point
 
@@ -167,6 +171,48 @@ class PieceModel:
         seg, sym, pos = map(np.concatenate, (done_seg, done_sym, done_pos))
         return sym[np.lexsort((pos, seg))], np.bincount(seg, minlength=len(lengths))
 
+    def merge_one(self, symbols: np.ndarray, key: np.uint64 | None = None, limit: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """The pieces of one segment, by a heap of candidates and links between the symbols that are left."""
+        n = len(symbols)
+        first = self.merged(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(first >= 0)
+        if key is not None:
+            h = mix64(at.astype(np.uint64) << np.uint64(32) | first[at].astype(np.uint64))
+            at = at[mix64(key ^ h) >= limit]
+        sym, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = list(zip(self.rank[first[at]].tolist(), at.tolist(), symbols[at].tolist(), symbols[at + 1].tolist(), first[at].tolist(), strict=True))
+        heapq.heapify(heap)
+        made_of, rank = self.pairs(), self.rank
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue  # a side has been merged since
+            sym[i], sym[j] = made, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left < 0 or right >= n:
+                    continue
+                new = made_of.get(sym[left] << 20 | sym[right], -1)
+                if new < 0:
+                    continue
+                if key is not None:
+                    h = mix64(np.array([left << 32 | new], np.uint64))
+                    if mix64(key ^ h)[0] < limit:
+                        continue
+                heapq.heappush(heap, (int(rank[new]), left, sym[left], sym[right], new))
+        out = np.array(sym, np.int32)
+        return out[out >= 0]
+
+    def pairs(self) -> dict[int, int]:
+        """The piece of each pair of symbols, as a dictionary."""
+        if not hasattr(self, "_pairs"):
+            some = self.keys >= 0
+            self._pairs = dict(zip(self.keys[some].tolist(), self.made[some].tolist(), strict=True))
+        return self._pairs
+
     def encode(self, texts: list[str], rows: np.ndarray, dropout: float = 0.0, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts, one after another, and their number for each; rows: a key of each text for its skips."""
         body = [" " + t if t else "" for t in texts]
@@ -190,23 +236,31 @@ class PieceModel:
         n = len(coded.dictionary)
         start = np.frombuffer(coded.dictionary.buffers()[1], np.int64, n + 1) // 4
         letters = np.frombuffer(coded.dictionary.buffers()[2], np.int32, int(start[-1]))
-        at = which
+        length = np.diff(start)
+        long_ = length > LONG
+        short = letters[~np.repeat(long_, length)] if long_.any() else letters
+        size_short = np.where(long_, 0, length)
+        at, key, limit = which.copy(), None, np.uint64(0)
         if dropout > 0:
             seen: list[tuple[np.ndarray, np.ndarray]] = []
-            out, counts = self.merge_all(letters, np.diff(start), seen=seen)
+            out, counts = self.merge_all(short, size_short, seen=seen)
             inside = np.arange(len(first)) - np.searchsorted(first, text_at)[owner]
             key = mix64(mix64(rows.astype(np.uint64) ^ mix64(np.array([seed], np.int64).view(np.uint64)))[owner] + inside.astype(np.uint64))
             limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
             again = self._skipping(which, key, limit, n, seen)
             of = which[again]
-            length = np.diff(start)[of]
-            pick = np.arange(int(length.sum())) + np.repeat(start[of] - (np.cumsum(length) - length), length)
-            more, n_more = self.merge_all(letters[pick], length, key[again], limit)
+            size_of = length[of]
+            pick = np.arange(int(size_of.sum())) + np.repeat(start[of] - (np.cumsum(size_of) - size_of), size_of)
+            more, n_more = self.merge_all(letters[pick], size_of, key[again], limit)
             out, counts = np.concatenate((out, more)), np.concatenate((counts, n_more))
-            at = which.copy()
             at[again] = n + np.arange(len(again))
         else:
-            out, counts = self.merge_all(letters, np.diff(start))
+            out, counts = self.merge_all(short, size_short)
+        if long_.any():
+            own = np.flatnonzero(long_[which])
+            merged = [self.merge_one(letters[start[w] : start[w + 1]], None if key is None else key[o], limit) for o, w in zip(own, which[own], strict=True)]
+            at[own] = len(counts) + np.arange(len(own))
+            out, counts = np.concatenate((out, *merged)), np.concatenate((counts, [len(m) for m in merged]))
         out, counts = self._spell(out, counts)
         n_each = counts[at]
         ends = np.cumsum(n_each)
@@ -216,6 +270,8 @@ class PieceModel:
 
     def _skipping(self, which: np.ndarray, key: np.ndarray, limit: np.uint64, n: int, seen: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The occurrences (segment and key of each) that skip one of their segment's candidates or more; the others are merged as without dropout."""
+        if not seen:
+            return np.empty(0, np.int64)
         of, h = map(np.concatenate, zip(*seen, strict=True))
         h = h[np.argsort(of, kind="stable")]
         number = np.bincount(of, minlength=n)
@@ -228,7 +284,7 @@ class PieceModel:
             who = np.repeat(np.arange(lo, hi), each[lo:hi])
             at = np.arange(len(who)) + np.repeat(base[lo:hi] - (begin[lo:hi] - begin[lo]), each[lo:hi])
             out.append(np.unique(who[mix64(key[who] ^ h[at]) < limit]))
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.empty(0, np.int64)
 
     def _spell(self, out: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that are no piece become their bytes."""
