@@ -53,6 +53,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of those taken has, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Within this, batches to Python have at most so many rows: for rows of many kilobytes, in actions that run to their end inside."""

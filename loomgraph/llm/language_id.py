@@ -4,7 +4,9 @@ A suffix automaton of labelled text of each language reads a document forward; w
 The longer the matches, the fewer the phrases. Phrases are normalised to bits a letter, log2 of the sample's length times
 phrases over letters, and the language that needs fewest wins.
 
-Texts are parsed in blocks of BLOCK characters, each from the root, all blocks and languages of a batch in step.
+Texts are parsed in blocks of BLOCK characters, all blocks and languages of a batch in step, as if in one run: a block goes on
+from the state in which the one before it ended. Blocks are first parsed from the root; then, with the states that they should
+have begun in, only until they are in the same state as before, which is mostly within a phrase or two.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import crc_fold
+from loomgraph.llm.common import crc_fold, free_name
 
 BLOCK = 512
+#: Characters of a block after which states are compared with those of the parse before.
+MARKS = (16, 32, 64, 128, 256)
 #: Characters that are parsed together.
 PART_CHARS = 2_000_000
 #: Blocks that are parsed in step.
@@ -34,7 +38,7 @@ LEAST_LETTERS = 200
 
 def _letters() -> np.ndarray:
     out = np.zeros(0x110000, bool)
-    out[[i for i in range(0x32000) if chr(i).isalpha()]] = True
+    out[[i for i in range(0x110000) if chr(i).isalpha()]] = True
     return out
 
 
@@ -193,7 +197,7 @@ class CrossParser:
         return cls(list(taken), symbol, width, table, np.array(roots, np.int32), first, log_size, limits)
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """phrases[text, language]."""
+        """phrases[text, language], as of one parse from each text's first character to its last."""
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
         if not len(codes) or not self.langs:
             return out
@@ -203,28 +207,66 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
         start = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
         length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
-        order = np.argsort(-length, kind="stable")
-        for lo in range(0, len(order), IN_STEP):
-            blocks = order[lo : lo + IN_STEP]
-            np.add.at(out, owner[blocks], self._parse(symbols, start[blocks], length[blocks]))
+        count = np.zeros((len(owner), len(self.langs)), np.int32)
+        end = np.zeros((len(owner), len(self.langs)), np.int32)
+        marks = np.full((len(MARKS), 2, len(owner), len(self.langs)), -1, np.int32)  # states and counts at MARKS
+        entry = np.repeat(self.roots[None, :], len(owner), axis=0)
+        todo = np.arange(len(owner))
+        inner = np.flatnonzero(nth > 0)
+        again = False
+        while len(todo):
+            order = todo[np.argsort(-length[todo], kind="stable")]
+            for lo in range(0, len(order), IN_STEP):
+                b = order[lo : lo + IN_STEP]
+                self._parse(symbols, start[b], length[b], entry[b], b, count, end, marks, again)
+            wrong = inner[(entry[inner] != end[inner - 1]).any(1)]
+            entry[wrong] = end[wrong - 1]
+            todo, again = wrong, True
+        np.add.at(out, owner, count)
         return out
 
-    def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, b: np.ndarray, count: np.ndarray, end: np.ndarray, marks: np.ndarray, again: bool) -> None:
+        """Parses blocks b (longest first) from their entry states; again: only until they meet the parse before, whose marks they have."""
         root = self.roots[:, None]
-        state = np.repeat(root, len(start), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        live = np.searchsorted(-length, -np.arange(length[0]), "left")  # blocks longer than t
-        for t in range(int(length[0])):
-            n = int(live[t])
-            c = symbols[start[:n] + t].astype(np.int64)
-            s = state[:, :n]
+        state = np.ascontiguousarray(entry.T)
+        found = np.zeros(state.shape, np.int32)
+        live = np.arange(len(b))
+        t = 0
+        while len(live):
+            n = int(np.searchsorted(-length[live], -t, "left"))  # blocks longer than t
+            if n < len(live):
+                done = live[n:]
+                count[b[done]], end[b[done]] = found[:, done].T, state[:, done].T
+                live = live[:n]
+                if not n:
+                    break
+            whole = len(live) == len(b)
+            c = symbols[start[live] + t].astype(np.int64)
+            s = state if whole else state[:, live]
             to = self.table.next((s.astype(np.int64) * self.width + c).ravel()).reshape(s.shape)
             fresh = (to < 0) | (s == root)
-            count[:, :n] += fresh
-            again = self.first[:, c]
-            np.copyto(to, np.where(again < 0, root, again), where=to < 0)
-            state[:, :n] = to
-        return count.T
+            first = self.first[:, c]
+            np.copyto(to, np.where(first < 0, root, first), where=to < 0)
+            if whole:
+                found += fresh
+                state = to
+            else:
+                found[:, live] += fresh
+                state[:, live] = to
+            t += 1
+            if t in MARKS:
+                m = MARKS.index(t)
+                now, sums = state[:, live].T, found[:, live].T
+                if again:
+                    met = (now == marks[m, 0, b[live]]).all(1)
+                    rest = b[live[met]]
+                    count[rest] += sums[met] - marks[m, 1, rest]
+                    for k in range(m + 1, len(MARKS)):  # marks further on count from the block's new start
+                        marks[k, 1, rest] += sums[met] - marks[m, 1, rest]
+                    marks[m, 0, b[live]], marks[m, 1, b[live]] = now, sums
+                    live = live[~met]
+                else:
+                    marks[m, 0, b[live]], marks[m, 1, b[live]] = now, sums
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """bits a symbol [text, language], and the number of letters of each text."""
@@ -293,9 +335,10 @@ def keep_known(docs: DataFrame, model: CrossParser | None = None) -> DataFrame:
     Where no language could be learned, every document with letters stays."""
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.withColumn("__l", language(F.col("text"), shared))
-    keep = F.col("__l.letters") > 0
+    found = language(F.col("text"), shared)
+    name = free_name("lang", docs.columns)
+    keep = F.col(name)["letters"] > 0
     if model.langs:
         limits = F.create_map(*[F.lit(x) for pair in zip(model.langs, model.limits.tolist(), strict=True) for x in pair])
-        keep &= (F.col("__l.letters") < LEAST_LETTERS) | (F.col("__l.bits") <= limits[F.col("__l.lang")])
-    return out.where(keep).drop("__l")
+        keep &= (F.col(name)["letters"] < LEAST_LETTERS) | (F.col(name)["bits"] <= limits[F.col(name)["lang"]])
+    return docs.withColumn(name, found).where(keep).drop(name)
