@@ -202,6 +202,33 @@ def _runs(flags: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start[keep], end[keep]
 
 
+def _in_code_points(spans: list[tuple[int, int]], raw: bytes, n: int) -> list[tuple[int, int]]:
+    """Spans of ASCII runs, from places in UTF-8 to places in the text of n code points."""
+    if len(raw) == n:
+        return spans
+    before = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return [(int(before[s]) - 1, int(before[s]) - 1 + e - s) for s, e in spans]
+
+
+def uncovered(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of the found spans (by start, apart from each other) that no base span (by start) covers."""
+    out, k, upto = [], 0, 0  # base spans before k end at upto at the latest
+    for a, b in sorted(found):
+        while k < len(base) and base[k][0] <= a:
+            upto = max(upto, base[k][2])
+            k += 1
+        a = max(a, upto)
+        while k < len(base) and base[k][0] < b:
+            if a < base[k][0]:
+                out.append((a, 3, base[k][0]))
+            upto = max(upto, base[k][2])
+            a = max(a, upto)
+            k += 1
+        if a < b:
+            out.append((a, 3, b))
+    return out
+
+
 def scan_texts(texts: list[str | None], model: TokenModel | None) -> list[list[dict]]:
     """The spans of each text, by start and kind, in code points. Runs are found on the bytes of all texts at once; a text is
     searched with the patterns only if it has a keyword, AKIA or a long run."""
@@ -224,18 +251,8 @@ def scan_texts(texts: list[str | None], model: TokenModel | None) -> list[list[d
             low = t.lower()
             if i in has_hex or "AKIA" in t or any(k in low for k in KEYWORDS):
                 spans = base_spans(t)
-            based = list(spans)
-            for s, e in tokens.get(i, ()):
-                a = len(raw[i][:s].decode("utf-8", "surrogatepass"))
-                b = a + e - s
-                for x, _, y in based:  # by start
-                    if a < x < b:
-                        spans.append((a, 3, x))
-                    if x < b:
-                        a = max(a, y)
-                if a < b:
-                    spans.append((a, 3, b))
-            spans.sort()
+            if i in tokens:
+                spans = sorted(spans + uncovered(_in_code_points(tokens[i], raw[i], len(t)), spans))
         out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
     return out
 
