@@ -220,6 +220,41 @@ def test_elias_fano_is_small():
     assert e.select(np.array([77, 19_999, 0])).tolist() == v[[77, 19_999, 0]].tolist()
 
 
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "Ġb": 3}, merges=[("Ġ", "b")]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    import pyarrow as pa
+
+    coder = token_files.BatchTokenizer(str(tmp_path / "t.json"))
+    ids, counts = coder.encode(pa.array(["a b", None, "ab b"]))
+    assert not coder.by_piece and ids.tolist() == [0, 3, 0, 1, 3] and counts.tolist() == [2, 0, 3]
+    assert token_files.batch_tokenizer(vocabulary("word_bpe_49k.json")).by_piece
+
+
+def test_a_retried_write_keeps_the_first_file(tmp_path):
+    from pyarrow import fs
+
+    class Refusing:  # as stores that do not rename onto a name that is taken
+        def __init__(self):
+            self.own = fs.LocalFileSystem()
+
+        def move(self, a, b):
+            if self.own.get_file_info(b).type == fs.FileType.File:
+                raise FileExistsError(b)
+            self.own.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    for n in "ab":
+        (tmp_path / n).write_text("x")
+        token_files.settle(Refusing(), str(tmp_path / n), str(tmp_path / "final"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["final"]
+
+
 # ---- 4 ----
 
 
@@ -262,14 +297,18 @@ def test_mixing(spark, texts):
 # ---- 5 ----
 
 
-def test_nearest_is_exact_on_small_tables(spark):
+def asked_of(v):
+    return v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+def test_nearest_with_target_one_is_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 16)).astype(np.float32)
     x[50:90] = x[0]
     rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(300, None, "e"), (400, [0.0] * 16, "e"), (500, [float("nan")] + [1.0] * 15, "e"), (600, [None] + [1.0] * 15, "e"), (700, [1.0] * 3, "e"), (None, x[1].tolist(), "e")]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>, tree string")
     got = {}
-    for r in nearest.nearest(v, v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")).collect():
+    for r in nearest.nearest(v, asked_of(v), target=1.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert sorted(got) == list(range(0, 300, 10))
     d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
@@ -277,25 +316,69 @@ def test_nearest_is_exact_on_small_tables(spark):
         want = [i for i in np.lexsort((np.arange(300), d[q])) if i != q][:10]
         assert [r[1] for r in sorted(rows_)] == want
         assert np.allclose([r[2] for r in sorted(rows_)], d[q][want], atol=1e-12)
-    assert nearest.nearest(v.limit(0), v.limit(0).withColumnRenamed("vec_id", "query_id")).count() == 0
+    assert nearest.nearest(v.limit(0), asked_of(v.limit(0))).count() == 0
+    assert nearest.nearest(v.where("vec_id < 4"), asked_of(v.where("vec_id < 4"))).count() == 3  # fewer than k: all
+
 
+def test_nearest_keeps_double_precision_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[0] + 1e-9).tolist()), (7, (x[0] + 1e-3).tolist())]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    first = [r for r in nearest.nearest(v, asked_of(v), target=1.0).collect() if r.query_id == 0]
+    best = min(first, key=lambda r: r["rank"])
+    assert best.vec_id == 7 and abs(best.score - np.sqrt(((x[0] + 1e-9 - x[0]) ** 2).sum())) < 1e-15
+    assert len({r.vec_id for r in first}) == 10
 
-def test_forest_recall_and_hot_buckets(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "BUCKET_ROWS", 64)
+
+@pytest.mark.parametrize("kind", ["spread", "clustered", "hot"])
+def test_forest_recall_and_share_of_candidates(spark, monkeypatch, kind):
+    """Spread evenly, clustered, and clustered with a third of all in one tight cluster; buckets are dealt out."""
+    monkeypatch.setattr(nearest, "BUCKET_ROWS", 256)
     rng = np.random.default_rng(5)
-    centres = rng.standard_normal((30, 32))
-    x = (centres[rng.integers(0, 30, 3000)] + 0.6 * rng.standard_normal((3000, 32))).astype(np.float32)
+    n = 6000
+    if kind == "spread":
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        of = rng.integers(0, 200, n)
+        if kind == "hot":
+            of[: n // 3] = 0
+        x = rng.standard_normal((200, 64))[of] + 0.35 * rng.standard_normal((n, 64))
+    x = x[rng.permutation(n)].astype(np.float32)
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<float>")
-    out = nearest.nearest(v, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), least=300, share=0.02).collect()
-    got = {}
+    out = nearest.nearest(v, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")).collect()
+    got, share = {}, {}
     for r in out:
         got.setdefault(r.query_id, set()).add(r.vec_id)
+        share[r.query_id] = r.candidates / n
     hits = 0
     for q, ids in got.items():
         d = ((x - x[q]).astype(float) ** 2).sum(1)
         d[q] = np.inf
         hits += len(ids & set(np.argsort(d)[:10].tolist()))
-    assert len(got) == 30 and hits >= 0.9 * 300
+    mean = sum(share.values()) / len(share)
+    print(kind, "recall", hits / (10 * len(got)), "share", mean)
+    assert len(got) == n // 100 and hits >= 0.9 * 10 * len(got)
+    assert mean < {"spread": 0.8, "clustered": 0.06, "hot": 0.3}[kind]
+
+
+def test_strings_of_near_vectors_share_long_prefixes():
+    h = nearest.hashes(64, 8, 5)
+    x = np.random.default_rng(1).standard_normal((400, 64))
+    near, far = h.strings(x), h.strings(x + 0.02 * np.random.default_rng(2).standard_normal((400, 64)))
+    length = lambda a, b: h.symbols - np.ceil(np.log2((a ^ b) + 1) / h.bits)
+    assert h.symbols == 8 and np.median(length(near, far)) >= 4 and np.median(length(near, np.roll(near, 1, 0))) == 0
+
+
+def test_steps_are_the_first_that_reach_the_target():
+    steps = nearest.steps_needed([np.full(10, 0.999), np.full(10, 0.9), np.full(10, 0.4), np.full(3, 0.9), None], 10, 8, 48, 64, 0.95)
+    assert list(steps) == sorted(steps) and steps[0] < steps[1] < steps[2] and steps[3] == steps[4] == 8 * 48 + 1
+    at, share = nearest.collisions(64)
+    p = np.interp(0.9, at, share)
+    depth, t = 8 - (steps[1] - 1) // 48, (steps[1] - 1) % 48 + 1
+    miss = lambda t: (1 - p**depth) ** t * (1 - p ** (depth + 1)) ** (48 - t)
+    assert 1 - miss(t) >= 0.95 > 1 - miss(t - 1)
 
 
 # ---- 6 ----
@@ -334,20 +417,26 @@ def test_simhash_votes():
 
 def test_within_radius_is_brute_force(spark):
     rng = random.Random(2)
-    base = [rng.getrandbits(64) for _ in range(40)]
-    fps = base + [b ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(0, 6))) for b in base for _ in range(4)]
-    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    q = spark.createDataFrame([(f,) for f in fps[:40]], "fp long")
+    base = [rng.getrandbits(128) for _ in range(40)]
+    fps = base + [b ^ sum(1 << p for p in rng.sample(range(128), rng.randrange(0, 6))) for b in base for _ in range(4)]
+    # alike in the first half alone
+    fps += [b ^ rng.getrandbits(64) for b in base]
+    df = spark.createDataFrame([(f"{f:032x}",) for f in fps], "fp string")
+    q = spark.createDataFrame([(f"{f:032x}",) for f in fps[:40]], "fp string")
     got = {(r.q, r.f, r.distance) for r in fingerprints.within_radius(q, df).collect()}
-    mask = (1 << 64) - 1
-    want = {(a, b, ((a ^ b) & mask).bit_count()) for a in set(fps[:40]) for b in set(fps) if ((a ^ b) & mask).bit_count() <= 3}
+    want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in set(fps[:40]) for b in set(fps) if (a ^ b).bit_count() <= 3}
     assert got == want
 
 
-def test_as_long(spark):
-    r = spark.createDataFrame([("ffffffff00000001aa",), ("0123456789abcdef",)], "h string").select(fingerprints.as_long(F.col("h")).alias("x")).collect()
-    assert [x.x for x in r] == [0xFFFFFFFF00000001 - (1 << 64), 0x0123456789ABCDEF]
+def test_near_docs_are_counted(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, 300) for _ in range(6)]
+    rows = [(100 * i, t, None, None, None, None, None) for i, t in enumerate(texts)] + [(100 * i + k, texts[i].replace(texts[i].split()[7], "other", 1) if k > 2 else texts[i], None, None, None, None, None) for i in range(6) for k in range(1, 5)]
+    out = fingerprints.fingerprint_report(docs(spark, rows)).collect()
+    bits = {r.doc_id: int(r.fingerprint, 16) for r in out}
+    for r in out:
+        want = sum((bits[r.doc_id] ^ x).bit_count() <= 3 for x in bits.values()) - 1 if r.doc_id % 100 == 0 else None
+        assert r.near_docs == want and (want is None or want >= 2)
 
 
 # ---- 7 ----
@@ -417,6 +506,32 @@ def test_dropout_is_drawn_for_each_occurrence(monkeypatch):
         assert plain_dropout(m, letters, pieces.mix64(rows[i : i + 1]), np.uint64(int(0.1 * 2**64)))[0] == got[i]
 
 
+def test_long_segments_have_an_agenda_of_their_own(monkeypatch):
+    """The heap gives what the steps give, with dropout and without, and is not quadratic."""
+    import time
+
+    m = pieces.piece_model(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("aetionrsh") for _ in range(n)) for n in (3, 40, 129, 400)] + ["=" * 300, "a" * 777, "the " * 50]
+    rows = np.arange(len(texts), dtype=np.uint64)
+    for dropout in (0.0, 0.1, 1.0):
+        monkeypatch.setattr(pieces, "LONG", 1)
+        heap = m.encode(texts, rows, dropout)
+        monkeypatch.setattr(pieces, "LONG", 10_000)
+        steps = m.encode(texts, rows, dropout)
+        assert heap[0].tolist() == steps[0].tolist() and heap[1].tolist() == steps[1].tolist()
+        assert m.decode(*heap) == [t.encode() for t in texts]
+    monkeypatch.setattr(pieces, "LONG", 128)
+    took = []
+    for n in (100_000, 400_000):
+        t = "".join(rng.choice("aetionrsh") for _ in range(n))
+        began = time.time()
+        ids, counts = m.encode([t], rows[:1], 0.1)
+        took.append(time.time() - began)
+        assert m.decode(ids, counts) == [t.encode()]
+    assert took[1] < 10 * took[0]
+
+
 # ---- 8 ----
 
 
@@ -443,15 +558,15 @@ def test_cross_parsing_is_longest_match(monkeypatch):
     m = language_id.CrossParser.fit(samples)
     text = prose(random.Random(3), 120) + " ßzz " + prose(random.Random(4), 20, "xx")
     codes, sizes, _ = language_id.letters_of([text])
-    for block in (2048, 50):
+    for block, marks in ((2048, (16, 32)), (50, (2, 4, 8)), (7, (3,)), (3, ())):
         monkeypatch.setattr(language_id, "BLOCK", block)
+        monkeypatch.setattr(language_id, "MARKS", marks)
         got = m.phrases(codes, sizes)[0]
         for k, lang in enumerate(m.langs):
             sample_codes = language_id.letters_of(samples[lang])[0]
             sample = m.symbol[np.append(sample_codes, 0)].tobytes()
             mine = m.symbol[codes].tobytes().replace(bytes([m.width - 1]), b"\xff")
-            want = sum(plain_phrases(m, (sample, mine[lo : lo + block]), lang) for lo in range(0, len(mine), block))
-            assert got[k] == want
+            assert got[k] == plain_phrases(m, (sample, mine), lang)  # blocks leave no trace
 
 
 def test_language_id(spark):
@@ -471,6 +586,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict_languages(docs(spark, [(1, "abc", None, None, None, None, None)])).collect()} == {"und"}
 
 
+def test_first_language_wins_ties_and_rare_letters_count(spark):
+    rows = [(i, "abc abd abe " * 30, lang, "s", 0, "k", 1) for i in range(40) for lang in [("y", "x")[i % 2]]] + [(500, chr(0x32100) * 5, None, None, None, None, None), (501, "abc " * 100, None, None, None, None, None), (501, "abc " * 100, None, None, None, None, None)]
+    out = [(r.doc_id, r.lang_pred) for r in language_id.predict_languages(docs(spark, rows)).collect() if r.doc_id >= 500]
+    assert sorted(out) == [(500, "x"), (501, "x"), (501, "x")]
+
+
+def test_clashing_columns_are_kept(spark):
+    d = spark.createDataFrame([(i, prose(random.Random(i), 60), "en", i) for i in range(30)], "doc_id long, text string, lang string, __l int").withColumn("lang_", F.lit(7))
+    assert language_id.keep_known(d).columns == d.columns and language_id.keep_known(d).where("__l = doc_id and lang_ = 7").count() == 30
+
+
 def test_language_id_learns_every_script(spark):
     rng = random.Random(21)
     starts = {"ar": (0x628, 26), "el": (0x3B1, 17), "en": (0x61, 26), "ru": (0x430, 32), "ja": (0x3041, 80), "zh": (0x4E00, 1500), "zz": (0x6000, 1500)}
@@ -553,6 +679,35 @@ def test_uncovered_parts_of_a_run_are_kept():
     assert [(s["kind"], s["start"], s["end"]) for s in secrets.scan_texts([key], m)[0]] == [("markov", 0, 22), ("hex", 22, 40), ("markov", 40, 56)]
 
 
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    rng = random.Random(14)
+    m = secrets.fit_models(*secrets.labelled_samples([prose(rng, 400)]))
+    line = lambda: "é " + "".join(rng.choice(secrets.SYMBOLS[:62]) for _ in range(32)) + f" token={rng.randrange(10**12):012d} deadbeefdeadbeef0 "
+    took = []
+    for n in (4_000, 16_000):
+        t = "".join(line() for _ in range(n))
+        began = time.time()
+        spans = secrets.scan_texts([t], m)[0]
+        took.append(time.time() - began)
+        assert len(spans) >= 3 * n
+        assert all(t[s["start"]] in secrets.SYMBOLS and t[s["end"] - 1] in secrets.SYMBOLS for s in spans[:: n // 10])
+    assert took[1] < 10 * took[0]
+
+
+def test_uncovered_is_brute_force():
+    rng = random.Random(15)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(60), 8))
+        found = [(cuts[k], cuts[k + 1]) for k in range(0, 8, 2)]
+        base = sorted((a, rng.randrange(3), a + rng.randrange(1, 20)) for a in rng.sample(range(60), 4))
+        left = {x for a, b in found for x in range(a, b)} - {x for a, _, b in base for x in range(a, b)}
+        got = secrets.uncovered(found, base)
+        assert {x for a, _, b in got for x in range(a, b)} == left and all(a < b and k == 3 for a, k, b in got)
+        assert len(got) == sum(any(a <= x < b for a, b in found) and (x - 1 not in left or any(a == x for a, _ in found)) for x in left)
+
+
 # ---- 10 ----
 
 
