@@ -14,13 +14,12 @@ from loomgraph.llm import language_id, mixing, ngram_join, pieces, secrets
 from loomgraph.llm.common import shared_dir
 from loomgraph.llm.queries import vocabulary
 
-
 #: Rows of a batch to Python: texts are long, and what a batch takes is taken in the JVM and in Python, on every core.
 BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """The pipeline is an application, so it sets its session's batch size for all that its stages run."""
+    """Each stage sets the session's batch size for what it returns, which runs when it is written; run() puts the former one back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -62,7 +61,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    finally:
+        spark.conf.set(key, before)
     return docs
