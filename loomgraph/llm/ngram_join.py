@@ -35,6 +35,8 @@ SMALL_BUCKET, CHUNK = 24, 4096
 CHUNK_GRAMS = 1 << 20
 #: Classes that are compared at once within a cell, and the share of pairs below which they are verified one by one.
 BLOCK, SPARSE = 512, 0.02
+#: Classes of more than a share of 1 / HOT_CLASSES of all rows are broadcast: there are no more than that.
+HOT_CLASSES = 50_000
 #: Keys are broadcast up to so many bytes, else joined.
 BROADCAST_BYTES = 32 << 20
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -368,7 +370,12 @@ def _decided(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     about = about.select("cid", "lead", root["doc_id"].alias("class_id"), (root["cid"] == F.col("cid")).alias("first"), links, F.col("copies").alias("n_copies"))
     kept = (F.col("first") & F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th"))).alias("kept")
-    with_words = signed.where("cid is not null").select("doc_id", "th", "cid").join(about, "cid").select("doc_id", "th", "class_id", "n_links", "n_copies", kept)
+    # classes of very many copies are few, so their rows meet them where they are
+    about = scratch.write(about)
+    limit = max(500, signed.count() // HOT_CLASSES)
+    hot, rows = F.broadcast(about.where(F.col("n_copies") > limit)), signed.where("cid is not null").select("doc_id", "th", "cid")
+    with_words = rows.join(hot, "cid").unionByName(rows.join(hot.select("cid"), "cid", "left_anti").join(about.where(F.col("n_copies") <= limit), "cid"))
+    with_words = with_words.select("doc_id", "th", "class_id", "n_links", "n_copies", kept)
     without = signed.where("cid is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
     return with_words.unionByName(without)
 
