@@ -27,7 +27,7 @@ SPACE, MARK = 0x20, 0x2581
 DROPOUT = 0.1
 SEED = 29
 #: Bytes of text that are encoded together.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Candidates whose skips are looked up together.
 CANDIDATES = 1 << 19
 #: Longest segment that is merged in step with others.
