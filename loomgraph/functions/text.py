@@ -57,8 +57,9 @@ def column_key(header: Column) -> Column:
 
 
 def product_prefix(text: Column) -> Column:
-    """The first heading of level 1 to 3, up to its first dash, that leaves something; empty if none."""
-    heads = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1))
+    """The first heading of level 1 to 3, up to its first dash, that leaves something; empty if none. Page tags are taken out first."""
+    bare = F.regexp_replace(text, r"</?page_\d+>", "")
+    heads = F.regexp_extract_all(bare, F.lit(r"(?m)^#{1,3}[^\S\n]+(.+)$"), F.lit(1))
     cut = F.transform(heads, lambda h: strip(F.get(F.split(h, "[—–-]"), F.lit(0))))
     return F.coalesce(F.get(F.filter(cut, lambda h: h != ""), F.lit(0)), F.lit(""))
 
@@ -141,9 +142,24 @@ def answer_score(answer: Column, expected: Column) -> Column:
 
 
 def clean_answer(text: Column) -> Column:
-    """Literal escapes made real: backslash n, t and quotes."""
-    out = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
-    return strip(F.replace(F.replace(out, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'")))
+    """Literal escapes made real: backslash n, t and underscore."""
+    for escape, real in (("\\n", "\n"), ("\\t", "\t"), ("\\_", "_")):
+        text = F.replace(text, F.lit(escape), F.lit(real))
+    return text
+
+
+# What leads to an answer within a text, in this order, and what is said where there is none.
+ANSWERS = (r"(?:final\s+)?answer[:\s]+(.+)", r"(?:in\s+)?conclusion[:\s]+(.+)", r"(?:therefore|thus|so)[,:\s]+(.+)", r"(?:based on (?:the|my) (?:analysis|findings|queries?)[,:\s]+)(.+)")
+THOUGHT = r"Thought:\s*(.+?)(?=\nAction:|\z)"
+NO_ANSWER = "I was unable to determine an answer from the available information."
+
+
+def inline_answer(text: Column) -> Column:
+    """The answer of a text without an answer action: what follows the first of ANSWERS that occurs, else the last thought of more
+    than 20 characters, else the whole text; NO_ANSWER for a blank or null one."""
+    after = [F.nullif(strip(F.regexp_extract(text, f"(?is){p}", 1)), F.lit("")) for p in ANSWERS]
+    thought = strip(F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?s){THOUGHT}"), F.lit(1)), F.lit(-1)))
+    return F.coalesce(*after, F.when(F.length(thought) > 20, thought), F.nullif(strip(text), F.lit("")), F.lit(NO_ANSWER))
 
 
 def digit_runs(name: Column) -> Column:

@@ -60,9 +60,8 @@ def contradiction_pairs(pairs: DataFrame) -> DataFrame:
 def conflicts(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Ends that are joined by both predicates of a rule (a, b). The rules select edges first; one shuffle on the ends meets both sides."""
     ends = ["subj_label", "subj", "obj_label", "obj"]
-    rules = F.broadcast(rules)
     left = edges.join(rules, edges["predicate"] == rules["a"]).select(*ends, "a", "b", F.col("confidence").alias("conf_a"))
-    right = edges.join(F.broadcast(rules.select(F.col("a").alias("__a"), F.col("b").alias("__b"))), F.col("predicate") == F.col("__b")).select(*ends, F.col("__a").alias("a"), F.col("__b").alias("b"), F.col("confidence").alias("conf_b"))
+    right = edges.join(rules.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("predicate") == F.col("__b")).select(*ends, F.col("__a").alias("a"), F.col("__b").alias("b"), F.col("confidence").alias("conf_b"))
     return left.join(right, [*ends, "a", "b"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import strip
+
 MASK = "No reliable answer was found."
 
 
@@ -103,10 +105,12 @@ def session_markdown(e: DataFrame) -> DataFrame:
 
 
 def resolve_session(sessions: DataFrame, refs: DataFrame) -> DataFrame:
-    """refs (ref) to sessions: exact name, else exact id, else id prefix; the newest of a tier."""
+    """refs (ref) to sessions: exact name, else exact id, else id prefix; the newest of a tier. An id is a key for each of its prefixes, so all tiers are one equi-join."""
     s = sessions.select("session_id", "name", "started_at")
-    tier = F.when(F.col("name") == F.col("ref"), 1).when(F.col("session_id") == F.col("ref"), 2).when(F.startswith("session_id", "ref"), 3)
-    met = refs.join(s, (F.col("name") == F.col("ref")) | F.startswith("session_id", "ref")).withColumn("tier", tier).where("tier is not null")
+    size = F.length("session_id")
+    start = F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.struct(F.substring("session_id", F.lit(1), n).alias("ref"), F.when(n == size, 2).otherwise(3).alias("tier")))).alias("k")
+    keys = s.select(F.col("name").alias("ref"), F.lit(1).alias("tier"), *s.columns).unionByName(s.where(size > 0).select(start, *s.columns).select("k.ref", "k.tier", *s.columns))
+    met = refs.join(keys, "ref")
     w = Window.partitionBy("ref").orderBy("tier", F.desc("started_at"), "session_id")
     return met.withColumn("r", F.row_number().over(w)).where("r = 1").select("ref", "session_id", "tier")
 
@@ -117,10 +121,36 @@ def scoreboard(scored: DataFrame, runs: list[str]) -> DataFrame:
     return scored.groupBy("type").pivot("run", runs).agg(share)
 
 
+# The tools that a response may call besides ANSWER, and the marks of the wrapper form.
+TOOLS = ("FIND", "DETAILS", "RELATED", "COMPARE", "LIST", "SCHEMA", "GRAPH_QUERY", "SECTION_TEXT")
+WRAPPER = r'(?ds)\[TOOL_CALL\]\s*\{tool\s*=>\s*"(\w+)".*?--text\s+"(.*?)"\s*\}\s*\}\s*\[/TOOL_CALL\]'
+WRAPPED = ("ANSWER", "GRAPH_QUERY", "SECTION_TEXT")
+
+
 def parse_action(response: Column) -> Column:
-    """struct<tool, args> of the first action of a response: TOOL(args) after `Action:`, in back-ticks or bare; nulls if there is none."""
-    pattern = r"(?s)(?:Action:\s*)?`?\b([A-Z][A-Z_]{2,})\((.*?)\)`?(?:\n|$)"
-    return F.struct(F.nullif(F.regexp_extract(response, pattern, 1), F.lit("")).alias("tool"), F.when(F.regexp_extract(response, pattern, 1) != "", F.regexp_replace(F.regexp_extract(response, pattern, 2), "^[\"']|[\"']$", "")).alias("args"))
+    """struct<tool, args, multi> of the first action of a response; tool and args are null if there is none.
+
+    multi: there are several lines of `Action:`, of which only the first is read, up to the next. The forms, first that fits:
+    a known tool and its brackets at the end of a line, with arguments or without; arguments of several lines in a fence (with
+    its language), a back-tick or quotes; ANSWER up to the last bracket, less brackets that it did not open; the wrapper form.
+    """
+    starts = F.regexp_count(response, F.lit(r"(?md)^Action:\s*"))
+    text = F.when(starts > 1, F.regexp_extract(response, r"(?sd)^(.*?(?:^|\n)Action:.*?)\s*\nAction:", 1)).otherwise(response)
+    call = r"Action:\s*(" + "|".join(TOOLS) + r")\s*\("
+    forms = (r"(?md)" + call + r"(.+)\)\s*$", r"(?md)" + call + r"\s*()\)\s*$", "(?d)" + call + r"\s*```\w*\n([\s\S]*?)```\s*\)", "(?d)" + call + r"\s*`([\s\S]*?)`\s*\)", "(?d)" + call + r'\s*"([\s\S]*?)"\s*\)')
+    found = [F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("tool"), strip(F.regexp_extract(text, p, 2)).alias("args"))) for p in forms]
+
+    said = strip(F.regexp_extract(text, r"Action:\s*ANSWER\s*\(\s*([\s\S]+)\)\s*\z", 1))
+    surplus = F.greatest(F.regexp_count(said, F.lit(r"\)")) - F.regexp_count(said, F.lit(r"\(")), F.lit(0))
+    closing = F.regexp_count(F.regexp_extract(said, r"((?:\)\s*)+)\z", 1), F.lit(r"\)"))
+    last = lambda acc, _: F.regexp_replace(acc, r"\s*\)\z", "")
+    said = F.aggregate(F.sequence(F.lit(0), F.least(surplus, closing)), F.concat(said, F.lit(")")), last)
+    found.append(F.when(text.rlike(r"Action:\s*ANSWER\s*\(\s*[\s\S]+\)\s*\z"), F.struct(F.lit("ANSWER").alias("tool"), said.alias("args"))))
+
+    wrapped = F.upper(F.regexp_extract(text, WRAPPER, 1))
+    found.append(F.when(wrapped.isin(*WRAPPED), F.struct(wrapped.alias("tool"), strip(F.regexp_extract(text, WRAPPER, 2)).alias("args"))))
+    first = F.coalesce(*found)
+    return F.struct(first["tool"].alias("tool"), first["args"].alias("args"), F.coalesce(starts > 1, F.lit(False)).alias("multi"))
 
 
 def is_evidence(step: Column) -> Column:

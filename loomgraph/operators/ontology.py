@@ -32,7 +32,7 @@ def valid_edges(records: DataFrame, entities: DataFrame) -> DataFrame:
 def enrichment(records: DataFrame, types: DataFrame, default: float = 0.7) -> DataFrame:
     """Records of known types only, unverified, from chat."""
     known = types.select(F.col("type_name").alias("type")).distinct()
-    return records.withColumn("type", F.upper("type")).join(F.broadcast(known), "type", "left_semi").select("id", "text", "type", F.coalesce("confidence", F.lit(default)).alias("confidence"), F.lit(False).alias("verified"), F.lit("chat:enrichment").alias("source_doc"))
+    return records.withColumn("type", F.upper("type")).join(known, "type", "left_semi").select("id", "text", "type", F.coalesce("confidence", F.lit(default)).alias("confidence"), F.lit(False).alias("verified"), F.lit("chat:enrichment").alias("source_doc"))
 
 
 def gate_candidates(candidates: DataFrame, types: DataFrame, accept: float = ACCEPT) -> DataFrame:

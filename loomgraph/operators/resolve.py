@@ -22,44 +22,55 @@ LEAST_CONTAINED, CONTAINED_SHARE = 4, 0.35
 
 @F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * matched characters over all characters, matched in ordered blocks; not symmetric."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    """2 * matched characters over all characters, matched in ordered blocks; not symmetric; null if either is."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def exact_groups(mentions: DataFrame) -> DataFrame:
-    """One row for each (label, canonical name): ord of the first, n, the best record (greatest confidence, first on ties), all sources."""
+    """One row for each (label, canonical name): ord of the first, n, the best record (greatest confidence, first on ties), all sources,
+    and the first code that a mention has, with its ord."""
     m = mentions.withColumn("canonical_name", canonical_name(F.col("text")))
     best = F.max_by(F.struct("text", "confidence"), F.struct(F.col("confidence"), (-F.col("ord")).alias("o")))
-    return m.groupBy("label", "canonical_name").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), best.alias("best"), F.array_sort(F.collect_set("source_doc")).alias("docs"))
+    found = abbreviation(F.col("text"))
+    code = F.min(F.when(found.isNotNull(), F.struct("ord", found.alias("code"))))
+    return m.groupBy("label", "canonical_name").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), best.alias("best"), F.array_sort(F.collect_set("source_doc")).alias("docs"), code.alias("code"))
 
 
 def containment_pairs(names: DataFrame) -> DataFrame:
-    """(label, a, b) where a is in b, has 4 characters at least and 0.35 of b's length: blocked on a's first four characters."""
+    """(label, a, b) where a is in b, has 4 characters at least and 0.35 of b's length: blocked on that run of four characters of
+    a which the fewest names have, so that a beginning which many names share is no block."""
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - LEAST_CONTAINED + 1), lambda i: F.substring(c, i, F.lit(LEAST_CONTAINED))))
     long = names.where(F.length("name") >= LEAST_CONTAINED)
-    a = long.select("label", F.col("name").alias("a"), F.substring("name", 1, LEAST_CONTAINED).alias("g"))
     b = long.select("label", F.col("name").alias("b"), F.explode(gram(F.col("name"))).alias("g"))
+    held = b.groupBy("label", "g").agg(F.count("*").alias("n"))
+    a = b.join(held, ["label", "g"]).groupBy("label", F.col("b").alias("a")).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
     hit = a.join(b, ["label", "g"]).where((F.col("a") != F.col("b")) & F.contains("b", "a") & (F.length("a") / F.length("b") >= CONTAINED_SHARE))
     return hit.select("label", "a", "b").distinct()
 
 
 def ratio_candidates(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(label, a, b), a the shorter (or the lesser), that may have a ratio of at least the threshold.
+    """(label, a, b), a the lesser, that may have a ratio of at least the threshold, and whose sets of digit runs are equal unless
+    one of them is empty.
 
     A pair above it differs by at most k = 2 |a| (1 - t) / t inserts and deletes, so one of k + 1 pieces of a stands in b,
-    shifted by k at most: an equi-join on label, piece and its place within the shift window.
+    shifted by k at most: an equi-join on label, piece and digits, and its place within the shift window. So numbered names
+    that are alike but for their numbers do not meet.
     """
+    own = F.array_join(digit_runs(F.col("name")), ",")
     k = F.floor(2 * F.length("name") * F.lit((1 - threshold) / threshold) + 1e-9).cast("int")
     n = names.withColumn("k", k).withColumn("len", F.length("name"))
     piece = lambda i: (F.floor(F.col("len") * i / (F.col("k") + 1))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct((piece(i) + 1).alias("at"), F.substring("name", piece(i) + 1, piece(i + 1) - piece(i)).alias("piece")))
-    a = n.select("label", F.col("name").alias("a"), "k", F.col("len").alias("la"), F.explode(F.filter(parts, lambda p: p["piece"] != "")).alias("p")).select("label", "a", "k", "la", "p.piece", "p.at", F.length("p.piece").alias("w"))
+    a = n.select("label", F.col("name").alias("a"), "k", F.col("len").alias("la"), F.explode(F.filter(parts, lambda p: p["piece"] != "")).alias("p"), own.alias("own")).select("label", "a", "k", "la", "own", "p.piece", "p.at", F.length("p.piece").alias("w"))
+    # equal digits meet on "=..."; a without digits meets b with some on "n", and the other way round on "x"
+    a = a.withColumn("d", F.explode(F.array(F.concat(F.lit("="), "own"), F.when(F.col("own") == "", "n").otherwise("x")))).drop("own")
     widths = a.select("label", "la", "k", "w").distinct()
     b = n.select("label", F.col("name").alias("b"), F.col("len").alias("lb")).join(widths, "label").where((F.col("lb") >= F.col("la")) & (F.col("la") >= F.col("lb") * F.lit(threshold / (2 - threshold)) - 1e-9))
     b = b.select("label", "b", "lb", "w").distinct()
     subs = F.transform(F.sequence(F.lit(1), F.col("lb") - F.col("w") + 1), lambda i: F.struct(i.alias("bt"), F.substring("b", i, F.col("w")).alias("piece")))
     b = b.where("w <= lb").select("label", "b", "lb", F.explode(subs).alias("s")).select("label", "b", "lb", "s.bt", "s.piece")
-    hit = a.join(b, ["label", "piece"]).where((F.abs(F.col("at") - F.col("bt")) <= F.col("k")) & (F.col("lb") >= F.col("la")) & (F.col("la") >= F.col("lb") * F.lit(threshold / (2 - threshold)) - 1e-9) & (F.col("a") != F.col("b")))
+    b = b.withColumn("own", F.array_join(digit_runs(F.col("b")), ",")).withColumn("d", F.explode(F.array(F.concat(F.lit("="), "own"), F.when(F.col("own") == "", "x").otherwise("n")))).drop("own")
+    hit = a.join(b, ["label", "piece", "d"]).where((F.abs(F.col("at") - F.col("bt")) <= F.col("k")) & (F.col("lb") >= F.col("la")) & (F.col("la") >= F.col("lb") * F.lit(threshold / (2 - threshold)) - 1e-9) & (F.col("a") != F.col("b")))
     return hit.select("label", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select("label", F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -108,7 +119,7 @@ def resolved(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     """One record for each leader: the best text and confidence, number of names, all sources; several names of which one has a code take the code, upper-cased, as their name."""
     rows = groups.join(clusters, ["label", "canonical_name"])
     best = F.max_by(F.struct("best.text", "best.confidence"), F.struct(F.col("best.confidence"), (-F.col("ord")).alias("o")))
-    code = F.min_by(abbreviation(F.col("best.text")), F.when(abbreviation(F.col("best.text")).isNotNull(), F.col("ord")))
+    code = F.min("code")["code"]
     out = rows.groupBy("label", "leader").agg(best.alias("b"), F.count("*").alias("n_names"), F.sum("n").alias("n_mentions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), code.alias("code"))
     name = F.when((F.col("n_names") > 1) & F.col("code").isNotNull(), F.upper("code")).otherwise(canonical_name(F.col("b.text")))
     return out.select("label", "leader", name.alias("canonical_name"), F.col("b.text").alias("text"), F.col("b.confidence").alias("confidence"), "n_names", "n_mentions", F.array_join("docs", ", ").alias("source_docs"))
@@ -131,10 +142,11 @@ def new_names(batch: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def prefix_rule(subjects: DataFrame, objects: DataFrame, predicate: str, block: int = 4) -> DataFrame:
-    """For each object (name, ord), the longest subject that its name starts with, ignoring case; first seen on ties."""
+    """For each object (name, ord), the longest subject that its name starts with, ignoring case; first seen on ties. Short subjects meet the objects' first characters in an equi-join."""
     s, o = subjects.select(F.lower("name").alias("s"), F.col("ord").alias("so")), objects.select(F.lower("name").alias("o"), F.col("ord").alias("oo"))
     long = s.where(F.length("s") >= block).withColumn("g", F.substring("s", 1, block)).join(o.withColumn("g", F.substring("o", 1, block)), "g").drop("g")
-    short = s.where(F.length("s") < block).join(o, F.startswith("o", "s"))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("o"), F.lit(block - 1))), lambda n: F.substring("o", F.lit(1), n))
+    short = s.where(F.length("s") < block).join(o.where(F.length("o") > 0).withColumn("s", F.explode(starts)), "s").select("s", "so", "o", "oo")
     return _longest(long.unionByName(short).where(F.startswith("o", "s")), predicate)
 
 
@@ -143,7 +155,9 @@ def contains_rule(subjects: DataFrame, objects: DataFrame, predicate: str, block
     gram = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("o") - block + 1, F.lit(1))), lambda i: F.substring("o", i, F.lit(block))))
     s, o = subjects.select(F.lower("name").alias("s"), F.col("ord").alias("so")), objects.select(F.lower("name").alias("o"), F.col("ord").alias("oo"))
     long = s.where(F.length("s") >= block).withColumn("g", F.substring("s", 1, block)).join(o.withColumn("g", F.explode(gram)), "g").drop("g")
-    short = s.where(F.length("s") < block).join(o, F.contains("o", "s"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("o") - n + 1, F.lit(1))), lambda i: F.substring("o", i, F.lit(n)))
+    inside = F.array_distinct(F.concat(*(runs(n) for n in range(1, block))))
+    short = s.where(F.length("s") < block).join(o.withColumn("s", F.explode(inside)), "s").select("s", "so", "o", "oo")
     return _longest(long.unionByName(short).where(F.contains("o", "s")), predicate)
 
 

@@ -6,9 +6,12 @@ merged from them by the operators, and by the SQL of NODES and EDGES for the twi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.operators import merge
+from loomgraph.sources.folders import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings", "labels", "benchmark")
 
@@ -78,10 +81,32 @@ def edge_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir, EDGE_MENTIONS)
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_nodes(None, merge.keyed_mentions(mentions(spark, sf_dir)))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = merge.keyed_edges(edge_mentions(spark, sf_dir))
     return merge.merge_edges(None, merge.resolve_ends(batch, nodes(spark, sf_dir)))
+
+
+_SNAPSHOTS: dict[tuple, tuple[str, object]] = {}
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """What make gives, written to the shared folder once in an application; all queries read the same snapshot."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _SNAPSHOTS:
+        path, made = f"{shared_folder(spark)}/{make.__name__}-{uuid.uuid4().hex}", make(spark, sf_dir)
+        made.write.parquet(path)
+        _SNAPSHOTS[key] = path, made.schema
+    path, schema = _SNAPSHOTS[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir, merged_nodes)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir, merged_edges)

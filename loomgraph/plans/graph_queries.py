@@ -21,12 +21,12 @@ def _types(spark):
 
 @query(node_sql("select * from nodes"))
 def mut1_node_upsert(spark, sf):
-    return demo.nodes(spark, sf)
+    return demo.merged_nodes(spark, sf)
 
 
 @query(graph_sql("select * from edges"))
 def mut2_edge_upsert(spark, sf):
-    return demo.edges(spark, sf)
+    return demo.merged_edges(spark, sf)
 
 
 @query(node_sql("""select label, lower(text) as canonical_name, arg_min(text, ord) as text, arg_max(text, ord) as name, max(confidence) as confidence, bool_or(verified) as verified,
@@ -158,15 +158,14 @@ def join8_shared_connections(spark, sf):
     return search.shared_neighbours(demo.edges(spark, sf), pairs)
 
 
-@query(graph_sql(""", g as (select row_number() over (order by subj_label, subj, predicate, obj_label, obj) as eid, * from edges where predicate in ('LOCATED_IN', 'IN_SEGMENT')),
+@query(graph_sql(""", g as (select row_number() over (order by subj_label, subj, predicate, obj_label, obj) as eid, * from edges),
   b as (select eid, subj_label as fl, subj as f, predicate, obj_label as tl, obj as t from g union all select eid, obj_label, obj, predicate, subj_label, subj from g),
-  p1 as (select n.canonical_name as start, b.tl, b.t, [b.eid] as used, b.predicate as predicates from nodes n join b on b.fl = n.label and b.f = n.canonical_name where n.label = 'REGION'),
-  p2 as (select start, b.tl, b.t, list_append(used, b.eid) as used, predicates || '>' || b.predicate as predicates from p1 join b on b.fl = p1.tl and b.f = p1.t where not list_contains(used, b.eid)),
-  p3 as (select start, b.tl, b.t, used, predicates || '>' || b.predicate as predicates from p2 join b on b.fl = p2.tl and b.f = p2.t where not list_contains(used, b.eid))
-  select start, t as "end", 1 as length, predicates from p1 union all select start, t, 2, predicates from p2 union all select start, t, 3, predicates from p3"""))
+  p1 as (select n.canonical_name as start, b.tl, b.t, [b.eid] as used, b.predicate as predicates, n.canonical_name || '>' || b.t as names from nodes n join b on b.fl = n.label and b.f = n.canonical_name where n.label = 'REGION'),
+  p2 as (select start, b.tl, b.t, list_append(used, b.eid) as used, predicates || '>' || b.predicate as predicates, names || '>' || b.t as names from p1 join b on b.fl = p1.tl and b.f = p1.t where not list_contains(used, b.eid)),
+  p3 as (select start, b.tl, b.t, used, predicates || '>' || b.predicate as predicates, names || '>' || b.t as names from p2 join b on b.fl = p2.tl and b.f = p2.t where not list_contains(used, b.eid))
+  select start, t as "end", 1 as length, predicates, names from p1 union all select start, t, 2, predicates, names from p2 union all select start, t, 3, predicates, names from p3"""))
 def join9_bounded_paths(spark, sf):
-    e = demo.edges(spark, sf).where(F.col("predicate").isin("LOCATED_IN", "IN_SEGMENT"))
-    return search.paths(e, demo.nodes(spark, sf).where("label = 'REGION'"), 3)
+    return search.paths(demo.edges(spark, sf), demo.nodes(spark, sf).where("label = 'REGION'"), 3)
 
 
 @query(graph_sql("select a.subj_label, a.subj, a.obj_label, a.obj, 'SHUNS' as a, 'SUPPLIES' as b, a.confidence as conf_a, b.confidence as conf_b from edges a join edges b on a.subj_label = b.subj_label and a.subj = b.subj and a.obj_label = b.obj_label and a.obj = b.obj where a.predicate = 'SHUNS' and b.predicate = 'SUPPLIES'"))

@@ -139,18 +139,18 @@ def mut3_document_upsert(spark, sf):
     return merged.join(old.select("doc_id", "first"), "doc_id", "left").select("doc_id", "title", F.coalesce("first", F.lit(1)).alias("first"))
 
 
-@query(node_sql("select distinct label, lower(text) as canonical_name, arg_max(source_doc, {'c': confidence, 'o': -ord}) as section_id from mentions where label in ('BRAND', 'SEGMENT') group by label, lower(text)"))
+@query(node_sql("select distinct label, lower(text) as canonical_name, arg_max(source_doc, {'c': confidence, 'o': -ord}) as section_id from mentions group by label, lower(text)"))
 def mut4_section_links(spark, sf):
     """Each entity is linked to the section of its best mention only."""
-    m = merge.keyed_mentions(demo.mentions(spark, sf)).where(F.col("label").isin("BRAND", "SEGMENT"))
+    m = merge.keyed_mentions(demo.mentions(spark, sf))
     return m.groupBy("label", "canonical_name").agg(F.max_by("source_doc", F.struct(F.col("confidence"), (-F.col("ord")).alias("o"))).alias("section_id"))
 
 
-@query(node_sql("select * from nodes where label = 'NATION'"))
+@query(node_sql("select * from nodes"))
 def mut11_reset_and_load(spark, sf):
-    """A reset graph is an empty snapshot, into which the nations are merged."""
+    """A reset graph is an empty snapshot, into which all mentions are merged."""
     empty = demo.nodes(spark, sf).limit(0)
-    return merge.merge_nodes(empty, merge.keyed_mentions(demo.mentions(spark, sf)).where("label = 'NATION'"))
+    return merge.merge_nodes(empty, merge.keyed_mentions(demo.mentions(spark, sf)))
 
 
 @query("select conv_id as session_id, case when bool_or(role = 'system') then 'renamed ' || conv_id else 'session ' || conv_id end as name, count(*) as turns from conversations group by conv_id having count(*) <= 6")
@@ -219,11 +219,17 @@ def udf1_sql_functions(spark, sf):
     return spark.sql("select a.p_name as a, b.p_name as b, similarity_ratio(a.p_name, b.p_name) as ratio from {n} a join {n} b on substr(a.p_name, 1, 4) = substr(b.p_name, 1, 4) and a.p_name < b.p_name", n=names)
 
 
-@query("select doc_id, name as text, count(*) as n from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}#]+'), lambda w: w <> '')) as w from documents) join (select distinct lower(substr(source, 1, 3)) as name from documents union select 'the' union select 'der') n on n.name = w group by doc_id, name")
+@query("""with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}#]+'), lambda w: w <> '') as w from documents),
+  runs as (select doc_id, array_to_string(list_slice(w, i, i + n - 1), ' ') as run from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (values (1), (2), (3)) v(n) where len(w) >= n)),
+  names as (select lower(p_name) as name from part union select lower(s_name) from supplier union select lower(source) from documents union select array_to_string(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}#]+'), lambda w: w <> ''), 1, 3), ' ') from benchmark)
+  select doc_id, name as text, count(*) as n from runs join names on name = run group by doc_id, name""")
 def udf2_gazetteer(spark, sf):
     docs = doc_queries._docs(spark, sf)
-    names = docs.select(F.lower(F.substring("source", 1, 3)).alias("name")).distinct().union(spark.createDataFrame([("the",), ("der",)], "name string")).withColumn("label", F.lit("WORD"))
-    m = register.gazetteer_mentions(docs.select(F.col("doc_id").cast("string").alias("section_id"), "text"), names, 1)
+    read = lambda t, c: spark.read.parquet(f"{sf}/{t}.parquet").select(c.alias("name"))
+    opening = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}#]+"), lambda w: w != ""), 1, 3), " ")
+    names = read("part", F.col("p_name")).union(read("supplier", F.col("s_name"))).union(docs.select(F.col("source").alias("name"))).union(read("benchmark", opening))
+    names = names.where("name is not null").select(F.lower("name").alias("name")).distinct().withColumn("label", F.lit("NAME"))
+    m = register.gazetteer_mentions(docs.select(F.col("doc_id").cast("string").alias("section_id"), "text"), names, 3)
     return m.groupBy(F.col("section_id").cast("long").alias("doc_id"), "text").agg(F.count("*").alias("n"))
 
 

@@ -71,10 +71,13 @@ def fn9_fill_template(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), T.fill_template(F.lit("Part {name} {other} by {brand}"), {"name": F.col("p_name"), "brand": F.col("p_brand")}).alias("text"))
 
 
-@query("select c_custkey as id, 'a' || chr(10) || '\"' || c_name || '\"' as answer from customer")
+@query("select c_custkey as id, ' a' || chr(10) || '_\\\"' || c_name || chr(9) || 'b ' as cleaned, case c_custkey % 5 when 0 then c_name when 1 then c_name || ' it is' when 2 then 'it must be ' || c_name || ', I think' when 3 then 'plain ' || c_name else 'I was unable to determine an answer from the available information.' end as inline from customer")
 def fn17_clean_answer(spark, sf):
+    """Escapes undone, and answers found in texts without an action."""
     c = spark.read.parquet(f"{sf}/customer.parquet")
-    return c.select(F.col("c_custkey").alias("id"), T.clean_answer(F.concat(F.lit('  a\\n\\"'), "c_name", F.lit('\\" '))).alias("answer"))
+    k = F.col("c_custkey") % 5
+    said = F.when(k == 0, F.concat(F.lit("Thought: none\nFinal Answer: "), "c_name")).when(k == 1, F.concat(F.lit("we saw it.\nTherefore, "), "c_name", F.lit(" it is "))).when(k == 2, F.concat(F.lit("Thought: short\nAction: X\nThought: it must be "), "c_name", F.lit(", I think\nAction: Y"))).when(k == 3, F.concat(F.lit(" plain "), "c_name")).otherwise(" ")
+    return c.select(F.col("c_custkey").alias("id"), T.clean_answer(F.concat(F.lit(' a\\n\\_\\"'), "c_name", F.lit("\\tb "))).alias("cleaned"), T.inline_answer(said).alias("inline"))
 
 
 @query("select p_partkey as id, case p_partkey % 4 when 0 then 2 when 1 then 1 when 2 then 0 else 1 end as score from part")
@@ -402,9 +405,9 @@ def agg7_action_rollup(spark, sf):
     return logs.action_rollup(activity)
 
 
-@query("select label, count(*) as n, string_agg(text, ', ' order by r) filter (r <= 8) || case when count(*) > 8 then ' and ' || (count(*) - 8) || ' more' else '' end as shown from (select *, row_number() over (partition by label order by text, ord) as r from (" + _plain(demo.MENTIONS) + ") where label in ('SUPPLIER', 'NATION')) group by label")
+@query("select label, count(*) as n, string_agg(text, ', ' order by r) filter (r <= 8) || case when count(*) > 8 then ' and ' || (count(*) - 8) || ' more' else '' end as shown from (select *, row_number() over (partition by label order by text, ord) as r from (" + _plain(demo.MENTIONS) + ")) group by label")
 def agg8_type_samples(spark, sf):
-    m = demo.mentions(spark, sf).where(F.col("label").isin("SUPPLIER", "NATION"))
+    m = demo.mentions(spark, sf)
     r = m.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("text", "ord"))).where("r <= 8")
     shown = r.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("rows"))
     more = F.when(F.col("n") > 8, F.concat(F.lit(" and "), (F.col("n") - 8).cast("string"), F.lit(" more"))).otherwise("")
@@ -507,20 +510,25 @@ def snk5_session_markdown(spark, sf):
     return logs.session_markdown(_episodes(spark, sf))
 
 
-@query("select 'ingest' as action_type, text as item_name, 'entity' as item_type from (" + _plain(demo.MENTIONS) + ") where label = 'SUPPLIER' union all select 'ingest', lower(subj) || ' → ' || predicate || ' → ' || lower(obj), 'relationship' from (" + _plain(demo.EDGE_MENTIONS) + ") where predicate = 'LOCATED_IN'")
+@query("select 'ingest' as action_type, text as item_name, 'entity' as item_type from (" + _plain(demo.MENTIONS) + ") union all select 'ingest', lower(subj) || ' → ' || predicate || ' → ' || lower(obj), 'relationship' from (" + _plain(demo.EDGE_MENTIONS) + ")")
 def snk4_activity_items(spark, sf):
-    m = demo.mentions(spark, sf).where("label = 'SUPPLIER'").select(F.lit("ingest").alias("action_type"), F.col("text").alias("item_name"), F.lit("entity").alias("item_type"))
-    e = merge.keyed_edges(demo.edge_mentions(spark, sf).where("predicate = 'LOCATED_IN'"))
+    m = demo.mentions(spark, sf).select(F.lit("ingest").alias("action_type"), F.col("text").alias("item_name"), F.lit("entity").alias("item_type"))
+    e = merge.keyed_edges(demo.edge_mentions(spark, sf))
     return m.unionByName(e.select(F.lit("ingest").alias("action_type"), F.concat_ws(" → ", "subj", "predicate", "obj").alias("item_name"), F.lit("relationship").alias("item_type")))
 
 
-@query("select conv_id * 1000 + turn as id, case turn % 3 when 0 then 'FIND' when 1 then 'COMPARE' end as tool, case turn % 3 when 0 then 'item ' || conv_id when 1 then 'a, b' end as args from conversations")
+@query("""select conv_id * 1000 + turn as id, case k when 0 then 'FIND' when 1 then 'GRAPH_QUERY' when 2 then 'SCHEMA' when 3 then 'ANSWER' when 4 then 'SECTION_TEXT' when 5 then 'GRAPH_QUERY' end as tool,
+  case k when 0 then 'item ' || conv_id when 1 then 'MATCH (n)' || chr(10) || 'RETURN ' || conv_id when 2 then '' when 3 then 'two' || chr(10) || 'lines (of ' || conv_id || ')' when 4 then 'doc ' || conv_id when 5 then 'x' || chr(10) || conv_id end as args,
+  k = 0 as multi from (select *, (conv_id + turn) % 7 as k from conversations)""")
 def fn16_parsed_actions(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    k = F.col("turn") % 3
-    response = F.when(k == 0, F.concat(F.lit("I look.\nAction: FIND(item "), F.col("conv_id").cast("string"), F.lit(")\nthen"))).when(k == 1, F.lit("`COMPARE(a, b)`")).otherwise("no action here")
+    k, n = (F.col("conv_id") + F.col("turn")) % 7, F.col("conv_id").cast("string")
+    forms = ["I look.\nAction: FIND(item {})\nAction: ANSWER(no)", "Action: GRAPH_QUERY(```cypher\nMATCH (n)\nRETURN {}\n```)", "so\nAction: SCHEMA()", "Action: ANSWER(two\nlines (of {})))\n", '[TOOL_CALL] {tool => "section_text", args => { --text "doc {}" } } [/TOOL_CALL]', "Action: GRAPH_QUERY(`x\n{}`)", "UNKNOWN({}) and no action"]
+    response = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        response = F.when(k == i, F.replace(F.lit(form), F.lit("{}"), n)).otherwise(response)
     a = logs.parse_action(response)
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), a["tool"].alias("tool"), a["args"].alias("args"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), a["tool"].alias("tool"), a["args"].alias("args"), a["multi"].alias("multi"))
 
 
 @query("select doc_id, crc from (select doc_id, md5(text) as crc from documents) where doc_id in (select min(doc_id) from documents group by md5(text))")

@@ -27,8 +27,9 @@ def scan_files(spark: SparkSession, path: str, extensions: list[str]) -> DataFra
 
 
 def markdown_chunks(text: Column) -> Column:
-    """Chunks that begin at headings of level 1 and 2."""
-    return F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,2}\s)"), strip), lambda c: c != "")
+    """Chunks that begin at headings of level 1 and 2; paragraphs are packed where that gives no more than one."""
+    parts = F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,2}\s)"), strip), lambda c: c != "")
+    return F.when(F.size(parts) > 1, parts).otherwise(paragraph_chunks(text))
 
 
 def split_long(text: Column, size: int = CHUNK) -> Column:
@@ -72,10 +73,7 @@ class _Visible(HTMLParser):
         self.depth = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.depth += 1
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "tr", "section", "article"):
-            self.parts.append("\n\n" if tag != "br" else "\n")
+        self.depth += tag in HIDDEN
 
     def handle_endtag(self, tag):
         if tag in HIDDEN and self.depth:
@@ -87,11 +85,11 @@ class _Visible(HTMLParser):
 
 
 def visible_text(html: str | None) -> str:
+    """The text between tags, piece by piece with an empty line between, so that each is a paragraph; hidden parts are left out."""
     page = _Visible()
     page.feed(html or "")
     page.close()
-    lines = (" ".join(line.split()) for line in "".join(page.parts).split("\n"))
-    return "\n".join(lines).strip()
+    return "\n\n".join(page.parts).strip()
 
 
 def html_pages(pages: DataFrame) -> DataFrame:
@@ -109,7 +107,14 @@ def mail_text(raw: str | None) -> tuple[str, str]:
     m = email.message_from_string(raw or "", policy=email.policy.default)
     head = "\n".join(f"{k}: {m[k]}" for k in ("From", "To", "Subject", "Date") if m[k])
     body = m.get_body(preferencelist=("plain", "html"))
-    text = body.get_content() if body is not None else ""
+    text = ""
+    if body is not None and str(body.get("Content-Transfer-Encoding", "8bit")).lower() in ("7bit", "8bit", "binary"):
+        text = body.get_payload()  # a string already, whatever the character set was
+    elif body is not None:
+        try:
+            text = body.get_content()
+        except LookupError:  # a character set that nobody knows
+            text = body.get_payload(decode=True).decode("utf-8", "replace")
     if body is not None and body.get_content_subtype() == "html":
         text = visible_text(text)
     return head, text.strip()
@@ -126,6 +131,14 @@ def mail_pages(mails: DataFrame) -> DataFrame:
     return mails.select("doc_id", "raw").mapInPandas(run, "doc_id long, head string, text string")
 
 
+def mail_chunks(mails: DataFrame) -> DataFrame:
+    """mails (doc_id, raw) to chunks (doc_id, page_no, text): the headers, if there are any, and the body's paragraphs, packed."""
+    p = mail_pages(mails)
+    body = F.when(F.col("text") != "", paragraph_chunks(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.when(F.col("head") != "", F.array("head")).otherwise(F.array().cast("array<string>")), body)
+    return chunk_rows(p, F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(""))))
+
+
 def line_pages(docs: DataFrame) -> DataFrame:
     """doc_id, page_no (from 1), text: a page for each line."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page_no"), "text")
@@ -140,7 +153,7 @@ def content_ids(pages: DataFrame) -> DataFrame:
 def tagged_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, node_id, tagged) of sections (doc_id, node_id, start_page, end_page): their pages in tags, blank ones left out."""
     p = pages.where(strip(F.col("text")) != "").select(F.col("doc_id"), "page_no", "text")
-    met = sections.join(p, "doc_id").where("page_no between start_page and end_page")
+    met = sections.withColumn("page_no", F.explode(F.sequence("start_page", "end_page"))).join(p, ["doc_id", "page_no"])
     tag = F.format_string("<page_%d>\n%s\n</page_%d>", F.col("page_no"), F.col("text"), F.col("page_no"))
     rows = F.array_sort(F.collect_list(F.struct("page_no", tag.alias("t"))))
     return met.groupBy("doc_id", "node_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n").alias("tagged"))
@@ -200,7 +213,8 @@ def toc_accuracy(entries: DataFrame, pages: DataFrame, tolerance: int = 2) -> Da
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != ""))
     e = entries.select("doc_id", "ord", "start_page", words(F.col("title")).alias("tw"))
     p = pages.select("doc_id", "page_no", words(F.col("text")).alias("pw"))
-    met = e.join(p, "doc_id").where((F.abs(F.col("page_no") - F.col("start_page")) <= tolerance) & (F.size(F.array_except("tw", "pw")) == 0)).select("doc_id", "ord").distinct().withColumn("ok", F.lit(1))
+    near = e.withColumn("page_no", F.explode(F.sequence(F.col("start_page") - tolerance, F.col("start_page") + tolerance)))
+    met = near.join(p, ["doc_id", "page_no"]).where(F.size(F.array_except("tw", "pw")) == 0).select("doc_id", "ord").distinct().withColumn("ok", F.lit(1))
     return e.join(met, ["doc_id", "ord"], "left").groupBy("doc_id").agg(F.round(F.avg(F.coalesce("ok", F.lit(0))), 4).alias("accuracy"))
 
 

@@ -92,8 +92,66 @@ def test_json_repair():
 
 
 def test_actions(spark):
-    got = apply(spark, logs.parse_action, ["Action: FIND(BS 1052)", "SCHEMA()", "think\n`COMPARE(bs 1052, bs 5137)`", "no action", "FIND(a)\nFIND(b)"])
-    assert [(g.tool, g.args) for g in got] == [("FIND", "BS 1052"), ("SCHEMA", ""), ("COMPARE", "bs 1052, bs 5137"), (None, None), ("FIND", "a")]
+    cases = [
+        ("Action: FIND(BS 1052)", ("FIND", "BS 1052", False)),
+        ("Action: SCHEMA()", ("SCHEMA", "", False)),
+        ("Thought: both\nAction: COMPARE(bs 1052, bs 5137)", ("COMPARE", "bs 1052, bs 5137", False)),
+        ("no action", (None, None, False)),
+        ("SCHEMA()", (None, None, False)),
+        ("Action: MERGE(a)", (None, None, False)),
+        ("Action: FIND(a)\nAction: FIND(b)", ("FIND", "a", True)),
+        ("x\nAction: LIST(a (b))\nObservation: y\n\nAction: ANSWER(no)\nAction: SCHEMA()", ("LIST", "a (b)", True)),
+        ("Action: GRAPH_QUERY(`\nMATCH (n)\nRETURN n\n`)", ("GRAPH_QUERY", "MATCH (n)\nRETURN n", False)),
+        ("Action: GRAPH_QUERY(```cypher\nMATCH (n)\nRETURN n\n```)", ("GRAPH_QUERY", "MATCH (n)\nRETURN n", False)),
+        ('Action: SECTION_TEXT("\nfirst\nsecond")', ("SECTION_TEXT", "first\nsecond", False)),
+        ("Action: ANSWER(It is 5 (five)\nand more (six))", ("ANSWER", "It is 5 (five)\nand more (six)", False)),
+        ("Action: ANSWER(five) ) )\n", ("ANSWER", "five", False)),
+        ('[TOOL_CALL] {tool => "answer", args => { --text "it is so" } } [/TOOL_CALL]', ("ANSWER", "it is so", False)),
+        ('[TOOL_CALL] {tool => "find", args => { --text "x" } } [/TOOL_CALL]', (None, None, False)),
+        (None, (None, None, False)),
+    ]
+    got = apply(spark, logs.parse_action, [c for c, _ in cases])
+    assert [tuple(g) for g in got] == [want for _, want in cases]
+
+
+def test_answers_in_texts(spark):
+    assert apply(spark, T.clean_answer, [r"a\nb\tc\_d", r' \"x\" ', None]) == ["a\nb\tc_d", r' \"x\" ', None]
+    cases = [
+        ("The FINAL answer: 42 grams ", "42 grams"),
+        ("In conclusion: it holds\nfor both", "it holds\nfor both"),
+        ("In conclusion, it holds", "In conclusion, it holds"),
+        ("We looked. Thus: nothing", "nothing"),
+        ("Thought: first of them is quite long\nAction: X\nThought: and the last one is long too\nAction: Y", "and the last one is long too"),
+        ("Thought: brief", "Thought: brief"),
+        ("  words only ", "words only"),
+        ("", T.NO_ANSWER),
+        (None, T.NO_ANSWER),
+    ]
+    assert apply(spark, T.inline_answer, [c for c, _ in cases]) == [want for _, want in cases]
+
+
+def test_headings_and_chunks(spark):
+    assert apply(spark, T.product_prefix, ["<page_1># Cat - x", "#\nfoo - bar", "## — none\n### FZ – y"]) == ["Cat", "", "FZ"]
+    assert apply(spark, D.markdown_chunks, ["intro\n\nmore", "# a\nx\n## b\ny", "x" * 1500 + "\n\n" + "y" * 1500]) == [["intro\n\nmore"], ["# a\nx", "## b\ny"], ["x" * 1500, "y" * 1500]]
+
+
+def test_numbered_names_do_not_meet(spark):
+    """Candidates of names that differ in numbers alone do not grow with their square."""
+    n = 400
+    df = spark.createDataFrame([("T", f"supplier#{k:09d}") for k in range(n)] + [("T", "supplier#")], "label string, name string")
+    assert resolve.ratio_candidates(df).count() <= n
+    inside = resolve.containment_pairs(df)
+    assert {(r.a, r.b) for r in inside.collect()} == {("supplier#", f"supplier#{k:09d}") for k in range(n)}
+    assert apply(spark, lambda c: resolve.similarity_ratio(c, c), ["ab", None]) == [1.0, None]
+
+
+def test_code_of_any_mention_names_the_group(spark):
+    rows = [(1, "T", "resin (AB®)", 0.9, "d"), (2, "T", "resin (AB)", 0.4, "d"), (3, "T", "AB — other thing", 0.5, "d"), (4, "T", "Steel", 0.95, "e")]
+    g = resolve.exact_groups(spark.createDataFrame(rows, "ord long, label string, text string, confidence double, source_doc string"))
+    first = {r.canonical_name: r.code for r in g.collect()}
+    assert tuple(first["resin (ab)"]) == (2, "ab") and first["steel"] is None
+    out = resolve.resolved(g, resolve.leaders(g, resolve.same_pairs(g))).collect()
+    assert {r.canonical_name for r in out if r.n_names > 1} == {"AB"}
 
 
 def test_ratio_blocking_loses_no_pair(spark):
@@ -105,7 +163,8 @@ def test_ratio_blocking_loses_no_pair(spark):
         got = {(r.a, r.b) for r in resolve.ratio_candidates(df, t).collect()}
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
-                if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= t:
+                da, db = set(re.findall(r"\d+", a)), set(re.findall(r"\d+", b))
+                if (da == db or not da or not db) and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= t:
                     assert (a, b) in got
 
 
@@ -148,6 +207,10 @@ def test_html_and_mail():
     assert D.visible_text(page).split() == ["Title", "One", "&", "two"] and D.visible_text(None) == ""
     head, body = D.mail_text("From: a@b\nSubject: s\nContent-Type: text/html\n\n<p>hi</p>")
     assert head == "From: a@b\nSubject: s" and body == "hi"
+    assert D.visible_text("<p>a <b>bold</b> word</p>") == "a \n\nbold\n\n word"
+    odd = "From: a@b\nContent-Type: text/plain; charset=x-none\n"
+    assert D.mail_text(odd + "\ngrüße\n") == ("From: a@b", "grüße")
+    assert D.mail_text(odd + "Content-Transfer-Encoding: quoted-printable\n\ngr=C3=BC=C3=9Fe\n") == ("From: a@b", "grüße")
 
 
 @pytest.mark.parametrize(("raw", "kind", "number"), [(" 12 ", "int", 12.0), ("1.5", "float", 1.5), ("x1", "text", None), ("", "text", None), ("-3", "int", -3.0)])
