@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import crc_fold, free_name
 
-BLOCK = 512
+BLOCK = 1024
 #: Characters of a block after which states are compared with those of the parse before.
-MARKS = (16, 32, 64, 128, 256)
+MARKS = (12, 24, 36, 48, 64, 96, 128, 256, 512)
 #: Characters that are parsed together.
-PART_CHARS = 2_000_000
+PART_CHARS = 1_500_000
 #: Blocks that are parsed in step.
 IN_STEP = 4096
 #: The labelled sample: characters of each language, rows of each language, and longest row.
@@ -207,66 +207,75 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
         start = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
         length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
-        count = np.zeros((len(owner), len(self.langs)), np.int32)
-        end = np.zeros((len(owner), len(self.langs)), np.int32)
-        marks = np.full((len(MARKS), 2, len(owner), len(self.langs)), -1, np.int32)  # states and counts at MARKS
-        entry = np.repeat(self.roots[None, :], len(owner), axis=0)
-        todo = np.arange(len(owner))
+        count, end = np.zeros((2, len(self.langs), len(owner)), np.int32)
+        marks = np.full((len(MARKS), 2, len(self.langs), len(owner)), -1, np.int32)  # states and counts at MARKS
+        order = np.argsort(-length, kind="stable")
+        for lo in range(0, len(order), IN_STEP):
+            b = order[lo : lo + IN_STEP]
+            count[:, b], end[:, b], marks[:, :, :, b] = self._parse(symbols, start[b], length[b])
+        entry = np.repeat(self.roots[:, None], len(owner), axis=1)
         inner = np.flatnonzero(nth > 0)
-        again = False
-        while len(todo):
-            order = todo[np.argsort(-length[todo], kind="stable")]
-            for lo in range(0, len(order), IN_STEP):
-                b = order[lo : lo + IN_STEP]
-                self._parse(symbols, start[b], length[b], entry[b], b, count, end, marks, again)
-            wrong = inner[(entry[inner] != end[inner - 1]).any(1)]
-            entry[wrong] = end[wrong - 1]
-            todo, again = wrong, True
-        np.add.at(out, owner, count)
+        while True:
+            lang, wrong = np.nonzero(entry[:, inner] != end[:, inner - 1])
+            if not len(wrong):
+                break
+            wrong = inner[wrong]
+            entry[lang, wrong] = end[lang, wrong - 1]
+            by = np.argsort(-length[wrong], kind="stable")
+            for lo in range(0, len(by), 4 * IN_STEP):
+                at = by[lo : lo + 4 * IN_STEP]
+                self._parse_on(symbols, start, length, entry, lang[at], wrong[at], count, end, marks)
+        np.add.at(out, owner, count.T)
         return out
 
-    def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, b: np.ndarray, count: np.ndarray, end: np.ndarray, marks: np.ndarray, again: bool) -> None:
-        """Parses blocks b (longest first) from their entry states; again: only until they meet the parse before, whose marks they have."""
+    def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases, end states and marks [language, block] of blocks (longest first) from the root."""
         root = self.roots[:, None]
-        state = np.ascontiguousarray(entry.T)
+        state = np.repeat(root, len(start), axis=1)
         found = np.zeros(state.shape, np.int32)
-        live = np.arange(len(b))
-        t = 0
-        while len(live):
-            n = int(np.searchsorted(-length[live], -t, "left"))  # blocks longer than t
-            if n < len(live):
-                done = live[n:]
-                count[b[done]], end[b[done]] = found[:, done].T, state[:, done].T
-                live = live[:n]
-                if not n:
-                    break
-            whole = len(live) == len(b)
-            c = symbols[start[live] + t].astype(np.int64)
-            s = state if whole else state[:, live]
+        marks = np.full((len(MARKS), 2, *state.shape), -1, np.int32)
+        live = np.searchsorted(-length, -np.arange(length[0]), "left")  # blocks longer than t
+        for t in range(int(length[0])):
+            n = int(live[t])
+            c = symbols[start[:n] + t].astype(np.int64)
+            s = state[:, :n]
             to = self.table.next((s.astype(np.int64) * self.width + c).ravel()).reshape(s.shape)
-            fresh = (to < 0) | (s == root)
-            first = self.first[:, c]
-            np.copyto(to, np.where(first < 0, root, first), where=to < 0)
-            if whole:
-                found += fresh
-                state = to
-            else:
-                found[:, live] += fresh
-                state[:, live] = to
+            found[:, :n] += (to < 0) | (s == root)
+            again = self.first[:, c]
+            np.copyto(to, np.where(again < 0, root, again), where=to < 0)
+            state[:, :n] = to
+            if t + 1 in MARKS:
+                m = MARKS.index(t + 1)
+                marks[m, 0, :, :n], marks[m, 1, :, :n] = to, found[:, :n]
+        return found, state, marks
+
+    def _parse_on(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, lang: np.ndarray, b: np.ndarray, count: np.ndarray, end: np.ndarray, marks: np.ndarray) -> None:
+        """Parses blocks b (longest first) for their languages from their entry states, until they meet the parse before: from
+        there on its counts hold."""
+        state, found, root = entry[lang, b], np.zeros(len(b), np.int32), self.roots[lang]
+        t = 0
+        while len(b):
+            n = int(np.searchsorted(-length[b], -t, "left"))
+            if n < len(b):
+                count[lang[n:], b[n:]], end[lang[n:], b[n:]] = found[n:], state[n:]
+                lang, b, state, found, root = (x[:n] for x in (lang, b, state, found, root))
+                continue
+            c = symbols[start[b] + t].astype(np.int64)
+            to = self.table.next(state.astype(np.int64) * self.width + c)
+            found += (to < 0) | (state == root)
+            again = self.first[lang, c]
+            state = np.where(to >= 0, to, np.where(again < 0, root, again))
             t += 1
             if t in MARKS:
                 m = MARKS.index(t)
-                now, sums = state[:, live].T, found[:, live].T
-                if again:
-                    met = (now == marks[m, 0, b[live]]).all(1)
-                    rest = b[live[met]]
-                    count[rest] += sums[met] - marks[m, 1, rest]
-                    for k in range(m + 1, len(MARKS)):  # marks further on count from the block's new start
-                        marks[k, 1, rest] += sums[met] - marks[m, 1, rest]
-                    marks[m, 0, b[live]], marks[m, 1, b[live]] = now, sums
-                    live = live[~met]
-                else:
-                    marks[m, 0, b[live]], marks[m, 1, b[live]] = now, sums
+                met = state == marks[m, 0, lang, b]
+                x, y = lang[met], b[met]
+                more = found[met] - marks[m, 1, x, y]
+                count[x, y] += more
+                marks[m:, 1, x, y] += more
+                left = ~met
+                marks[m, 0, lang[left], b[left]], marks[m, 1, lang[left], b[left]] = state[left], found[left]
+                lang, b, state, found, root = (v[left] for v in (lang, b, state, found, root))
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """bits a symbol [text, language], and the number of letters of each text."""
