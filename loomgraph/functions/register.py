@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomgraph.operators.resolve import similarity_ratio
 
 MENTION = "section_id string, text string, label string, at int, confidence double"
 
 
+@F.pandas_udf(StringType())
+def canonical_text(names: pd.Series) -> pd.Series:
+    """functions.text.canonical_name for SQL text, where columns cannot be composed."""
+
+    def one(t: str) -> str:
+        bare = unicodedata.normalize("NFKD", re.sub("[®™©]", "", t))
+        return " ".join("".join(c for c in bare if not unicodedata.combining(c)).split()).lower()
+
+    return names.map(one, na_action="ignore")
+
+
 def register(spark: SparkSession) -> None:
-    """similarity_ratio(a, b) in SQL."""
+    """similarity_ratio(a, b) and canonical_name(text) in SQL."""
+    spark.udf.register("canonical_name", canonical_text)
     spark.udf.register("similarity_ratio", similarity_ratio)
 
 

@@ -47,6 +47,24 @@ def grow(types: DataFrame, gated: DataFrame) -> DataFrame:
     return types.select("type_name").unionByName(gated.where("decision = 'auto'").select("type_name"))
 
 
+def active_types(stored: DataFrame, versions: DataFrame, base: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """type_name and description of the active version (version_id, is_active) among the stored types; where no version is active,
+    of the base set with the named one's on top."""
+    active = versions.where("is_active").select("version_id")
+    if active.take(1):
+        return stored.join(active, "version_id", "left_semi").select("type_name", "description")
+    out = base.select("type_name", "description")
+    return out if named is None else load_ontology(out, named.select("type_name", "description")).select("type_name", "description")
+
+
+def known_share(contexts: DataFrame, types: list[str], names: list[str], first: int = 30, type_share: float = 0.8, name_share: float = 0.5) -> DataFrame:
+    """contexts (id, text) with the share of the types, and of the first names, that the text holds, ignoring case, and whether both
+    are so large that there is nothing to learn. The lists are short: types, and `first` names. No types or names: a share of 0."""
+    share = lambda xs: sum((F.contains(F.lower("text"), F.lit(x.lower())).cast("double") for x in xs), F.lit(0.0)) / max(len(xs), 1)
+    out = contexts.select("id", F.coalesce(share(types), F.lit(0.0)).alias("types"), F.coalesce(share(names[:first]), F.lit(0.0)).alias("names"))
+    return out.withColumn("skip", (F.col("types") > type_share) & (F.col("names") > name_share))
+
+
 def load_ontology(base: DataFrame, named: DataFrame) -> DataFrame:
     """Base types and a named set's; the named one wins."""
     both = base.withColumn("prio", F.lit(1)).unionByName(named.withColumn("prio", F.lit(0)))

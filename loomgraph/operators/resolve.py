@@ -135,10 +135,28 @@ def lookup(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return q.select("qid", "label", "raw", F.coalesce("f1", "f2").alias("found"))
 
 
-def new_names(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Mentions of the batch whose canonical name the graph has not: exact names by anti-join."""
+def new_names(batch: DataFrame, known: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Mentions of the batch (ord, label, text, confidence, source_doc) whose canonical name the graph has not.
+
+    Exact names by anti-join. With a threshold, names that are the same entity as a known one of their label (same_pairs) are known
+    too, and of new names that are the same only the first stays: what inserting one after another would leave.
+    """
     b = batch.withColumn("canonical_name", canonical_name(F.col("text")))
-    return b.join(known.select("label", "canonical_name").distinct(), ["label", "canonical_name"], "left_anti")
+    known = known.select("label", "canonical_name").distinct()
+    b = b.join(known, ["label", "canonical_name"], "left_anti")
+    if threshold is None:
+        return b
+    groups = exact_groups(batch).join(known, ["label", "canonical_name"], "left_anti")
+    before = known.select("label", "canonical_name", F.lit(-(1 << 63)).cast("long").alias("ord"), F.struct(F.col("canonical_name").alias("text"), F.lit(1.0).alias("confidence")).alias("best"))
+    near = same_pairs(groups.select(*before.columns).unionByName(before), threshold)
+    ours = groups.select("label", "canonical_name", F.lit(True).alias("ours"))
+    near = near.join(ours.withColumnRenamed("canonical_name", "a").withColumnRenamed("ours", "new_a"), ["label", "a"], "left").join(ours.withColumnRenamed("canonical_name", "b").withColumnRenamed("ours", "new_b"), ["label", "b"], "left")
+    gone = near.where("new_a is null and new_b").select("label", F.col("b").alias("canonical_name")).distinct()
+    within = near.where("new_a and new_b").select("label", "a", "b")
+    left = groups.join(gone, ["label", "canonical_name"], "left_anti")
+    within = within.join(gone.withColumnRenamed("canonical_name", "a"), ["label", "a"], "left_anti").join(gone.withColumnRenamed("canonical_name", "b"), ["label", "b"], "left_anti")
+    first = leaders(left, within).where("canonical_name = leader").select("label", "canonical_name")
+    return b.join(first, ["label", "canonical_name"], "left_semi")
 
 
 def prefix_rule(subjects: DataFrame, objects: DataFrame, predicate: str, block: int = 4) -> DataFrame:

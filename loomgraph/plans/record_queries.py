@@ -184,6 +184,13 @@ def join14_new_names(spark, sf):
     return resolve.new_names(demo.base(spark, sf, NOISY), known).select("label", "canonical_name").distinct()
 
 
+@query()
+def join14_new_names_fuzzy(spark, sf):
+    """Names that are like no known one, and of those that are like each other the first."""
+    known = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 3 = 0").select(F.lit("PART").alias("label"), F.lower("p_name").alias("canonical_name"))
+    return resolve.new_names(demo.base(spark, sf, NOISY), known, 0.9).select("label", "canonical_name").distinct()
+
+
 _RULES = """s as (select lower(p_name) as s, min(p_partkey) as so from part group by 1), o as (select lower({0}) as o, p_partkey as oo from part)"""
 
 
@@ -334,6 +341,17 @@ def set5_load_ontology(spark, sf):
     return ontology.load_ontology(t.where("version_id = 1").select("type_name", "description"), named).select("type_name", "description")
 
 
+@query(f"with {_TY} select 'stored' as scenario, type_name, description from ty where version_id = 1 union all select 'none active', type_name, case when version_id = 0 then description || '!' else description end from (select *, row_number() over (partition by type_name order by version_id) as r from ty where version_id in (0, 1)) where r = 1")
+def snk7_active_ontology(spark, sf):
+    """Types of the active version; and of the base set with the named one on top, as no version is active."""
+    t = demo.base(spark, sf, TYPES)
+    versions = t.select("version_id").distinct()
+    base, named = t.where("version_id = 1"), t.where("version_id = 0").select("type_name", F.concat("description", F.lit("!")).alias("description"))
+    stored = ontology.active_types(t, versions.withColumn("is_active", F.col("version_id") == 1), base, named)
+    fallback = ontology.active_types(t, versions.withColumn("is_active", F.lit(False)), base, named)
+    return stored.select(F.lit("stored").alias("scenario"), "*").unionByName(fallback.select(F.lit("none active").alias("scenario"), "*"))
+
+
 @query(f"with {_TY} select distinct type_name from ty where version_id = 0 except select type_name from ty where version_id = 1")
 def set4_type_difference(spark, sf):
     t = demo.base(spark, sf, TYPES)
@@ -421,10 +439,15 @@ def agg11_scoreboard(spark, sf):
     return logs.scoreboard(scored, ["a", "b"])
 
 
-@query(f"with {EPISODES}, n as (select avg(case when contains(lower(question), 'the') then 1 else 0 end) as share from ep) select round(share, 4) as share, share > 0.5 as skip from n")
+@query("""with t as (select distinct lang as x from documents where lang is not null), n as (select distinct lower(substr(text, 1, 4)) as x from benchmark order by x limit 30), d as (select doc_id, lower(text) as low from documents)
+  select doc_id as id, round(coalesce(ty, 0), 6) as types, round(coalesce(na, 0), 6) as names, coalesce(ty, 0) > 0.8 and coalesce(na, 0) > 0.5 as skip from (select doc_id, avg(case when contains(low, lower(x)) then 1.0 else 0.0 end) as ty from d, t group by doc_id) join (select doc_id, avg(case when contains(low, x) then 1.0 else 0.0 end) as na from d, n group by doc_id) using (doc_id)""")
 def agg12_known_share(spark, sf):
-    share = F.avg(F.contains(F.lower("question"), F.lit("the")).cast("double"))
-    return _episodes(spark, sf).agg(F.round(share, 4).alias("share"), (share > 0.5).alias("skip"))
+    """Every document as a context; languages as types, the first 30 openings of benchmark passages as names."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    types = [r[0] for r in read("documents").where("lang is not null").select("lang").distinct().limit(1000).collect()]
+    names = [r[0] for r in read("benchmark").select(F.lower(F.substring("text", 1, 4)).alias("x")).distinct().orderBy("x").limit(30).collect()]
+    out = ontology.known_share(read("documents").select(F.col("doc_id").alias("id"), "text"), types, names)
+    return out.select("id", F.round("types", 6).alias("types"), F.round("names", 6).alias("names"), "skip")
 
 
 @query(f"with {EPISODES} select (select count(*) from documents) as documents, (select count(distinct session_id) from ep) as sessions, (select count(*) from ep) as turns, (select sum(length(html))::bigint from pages) as page_chars")

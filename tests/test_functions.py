@@ -145,6 +145,25 @@ def test_numbered_names_do_not_meet(spark):
     assert apply(spark, lambda c: resolve.similarity_ratio(c, c), ["ab", None]) == [1.0, None]
 
 
+def test_fuzzy_new_names_are_a_sequential_insert(spark):
+    rng = random.Random(19)
+    base = ["polydimethylsiloxane", "silicone resin", "blue widget 12", "blue widget 13", "steel"]
+    names = ["".join(c for c in rng.choice(base) if rng.random() > 0.04) + rng.choice(["", "", "s", " x"]) for _ in range(60)]
+    known, batch = sorted(set(names[:10])), names[10:]
+    have, want = [("T", n) for n in known], set()
+    for n in batch:
+        inside = lambda x, y: len(x) >= 4 and x in y and len(x) / len(y) >= 0.35
+        alike = lambda m: m == n or inside(m, n) or inside(n, m) or ((re.findall(r"\d+", m) == re.findall(r"\d+", n) or not re.search(r"\d", m) or not re.search(r"\d", n)) and max(SequenceMatcher(None, m, n).ratio(), SequenceMatcher(None, n, m).ratio()) >= 0.9)  # noqa: B023, E731
+        if not any(alike(m) for _, m in have):
+            have.append(("T", n))
+            want.add(n)
+    b = spark.createDataFrame([(i, "T", n, 0.5, "d") for i, n in enumerate(batch)], "ord long, label string, text string, confidence double, source_doc string")
+    k = spark.createDataFrame(have[: len(known)], "label string, canonical_name string")
+    got = resolve.new_names(b, k, 0.9)
+    assert {r.canonical_name for r in got.collect()} == want
+    assert {r.canonical_name for r in resolve.new_names(b, k).collect()} == set(batch) - set(known)
+
+
 def test_code_of_any_mention_names_the_group(spark):
     rows = [(1, "T", "resin (AB®)", 0.9, "d"), (2, "T", "resin (AB)", 0.4, "d"), (3, "T", "AB — other thing", 0.5, "d"), (4, "T", "Steel", 0.95, "e")]
     g = resolve.exact_groups(spark.createDataFrame(rows, "ord long, label string, text string, confidence double, source_doc string"))
