@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,22 @@ def splits_at_space(ids: Callable[[str], list[int]]) -> bool:
     return all(ids(f"{gap}{p}{gap}{q}{gap}") == alone[p] + alone[q] for gap in GAPS for p in PROBES for q in PROBES)
 
 
+#: Marks that a word may end in, and words before them.
+TAILS, STEMS = ".,;:!?", ("a", "word", "naïve", "日本", "x1", "42", "it's", "ß")
+
+
+def splits_before_tails(ids: Callable[[str], list[int]]) -> bool:
+    """Whether words that end in letters or digits and the marks after them have the ids of each by itself."""
+    marks = (*TAILS, "..", "?!", ".,;")
+    return all(ids(w + m) == ids(w) + ids(m) for w in STEMS for m in marks)
+
+
+def ignores_case(ids: Callable[[str], list[int]]) -> bool:
+    """Whether ASCII letters have the ids of their small ones, in and beside other letters too."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return all(ids(w) == ids(w.lower()) for w in (*capitals, capitals, "Word", "WORD's", "NAïVE", "日A", "X1", *(f"{c}{d}" for c in capitals for d in capitals)))
+
+
 class BatchTokenizer:
     """Ids of many texts. With a tokenizer that cuts at white space, pieces between ASCII white space are tokenized once each, and
     the ids of a text are those of its pieces in order; with any other, whole texts are tokenized.
@@ -141,22 +158,43 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_piece = splits_at_space(lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_piece = splits_at_space(ids) and not any(re.search(r"\s", t) for t in self.added)
+        self.tails, self.any_case = self.by_piece and splits_before_tails(ids), self.by_piece and ignores_case(ids)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
     def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.tails:
+            stems = [p.rstrip(TAILS) for p in pieces]
+            # letters from U+0130 on may leave a mark behind in small letters, which would join the marks that follow
+            stems = [s if s and s[-1].isalnum() and s[-1] < "\u0130" else p for s, p in zip(stems, pieces, strict=True)]
+            tails = [p[len(s) :] for s, p in zip(stems, pieces, strict=True)]
+            raw = self.raw_ids({*stems, *tails} - {""})
+            raw[""] = b""
+            got = [raw[s] + raw[t] for s, t in zip(stems, tails, strict=True)]
+        else:
+            raw = self.raw_ids(set(pieces))
+            got = [raw[p] for p in pieces]
+        counts = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(got), self.dtype), counts
+
+    def raw_ids(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word, as bytes; those that were seen before are kept, up to CACHE_WORDS."""
         known = self.known
-        got = [known.get(p) for p in pieces]
-        new = [i for i, g in enumerate(got) if g is None]
+        out = {w: known[w] for w in words if w in known}
+        new = [w for w in words if w not in out]
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
-                got[i] = raw = np.array(e.ids, self.dtype).tobytes()
-                if len(known) < CACHE_WORDS:
-                    known[pieces[i]] = raw
-        counts = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        return np.frombuffer(b"".join(got), self.dtype), counts
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), self.dtype, int(sizes.sum())).tobytes()
+            ends = (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+            out.update(zip(some, (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        for w in new[: max(0, CACHE_WORDS - len(known))]:
+            known[w] = out[w]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none), one after another, and their number for each."""
@@ -168,7 +206,10 @@ class BatchTokenizer:
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
         per = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = split.flatten().dictionary_encode()
+        flat = split.flatten()
+        coded = (pc.ascii_lower(flat) if self.any_case else flat).dictionary_encode()
+        if self.any_case and any(pc.any(pc.match_substring(coded.dictionary, t)).as_py() for t in self.added):
+            coded = flat.dictionary_encode()  # what reads as an added token in small letters need not be one
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ids, counts = self.piece_ids(coded.dictionary.to_pylist())
         if not len(which):

@@ -234,6 +234,23 @@ def test_other_tokenizers_take_whole_texts(tmp_path):
     assert token_files.batch_tokenizer(vocabulary("word_bpe_49k.json")).by_piece
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    rng = random.Random(41)
+    parts = ["Word", "it's", "IT'S", "don't", "naïve", "ÉCOLE", "ΟΔΟΣ", "日本", "x1", "42", "%%%", "--", "(a)", "e\u0301", "E\u0301", "ǅ", "İ", "ﬁne", "\u00a0", "🙂", "²", "<|endoftext|>", "_", "'", "'s"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", ".", ",", "...", "?!", ";", ":"]) + rng.choice([" ", "  ", "\n", "\t", ""]) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    coder, whole = token_files.BatchTokenizer(path), Tokenizer.from_file(path)
+    assert coder.by_piece and coder.tails and coder.any_case
+    for some in (texts, ["a <|EndOfText|> b", "A"], ["plain. Words, in lines!"]):
+        ids, counts = coder.encode(pa.array(some))
+        at = np.concatenate(([0], np.cumsum(counts)))
+        for t, lo, hi in zip(some, at[:-1], at[1:], strict=True):
+            assert ids[lo:hi].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_a_retried_write_keeps_the_first_file(tmp_path):
     from pyarrow import fs
 
