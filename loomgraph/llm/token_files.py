@@ -27,7 +27,7 @@ END_ID = 2
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 22
 #: Bytes of text that are tokenized together.
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 MAGIC = b"LGTOKEN1"
