@@ -29,7 +29,9 @@ def merge_batch(folder: str, merge_rows, batch: DataFrame, batch_id: int) -> Non
     if _exists(spark, f"{here}/_SUCCESS"):
         return
     before = snapshot_path(folder, batch_id - 1)
-    old = spark.read.parquet(before) if batch_id > 0 and _exists(spark, f"{before}/_SUCCESS") else None
+    if batch_id > 0 and not _exists(spark, f"{before}/_SUCCESS"):
+        raise ValueError(f"the snapshot before batch {batch_id} is missing: {before}")
+    old = spark.read.parquet(before) if batch_id > 0 else None
     merge_rows(old, batch).write.mode("overwrite").parquet(here)
 
 
