@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 
 def clean(text: Column) -> Column:
-    """Text that cannot be taken for a marker: <| becomes < |; null becomes empty."""
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
+    """Text that cannot be taken for a marker: a space more between < and |; null becomes empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<( *)\|", "< $1|")
+
+
+def restore(cleaned: Column) -> Column:
+    """The text that clean was given, null as empty."""
+    return F.regexp_replace(cleaned, r"<( *) \|", "<$1|")
+
+
+def clean_role(role: Column) -> Column:
+    """A role that ends no marker and begins none: as clean, and a space more between | and >; null becomes `unknown`."""
+    return F.regexp_replace(clean(F.coalesce(role, F.lit("unknown"))), r"\|( *)>", "| $1>")
 
 
 def head(role: Column) -> Column:
@@ -49,10 +59,10 @@ def common_prefix(a: Column, b: Column) -> Column:
 def gather_turns(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     """One row for each conversation: (conv, turns array<struct<role, text>>), in order of turn, then role, then text.
 
-    A null role is `unknown`, a null text empty, a null turn comes first; rows with a null conversation id are one
-    conversation; repeated rows are repeated turns.
+    Roles and texts are cleaned, so that neither can forge a turn. A null role is `unknown`, a null text empty, a null turn
+    comes first; rows with a null conversation id are one conversation; repeated rows are repeated turns.
     """
-    row = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), clean(F.col("text")).alias("text"))
+    row = F.struct(F.col("turn"), clean_role(F.col("role")).alias("role"), clean(F.col("text")).alias("text"))
     sorted_turns = F.transform(F.array_sort(F.collect_list(row)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return turns.groupBy(F.col(conv)).agg(sorted_turns.alias("turns"))
 
@@ -62,22 +72,23 @@ def preference_rows(pairs: DataFrame, chosen: str = "chosen", rejected: str = "r
 
     The prompt is the longest common prefix, rendered once; each completion is the rest of its conversation, with the
     spans to train on (an empty array where no such turn is left). Null arrays count as empty; equal conversations have
-    empty completions. `n_prompt_turns` is the prefix's number of turns.
+    empty completions. `n_prompt_turns` is the prefix's number of turns. Other columns stay, whatever their names, but for
+    those named as the columns that are made.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
-    p = pairs.withColumn("__a", F.coalesce(F.col(chosen), empty)).withColumn("__b", F.coalesce(F.col(rejected), empty))
-    p = p.withColumn("__n", common_prefix(F.col("__a"), F.col("__b")))
-    rest = lambda c: F.slice(F.col(c), F.col("__n") + 1, F.greatest(F.size(c) - F.col("__n"), F.lit(0)))
-    p = p.withColumn("__p", F.slice(F.col("__a"), F.lit(1), F.col("__n"))).withColumn("__ra", rest("__a")).withColumn("__rb", rest("__b"))
+    p = pairs.select(F.struct(*(F.col(f"`{c}`") for c in pairs.columns)).alias("row"), F.coalesce(F.col(chosen), empty).alias("a"), F.coalesce(F.col(rejected), empty).alias("b"))
+    p = p.select("row", "a", "b", common_prefix(F.col("a"), F.col("b")).alias("n"))
+    rest = lambda c: F.slice(F.col(c), F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
+    p = p.select("row", "n", F.slice("a", F.lit(1), F.col("n")).alias("prompt"), rest("a").alias("a"), rest("b").alias("b"))
     made = {"n_prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask"} | {chosen, rejected}
     return p.select(
-        *(F.col(f"`{c}`") for c in pairs.columns if c not in made),
-        F.col("__n").alias("n_prompt_turns"),
-        render(F.col("__p")).alias("prompt"),
-        render(F.col("__ra")).alias("chosen"),
-        spans(F.col("__ra"), train_role).alias("chosen_mask"),
-        render(F.col("__rb")).alias("rejected"),
-        spans(F.col("__rb"), train_role).alias("rejected_mask"),
+        *(F.col("row").getField(c).alias(c) for c in pairs.columns if c not in made),
+        F.col("n").alias("n_prompt_turns"),
+        render(F.col("prompt")).alias("prompt"),
+        render(F.col("a")).alias("chosen"),
+        spans(F.col("a"), train_role).alias("chosen_mask"),
+        render(F.col("b")).alias("rejected"),
+        spans(F.col("b"), train_role).alias("rejected_mask"),
     )
 
 
@@ -109,8 +120,8 @@ def conversation_preferences(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-with t as (select conv_id, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text,
-                  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), replace(coalesce(text, ''), '<|', '< |')) as i from conversations),
+with c as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<( *)\|', '< \1|', 'g'), '\|( *)>', '| \1>', 'g') as role, regexp_replace(coalesce(text, ''), '<( *)\|', '< \1|', 'g') as text from conversations),
+t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from c),
 e as (select conv_id, min(i) filter (role = 'assistant') as f, max(i) filter (role = 'assistant') as l, count(*) as n from t group by conv_id),
 r as (select t.*, e.n, case when t.i = e.l then case when e.f < e.l then (select s.text from t s where s.conv_id = t.conv_id and s.i = e.f) else '' end else t.text end as bad from t join e using (conv_id)),
 p as (select conv_id, coalesce(min(i) filter (text <> bad) - 1, max(n)) as k from r group by conv_id),
