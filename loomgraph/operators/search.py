@@ -38,21 +38,22 @@ def top_hits(nodes: DataFrame, limit: int) -> DataFrame:
 GRAM = 3
 
 
-def grams(fields: list[str]) -> Column:
-    """The distinct three-character substrings of the fields, lower-cased: a text that holds a key holds the key's last three characters."""
-    of = lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.length(f) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.lower(F.col(f)), i, F.lit(GRAM)))
+def grams(fields: list[str], size: int = GRAM) -> Column:
+    """The distinct substrings of that size of the fields, lower-cased: a text that holds a key holds the key's last three characters."""
+    of = lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.length(f) - size + 1, F.lit(1))), lambda i: F.substring(F.lower(F.col(f)), i, F.lit(size)))
     return F.array_distinct(F.flatten(F.filter(F.array(*(of(f) for f in fields)), lambda g: g.isNotNull())))
 
 
-def contains_join(nodes: DataFrame, probes: DataFrame, fields: list[str], hit: Column) -> DataFrame:
-    """nodes and probes (with a column `block`: three characters that a hit must hold, or null) that meet `hit`.
+def contains_join(nodes: DataFrame, probes: DataFrame, fields: list[str], hit: Column, least: int = 1) -> DataFrame:
+    """nodes and probes (with a column `block`: `least` to three characters that a hit must hold) that meet `hit`.
 
-    An equi-join on the block, so a probe meets only the nodes that hold it; probes without one, of keys that are too short,
-    are tried against every node.
+    An equi-join on the block for each of these lengths, so a probe meets only the nodes that hold it.
     """
-    blocked = nodes.withColumn("block", F.explode(grams(fields))).join(probes.where("block is not null"), "block").where(hit).drop("block")
-    free = probes.where("block is null").drop("block")
-    return blocked.unionByName(nodes.join(free, hit))
+    out = None
+    for size in range(GRAM, least - 1, -1):
+        met = nodes.withColumn("block", F.explode(grams(fields, size))).join(probes.where(F.length("block") == size), "block").where(hit).drop("block")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def find(nodes: DataFrame, queries: DataFrame, fields: list[str], limit: int = 10, exact_first: bool = False, noise: list[str] = NOISE) -> DataFrame:
@@ -70,7 +71,7 @@ def find(nodes: DataFrame, queries: DataFrame, fields: list[str], limit: int = 1
     tiers = norm.select("qid", F.explode(F.concat(exact, own, keys, every)).alias("t")).select("qid", "t.tier", "t.key", "t.words")
     longest = F.array_max(F.transform(F.split("key", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     block = F.right(F.when(F.col("words"), longest).otherwise(F.col("key")), F.lit(GRAM))  # names differ at their ends more than at their starts
-    tiers = tiers.withColumn("block", F.when(F.length(block) == GRAM, block))
+    tiers = tiers.withColumn("block", block)
     n = nodes.where(domain("label")).select(*dict.fromkeys(["label", "canonical_name", "confidence", *fields]))
     hit = F.when(F.col("tier") == 0, F.lower("canonical_name") == F.col("key")).when(F.col("words"), all_words(F.col("key"), fields)).otherwise(matches(F.col("key"), fields))
     met = contains_join(n, tiers, fields, hit).select("qid", "tier", "label", "canonical_name", "confidence")
@@ -145,7 +146,7 @@ def suggestions(nodes: DataFrame, failed: DataFrame, per_word: int = 8, total: i
     """For failed lookups (qid, term): verified names that hold a word of three letters and more, few for each word and question."""
     words = failed.select("qid", F.explode(F.array_distinct(F.filter(F.split(search_term(F.col("term")), " "), lambda w: F.length(w) >= 3))).alias("word"))
     ok = nodes.where(domain("label") & F.coalesce("verified", F.lit(True))).select("canonical_name").distinct()
-    met = contains_join(ok, words.withColumn("block", F.right("word", F.lit(GRAM))), ["canonical_name"], F.contains("canonical_name", "word"))
+    met = contains_join(ok, words.withColumn("block", F.right("word", F.lit(GRAM))), ["canonical_name"], F.contains("canonical_name", "word"), GRAM)
     some = met.withColumn("r", F.row_number().over(Window.partitionBy("qid", "word").orderBy("canonical_name"))).where(F.col("r") <= per_word)
     names = some.select("qid", "canonical_name").distinct()
     return names.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("canonical_name"))).where(F.col("rank") <= total)

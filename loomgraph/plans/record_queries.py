@@ -224,10 +224,9 @@ def join5_explicit_pairs(spark, sf):
 # ---- provenance ----
 
 
-@query(node_sql("select label, canonical_name, d as source_doc, lower(label) || ' list' as title from (select label, canonical_name, unnest(string_split(source_docs, ', ')) as d from nodes where contains(canonical_name, '1') and label in ('SUPPLIER', 'BRAND'))"))
+@query(node_sql("select label, canonical_name, d as source_doc, lower(label) || ' list' as title from (select label, canonical_name, unnest(string_split(source_docs, ', ')) as d from nodes)"))
 def join11_provenance(spark, sf):
-    n = demo.nodes(spark, sf).where(F.contains("canonical_name", F.lit("1")) & F.col("label").isin("SUPPLIER", "BRAND"))
-    links = n.select("label", "canonical_name", F.explode(F.split("source_docs", ", ")).alias("source_doc"))
+    links = demo.nodes(spark, sf).select("label", "canonical_name", F.explode(F.split("source_docs", ", ")).alias("source_doc"))
     docs = demo.mentions(spark, sf).select("source_doc", F.concat(F.lower("label"), F.lit(" list")).alias("title")).distinct()
     return links.join(docs, "source_doc").select("label", "canonical_name", "source_doc", "title")
 
