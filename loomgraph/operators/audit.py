@@ -90,8 +90,12 @@ def display_name() -> Column:
     return F.coalesce(F.nullif("canonical_name", F.lit("")), F.nullif("name", F.lit("")), F.col("text"))
 
 
-def properties(nodes: DataFrame, fields: list[str]) -> DataFrame:
-    """(label, canonical_name, k, v) of every shown property: no empty values."""
+def properties(nodes: DataFrame, fields: list[str], nested: list[str] | None = None) -> DataFrame:
+    """(label, canonical_name, k, v) of every shown property: no empty values. Columns of `nested` hold JSON objects, whose entries are
+    shown as properties; one that is no object is shown as it is."""
     pairs = F.array(*(F.struct(F.lit(f).alias("k"), F.col(f).cast("string").alias("v")) for f in sorted(fields)))
+    for f in nested or []:
+        entries = F.transform(F.map_entries(F.from_json(f, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+        pairs = F.concat(pairs, F.coalesce(entries, F.array(F.struct(F.lit(f).alias("k"), F.col(f).alias("v")))))
     shown = F.filter(pairs, lambda p: p["v"].isNotNull() & ~p["v"].isin("", "{}"))
     return nodes.select("label", "canonical_name", F.explode(shown).alias("p")).select("label", "canonical_name", "p.k", "p.v")

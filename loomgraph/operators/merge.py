@@ -23,27 +23,78 @@ def keyed_edges(edges: DataFrame, canonical=F.lower) -> DataFrame:
     return edges.withColumn("subj", canonical(F.col("subj"))).withColumn("obj", canonical(F.col("obj")))
 
 
-def _as_batch(nodes: DataFrame) -> DataFrame:
-    """A snapshot of nodes as the rows that come before any batch."""
-    docs = F.transform(F.split("source_docs", ", "), lambda d, i: F.struct(F.lit(-1).cast("long").alias("ord"), i.alias("i"), d.alias("source_doc")))
-    return nodes.select(*NODE_KEY, F.lit(-1).cast("long").alias("ord"), "text", "name", "confidence", "verified", docs.alias("docs"), F.col("created_at").alias("first_seen"), F.col("last_confirmed_at").alias("seen"))
+#: What a node keeps of its first mention, where the mentions have it.
+FIRST = ("text", "id", "properties", "source_text")
+#: Mentions whose sources are appended to one piece before the pieces meet.
+PIECE = 4096
+
+
+def _node_rows(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Rows of a snapshot (age 0) and of a batch (age 1) alike: key, `at` (age, ord), first (fields of a first mention), name, confidence,
+    verified, seen, n_mentions, and, where there is one, source_doc: one source, or the string of an old snapshot."""
+    fields = [c for c in FIRST if c in batch.columns or (old is not None and c in old.columns)]
+    held = lambda df, created: F.struct(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields), F.col(created).alias("created_at")).alias("first")
+    at = lambda age, order: F.struct(F.lit(age).alias("age"), order.cast("long").alias("ord")).alias("at")
+    source = lambda df, c: (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias("source_doc")
+    rows = batch.select(*NODE_KEY, at(1, F.col("ord")), held(batch, "seen"), F.col("text").alias("name"), "confidence", "verified", "seen", F.lit(1).cast("long").alias("n_mentions"), source(batch, "source_doc"))
+    if old is None:
+        return rows
+    n = F.col("n_mentions") if "n_mentions" in old.columns else F.lit(1).cast("long").alias("n_mentions")
+    before = old.select(*NODE_KEY, at(0, F.lit(0)), held(old, "created_at"), "name", "confidence", "verified", F.col("last_confirmed_at").alias("seen"), n, source(old, "source_docs"))
+    return before.unionByName(rows)
+
+
+def merge_node_fields(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Nodes by (label, canonical_name), without their sources. New: all fields of the first mention. Known: greatest confidence, name of
+    the latest, verified once verified, confirmed last; text, id, properties, source_text and created_at stay. n_mentions counts them.
+
+    All of it combines before the shuffle, so a name that a third of all mentions have is one small row of each task."""
+    rows = _node_rows(old, batch)
+    out = rows.groupBy(*NODE_KEY).agg(
+        F.min_by("first", "at").alias("f"),
+        F.max_by("name", "at").alias("name"),
+        F.max("confidence").alias("confidence"),
+        F.bool_or("verified").alias("verified"),
+        F.max("seen").alias("last_confirmed_at"),
+        F.sum("n_mentions").alias("n_mentions"),
+    )
+    kept = [c for c in rows.schema["first"].dataType.names if c != "created_at"]
+    return out.select(*NODE_KEY, *(F.col(f"f.{c}").alias(c) for c in kept), "name", "confidence", "verified", "f.created_at", "last_confirmed_at", "n_mentions")
+
+
+def merge_sources(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The sources of nodes as a table (label, canonical_name, source_doc, n, first_ord): a row for each source, however often it names the node."""
+    rows = batch.select(*NODE_KEY, "source_doc", F.lit(1).cast("long").alias("n"), F.col("ord").cast("long").alias("first_ord"))
+    rows = rows if old is None else old.select(*rows.columns).unionByName(rows)
+    return rows.groupBy(*NODE_KEY, "source_doc").agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
 
 
 def merge_nodes(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Nodes by (label, canonical_name). New: all fields of the first mention. Known: greatest confidence, sources appended, name of
-    the latest, verified once verified, confirmed last; text and created_at stay."""
-    rows = batch.select(*NODE_KEY, "ord", "text", F.col("text").alias("name"), "confidence", "verified", F.array(F.struct("ord", F.lit(0).alias("i"), "source_doc")).alias("docs"), F.col("seen").alias("first_seen"), "seen")
-    rows = rows if old is None else _as_batch(old).unionByName(rows)
-    docs = F.array_sort(F.flatten(F.collect_list("docs")))
-    return rows.groupBy(*NODE_KEY).agg(
-        F.min_by("text", "ord").alias("text"),
-        F.max_by("name", "ord").alias("name"),
+    """merge_node_fields with `source_docs`, the sources of all mentions appended in order, for those who want them in one string.
+
+    Sources are appended to pieces by runs of ord, then the pieces of a node, with the snapshot's string before them as it is; so
+    no task gathers more rows of a hot node than it has pieces. The string itself grows with the node: snapshots that
+    need no such string take merge_node_fields and merge_sources."""
+    rows = _node_rows(old, batch).withColumn("run", F.struct("at.age", F.floor(F.col("at.ord") / PIECE).alias("k")))
+    joined = lambda order, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("c")))), lambda d: d["c"]), ", ").alias("source_docs")
+    parts = rows.groupBy(*NODE_KEY, "run").agg(
+        F.min_by("first", "at").alias("first"),
+        F.max_by("name", "at").alias("name"),
+        F.max("confidence").alias("confidence"),
+        F.bool_or("verified").alias("verified"),
+        F.max("seen").alias("seen"),
+        joined("at", "source_doc"),
+    )
+    out = parts.groupBy(*NODE_KEY).agg(
+        F.min_by("first", "run").alias("f"),
+        F.max_by("name", "run").alias("name"),
         F.max("confidence").alias("confidence"),
         F.bool_or("verified").alias("verified"),
-        F.array_join(F.transform(docs, lambda d: d["source_doc"]), ", ").alias("source_docs"),
-        F.min_by("first_seen", "ord").alias("created_at"),
+        joined("run", "source_docs"),
         F.max("seen").alias("last_confirmed_at"),
     )
+    kept = [c for c in rows.schema["first"].dataType.names if c != "created_at"]
+    return out.select(*NODE_KEY, *(F.col(f"f.{c}").alias(c) for c in kept), "name", "confidence", "verified", "source_docs", "f.created_at", "last_confirmed_at")
 
 
 def resolve_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -85,6 +85,10 @@ def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_nodes(None, merge.keyed_mentions(mentions(spark, sf_dir)))
 
 
+def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_node_fields(None, merge.keyed_mentions(mentions(spark, sf_dir)))
+
+
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = merge.keyed_edges(edge_mentions(spark, sf_dir))
     return merge.merge_edges(None, merge.resolve_ends(batch, nodes(spark, sf_dir)))
@@ -105,6 +109,12 @@ def _snapshot(spark: SparkSession, sf_dir: str, make) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes without their sources."""
+    return _snapshot(spark, sf_dir, merged_fields)
+
+
+def sourced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with the string of their sources, for queries that show it or search in it."""
     return _snapshot(spark, sf_dir, merged_nodes)
 
 

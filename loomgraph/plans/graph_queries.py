@@ -130,7 +130,7 @@ _PROPS = """props as (select label, canonical_name, k, v from (unpivot (select l
 
 
 def _props(spark, sf):
-    return audit.properties(demo.nodes(spark, sf), ["confidence", "name", "source_docs"])
+    return audit.properties(demo.sourced_nodes(spark, sf), ["confidence", "name", "source_docs"])
 
 
 @query(node_sql(", " + _PROPS + " select * from props"))
@@ -225,6 +225,14 @@ def gq10_schema(spark, sf):
     return n.select(F.lit("entity").alias("kind"), F.col("label").alias("type"), "n").unionByName(e.select(F.lit("relationship"), F.col("predicate").alias("type"), "n").toDF("kind", "type", "n"))
 
 
+@query("select user_id as label, event_id::varchar as canonical_name, k, v from (select user_id, event_id, 'name' as k, event_type as v from events union all select user_id, event_id, k, json_extract_string(props, '$.' || k) from (select *, unnest(json_keys(props)) as k from events)) where v is not null and v not in ('', '{}')")
+def prj2_nested_properties(spark, sf):
+    """Events as nodes: the entries of their JSON stand beside the other properties."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    n = e.select(F.col("user_id").alias("label"), F.col("event_id").cast("string").alias("canonical_name"), F.col("event_type").alias("name"), "props")
+    return audit.properties(n, ["name"], ["props"])
+
+
 @query(node_sql("select label, canonical_name from nodes where contains(canonical_name, lower('Steel')) order by canonical_name, label limit 20"))
 def gq1_simple_search(spark, sf):
     return search.search_entities(demo.nodes(spark, sf), "Steel").select("label", "canonical_name")
@@ -232,13 +240,13 @@ def gq1_simple_search(spark, sf):
 
 @query(node_sql("select label, canonical_name from nodes where contains(lower(canonical_name), '1') or contains(lower(source_docs), 'brand-3')"))
 def gq2_multi_field_search(spark, sf):
-    n = demo.nodes(spark, sf)
+    n = demo.sourced_nodes(spark, sf)
     return n.where(search.matches(F.lit("1"), ["canonical_name"]) | search.matches(F.lit("brand-3"), ["source_docs"])).select("label", "canonical_name")
 
 
 @query(node_sql("select label, canonical_name from nodes where (contains(canonical_name, '1') or contains(lower(source_docs), '1')) and (contains(canonical_name, 'supplier') or contains(lower(source_docs), 'supplier'))"))
 def gq3_all_words_search(spark, sf):
-    return demo.nodes(spark, sf).where(search.all_words(F.lit("1 supplier"), ["canonical_name", "source_docs"])).select("label", "canonical_name")
+    return demo.sourced_nodes(spark, sf).where(search.all_words(F.lit("1 supplier"), ["canonical_name", "source_docs"])).select("label", "canonical_name")
 
 
 #: Questions: every supplier's name in marks, every nation's with a noise word and a word too many, every region's in brackets.

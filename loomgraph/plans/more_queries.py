@@ -122,7 +122,7 @@ def agg15_ingest_summary(spark, sf):
 @query(node_sql(", ep as (select lower(s_name) as canonical_name, s_suppkey from supplier) select n.canonical_name, case when length(n.name) > 12 then n.name else n.source_docs end as detail, e.event_id from nodes n join ep using (canonical_name) left join (select user_id, arg_max(event_id, {'t': ts, 'e': event_id}) as event_id from events where event_type = 'purchase' group by user_id) e on e.user_id = ep.s_suppkey where n.label = 'SUPPLIER' and e.event_id is not null"))
 def gq15_review_context(spark, sf):
     """A supplier's own text, if long enough, else its sources, with the newest purchase of its number."""
-    n = demo.nodes(spark, sf).where("label = 'SUPPLIER'")
+    n = demo.sourced_nodes(spark, sf).where("label = 'SUPPLIER'")
     s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.lower("s_name").alias("canonical_name"), F.col("s_suppkey").alias("user_id"))
     e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return n.join(s, "canonical_name").join(e, "user_id").select("canonical_name", F.when(F.length("name") > 12, F.col("name")).otherwise(F.col("source_docs")).alias("detail"), "event_id")
@@ -149,7 +149,7 @@ def mut4_section_links(spark, sf):
 @query(node_sql("select * from nodes"))
 def mut11_reset_and_load(spark, sf):
     """A reset graph is an empty snapshot, into which all mentions are merged."""
-    empty = demo.nodes(spark, sf).limit(0)
+    empty = demo.sourced_nodes(spark, sf).limit(0)
     return merge.merge_nodes(empty, merge.keyed_mentions(demo.mentions(spark, sf)))
 
 
@@ -192,8 +192,8 @@ def str1_incremental_ingest(spark, sf):
     """The part table as a stream of mentions, merged batch by batch into snapshots."""
     stream = _arriving(spark, spark.read.parquet(f"{sf}/part.parquet").repartition(3, "p_partkey"), 1)
     m = stream.select(F.lit("PART").alias("label"), F.lower("p_name").alias("canonical_name"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), ((F.col("p_partkey") % 41).cast("double") / 40).alias("confidence"), F.lit(True).alias("verified"), F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("source_doc"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 365).cast("int")).alias("seen"))
-    out = ingest.ingest_mentions(m, _folder(spark, "stream"))
-    return out.select("label", "canonical_name", F.size(F.split("source_docs", ", ")).cast("long").alias("n"), "confidence", "last_confirmed_at")
+    out = ingest.ingest_mentions(m, _folder(spark, "stream"), merge.merge_node_fields)
+    return out.select("label", "canonical_name", F.col("n_mentions").alias("n"), "confidence", "last_confirmed_at")
 
 
 @query("select distinct sha256(text) as content from documents")

@@ -226,7 +226,8 @@ def join5_explicit_pairs(spark, sf):
 
 @query(node_sql("select label, canonical_name, d as source_doc, lower(label) || ' list' as title from (select label, canonical_name, unnest(string_split(source_docs, ', ')) as d from nodes)"))
 def join11_provenance(spark, sf):
-    links = demo.nodes(spark, sf).select("label", "canonical_name", F.explode(F.split("source_docs", ", ")).alias("source_doc"))
+    """Every mention of a node is a link to its source."""
+    links = merge.keyed_mentions(demo.mentions(spark, sf)).join(demo.nodes(spark, sf), merge.NODE_KEY, "left_semi").select("label", "canonical_name", "source_doc")
     docs = demo.mentions(spark, sf).select("source_doc", F.concat(F.lower("label"), F.lit(" list")).alias("title")).distinct()
     return links.join(docs, "source_doc").select("label", "canonical_name", "source_doc", "title")
 
@@ -240,7 +241,7 @@ def join15_covered_sources(spark, sf):
 
 @query(node_sql("select label, canonical_name, case when length(name) > 20 then name else substr('seen in ' || source_docs, 1, 300) end as context from nodes"))
 def gq13_provenance_context(spark, sf):
-    n = demo.nodes(spark, sf)
+    n = demo.sourced_nodes(spark, sf)
     return n.select("label", "canonical_name", F.when(F.length("name") > 20, F.col("name")).otherwise(F.substring(F.concat(F.lit("seen in "), "source_docs"), 1, 300)).alias("context"))
 
 
@@ -443,7 +444,9 @@ def agg11_scoreboard(spark, sf):
 def agg12_known_share(spark, sf):
     """Every document as a context; languages as types, the first 30 openings of benchmark passages as names."""
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    types = [r[0] for r in read("documents").where("lang is not null").select("lang").distinct().limit(1000).collect()]
+    types = [r[0] for r in read("documents").where("lang is not null").select("lang").distinct().take(1001)]
+    if len(types) > 1000:
+        raise ValueError("over 1,000 types are no list of types")
     names = [r[0] for r in read("benchmark").select(F.lower(F.substring("text", 1, 4)).alias("x")).distinct().orderBy("x").limit(30).collect()]
     out = ontology.known_share(read("documents").select(F.col("doc_id").alias("id"), "text"), types, names)
     return out.select("id", F.round("types", 6).alias("types"), F.round("names", 6).alias("names"), "skip")
