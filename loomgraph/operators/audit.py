@@ -70,6 +70,14 @@ def decayed(nodes: DataFrame, as_of: Column, rate: float, threshold: float) -> D
     return nodes.where(domain("label")).withColumn("effective", F.round(eff, 6)).where(eff < threshold)
 
 
+def section_coverage(sections: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: sections (section_id), those of them that a link (section_id) has, and their share in percent (0 where there are none)."""
+    hit = sections.select("section_id").join(links.select("section_id", F.lit(1).alias("hit")).distinct(), "section_id", "left")
+    out = hit.agg(F.count("*").alias("sections"), F.count("hit").alias("covered"))
+    share = F.when(F.col("sections") > 0, F.round(F.col("covered") / F.col("sections") * 100, 1)).otherwise(0.0)
+    return out.withColumn("percent", share)
+
+
 def label_config(table: DataFrame, marks: list[str], candidates: list[str]) -> DataFrame:
     """For each label: whether any row has one of the mark columns (then it is structure), and its name column, the first candidate that has a value."""
     flags = [F.bool_or(F.col(c).isNotNull()).alias(f"__{c}") for c in dict.fromkeys([*marks, *candidates])]

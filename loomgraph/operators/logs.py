@@ -53,6 +53,26 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return both.select("__l.*", *(F.col(f"__last.{c}").alias(f"r_{c}") for c in names))
 
 
+def review_context(nodes: DataFrame, chats: DataFrame, episodes: DataFrame, least: int = 20) -> DataFrame:
+    """Items for review (canonical_name, source_text, label, question, answer), one for each node (canonical_name, source_text).
+
+    The label is that of the newest chat (id, item_name, action_label, item_detail, created_at) about it, whose detail stands in for
+    a missing text if longer than `least`; question and answer are those of the newest episode (id, question, answer,
+    entities_added, rels_added, created_at) that had added to the graph by then. That as-of has no key but time: it runs within
+    days, and a table of one row for each day carries the last episode on to later days.
+    """
+    newest = chats.groupBy(F.col("item_name").alias("canonical_name")).agg(F.max_by(F.struct("action_label", "item_detail", "created_at"), F.struct("created_at", "id")).alias("c"))
+    hits = newest.select("canonical_name", "c.*").withColumn("day", F.to_date("created_at"))
+    grown = episodes.where("entities_added > 0 or rels_added > 0").select("id", "question", "answer", "created_at", F.to_date("created_at").alias("day"))
+    within = as_of(hits, grown, "day", "created_at", "created_at", "id")
+    last = grown.groupBy("day").agg(F.max_by(F.struct("question", "answer"), F.struct("created_at", F.col("id").cast("string"))).alias("last"))
+    days = last.unionByName(hits.select("day", F.lit(None).cast(last.schema["last"].dataType).alias("last"))).groupBy("day").agg(F.first("last", ignorenulls=True).alias("last"))
+    carried = days.select("day", F.last("last", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    told = within.join(carried, "day").select("canonical_name", "action_label", "item_detail", *(F.when(F.col("r_id").isNotNull(), F.col(f"r_{c}")).otherwise(F.col(f"before.{c}")).alias(c) for c in ("question", "answer")))
+    own = F.coalesce(F.nullif("source_text", F.lit("")), F.when(F.length("item_detail") > least, F.col("item_detail")))
+    return nodes.select("canonical_name", "source_text").join(told, "canonical_name", "left").select("canonical_name", own.alias("source_text"), F.col("action_label").alias("label"), "question", "answer")
+
+
 def empty_runs(steps: DataFrame, n: int = 3) -> DataFrame:
     """steps (session_id, at, empty) to session_id, triggers: how often n empty results stood in a row, counting anew after each trigger.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import canonical_name, column_key, fill_template, product_prefix, strip, typed_cell
+from loomgraph.functions.text import canonical_name, column_key, fill_template, predicate_name, product_prefix, strip, typed_cell
 
 ROW, RULE = r"^\|.+\|$", r"^\|[\s\-:|]+\|$"
 # Parts of column names that tell numbers and identifiers.
@@ -87,10 +87,25 @@ def row_batches(rows: DataFrame, size: int = 20) -> DataFrame:
     return b.groupBy("doc_id", "table_no", "batch").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(got, lambda g: g["l"]), "\n").alias("body"))
 
 
+def _row_text(template: str):
+    keys = sorted(set(re.findall(r"\{(\w+)\}", template)))
+    return strip(fill_template(F.lit(template), {k: F.coalesce(F.element_at("props", F.lit(k)), F.lit("")) for k in keys}))
+
+
+def map_row_edges(rows: DataFrame, text_template: str, edges: list[tuple[str, str]]) -> DataFrame:
+    """Edges of rows by templates (predicate, source of the object): (doc_id, row_index, subj, predicate, obj).
+
+    The subject is the row's text. The object is the value of the column of that name, else the name itself; a column without a value gives no edge."""
+    names = F.transform("columns", lambda c: column_key(c))
+    obj = lambda src: F.when(F.array_contains(names, column_key(F.lit(src))), F.element_at("props", column_key(F.lit(src)))).otherwise(F.lit(src))
+    made = F.array(*(F.struct(predicate_name(F.lit(p)).alias("predicate"), obj(src).alias("obj")) for p, src in edges))
+    out = rows.select("doc_id", "row_index", _row_text(text_template).alias("subj"), F.explode(made).alias("e")).select("doc_id", "row_index", "subj", "e.predicate", "e.obj")
+    return out.where("obj is not null and obj != '' and subj != ''")
+
+
 def map_rows(rows: DataFrame, text_template: str, value_keys: dict[str, str]) -> DataFrame:
     """Rows to records by a template of {key} places, and typed values of the mapped keys: (doc_id, table_no, row_index, text, k, kind, number)."""
-    keys = sorted({*value_keys, *re.findall(r"\{(\w+)\}", text_template)})
-    text = fill_template(F.lit(text_template), {k: F.coalesce(F.element_at("props", F.lit(k)), F.lit("")) for k in keys})
+    text = _row_text(text_template)
     values = F.array(*(F.struct(F.lit(name).alias("k"), typed_cell(F.element_at("props", F.lit(k))).alias("t")) for k, name in sorted(value_keys.items())))
     out = rows.select("doc_id", "table_no", "row_index", text.alias("text"), F.explode(values).alias("v"))
     return out.select("doc_id", "table_no", "row_index", "text", "v.k", "v.t.kind", "v.t.number")

@@ -87,6 +87,26 @@ def same_pairs(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return ratio.unionByName(inside).unionByName(coded).groupBy("label", "a", "b").agg(F.max("why").alias("why"))
 
 
+def typed_pairs(groups: DataFrame, thresholds: dict[str, float], default: float = THRESHOLD) -> DataFrame:
+    """same_pairs with the threshold of each label, the default for others; labels of one threshold are one job."""
+    out = None
+    for t in sorted({default, *thresholds.values()}):
+        some = [label for label, x in thresholds.items() if x == t]
+        hit = F.col("label").isin(some)
+        p = same_pairs(groups.where(hit | ~F.col("label").isin(list(thresholds)) if t == default else hit), t)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def alias_pairs(groups: DataFrame) -> DataFrame:
+    """(label, a, b, why) of names that are one but for what stands in brackets and for white space, dashes and commas: each meets the first
+    seen of them (which leads them), so a much used name gives as many rows as it has forms."""
+    bare = F.regexp_replace(F.regexp_replace("canonical_name", r"\([^()]*\)|\[[^\[\]]*\]", " "), r"[\s,\-\u2013\u2014]+", " ")
+    g = groups.select("label", "canonical_name", "ord", F.trim(bare).alias("alias")).where("alias != ''")
+    first = g.groupBy("label", "alias").agg(F.min_by("canonical_name", F.struct("ord", "canonical_name")).alias("a"))
+    return g.join(first, ["label", "alias"]).where("canonical_name != a").select("label", "a", F.col("canonical_name").alias("b"), F.lit("alias").alias("why"))
+
+
 def leaders(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """(label, canonical_name, leader): in first-seen order a leader takes every later match that is still free; members are compared to it alone.
 

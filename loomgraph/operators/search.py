@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import keywords, search_term
+from loomgraph.functions.text import keywords, search_term, snippet
 from loomgraph.operators.audit import domain
 
 # Words that a search phrase loses.
@@ -152,6 +152,23 @@ def suggestions(nodes: DataFrame, failed: DataFrame, per_word: int = 8, total: i
     return names.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("canonical_name"))).where(F.col("rank") <= total)
 
 
+def hybrid(first: DataFrame, then: DataFrame, question: list[str], item: str) -> DataFrame:
+    """Hits of two searches (question, item, r) as one list without doubles: those of the first in their order, then the others;
+    (question, item, rank, both_ways)."""
+    both = first.select(*question, item, F.lit(0).alias("way"), F.col("r").cast("long").alias("r")).unionByName(then.select(*question, item, F.lit(1).alias("way"), F.col("r").cast("long").alias("r")))
+    found = both.groupBy(*question, item).agg(F.min(F.struct("way", "r")).alias("at"), (F.countDistinct("way") > 1).alias("both_ways"))
+    w = Window.partitionBy(*question).orderBy("at.way", "at.r", item)
+    return found.withColumn("rank", F.row_number().over(w)).drop("at")
+
+
+def provenance_context(found: DataFrame, sources: DataFrame, key: str, width: int = 300, around: int = 200) -> DataFrame:
+    """Entities (key, canonical_name, source_text) with their context: the source text that was kept with them, else the first place
+    of the name in the source (key, text); at most `width` characters."""
+    met = found.join(sources.select(key, F.col("text").alias("__text")), key, "left")
+    context = F.coalesce(F.nullif("source_text", F.lit("")), snippet(F.col("__text"), F.col("canonical_name"), around))
+    return met.select(key, "canonical_name", F.substring(context, 1, width).alias("context"))
+
+
 def seeded_sample(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash of their key."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), key))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import pipe_tables as P
 from loomgraph.plans.registry import query
 from loomgraph.sources import documents as D
+from loomgraph.sources.folders import shared_folder
 
 #: Lines as pages; every third line opens a section, three levels deep in turn.
 PAGES = "pg as (select doc_id, unnest(range(1, len(l) + 1)) as page_no, unnest(l) as text from (select doc_id, string_split(text, chr(10)) as l from documents))"
@@ -40,9 +43,20 @@ def _tree(spark, sf):
     return D.parents(_sections(spark, sf))
 
 
-@query()
+@query("select page_id as doc_id, sha256(html) as content_id, length(html) as n from pages union all select doc_id, sha256(text), length(text) from documents")
 def src1_scan_files(spark, sf):
-    return D.scan_files(spark, sf, ["parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """The given documents and pages as files of JSON lines, beside files of another kind; scanned by a folder, a glob that names
+    some of them once more, and a single file, and read from their contents."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs, pages = _docs(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    docs.write.option("maxRecordsPerFile", 2000).json(f"{folder}/documents/json")
+    docs.select(F.col("doc_id").cast("string")).write.text(f"{folder}/documents/ids")
+    pages.coalesce(1).write.json(f"{folder}/pages")
+    one = D.scan_files(spark, f"{folder}/pages", ["json"]).select("path")
+    files = D.scan_files(spark, [f"{folder}/documents", f"{folder}/documents/js*/part-*", *(r[0] for r in one.toLocalIterator())], [".JSON"])
+    line = F.explode(F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x != "")).alias("line")
+    read = files.select(line).select(F.from_json("line", "doc_id long, text string").alias("r"))
+    return read.select("r.doc_id", F.sha2("r.text", 256).alias("content_id"), F.length("r.text").alias("n"))
 
 
 @query()
@@ -258,6 +272,13 @@ def tab7_templates(spark, sf):
     return P.map_rows(rows, "Part {part_name} of {brand}", {"size_mm": "SIZE", "brand": "BRAND"}).select("doc_id", "row_index", "text", "k", "kind", "number")
 
 
+@query("with " + _MD + " select doc_id, row_index, 'Part ' || name || ' of ' || p_brand as subj, predicate, case predicate when 'HAS_BRAND' then p_brand else 'catalog part' end as obj from md, (values ('HAS_BRAND'), ('KIND_OF')) v(predicate)")
+def tab7_edge_templates(spark, sf):
+    """The object of an edge is a column's value, or a word of its own where no column has the name."""
+    rows = P.row_properties(_rows(spark, sf))
+    return P.map_row_edges(rows, "Part {part_name} of {brand}", [("has brand", "Brand"), ("KIND_OF", "catalog part")])
+
+
 @query("with " + _MD + " select doc_id, row_index, name as entity, 'cat' || doc_id as parent from md")
 def tab8_key_column(spark, sf):
     rows = P.row_properties(_rows(spark, sf)).join(_markdown(spark, sf).select("doc_id", F.lower(T.product_prefix(F.col("text"))).alias("parent")), "doc_id")

@@ -128,6 +128,28 @@ def gq15_review_context(spark, sf):
     return n.join(s, "canonical_name").join(e, "user_id").select("canonical_name", F.when(F.length("name") > 12, F.col("name")).otherwise(F.col("source_docs")).alias("detail"), "event_id")
 
 
+_REVIEW = f"""with {record_queries.EPISODES}, ge as (select id, question, answer, timestamp '2024-01-01' + to_hours((id * 7 % 719)::int) as made from ep where entities_added > 0 or rels_added > 0),
+  n as (select lower(s_name) as canonical_name, case when s_suppkey % 3 = 0 then 'text of ' || s_name end as source_text, s_suppkey from supplier),
+  ch as (select user_id, arg_max({{'l': event_type || ' ' || event_id, 'd': case when event_id % 2 = 0 then 'about ' || user_id || ' in the year ' || props else props end, 'ts': ts}}, {{'ts': ts, 'id': event_id}}) as c from events where event_type = 'view' group by user_id),
+  x as (select canonical_name, coalesce(source_text, case when length(c.d) > 20 then c.d end) as source_text, c.l as label, c.ts as ts from n left join ch on user_id = s_suppkey),
+  y as (select canonical_name, source_text, label, max({{'made': made, 'id': id::varchar, 'q': question, 'a': answer}}) filter (id is not null) as e from x left join ge on ge.made <= x.ts group by canonical_name, source_text, label)
+  select canonical_name, source_text, label, e.q as question, e.a as answer from y"""
+
+
+@query(_REVIEW)
+def gq15_item_context(spark, sf):
+    """Suppliers as items for review: their text, the newest view of their number as the chat that named them, and its episode."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    m = s.select(F.lit("SUPPLIER").alias("label"), F.lower("s_name").alias("canonical_name"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("text"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("text of "), "s_name")).alias("source_text"), F.lit(0.5).alias("confidence"), F.lit(False).alias("verified"), F.lit("s").alias("source_doc"), F.lit("2024-01-01").cast("date").alias("seen"))
+    n = merge.merge_node_fields(None, m)
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'view'").join(s.select(F.col("s_suppkey").alias("user_id"), F.lower("s_name").alias("item_name")), "user_id")
+    detail = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("about "), F.col("user_id").cast("string"), F.lit(" in the year "), "props")).otherwise(F.col("props"))
+    chats = e.select("item_name", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("action_label"), detail.alias("item_detail"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_id").alias("id"))
+    at = F.timestamp_add("HOUR", (F.col("id") * 7 % 719).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    ep = record_queries._episodes(spark, sf).select("id", "question", "answer", "entities_added", "rels_added", at.alias("created_at"))
+    return logs.review_context(n, chats, ep).select("canonical_name", "source_text", "label", "question", "answer")
+
+
 @query("select doc_id, arg_max(title, o) as title, min(o) as first from (select doc_id, source as title, 0 as o from documents union all select doc_id, 'new ' || lang, 1 from documents where lang <> 'en' union all select doc_id + 1000000, lang, 1 from documents where lang = 'de') group by doc_id")
 def mut3_document_upsert(spark, sf):
     """A known document takes the batch's title; a new one is added."""
@@ -236,12 +258,16 @@ def udf2_gazetteer(spark, sf):
 @query()
 def pln5_type_thresholds(spark, sf):
     """Parts need a ratio of 0.95, suppliers of 0.85."""
-    g = record_queries._groups(spark, sf)
-    out = None
-    for label, t in (("PART", 0.95), ("SUPPLIER", 0.85)):
-        p = resolve.same_pairs(g.where(F.col("label") == label), t)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return resolve.typed_pairs(record_queries._groups(spark, sf), {"PART": 0.95, "SUPPLIER": 0.85})
+
+
+_FORMS = "select p_partkey as ord, 'PART' as label, concat(p_name, case p_partkey % 3 when 0 then '' when 1 then concat(' (', p_brand, ')') else concat(' - [', p_type, ']') end) as text, 0.5D as confidence, 'd' as source_doc from {part}"
+
+
+@query("with m as (select ord, lower(text) as n, regexp_replace(lower(text), '( - )?[ ]?[(\\[].*$', '') as a from (" + demo._plain(_FORMS).replace("0.5D", "0.5") + ")), g as (select n, a, min(ord) as ord from m group by n, a), f as (select a, arg_min(n, ord) as first from g group by a) select 'PART' as label, first as a, n as b, 'alias' as why from g join f using (a) where n <> first")
+def pln5_aliases(spark, sf):
+    """Part names alone, with their brand, and with their type in brackets: forms of one name."""
+    return resolve.alias_pairs(resolve.exact_groups(demo.base(spark, sf, _FORMS)))
 
 
 @query("""with p as (select page_id, regexp_replace(regexp_replace(html, '[^<>/a-z0-9 =]', '', 'g'), '>[^<]*<', '><', 'g') as h from pages), t as (select page_id, list_sort(list_distinct(regexp_extract_all(html, '<(/?[a-z0-9]+)', 1))) as tags from pages),

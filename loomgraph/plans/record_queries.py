@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import register
 from loomgraph.functions import text as T
-from loomgraph.operators import logs, merge, ontology, resolve
+from loomgraph.operators import audit, logs, merge, ontology, resolve, search
 from loomgraph.plans import demo
 from loomgraph.plans.demo import _plain, node_sql
 from loomgraph.plans.registry import query
@@ -239,12 +240,37 @@ def join15_covered_sources(spark, sf):
     return docs.join(m.select("source_doc"), "source_doc", "left_semi").agg(F.count("*").alias("covered")).join(m.agg(F.count("*").alias("mentions")))
 
 
+@query("""with d as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}#]+'), lambda w: w <> '')) as w from documents), n as (select distinct lower(role) as name from conversations union select distinct lower(p_type) from part union select distinct lower(source) from documents),
+  c as (select distinct doc_id from (select doc_id, unnest(w) as x from d) join n on name = x) select count(*) as sections, (select count(*) from c) as covered, round((select count(*) from c) * 100.0 / count(*), 1)::double as percent from documents""")
+def join15_section_coverage(spark, sf):
+    """Documents as sections, linked to the names (roles, types of parts, sources) that they mention."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("section_id"), "text")
+    read = lambda t, c: spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("name"))
+    names = read("conversations", "role").union(read("part", "p_type")).union(read("documents", "source")).where("name is not null").distinct().withColumn("label", F.lit("NAME"))
+    return audit.section_coverage(docs, register.gazetteer_mentions(docs, names, 1))
+
+
 @query(node_sql("select label, canonical_name, case when length(name) > 20 then name else substr('seen in ' || source_docs, 1, 300) end as context from nodes"))
 def gq13_provenance_context(spark, sf):
     n = demo.sourced_nodes(spark, sf)
     return n.select("label", "canonical_name", F.when(F.length("name") > 20, F.col("name")).otherwise(F.substring(F.concat(F.lit("seen in "), "source_docs"), 1, 300)).alias("context"))
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}#]+'), lambda w: w <> '')"
+
+
+@query(f"""with a as (select doc_id, text, {_WORDS}[5] as q, case when doc_id % 3 = 0 then 'passage ' || doc_id end as st from documents), b as (select *, case when q is null then 0 else instr(lower(text), q) end as i from a),
+  c as (select *, greatest(i - 40, 1) as s, least(i + length(q) + 40, length(text) + 1) as e from b)
+  select doc_id, q as canonical_name, substr(coalesce(st, case when i > 0 then case when s > 1 then '...' else '' end || substr(text, s, i - s) || '>>>' || substr(text, i, length(q)) || '<<<' || substr(text, i + length(q), e - i - length(q)) || case when e <= length(text) then '...' else '' end else text end), 1, 300) as context from c where q is not null""")
+def gq13_snippets(spark, sf):
+    """Each document's fifth word as an entity that was found there; a third of them come with their source text."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    word = F.get(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}#]+"), lambda w: w != ""), F.lit(4))
+    source = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("passage "), F.col("doc_id").cast("string")))
+    found = d.select("doc_id", word.alias("canonical_name"), source.alias("source_text")).where("canonical_name is not null")
+    return search.provenance_context(found, d, "doc_id", around=40)
+
+
 @query("select p_name as entity, k, count(distinct v) as n_values from (select p_name, unnest(['brand', 'size', 'type']) as k, unnest([p_brand, p_size::varchar, p_type]) as v from part) group by p_name, k having count(distinct v) > 1")
 def pln1_value_conflicts(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
@@ -256,6 +282,24 @@ def pln1_value_conflicts(spark, sf):
   select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
 def pln4_cosine_top10(spark, sf):
     """A stated set of query vectors, a hundredth of the table, against all rows in blocks: the questions go to every block of rows."""
+    return _cosine(spark, sf)
+
+
+_COSINE = """q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(qv, embedding)::double, 5) as score from q join embeddings e on e.vec_id <> query_id),
+  v as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as r from s qualify r <= 10), st as (select query_id, vec_id from q join embeddings e on e.vec_id between query_id - 3 and query_id + 3 and e.vec_id <> query_id)"""
+
+
+@query(f"with {_COSINE}, b as (select query_id, vec_id, 0 as way, r from v union all select query_id, vec_id, 1, vec_id from st), f as (select query_id, vec_id, min({{'way': way, 'r': r}}) as pos, count(*) as n from b group by all), k as (select query_id, vec_id, row_number() over (partition by query_id order by pos.way, pos.r, vec_id) as rank, n from f) select query_id, vec_id, rank, n > 1 as both_ways from k".replace("group by all", "group by query_id, vec_id"))
+def pln4_hybrid(spark, sf):
+    """The nearest vectors, then those that stand beside the question's as its section's neighbours in the structure."""
+    near = _cosine(spark, sf)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
+    beside = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.col("vec_id") - 3, F.col("vec_id") + 3)).alias("vec_id")).where("vec_id != query_id").join(e, "vec_id")
+    return search.hybrid(near.select("query_id", "vec_id", F.row_number().over(w).alias("r")), beside.select("query_id", "vec_id", F.col("vec_id").alias("r")), ["query_id"], "vec_id")
+
+
+def _cosine(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     e = e.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))))

@@ -19,9 +19,10 @@ HIDDEN = ("script", "style", "nav", "footer", "header")
 BOILERPLATE = ("legal", "disclaimer", "warranty", "liability", "contact", "address", "imprint", "copyright", "trademark", "index", "bibliography", "about the author", "table of contents")
 
 
-def scan_files(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
-    """Files under a path by extension: name, length. Contents are not read unless selected from `content`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def scan_files(spark: SparkSession, paths: str | list[str], extensions: list[str]) -> DataFrame:
+    """Files by extension under paths, each a file, a glob or a folder: path, length, modificationTime, content. A file under several
+    of the paths counts once. Contents are not read unless `content` is selected."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     keep = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions])
     return files.where(keep).dropDuplicates(["path"])
 
