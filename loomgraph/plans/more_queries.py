@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomgraph.functions import register
-from loomgraph.operators import logs, merge, ontology, pipe_tables, resolve
+from loomgraph.operators import layouts, logs, merge, ontology, pipe_tables, resolve
 from loomgraph.plans import demo, doc_queries, record_queries
 from loomgraph.plans.demo import graph_sql, node_sql
 from loomgraph.plans.registry import query
@@ -277,3 +277,12 @@ def pln6_page_layouts(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     tags = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(r"<(/?[a-z0-9]+)"), F.lit(1))))
     return p.groupBy(F.array_join(tags, " ").alias("layout")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
+
+
+@query("""with t as (select page_id, regexp_extract_all(html, '<(/?[a-z0-9]+)', 1) as g from pages), r as (select page_id, list_sort(list_distinct(list_transform(range(1, greatest(len(g) - 2, 1) + 1), lambda i: array_to_string(g[i:i + 2], ' ')))) as runs from t where len(g) > 0),
+  l as (select runs, min(page_id) as first_page from r group by runs), j as (select a.first_page as a, b.first_page as b, len(list_intersect(a.runs, b.runs)) as n, len(a.runs) + len(b.runs) as m from l a join l b on a.first_page < b.first_page)
+  select a, b, round(n / (m - n), 6) as jaccard from j where n / (m - n) >= 0.8""")
+def pln6_similar_layouts(spark, sf):
+    """Pairs of page layouts, equal ones taken as one, that share at least 0.8 of their runs of three tags."""
+    found = layouts.alike(layouts.layouts(spark.read.parquet(f"{sf}/pages.parquet")))
+    return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
