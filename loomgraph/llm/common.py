@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one run, written as Parquet to a folder of their own in the shared folder: a plan goes on from them when
     executors are lost, and those that nothing reads any more can be dropped."""
@@ -51,8 +56,11 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][1])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.paths[id(df)][1])
+
+    def clear(self) -> None:
+        """Deletes all that was written: nothing may read it any more."""
+        remove(self.spark, self.folder)
 
 
 def free_name(name: str, taken: list[str]) -> str:
