@@ -63,6 +63,19 @@ class Scratch:
         remove(self.spark, self.folder)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], scratch: Scratch, spread: int = 20_000, least: int = 1000) -> DataFrame:
+    """Inner join of rows, a written table, with a table that has one row a key; written too. Keys of more than one row in `spread`
+    (and more than `least`) are at most `spread`: what the table has of them is broadcast, so a hot key's rows stay where they are."""
+    n = rows.count()
+    most = max(least, n // spread)
+    if n <= most:
+        return scratch.write(rows.join(table, on))
+    hot = scratch.write(rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > most))
+    marked = rows.join(F.broadcast(hot.withColumn("__n", F.lit(1))), on, "left")
+    common = rows.join(F.broadcast(table.join(F.broadcast(hot.drop("__n")), on, "left_semi")), on)
+    return scratch.write(common.unionByName(marked.where(F.col("__n").isNull()).drop("__n").join(table, on)))
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """A column name that none of those taken has, in any case."""
     low = {t.lower() for t in taken}

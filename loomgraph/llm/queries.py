@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat_format, divergence, fingerprints, golay, language_id, mixing, nearest, ngram_join, pieces, secrets, token_files, url_filters
+from loomgraph.llm import chat_format, collocations, divergence, fingerprints, golay, language_id, mixing, nearest, ngram_join, pieces, secrets, token_files, url_filters
 from loomgraph.llm.common import table
 
 
@@ -65,7 +65,11 @@ def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 ALL = (op1_ngram_join, op2_url_filters, op3_token_files, op4_mixing, op5_nearest, op6_simhash, op7_pieces, op8_language_id, op9_secrets, op10_chat_format)
-ALL += (op11_golay_dedup, op12_divergence_audit)
+ALL += (op11_golay_dedup, op12_divergence_audit, op13_collocations)
 QUERIES = {f.__name__: f for f in ALL}
-ORACLES = {"op2_url_filters": url_filters.ORACLE, "op4_mixing": mixing.ORACLE, "op10_chat_format": chat_format.ORACLE, "op12_divergence_audit": divergence.ORACLE}
+ORACLES = {"op2_url_filters": url_filters.ORACLE, "op4_mixing": mixing.ORACLE, "op10_chat_format": chat_format.ORACLE, "op12_divergence_audit": divergence.ORACLE, "op13_collocations": collocations.ORACLE}
