@@ -178,7 +178,7 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang,), counts in _combined(_plain(_rows(batches)), True):
-            columns = [pa.array([lang] * len(counts)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
+            columns = [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs"])
 
     found = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
