@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,15 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], scratch: Scrat
     return scratch.write(common.unionByName(marked.where(F.col("__n").isNull()).drop("__n").join(table, on)))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], top: int, name: str = "rank", parts: int = 32) -> DataFrame:
+    """The first `top` rows of each key with their rank. Ranks are first taken within parts of a key, so that what meets in one task
+    is at most parts * top rows of a key, however many tasks hold them."""
+    part = free_name("part", df.columns)
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    first = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))).where(F.col(name) <= top)
+    return first.drop(name, part).withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= top)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """A column name that none of those taken has, in any case."""
     low = {t.lower() for t in taken}

@@ -9,9 +9,10 @@ combined in each task, to the ranges, where the transducers take them to ordinal
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, ranked
 from loomgraph.llm.language_id import Transitions
 
 #: Documents of its language in which a kept term is at least; the terms shown of each source.
 LEAST_DOCS, TOP = 3, 200
-#: Terms of a range of a vocabulary, on average; different terms that a task holds before it sends them on.
-RANGE_TERMS, HELD = 50_000, 200_000
+#: Terms of a range of a vocabulary, on average; different terms that a task holds before it sends them on; terms of documents
+#: that meet in a task, on average.
+RANGE_TERMS, HELD, TASK_TERMS = 50_000, 400_000, 5_000_000
 #: Probabilities are whole numbers of this.
 UNIT = 1_000_000_000
 _PART = 4_000_000
@@ -104,13 +106,13 @@ class Transducer:
         self.terms, self.states = int(count[self.root]), len(count)
         self._known = {}
 
-    def ordinals(self, texts: list[bytes]) -> np.ndarray:
-        """The number of each term, or -1; all are read in step, a byte at a time."""
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        at, end = np.cumsum(size) - size, np.cumsum(size)
-        found, total, state = np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64), np.full(len(texts), self.root, np.int64)
-        live = np.arange(len(texts))
+    def ordinals(self, texts: bytes) -> np.ndarray:
+        """The number of each term of a text of terms, each with a line break after it, or -1; all are read in step, a byte at a time."""
+        buf = np.frombuffer(texts, np.uint8)
+        end = np.flatnonzero(buf == 10)
+        at, n = np.concatenate(([0], end[:-1] + 1)) if len(end) else end, len(end)
+        found, total, state = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, self.root, np.int64)
+        live = np.arange(n)
         while len(live):
             done = at[live] == end[live]
             over = live[done]
@@ -174,7 +176,7 @@ def _plain(rows: Iterable[tuple]) -> Iterator[tuple]:
 
 
 def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang and term (bytes) of all terms that are in so many documents of their language."""
+    """lang, term (bytes) and docs of all terms that are in so many documents of their language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang,), counts in _combined(_plain(_rows(batches)), True):
@@ -182,109 +184,127 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs"])
 
     found = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
-    return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
+    return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted terms of a range, each with its ordinal."""
+    now, k = None, 0
+    task = TaskContext.get()
+    base = np.int64(task.partitionId() if task else 0) << 32
+    for batch in batches:
+        numbers = np.empty(batch.num_rows, np.int64)
+        for i, lang in enumerate(batch.column(0).to_pylist()):
+            now, k = lang, k + 1 if lang == now else 0
+            numbers[i] = base | k
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], ["lang", "term", "ordinal"])
 
 
 def _streamed(bounds: list[tuple[str, bytes]], salts: int):
-    """Terms of texts, combined, with the range that they are in; terms before all ranges are in none."""
-    of_lang: dict[str, tuple[int, list[bytes]]] = {}
-    for k, (lang, term) in enumerate(bounds):
-        of_lang.setdefault(lang, (k, []))[1].append(term)
+    """Terms of texts, combined and sorted: a row for each range that they are in, of terms and counts. Terms before all ranges are in none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         salt = task.partitionId() if task else 0
         for (lang, source), counts in _combined(_plain(_rows(batches)), False):
             salt += 1
-            if lang in of_lang:  # a range begins in this language, else its terms are in one that an earlier one begins
-                first, firsts = of_lang[lang]
-            else:
-                first, firsts = bisect_right(bounds, (lang,)), []
-            names = list(counts)
-            at = np.fromiter((first + bisect_right(firsts, t) - 1 for t in names), np.int64, len(names))
-            inside = np.flatnonzero(at >= 0)
-            part = at[inside] * salts + salt % salts
+            names = sorted(counts)
+            n = np.fromiter(map(counts.__getitem__, names), np.int64, len(names))
+            first, last = bisect_right(bounds, (lang,)), bisect_right(bounds, (lang + "\0",))  # the ranges that begin in this language
+            cuts = [0, *(bisect_left(names, b[1]) for b in bounds[first:last]), len(names)]
+            rows = [(first - 1 + k, lo, hi) for k, (lo, hi) in enumerate(pairwise(cuts)) if lo < hi and first - 1 + k >= 0]
             columns = [
-                pa.array(part.astype(np.int32)),
-                pa.array(np.ones(len(inside), np.int8)),
-                pa.array([lang] * len(inside), pa.string()),
-                pa.array([names[i] for i in inside], pa.binary()),
-                pa.array([source] * len(inside), pa.string()),
-                pa.array(np.fromiter(counts.values(), np.int64, len(names))[inside]),
+                pa.array([k * salts + salt % salts for k, _, _ in rows], pa.int32()),
+                pa.array([1] * len(rows), pa.int8()),
+                pa.array([lang] * len(rows), pa.string()),
+                pa.array([source] * len(rows), pa.string()),
+                pa.array([b"\n".join([*names[lo:hi], b""]) for _, lo, hi in rows], pa.binary()),
+                pa.array([n[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "kind", "lang", "term", "source", "n"])
+            yield pa.RecordBatch.from_arrays(columns, ["part", "kind", "lang", "source", "terms", "n"])
 
     return run
 
 
 def _transduced(salts: int):
-    """Rows by part, kept terms of the part (kind 0) before what is streamed to it, both by language and term."""
+    """Rows by part, kept terms of the part (kind 0, one a row) before what is streamed to it, both by language and source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: dict[str, list[bytes]] = {}
         ready: dict[str, Transducer] = {}
-        now = -1
-        for batch in batches:
-            part, kind = (batch.column(k).to_numpy() for k in range(2))
-            edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(part)], strict=True):
-                if lo == hi:
+        part, group, total = -1, None, np.zeros(0, np.int64)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            known = np.flatnonzero(total)
+            if len(known):
+                lang, source = (pa.repeat(pa.scalar(x, pa.string()), len(known)) for x in group)
+                yield pa.RecordBatch.from_arrays([lang, source, pa.array((np.int64(part // salts) << 32) | known), pa.array(total[known])], ["lang", "source", "ordinal", "n"])
+
+        for *head, terms_, n in _rows(batches):
+            at, kind, lang, source = (v.as_py() for v in head)
+            if at != part or kind == 0 or (lang, source) != group:
+                yield from counted()
+                group, total = None, np.zeros(0, np.int64)
+                if at != part:
+                    vocabulary, ready, part = {}, {}, at
+                if kind == 0:
+                    vocabulary.setdefault(lang, []).append(terms_.as_py())
                     continue
-                if part[lo] != now:
-                    vocabulary, ready, now = {}, {}, part[lo]
-                piece = batch.slice(lo, hi - lo)
-                langs, names = piece.column(2).to_pylist(), piece.column(3).to_pylist()
-                if kind[lo] == 0:
-                    for lang, name in zip(langs, names, strict=True):
-                        vocabulary.setdefault(lang, []).append(name)
-                    continue
-                by_lang: dict[str, list[int]] = {}
-                for k, lang in enumerate(langs):
-                    by_lang.setdefault(lang, []).append(k)
-                for lang, at in by_lang.items():
-                    if lang not in ready:
-                        ready[lang] = Transducer(vocabulary.get(lang, []))
-                    number = ready[lang].ordinals([names[k] for k in at])
-                    known = np.array(at)[number >= 0]
-                    ordinal = pa.array((np.int64(now // salts) << 32) | number[number >= 0])
-                    taken = piece.take(pa.array(known))
-                    yield pa.RecordBatch.from_arrays([taken.column(2), taken.column(4), ordinal, taken.column(3), taken.column(5)], ["lang", "source", "ordinal", "term", "n"])
+                group = (lang, source)
+                if lang not in ready:
+                    ready[lang] = Transducer(vocabulary.pop(lang, []))
+                total = np.zeros(ready[lang].terms, np.int64)
+            number = ready[lang].ordinals(terms_.as_py())
+            total += np.bincount(number[number >= 0], np.frombuffer(n.as_py(), np.int64)[number >= 0], len(total)).astype(np.int64)
+        yield from counted()
 
     return run
 
 
-def recount(docs: DataFrame, kept: DataFrame, scratch: Scratch, range_terms: int = RANGE_TERMS) -> DataFrame:
-    """lang, source, ordinal, n and term of all kept terms that a source has; ordinals are in the order of a language's terms.
+def recount(docs: DataFrame, kept: DataFrame, scratch: Scratch, range_terms: int = RANGE_TERMS, task_terms: int = TASK_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, ordinal and n of all kept terms that a source has; lang, term and ordinal). Ordinals are in the order of a
+    language's terms: the range's number and the term's number in it.
 
-    An ordinal is the range's number and the term's number in it. The driver takes one term of each range: one of about
-    range_terms, and sends the tasks as many.
+    The driver takes one term of each range, one of about range_terms, and sends the tasks as many. A range of many occurrences
+    is dealt to several tasks, each with the range's transducer.
     """
     spark = docs.sparkSession
-    ranges = max(1, -(-kept.count() // range_terms))
-    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // ranges))
-    cut = kept.repartitionByRange(ranges, "lang", "term").withColumn("range", F.spark_partition_id())
-    cut = scratch.write(cut)
-    firsts = cut.groupBy("range").agg(F.min(F.struct("lang", "term")).alias("first")).orderBy("range").collect()
-    place = {r["range"]: k for k, r in enumerate(firsts)}  # a range may have got no term
+    size = kept.agg(F.count("*"), F.sum("docs")).first()
+    if not size[0]:
+        return spark.createDataFrame([], "lang string, source string, ordinal long, n long"), spark.createDataFrame([], "lang string, term binary, ordinal long")
+    ranges = -(-size[0] // range_terms)
+    salts = -(-size[1] // (ranges * task_terms))
+    cut = kept.select("lang", "term").repartitionByRange(ranges, "lang", "term").sortWithinPartitions("lang", "term")
+    vocabulary = scratch.write(cut.mapInArrow(_numbered, "lang string, term binary, ordinal long"))
+    of = F.shiftright("ordinal", 32).cast("int")
+    firsts = vocabulary.groupBy(of.alias("range")).agg(F.min(F.struct("lang", "term")).alias("first")).orderBy("range").collect()
+    if [r["range"] for r in firsts] != list(range(len(firsts))):  # a range got no term
+        vocabulary = scratch.write(_without_gaps(vocabulary, [r["range"] for r in firsts]))
     bounds = [(r["first"]["lang"], bytes(r["first"]["term"])) for r in firsts]
-    if not bounds:
-        return spark.createDataFrame([], "lang string, source string, ordinal long, term binary, n long")
-    number = F.element_at(F.map_from_arrays(F.lit(list(place)), F.lit(list(place.values()))), F.col("range"))
-    vocabulary = cut.select(F.explode(F.sequence(number * salts, number * salts + (salts - 1))).alias("part"), F.lit(0).cast("byte").alias("kind"), "lang", "term", F.lit("").alias("source"), F.lit(0).cast("long").alias("n"))
-    streamed = docs.select("lang", "source", "text").mapInArrow(_streamed(bounds, salts), "part int, kind byte, lang string, term binary, source string, n long")
-    parts = vocabulary.unionByName(streamed).repartitionById(len(bounds) * salts, F.col("part")).sortWithinPartitions("part", "kind", "lang", "term")
-    found = parts.mapInArrow(_transduced(salts), "lang string, source string, ordinal long, term binary, n long")
-    return scratch.write(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"), F.any_value("term").alias("term")))
+    none = F.lit(b"")
+    each = F.explode(F.sequence(of * salts, of * salts + (salts - 1)))
+    kinds = vocabulary.select(each.alias("part"), F.lit(0).cast("byte").alias("kind"), "lang", F.lit("").alias("source"), F.col("term").alias("terms"), none.alias("n"))
+    streamed = docs.select("lang", "source", "text").mapInArrow(_streamed(bounds, salts), "part int, kind byte, lang string, source string, terms binary, n binary")
+    parts = kinds.unionByName(streamed).repartitionById(len(bounds) * salts, F.col("part")).sortWithinPartitions("part", "kind", "lang", "source", "terms")
+    found = parts.mapInArrow(_transduced(salts), "lang string, source string, ordinal long, n long")
+    return scratch.write(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))), vocabulary
+
+
+def _without_gaps(vocabulary: DataFrame, there: list[int]) -> DataFrame:
+    place = F.array_position(F.lit(there), F.shiftright("ordinal", 32).cast("int")) - 1
+    return vocabulary.withColumn("ordinal", F.shiftleft(place, 32).bitwiseOR(F.col("ordinal").bitwiseAND((1 << 32) - 1)))
 
 
 # ---- divergence ----
 
 
 def probability(n: Column, total: Column) -> Column:
-    """1 + floor(UNIT * (n + 1) / total), exactly."""
-    whole = lambda c, digits: c.cast(f"decimal({digits},0)")
-    scaled = whole(F.lit(UNIT), 10) * whole(n + 1, 19)
-    return F.call_function("div", scaled, whole(total, 19)) + 1
+    """1 + floor(UNIT * (n + 1) / total), exactly, for n < total < 9 * 10 ** 15: by long division, three digits at a time."""
+    out, rest = F.lit(1).cast("long"), (n + 1).cast("long")
+    for weight in (10**6, 10**3, 1):
+        out = out + F.call_function("div", rest * 1000, total) * weight
+        rest = rest * 1000 % total
+    return out
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -296,30 +316,29 @@ def _pairs(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, source, item, value of all pairs of sources of a language.
 
     The sum over all kept terms is that of a pair in which neither has any, put right by what each source's own terms add
-    (its counts' histogram) and by what the terms that both have add beyond that; so terms that neither has cost nothing.
+    (its counts' histogram) and by what the terms that both have add beyond that; so terms that neither has cost nothing. Sums
+    are under 4 * (UNIT + v)^2, which 64 bits hold for vocabularies of 500 million terms; past that Spark raises.
     """
-    exact = lambda c: c.cast("decimal(20,0)")
     a = totals.select("lang", F.col("source").alias("a"), F.col("zero").alias("a0"), "v")
     b = totals.select("lang", F.col("source").alias("b"), F.col("zero").alias("b0"))
     pairs = a.join(b, "lang").where("a != b")
     own = counts.groupBy("lang", "source", "p").agg(F.count("*").alias("h"))
     none = divergence(F.col("a0"), F.col("b0"))
     left = pairs.join(own.select("lang", F.col("source").alias("a"), "p", "h"), ["lang", "a"])
-    left = left.select("lang", "a", "b", (exact(divergence(F.col("p"), F.col("b0")) - none) * F.col("h")).alias("x"))
+    left = left.select("lang", "a", "b", ((divergence(F.col("p"), F.col("b0")) - none) * F.col("h")).alias("x"))
     right = pairs.join(own.select("lang", F.col("source").alias("b"), "p", "h"), ["lang", "b"])
-    right = right.select("lang", "a", "b", (exact(divergence(F.col("a0"), F.col("p")) - none) * F.col("h")).alias("x"))
+    right = right.select("lang", "a", "b", ((divergence(F.col("a0"), F.col("p")) - none) * F.col("h")).alias("x"))
     side = lambda x: counts.select("lang", "ordinal", F.col("source").alias(x), F.col("p").alias(f"{x}p"), F.col("zero").alias(f"{x}0"))
     met = side("a").join(side("b"), ["lang", "ordinal"]).where("a < b")
 
     def more(x: str, y: str) -> Column:
         p, p0, q, q0 = (F.col(f"{s}{t}") for s in (x, y) for t in ("p", "0"))
-        return exact(divergence(p, q)) - exact(divergence(p, q0)) - exact(divergence(p0, q)) + exact(divergence(p0, q0))
+        return divergence(p, q) - divergence(p, q0) - divergence(p0, q) + divergence(p0, q0)
 
     both = met.groupBy("lang", "a", "b").agg(F.sum(more("a", "b")).alias("ab"), F.sum(more("b", "a")).alias("ba"))
     there = both.select("lang", "a", "b", F.col("ab").alias("x")).unionByName(both.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), F.col("ba").alias("x")))
-    x = lambda df: df.select("lang", "a", "b", F.col("x").cast("decimal(38,0)").alias("x"))
-    start = pairs.select("lang", "a", "b", (exact(none) * F.col("v")).alias("x"))
-    total = x(start).unionByName(x(left)).unionByName(x(right)).unionByName(x(there)).groupBy("lang", "a", "b").agg(F.sum("x").cast("long").alias("value"))
+    start = pairs.select("lang", "a", "b", (none * F.col("v")).alias("x"))
+    total = start.unionByName(left).unionByName(right).unionByName(there).groupBy("lang", "a", "b").agg(F.sum("x").alias("value"))
     return total.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value")
 
 
@@ -333,7 +352,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, range_t
     scratch = Scratch(docs.sparkSession)
     own = _emptied(docs)
     kept = scratch.write(kept_terms(own, least_docs))
-    found = recount(own, kept, scratch, range_terms)
+    found, vocabulary = recount(own, kept, scratch, range_terms)
     size = kept.groupBy("lang").agg(F.count("*").alias("v"))
     has = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = own.select("lang", "source").distinct().join(has, ["lang", "source"], "left").join(size, "lang", "left").fillna(0, ["total", "v"])
@@ -341,15 +360,15 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, range_t
     zero = F.when(whole > 0, probability(F.lit(0), F.greatest(whole, F.lit(1)))).otherwise(1)
     totals = scratch.write(groups.withColumn("zero", zero))
     counts = found.join(totals, ["lang", "source"]).withColumn("p", probability(F.col("n"), whole))
-    ordered = lambda *by: F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), *by)).alias("rank")
     pairs = _pairs(counts.select("lang", "source", "ordinal", "p", "zero"), totals)
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", ordered("item"))
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank"))
     in_all = F.sum("n").over(Window.partitionBy("lang", "ordinal"))
     of_lang = totals.groupBy("lang").agg(F.sum("total").alias("all_n"))
     q = probability(F.col("n_all"), F.col("all_n") + F.col("v"))
     common = counts.withColumn("n_all", in_all).join(of_lang, "lang").withColumn("q", q).where("p > q")
     common = common.withColumn("value", divergence(F.col("p"), F.col("q")))
-    terms_ = common.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value", ordered("ordinal")).where(F.col("rank") <= top)
+    best = ranked(common.select("lang", "source", "ordinal", "value"), ["lang", "source"], [F.desc("value"), F.col("ordinal")], top).join(vocabulary, ["lang", "ordinal"])
+    terms_ = best.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value", "rank")
     return pairs.unionByName(terms_)
 
 

@@ -126,10 +126,11 @@ def test_transducers_number_terms_in_order(terms, others):
     kept = sorted(t.encode() for t in terms)
     made = divergence.Transducer(kept)
     assert made.terms == len(kept)
-    assert made.ordinals(kept).tolist() == list(range(len(kept)))
+    text = lambda some: b"".join(t + b"\n" for t in some)
+    assert made.ordinals(text(kept)).tolist() == list(range(len(kept)))
     assert [made.term(k) for k in range(len(kept))] == kept
     asked = [o.encode() for o in others]
-    assert made.ordinals(asked).tolist() == [kept.index(o) if o in kept else -1 for o in asked]
+    assert made.ordinals(text(asked)).tolist() == [kept.index(o) if o in kept else -1 for o in asked]
     # minimal: as many states as there are different sets of endings, of prefixes that lead on
     endings = {frozenset(t[len(p) :] for t in kept if t.startswith(p)) for t in [*kept, b""] for p in (t[:k] for k in range(len(t) + 1))}
     assert made.states == len(endings)
