@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, spread_join
+from loomgraph.llm.common import Scratch, ranked, spread_join
 
 #: Phrases of a language, least frequency, and the percentage of its occurrences in a longer phrase at which a phrase goes.
 TOP, LEAST, WITHIN = 2000, 10, 50
@@ -82,9 +82,14 @@ class Filter:
         return out
 
 
-def _hash(*names: str) -> Column:
-    """XXH64 of the columns, each with that of those before it as seed."""
-    return F.xxhash64(*names)
+def word_hash(word: str) -> Column:
+    """XXH64 of a word, with that of its language as seed."""
+    return F.xxhash64("lang", word)
+
+
+def pair_hash(u: str, v: str) -> Column:
+    h = word_hash(v)
+    return word_hash(u).bitwiseXOR(F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)))
 
 
 # ---- counting ----
@@ -108,18 +113,17 @@ def _counted(lang: str, ids: np.ndarray, names: list[bytes], size: int, frequent
             key, n = np.unique(pair[ok], return_counts=True)
             found = [key // v, key % v]
         else:
-            key, at = np.unique(pair[ok], return_inverse=True)
-            h = np.array([xxhash.xxh64_intdigest(names[b], int(own[a])) for a, b in zip(key // v, key % v, strict=True)], np.uint64)
-            number = np.full(len(pair), -1, np.int64)
-            number[ok] = at
-            a, b = number[:-1], number[1:]
-            is_prefix, is_suffix = np.append(prefixes.has(h), False), np.append(suffixes.has(h), False)
-            first = np.flatnonzero((a >= 0) & (b >= 0) & (is_prefix[a] | is_suffix[b]))
-            three, n = np.unique(a[first] * v + ids[first + 2], return_counts=True)
+            whole = np.flatnonzero(ok[:-1] & ok[1:])
+            turned = (own << np.uint64(1)) | (own >> np.uint64(63))
+            hashes = lambda at: own[ids[at]] ^ turned[ids[at + 1]]
+            first = whole[prefixes.has(hashes(whole)) | suffixes.has(hashes(whole + 1))]
+            key, at = np.unique(pair[first], return_inverse=True)
+            three, n = np.unique(at * v + ids[first + 2], return_counts=True)
             both = key[three // v]
             found = [both // v, both % v, three % v]
-    columns = [pa.array([names[k] for k in f], pa.binary()) for f in found]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n.astype(np.int64))], ["lang", *"uvw"[:size], "n"])
+    table = pa.array(names, pa.binary())
+    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), *(table.take(pa.array(f)) for f in found), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", *"uvw"[:size], "n"])
 
 
 def grams(docs: DataFrame, size: int, frequent: Broadcast | None = None, prefixes: Broadcast | None = None, suffixes: Broadcast | None = None) -> DataFrame:
@@ -183,9 +187,12 @@ def _threes(three: DataFrame, two: DataFrame, one: DataFrame, scratch: Scratch)
 
 
 def _limits(scored: DataFrame, k: int) -> DataFrame:
-    """lang and limit: the score of the k-th pair of each language, 0 where there are fewer."""
-    nth = scored.select("lang", "score", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"))).alias("i")).where(F.col("i") <= k)
-    return nth.groupBy("lang").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("limit"))
+    """lang and limit: a score that k pairs of the language reach, and few more, or 0 where there are fewer. Scores are counted by
+    steps of one per cent, so what meets in a task is as many rows as there are steps."""
+    step = F.floor(F.log2(F.col("score") + 1) * 64)
+    steps = scored.groupBy("lang", step.alias("step")).agg(F.count("*").alias("c"), F.min("score").alias("least"))
+    so_far = steps.withColumn("c", F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("step"))))
+    return so_far.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("c") >= k, F.col("least"))), F.lit(0)).alias("limit"))
 
 
 def phrases(docs: DataFrame, top: int = TOP, least: int = LEAST, within: int = WITHIN, step: int = 2) -> DataFrame:
@@ -193,14 +200,14 @@ def phrases(docs: DataFrame, top: int = TOP, least: int = LEAST, within: int = W
     and phrase, that occur `least` times, but those of which `within` per cent are in a longer one.
 
     Null lang: und. Null and empty texts have no words; repeated rows count again; an empty table has no phrases. `step`: the
-    frontier starts at the step * top-th pair of a language, and takes step * step times as many each time.
+    frontier starts at the step * top-th pair of a language, and takes four times as many each time.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     every = scratch.write(grams(docs, 1))
     totals = scratch.write(every.groupBy("lang").agg(F.sum("n").alias("all")))
     one = scratch.write(every.where(F.col("n") >= least))
-    frequent = _shared(spark, one.select(_hash("lang", "u").alias("h")))
+    frequent = _shared(spark, one.select(word_hash("u").alias("h")))
     two = scratch.write(grams(docs, 2, frequent).where(F.col("n") >= least))
     pairs = scratch.write(_pairs(two, one, scratch))
     left, found, k = docs.withColumn("lang", F.coalesce("lang", F.lit(UNKNOWN))).select("lang", "text"), None, step * top
@@ -210,26 +217,25 @@ def phrases(docs: DataFrame, top: int = TOP, least: int = LEAST, within: int = W
         reached = pairs.join(F.broadcast(limits), "lang")
         prefixes = reached.where(F.col("bound") >= F.col("limit"))
         suffixes = reached.where(F.col("score") >= F.col("limit"))
-        filters = [frequent, *(_shared(spark, e.select(_hash("lang", "u", "v").alias("h"))) for e in (prefixes, suffixes))]
+        filters = [frequent, *(_shared(spark, e.select(pair_hash("u", "v").alias("h"))) for e in (prefixes, suffixes))]
         three = scratch.write(grams(left, 3, *filters).where(F.col("n") >= least))
         longer = _threes(three, two, one, scratch).join(F.broadcast(limits), "lang").where(F.col("score") >= F.col("limit"))
         parts = three.select("lang", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("w").alias("v")))).alias("p"), F.col("n").alias("m"))
         most = parts.groupBy("lang", "p.u", "p.v").agg(F.max("m").alias("m"))
         stay = suffixes.join(most, ["lang", "u", "v"], "left").where(F.col("m").isNull() | (100 * F.col("m") < within * F.col("n")))
         of = lambda df, *w: df.select("lang", F.concat_ws(" ", *(F.col(x).cast("string") for x in w)).alias("phrase"), "n", "l", "r", "score")
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase")
-        both = of(stay, "u", "v").unionByName(of(longer, "u", "v", "w")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        ranked = scratch.write(both)
-        enough = ranked.groupBy("lang").agg(F.count("*").alias("c")).where(F.col("c") >= top)
+        both = of(stay, "u", "v").unionByName(of(longer, "u", "v", "w"))
+        best = scratch.write(ranked(both, ["lang"], [F.desc("score"), F.desc("n"), F.col("phrase")], top))
+        enough = best.groupBy("lang").agg(F.count("*").alias("c")).where(F.col("c") >= top)
         settled = scratch.write(limits.join(enough, "lang", "left").where((F.col("limit") == 0) | F.col("c").isNotNull()).select("lang"))
-        done = ranked.join(F.broadcast(settled), "lang", "left_semi")
+        done = best.join(F.broadcast(settled), "lang", "left_semi")
         found = done if found is None else found.unionByName(done)
         open_ = scratch.write(limits.select("lang").join(settled, "lang", "left_anti"))
         for b in filters[1:]:
             b.unpersist()
         if open_.isEmpty():
             break
-        k, left = k * step * step, left.join(F.broadcast(open_), "lang", "left_semi")
+        k, left = 4 * k, left.join(F.broadcast(open_), "lang", "left_semi")
     named = found.join(F.broadcast(totals), "lang")
     return named.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("n").alias("a"), "l", "r", F.col("all").alias("n"), "score")
 
