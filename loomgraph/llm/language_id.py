@@ -12,6 +12,7 @@ have begun in, only until they are in the same state as before, which is mostly
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ BLOCK = 1024
 MARKS = (12, 24, 36, 48, 64, 96, 128, 256, 512)
 #: Characters that are parsed together.
 PART_CHARS = 1_500_000
+#: Times that blocks are parsed on in step.
+ROUNDS = 3
 #: Blocks that are parsed in step.
 IN_STEP = 4096
 #: The labelled sample: characters of each language, rows of each language, and longest row.
@@ -215,11 +218,14 @@ class CrossParser:
             count[:, b], end[:, b], marks[:, :, :, b] = self._parse(symbols, start[b], length[b])
         entry = np.repeat(self.roots[:, None], len(owner), axis=1)
         inner = np.flatnonzero(nth > 0)
-        while True:
+        for turn in range(ROUNDS + 1):
             lang, wrong = np.nonzero(entry[:, inner] != end[:, inner - 1])
             if not len(wrong):
                 break
             wrong = inner[wrong]
+            if turn == ROUNDS:
+                self._read_on(symbols, start, length, nth, entry, lang, wrong, count, end)
+                break
             entry[lang, wrong] = end[lang, wrong - 1]
             by = np.argsort(-length[wrong], kind="stable")
             for lo in range(0, len(by), 4 * IN_STEP):
@@ -277,6 +283,37 @@ class CrossParser:
                 marks[m, 0, lang[left], b[left]], marks[m, 1, lang[left], b[left]] = state[left], found[left]
                 lang, b, state, found, root = (v[left] for v in (lang, b, state, found, root))
 
+    @cached_property
+    def _step(self) -> dict[int, int]:
+        there = self.table.keys >= 0
+        return dict(zip(self.table.keys[there].tolist(), self.table.to[there].tolist(), strict=True))
+
+    def _read_on(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, nth: np.ndarray, entry: np.ndarray, lang: np.ndarray, wrong: np.ndarray, count: np.ndarray, end: np.ndarray) -> None:
+        """Reads each text on for each language from its first wrong block: a block that was entered right is passed over, the
+        others are parsed, one after the other."""
+        step, width, first = self._step, self.width, self.first.tolist()
+        upto = {}
+        for k, b in sorted(zip(lang.tolist(), wrong.tolist(), strict=True)):
+            if b < upto.get(k, 0):
+                continue
+            root = int(self.roots[k])
+            while b < len(nth) and nth[b] > 0:
+                state = int(end[k, b - 1])
+                if entry[k, b] != state:
+                    entry[k, b], found = state, 0
+                    for c in symbols[start[b] : start[b] + length[b]].tolist():
+                        to = step.get(state * width + c, -1)
+                        if to < 0:
+                            found += 1
+                            to = first[k][c]
+                            state = root if to < 0 else to
+                        else:
+                            found += state == root
+                            state = to
+                    count[k, b], end[k, b] = found, state
+                b += 1
+            upto[k] = b
+
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """bits a symbol [text, language], and the number of letters of each text."""
         codes, sizes, letters = letters_of(texts)
