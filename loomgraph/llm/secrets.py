@@ -7,6 +7,7 @@ labelled samples, and so is a stretch of it that is above one of its own; parts
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,26 +75,75 @@ class TokenModel:
         r = self.ratios(piece)
         if r.mean() > self.threshold:
             return [(0, len(r))]
-        total = np.concatenate(([0], np.cumsum(r - self.stretch))) if np.isfinite(self.stretch) else np.zeros(1)
-        out, open_ = [], [(0, len(total) - 1)]
+        if not np.isfinite(self.stretch) or len(r) < TOKEN:
+            return []
+        rises, joints = _Rises(np.concatenate(([0], np.cumsum(r - self.stretch))), TOKEN), np.flatnonzero(_IS_JOINT[piece]).tolist()
+        out, open_ = [], [(0, len(r))]
         while open_:
             lo, hi = open_.pop()
             if hi - lo < TOKEN:
                 continue
-            t = total[lo : hi + 1]
-            gain = t[TOKEN:] - np.minimum.accumulate(t[:-TOKEN])
-            end = int(gain.argmax())
-            if gain[end] <= 0:
+            gain, a, b = rises.best(lo, hi)
+            if gain <= 0:
                 continue
-            a, b = lo + int(t[: end + 1].argmin()), lo + end + TOKEN
-            joint = _IS_JOINT[piece]
-            before, after = np.flatnonzero(joint[lo:a]), np.flatnonzero(joint[b:hi])
-            x, y = lo + int(before[-1]) + 1 if len(before) else lo, b + int(after[0]) if len(after) else hi
+            before, after = bisect_left(joints, a), bisect_left(joints, b)
+            x = joints[before - 1] + 1 if before and joints[before - 1] >= lo else lo
+            y = joints[after] if after < len(joints) and joints[after] < hi else hi
             out.append((x, y))
             open_ += [(lo, x), (y, hi)]
         return sorted(out)
 
 
+class _Rises:
+    """The largest rises t[b] - t[a], b - a >= least, of a series within any part of it, the first of equals.
+
+    The series is kept in blocks of about the root of its length, each with its least t[a], its greatest t[a + least] and its
+    largest rise; a question reads two blocks and a row a block, however often the series is asked.
+    """
+
+    def __init__(self, t: np.ndarray, least: int, block: int = 0):
+        self.least, n = least, len(t) - least
+        self.size = block or max(64, int(n**0.5))
+        blocks = -(-n // self.size)
+        self.low, self.high = np.full(blocks * self.size, np.inf), np.full(blocks * self.size, -np.inf)
+        self.low[:n], self.high[:n] = t[:-least], t[least:]
+        low, high = self.low.reshape(blocks, -1), self.high.reshape(blocks, -1)
+        self.floor, self.top, self.inner = low.min(1), high.max(1), (high - np.minimum.accumulate(low, axis=1)).max(1)
+
+    def _scan(self, lo: int, hi: int, floor: float = np.inf) -> tuple[float, int]:
+        """The largest rise that ends in lo to hi, from the floor or from a place in there before it, and its end."""
+        rise = self.high[lo:hi] - np.minimum(np.minimum.accumulate(self.low[lo:hi]), floor)
+        k = int(rise.argmax())
+        return float(rise[k]), lo + k
+
+    def _lowest(self, lo: int, hi: int) -> int:
+        p, q = -(-lo // self.size), hi // self.size
+        if p >= q:
+            return lo + int(self.low[lo:hi].argmin())
+        k = p + int(self.floor[p:q].argmin())
+        parts = [(lo, p * self.size), (k * self.size, (k + 1) * self.size), (q * self.size, hi)]
+        places = [a + int(self.low[a:b].argmin()) for a, b in parts if a < b]
+        return min(places, key=lambda i: (self.low[i], i))
+
+    def best(self, lo: int, hi: int) -> tuple[float, int, int]:
+        """(rise, a, b) of the largest within lo to hi, which are at least `least` apart."""
+        hi = hi - self.least + 1
+        p, q = -(-lo // self.size), hi // self.size
+        if p >= q:
+            gain, end = self._scan(lo, hi)
+        else:
+            found = [self._scan(lo, p * self.size)] if lo < p * self.size else []
+            floor = self.low[lo : p * self.size].min(initial=np.inf)
+            before = np.minimum(np.minimum.accumulate(np.concatenate(([np.inf], self.floor[p:q]))), floor)
+            rise = np.maximum(self.inner[p:q], self.top[p:q] - before[:-1])
+            k = int(rise.argmax())
+            found.append(self._scan((p + k) * self.size, (p + k + 1) * self.size, before[k]))
+            if q * self.size < hi:
+                found.append(self._scan(q * self.size, hi, before[-1]))
+            gain, end = max(found, key=lambda x: (x[0], -x[1]))
+        return gain, self._lowest(lo, end + 1), end + self.least
+
+
 def _transitions(samples: list[str]) -> np.ndarray:
     n = len(SYMBOLS) + 1
     counts = np.full((n, n), 0.5)

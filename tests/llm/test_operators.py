@@ -586,6 +586,27 @@ def test_cross_parsing_is_longest_match(monkeypatch):
             assert got[k] == plain_phrases(m, (sample, mine), lang)  # blocks leave no trace
 
 
+def test_texts_without_steps_are_read_a_bounded_number_of_times():
+    """One letter, and a period that blocks cut: no block comes into step with the parse before."""
+    import time
+
+    m = language_id.CrossParser.fit({"en": ["www dot " * 60, prose(random.Random(1), 80)], "xx": [prose(random.Random(2), 80, "xx")]})
+    for unit in ("w", "wwwdot", "zako mirutavo"):
+        took = []
+        for n in (100_000, 200_000, 400_000):
+            text = (unit * n)[:n]
+            began = time.time()
+            got = m.phrases(*language_id.letters_of([text])[:2])[0]
+            took.append(time.time() - began)
+        assert took[2] < 2 and took[2] < 3.2 * max(took[1], 0.05)
+        short = language_id.letters_of([(unit * 9000)[:9000]])[0]
+        got = m.phrases(short, np.array([len(short)]))[0]
+        for k, lang in enumerate(m.langs):
+            samples = ["www dot " * 60, prose(random.Random(1), 80)] if lang == "en" else [prose(random.Random(2), 80, "xx")]
+            sample = m.symbol[np.concatenate([np.append(language_id.letters_of([t])[0], 0) for t in samples])].tobytes()
+            assert got[k] == plain_phrases(m, (sample, m.symbol[short].tobytes().replace(bytes([m.width - 1]), b"\xff")), lang)
+
+
 def test_language_id(spark):
     rows = labelled() + [(1000, None, "en", "s", 0, "k", 1), (1001, " 12 ?! ", None, "s", 0, "k", 1), (1002, "", "de", None, None, None, None), (None, prose(random.Random(1), 50, "de"), None, None, None, None, None), (1003, "der " * 30_000, None, None, None, None, None)]
     d = docs(spark, rows)
@@ -713,6 +734,65 @@ def test_long_texts_take_time_in_proportion():
     assert took[1] < 10 * took[0]
 
 
+def plain_stretches(model, piece):
+    """The stretch with the largest sum over the limit, out to the next joints, then what is left and right of it."""
+    r = model.ratios(piece)
+    if r.mean() > model.threshold:
+        return [(0, len(r))]
+    t = np.concatenate(([0], np.cumsum(r - model.stretch)))
+    joint = [chr(c) in "/_.=-" for c in piece]
+
+    def within(lo, hi):
+        best = max(((t[b] - t[a], -b, -a) for a in range(lo, hi) for b in range(a + secrets.TOKEN, hi + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        a, b = -best[2], -best[1]
+        x = next((k + 1 for k in range(a - 1, lo - 1, -1) if joint[k]), lo)
+        y = next((k for k in range(b, hi) if joint[k]), hi)
+        return [*within(lo, x), (x, y), *within(y, hi)]
+
+    return within(0, len(r))
+
+
+@pytest.mark.parametrize("block", [0, 1, 5, 23])
+def test_markov_stretches_are_brute_force(monkeypatch, block):
+    rng = random.Random(17)
+    m = secrets.fit_models(*secrets.labelled_samples([prose(rng, 400)]))
+    made = secrets._Rises
+    monkeypatch.setattr(secrets, "_Rises", lambda t, least: made(t, least, block))
+    some = 0
+    for k in range(25):
+        key = lambda: "".join(rng.choice(secrets.SYMBOLS[:62]) for _ in range(rng.randrange(10, 34)))
+        parts = [key() if rng.random() < 0.2 else rng.choice(secrets.ORDINARY) for _ in range(rng.randrange(5, 24))]
+        run = "".join(p + rng.choice("/_.=-" if k % 3 else "/_.=-aZ0") for p in parts * (1 + k % 2))
+        piece = np.frombuffer(run.encode(), np.uint8)
+        if len(piece) >= secrets.TOKEN:
+            assert m.secrets(piece) == plain_stretches(m, piece)
+            some += len(m.secrets(piece)) > 1
+    assert some > 5
+
+
+def test_long_runs_take_time_in_proportion():
+    """Keys between names joined by slashes, without a space: different keys, and one key again and again (all rises are equal)."""
+    import time
+
+    rng = random.Random(18)
+    m = secrets.fit_models(*secrets.labelled_samples([prose(rng, 400)]))
+    key = lambda: "".join(rng.choice(secrets.SYMBOLS[:62]) for _ in range(32))
+    for keys in ([key() for _ in range(500)], [key()]):
+        took = []
+        for n in (100_000, 200_000, 400_000):
+            parts, size = [], 0
+            while size < n:
+                parts += [keys[len(parts) % len(keys)], *(rng.choice(secrets.ORDINARY) for _ in range(8))]
+                size += sum(map(len, parts[-9:])) + 9
+            began = time.time()
+            spans = secrets.scan_texts(["/".join(parts)], m)[0]
+            took.append(time.time() - began)
+            assert sum(s["kind"] == "markov" for s in spans) > 0.9 * len(parts) / 9
+        assert took[2] < 2 and took[2] < 3.2 * max(took[1], 0.05) and took[1] < 3.2 * max(took[0], 0.05)
+
+
 def test_uncovered_is_brute_force():
     rng = random.Random(15)
     for _ in range(300):
