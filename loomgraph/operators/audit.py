@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import effective_confidence
+from loomgraph.operators import structure
 from loomgraph.operators.merge import STRUCTURAL, orphans
 
 LOW = 0.6
@@ -35,17 +36,24 @@ def duplicates(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def graph_health(nodes: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
-    """One row of metrics. One pass over the nodes, one over the edges; the joins are of one-row frames."""
-    share = lambda c: F.round(F.avg(c.cast("double")) * 100, 1)
+    """One row of metrics of a graph with its documents' layer, which only n_nodes, n_edges, the coverage and the ends that keep an
+    entity from being an orphan take in. unused_types: the types (type_name) that no entity has, in order. One pass over the
+    nodes, one over the edges; the joins are of one-row frames."""
+    entities = nodes.where(domain("label"))
+    open_ = lambda c="verified": ~F.coalesce(c, F.lit(True))
+    own, known = domain("label"), structure.knowledge()
     n = nodes.agg(
-        F.count("*").alias("n_nodes"), F.count_if(domain("label")).alias("n_domain"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), F.count_if(F.col("confidence") < LOW).alias("low_nodes"),
-        F.count_if(~F.coalesce("verified", F.lit(True))).alias("unverified_nodes"), share(F.coalesce("verified", F.lit(True))).alias("verified_percent"), F.countDistinct("label").alias("n_labels"),
+        F.count("*").alias("n_nodes"), F.count_if(own).alias("n_entities"), F.coalesce(F.round(F.avg(F.when(own, F.col("confidence"))), 3), F.lit(0.0)).alias("avg_confidence"),
+        F.count_if(own & (F.col("confidence") < LOW)).alias("low_nodes"), F.count_if(own & open_()).alias("unverified_nodes"), F.countDistinct(F.when(own, F.col("label"))).alias("n_labels"),
     )
-    e = edges.agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 3).alias("avg_edge_confidence"), F.count_if(F.col("confidence") < LOW).alias("low_edges"), F.count_if(~F.coalesce("verified", F.lit(True))).alias("unverified_edges"))
-    o = orphans(nodes, edges).agg(F.count("*").alias("n_orphans"))
-    t = types.join(nodes.select(F.col("label").alias("type_name")).distinct(), "type_name", "left_anti").agg(F.count("*").alias("unused_types"))
-    out = n.join(e).join(o).join(t)
-    return out.withColumn("density", F.round(F.col("n_edges") / F.col("n_nodes"), 2))
+    e = edges.agg(
+        F.count("*").alias("n_edges"), F.count_if(known).alias("n_facts"), F.count_if(known & (F.col("confidence") < LOW)).alias("low_edges"), F.count_if(known & open_()).alias("unverified_edges"),
+    )
+    o = orphans(entities, edges).agg(F.count("*").alias("n_orphans"))
+    t = unused_types(types, entities).agg(F.array_join(F.array_sort(F.collect_list("type_name")), ",").alias("unused_types"))
+    out = n.join(e).join(o).join(t).join(structure.coverage(nodes, edges))
+    density = F.when(F.col("n_entities") > 0, F.round(F.col("n_facts") / F.col("n_entities"), 2)).otherwise(0.0)
+    return out.withColumn("density", density)
 
 
 def unused_types(types: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.operators import merge
+from loomgraph.operators import merge, structure
 from loomgraph.sources.folders import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings", "labels", "benchmark")
@@ -45,6 +46,21 @@ EDGES = """select subj_label, lower(subj) as subj, predicate, obj_label, lower(o
 EDGES = EDGES.replace("group by all", "group by subj_label, lower(subj), predicate, obj_label, lower(obj)")
 
 
+#: The documents' layer: a document for each label, a section for each source and one of notes, and links of the surest mentions. Its
+#: rows have a low confidence and are unverified, so that a report that takes them in shows it.
+LAYER = """docs as (select distinct lower(label) as id, lower(label) || ' list' as title, lower(label) || '.csv' as filename from mentions),
+  secs as (select distinct source_doc as id, lower(label) as document_id, 'Section ' || source_doc as title from mentions union all select id || '-notes', id, 'Notes of ' || title from docs),
+  extracted as (select distinct label, lower(text) as canonical_name, source_doc as section_id from mentions where confidence >= 0.9),
+  all_nodes as (select label, canonical_name, name, confidence, verified from nodes union all select 'Document', id, title, 0.1, false from docs union all select 'Section', id, title, 0.1, false from secs),
+  all_edges as (select subj_label, subj, predicate, obj_label, obj, confidence, verified from edges union all select 'Section', id, 'BELONGS_TO', 'Document', document_id, 0.1, false from secs
+    union all select label, canonical_name, 'EXTRACTED_FROM', 'Section', section_id, 0.1, false from extracted)"""
+
+
+def layer_sql(rest: str) -> str:
+    """A DuckDB query on all_nodes and all_edges, which hold entities and the documents' layer."""
+    return graph_sql(f", {LAYER} {rest}" if rest.lstrip().startswith("select") else f", {LAYER}, {rest}")
+
+
 def _plain(sql: str) -> str:
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
@@ -90,8 +106,8 @@ def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = merge.keyed_edges(edge_mentions(spark, sf_dir))
-    return merge.merge_edges(None, merge.resolve_ends(batch, nodes(spark, sf_dir)))
+    """Merged first: the ends of a few distinct edges are looked up, not those of all mentions."""
+    return merge.resolve_ends(merge.merge_edges(None, merge.keyed_edges(edge_mentions(spark, sf_dir))), nodes(spark, sf_dir))
 
 
 _SNAPSHOTS: dict[tuple, tuple[str, object]] = {}
@@ -120,3 +136,30 @@ def sourced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshot(spark, sf_dir, merged_edges)
+
+
+def structural(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(document nodes, section nodes, BELONGS_TO edges, EXTRACTED_FROM edges) of the mentions."""
+    m = merge.keyed_mentions(mentions(spark, sf_dir))
+    weak = {"confidence": F.lit(0.1), "verified": F.lit(False)}
+    doc = m.select(F.lower("label").alias("doc_id")).distinct()
+    docs = doc.select("doc_id", F.concat("doc_id", F.lit(" list")).alias("title"), F.concat("doc_id", F.lit(".csv")).alias("filename"), F.lit(1).alias("page_count"), F.lit(None).cast("date").alias("ingested_at"))
+    one = {"start_page": F.lit(1), "end_page": F.lit(1), "summary": F.lit("")}
+    secs = m.select("source_doc", F.lower("label").alias("document_id")).distinct().select(F.col("source_doc").alias("id"), "document_id", F.concat(F.lit("Section "), "source_doc").alias("title"))
+    notes = docs.select(F.concat("doc_id", F.lit("-notes")), "doc_id", F.concat(F.lit("Notes of "), "title"))
+    secs = secs.union(notes).withColumns({"node_id": F.col("id"), "name": F.col("title"), "text": F.col("title"), "canonical_name": F.lower("title"), **one})
+    none = docs.select("doc_id", F.lit("[]").alias("tree_json"))
+    documents, sections, belongs = structure.store_documents(None, structure.document_nodes(docs, none), secs)
+    links = m.where("confidence >= 0.9").select("label", "canonical_name", F.col("source_doc").alias("section_id"))
+    extracted = structure.extracted_edges(links, nodes(spark, sf_dir), sections)
+    return documents.withColumns(weak), sections.withColumns(weak), belongs.withColumns(weak), extracted.withColumns(weak)
+
+
+def all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, sections, _, _ = structural(spark, sf_dir)
+    return structure.layered_nodes(nodes(spark, sf_dir), documents, sections)
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, belongs, extracted = structural(spark, sf_dir)
+    return structure.layered_edges(edges(spark, sf_dir), belongs, extracted)

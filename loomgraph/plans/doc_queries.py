@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import pipe_tables as P
+from loomgraph.operators import structure
 from loomgraph.plans.registry import query
 from loomgraph.sources import documents as D
 from loomgraph.sources.folders import shared_folder
@@ -171,11 +172,15 @@ def join18_section_lookup(spark, sf):
     return _sections(spark, sf).join(store, ["doc_id", "start_page"]).select("doc_id", "node_id", F.coalesce(F.nullif("text", F.lit("")), "title").alias("text"))
 
 
-@query("with " + ", ".join((PAGES, ENTRIES, SECTIONS, TREE)) + """ select t.doc_id, t.node_id, string_agg(c.title, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by c.node_id) as text from tr t join tr c on c.doc_id = t.doc_id and c.parent_id = t.node_id group by t.doc_id, t.node_id""")
+@query("with recursive " + ", ".join((PAGES, ENTRIES, SECTIONS, TREE)) + """, own as (select t.doc_id, t.node_id, t.parent_id, case when depth > 0 then nullif(pg.text, '') end as text from tr t join pg on pg.doc_id = t.doc_id and page_no = start_page),
+  below as (select doc_id, node_id as top, node_id from own where text is null union all select b.doc_id, b.top, o.node_id from below b join own o on o.doc_id = b.doc_id and o.parent_id = b.node_id)
+  select doc_id, node_id, text from own where text is not null
+  union all select b.doc_id, b.top, string_agg(o.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by o.node_id) from below b join own o on o.doc_id = b.doc_id and o.node_id = b.node_id where b.node_id <> b.top and o.text is not null group by b.doc_id, b.top""")
 def gq12_parent_text(spark, sf):
-    t = _tree(spark, sf).select("doc_id", "node_id", "parent_id", "title").where("parent_id is not null")
-    rows = F.array_sort(F.collect_list(F.struct("node_id", "title")))
-    return t.groupBy("doc_id", F.col("parent_id")).agg(F.array_join(F.transform(rows, lambda r: r["title"]), "\n\n---\n\n").alias("text")).select("doc_id", F.col("parent_id").alias("node_id"), "text")
+    """Sections of the first level have no text of their own here, so they show that of all sections below them."""
+    s = _sections(spark, sf)
+    texts = s.where("depth > 0").join(_pages(spark, sf).withColumnRenamed("page_no", "start_page"), ["doc_id", "start_page"]).select("doc_id", "node_id", "text")
+    return structure.subtree_text(structure.nested_sets(s), texts)
 
 
 @query("select doc_id, length(text) // 4 as tokens, substr(text, 11, 40) as slice from documents")

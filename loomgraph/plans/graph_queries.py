@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import audit, merge, search
+from loomgraph.operators import audit, merge, search, structure
 from loomgraph.plans import demo
-from loomgraph.plans.demo import graph_sql, node_sql
+from loomgraph.plans.demo import graph_sql, layer_sql, node_sql
 from loomgraph.plans.registry import query
 
 AS_OF = "2025-06-30"
@@ -47,9 +47,9 @@ def join1_dangling_edges(spark, sf):
     return merge.dangling_ends(merge.keyed_edges(demo.edge_mentions(spark, sf)), demo.nodes(spark, sf)).distinct()
 
 
-@query(graph_sql("select (select count(*) from nodes) as n_nodes, (select count(*) from edges) as n_edges"))
+@query(layer_sql("select (select count(*) from all_nodes) as n_nodes, (select count(*) from all_edges) as n_edges"))
 def agg1_graph_size(spark, sf):
-    return audit.graph_size(demo.nodes(spark, sf), demo.edges(spark, sf))
+    return audit.graph_size(demo.all_nodes(spark, sf), demo.all_edges(spark, sf))
 
 
 @query(node_sql("select label, count(*) as n from nodes group by label"))
@@ -67,15 +67,18 @@ def agg4_duplicates(spark, sf):
     return audit.duplicates(merge.keyed_mentions(demo.mentions(spark, sf)), ["label", "canonical_name"])
 
 
-@query(graph_sql(""", """ + TYPES_SQL + """, ends as (select subj_label as label, subj as canonical_name from edges union select obj_label, obj from edges),
-  n as (select count(*) as n_nodes, count(*) filter (label not in ('Document','Section')) as n_domain, round(avg(confidence), 3) as avg_confidence, count(*) filter (confidence < 0.6) as low_nodes,
-    count(*) filter (not coalesce(verified, true)) as unverified_nodes, round(avg(coalesce(verified, true)::int::double) * 100, 1) as verified_percent, count(distinct label) as n_labels from nodes),
-  e as (select count(*) as n_edges, round(avg(confidence), 3) as avg_edge_confidence, count(*) filter (confidence < 0.6) as low_edges, count(*) filter (not coalesce(verified, true)) as unverified_edges from edges),
-  o as (select count(*) as n_orphans from nodes n where not exists (select 1 from ends where ends.label = n.label and ends.canonical_name = n.canonical_name)),
-  t as (select count(*) as unused_types from types where type_name not in (select label from nodes))
-  select *, round(n_edges::double / n_nodes, 2) as density from n, e, o, t"""))
+@query(layer_sql(TYPES_SQL + """, ends as (select subj_label as label, subj as canonical_name from all_edges union select obj_label, obj from all_edges),
+  own as (select * from all_nodes where label not in ('Document', 'Section')), facts as (select * from all_edges where predicate not in ('BELONGS_TO', 'EXTRACTED_FROM')),
+  n as (select count(*) as n_entities, round(avg(confidence), 3) as avg_confidence, count(*) filter (confidence < 0.6) as low_nodes,
+    count(*) filter (not coalesce(verified, true)) as unverified_nodes, count(distinct label) as n_labels from own),
+  e as (select count(*) as n_facts, count(*) filter (confidence < 0.6) as low_edges, count(*) filter (not coalesce(verified, true)) as unverified_edges from facts),
+  o as (select count(*) as n_orphans from own n where not exists (select 1 from ends where ends.label = n.label and ends.canonical_name = n.canonical_name)),
+  t as (select string_agg(type_name, ',' order by type_name) as unused_types from types where type_name not in (select label from own)),
+  c as (select count(*) as total_sections, count(*) filter (id in (select section_id from extracted)) as covered_sections from secs)
+  select *, (select count(*) from all_nodes) as n_nodes, (select count(*) from all_edges) as n_edges, round(n_facts::double / n_entities, 2) as density,
+    round(covered_sections::double / total_sections * 100, 1) as document_coverage from n, e, o, t, c"""))
 def agg5_graph_health(spark, sf):
-    return audit.graph_health(demo.nodes(spark, sf), demo.edges(spark, sf), _types(spark))
+    return audit.graph_health(demo.all_nodes(spark, sf), demo.all_edges(spark, sf), _types(spark))
 
 
 @query("select distinct least(p_brand, p_type) as a, greatest(p_brand, p_type) as b from part")
@@ -84,9 +87,9 @@ def agg10_contradiction_pairs(spark, sf):
     return audit.contradiction_pairs(p.select(F.col("p_brand").alias("a"), F.col("p_type").alias("b")).unionByName(p.select(F.col("p_type").alias("a"), F.col("p_brand").alias("b"))))
 
 
-@query(node_sql("select label, canonical_name from nodes where label not in ('Document', 'Section', 'REGION')"))
+@query(layer_sql("select label, canonical_name from all_nodes where label not in ('Document', 'Section', 'REGION')"))
 def flt1_exclude_labels(spark, sf):
-    return demo.nodes(spark, sf).where(audit.domain("label") & (F.col("label") != "REGION")).select("label", "canonical_name")
+    return demo.all_nodes(spark, sf).where(audit.domain("label") & (F.col("label") != "REGION")).select("label", "canonical_name")
 
 
 _WIDE = """select 'Document' as label, cast(doc_id as string) as filename, cast(null as string) as canonical_name, source as name from {documents}
@@ -104,10 +107,11 @@ def flt3_present_fields(spark, sf):
     return audit.present_fields(demo.base(spark, sf, _WIDE), ["canonical_name", "name", "filename"])
 
 
-@query(graph_sql("select 'node' as kind, count(*) as n from nodes where confidence < 0.6 union all select 'edge', count(*) from edges where confidence < 0.6"))
+@query(layer_sql("""select 'node' as kind, count(*) as n from all_nodes where confidence < 0.6 and label not in ('Document', 'Section')
+  union all select 'edge', count(*) from all_edges where confidence < 0.6 and predicate not in ('BELONGS_TO', 'EXTRACTED_FROM')"""))
 def flt5_low_confidence(spark, sf):
     low = lambda df, k: df.where(F.col("confidence") < audit.LOW).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
-    return low(demo.nodes(spark, sf), "node").unionByName(low(demo.edges(spark, sf), "edge"))
+    return low(demo.all_nodes(spark, sf).where(audit.domain("label")), "node").unionByName(low(demo.all_edges(spark, sf).where(structure.knowledge()), "edge"))
 
 
 @query(node_sql("select label, canonical_name, confidence from nodes where not coalesce(verified, true)"))
@@ -115,9 +119,10 @@ def flt6_unverified_nodes(spark, sf):
     return audit.unverified(demo.nodes(spark, sf)).select("label", "canonical_name", "confidence").orderBy("label", "canonical_name")
 
 
-@query(graph_sql("select subj_label, subj, predicate, obj_label, obj from edges where not coalesce(verified, true)"))
+@query(layer_sql("""select subj_label, subj, predicate, obj_label, obj from all_edges
+  where not coalesce(verified, true) and subj_label not in ('Document', 'Section') and obj_label not in ('Document', 'Section')"""))
 def flt7_unverified_edges(spark, sf):
-    e = audit.unverified(demo.edges(spark, sf)).where(audit.domain("subj_label") & audit.domain("obj_label"))
+    e = audit.unverified(demo.all_edges(spark, sf)).where(audit.domain("subj_label") & audit.domain("obj_label"))
     return e.select(*merge.EDGE_KEY).orderBy("predicate", "subj")
 
 
@@ -138,11 +143,12 @@ def prj2_properties(spark, sf):
     return _props(spark, sf)
 
 
-@query(graph_sql("""select subj as canonical_name, '→' as direction, predicate, obj_label as other_label, obj as other from edges where subj in (select lower(s_name) from supplier)
-  union all select obj, '←', predicate, subj_label, subj from edges where obj in (select lower(s_name) from supplier)"""))
+@query(layer_sql("""facts as (select * from all_edges where subj_label not in ('Document', 'Section') and obj_label not in ('Document', 'Section'))
+  select subj as canonical_name, '→' as direction, predicate, obj_label as other_label, obj as other from facts where subj in (select lower(s_name) from supplier)
+  union all select obj, '←', predicate, subj_label, subj from facts where obj in (select lower(s_name) from supplier)"""))
 def join6_related(spark, sf):
     names = spark.read.parquet(f"{sf}/supplier.parquet").select(F.lower("s_name").alias("canonical_name"))
-    return search.related(demo.edges(spark, sf), names)
+    return search.related(demo.all_edges(spark, sf), names)
 
 
 @query(graph_sql("select a.subj_label as a_label, a.subj as a, a.obj_label as b_label, a.obj as b, b.obj_label as c_label, b.obj as c from edges a join edges b on a.obj_label = b.subj_label and a.obj = b.subj where a.predicate = 'SUPPLIES' and b.predicate = 'HAS_BRAND'"))
@@ -174,10 +180,11 @@ def join10_conflicts(spark, sf):
     return audit.conflicts(demo.edges(spark, sf), rules)
 
 
-@query(graph_sql(""", ends as (select subj_label as label, subj as canonical_name from edges union select obj_label, obj from edges)
-  select label, canonical_name from nodes n where not exists (select 1 from ends where ends.label = n.label and ends.canonical_name = n.canonical_name)"""))
+@query(layer_sql("""ends as (select subj_label as label, subj as canonical_name from all_edges union select obj_label, obj from all_edges)
+  select label, canonical_name from all_nodes n where label not in ('Document', 'Section') and not exists (select 1 from ends where ends.label = n.label and ends.canonical_name = n.canonical_name)"""))
 def join12_orphans(spark, sf):
-    return merge.orphans(demo.nodes(spark, sf), demo.edges(spark, sf)).select("label", "canonical_name")
+    """Entities that no edge touches, not even one to a section."""
+    return merge.orphans(demo.all_nodes(spark, sf).where(audit.domain("label")), demo.all_edges(spark, sf)).select("label", "canonical_name")
 
 
 @query(node_sql(", " + TYPES_SQL + " select type_name from types where type_name not in (select label from nodes)"))

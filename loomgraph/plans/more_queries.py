@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomgraph.functions import register
-from loomgraph.operators import layouts, logs, merge, ontology, pipe_tables, resolve
+from loomgraph.operators import layouts, logs, merge, ontology, pipe_tables, resolve, structure
 from loomgraph.plans import demo, doc_queries, record_queries
 from loomgraph.plans.demo import graph_sql, node_sql
 from loomgraph.plans.registry import query
@@ -150,15 +150,34 @@ def gq15_item_context(spark, sf):
     return logs.review_context(n, chats, ep).select("canonical_name", "source_text", "label", "question", "answer")
 
 
-@query("select doc_id, arg_max(title, o) as title, min(o) as first from (select doc_id, source as title, 0 as o from documents union all select doc_id, 'new ' || lang, 1 from documents where lang <> 'en' union all select doc_id + 1000000, lang, 1 from documents where lang = 'de') group by doc_id")
+_TREES = "with " + ", ".join((doc_queries.PAGES, doc_queries.ENTRIES, doc_queries.SECTIONS, doc_queries.TREE)) + """,
+  lv as (select t.*, case when parent_id is null then 0 when parent_id in (select node_id from tr x where x.doc_id = t.doc_id and x.parent_id is null) then 1 else 2 end as lvl from tr t),
+  b as (select 0 as age, lv.*, d.lang, title as t from lv join documents d using (doc_id) where d.lang <> 'de' union all select 1, lv.*, d.lang, 'new ' || title from lv join documents d using (doc_id) where d.lang in ('de', 'fr') and depth < 2),
+  own as (select *, '{"node_id":' || to_json(node_id) || ',"title":' || to_json(t) || ',"start_page":' || start_page || ',"end_page":' || end_page || ',"summary":"","children":[' as js from b),
+  l2 as (select age, doc_id, parent_id, string_agg(js || ']}', ',' order by node_id) as js from own where lvl = 2 group by age, doc_id, parent_id),
+  l1 as (select o.age, o.doc_id, o.parent_id, string_agg(o.js || coalesce(c.js, '') || ']}', ',' order by o.node_id) as js from own o left join l2 c on c.age = o.age and c.doc_id = o.doc_id and c.parent_id = o.node_id where lvl = 1 group by o.age, o.doc_id, o.parent_id),
+  l0 as (select o.age, o.doc_id, '[' || string_agg(o.js || coalesce(c.js, '') || ']}', ',' order by o.node_id) || ']' as js from own o left join l1 c on c.age = o.age and c.doc_id = o.doc_id and c.parent_id = o.node_id where lvl = 0 group by o.age, o.doc_id)
+"""
+
+
+@query(_TREES + """, d as (select 0 as age, doc_id, source as title from documents where lang <> 'de' union all select 1, doc_id, 'new ' || lang from documents where lang in ('de', 'fr'))
+  select 'Document' as label, doc_id::varchar as id, arg_min(d.title, age) as title, arg_max(coalesce(js, '[]'), age) as detail from d left join l0 using (age, doc_id) group by doc_id
+  union all select 'Section', doc_id || ':' || node_id, arg_min(t, age), 'BELONGS_TO ' || doc_id from b group by doc_id, node_id""")
 def mut3_document_upsert(spark, sf):
-    """A known document takes the batch's title; a new one is added."""
-    d = doc_queries._docs(spark, sf)
-    old = d.select("doc_id", F.col("source").alias("title"), F.lit(0).alias("first"))
-    new = d.where("lang != 'en'").select("doc_id", F.concat(F.lit("new "), "lang").alias("title"), F.lit(1).alias("first"), F.lit(1).alias("ord"))
-    new = new.unionByName(d.where("lang = 'de'").select(F.col("doc_id") + 1_000_000, "lang", F.lit(1), F.lit(1)).toDF("doc_id", "title", "first", "ord"))
-    merged = merge.upsert_by_key(old, new, ["doc_id"], "ord").select("doc_id", "title")
-    return merged.join(old.select("doc_id", "first"), "doc_id", "left").select("doc_id", "title", F.coalesce("first", F.lit(1)).alias("first"))
+    """Documents and sections of two batches: a known document takes the second one's tree alone, a known section stays."""
+    d, s = doc_queries._docs(spark, sf), doc_queries._sections(spark, sf).withColumn("summary", F.lit(None).cast("string"))
+    doc = lambda df, title: df.select("doc_id", title.alias("title"), F.col("source").alias("filename"), F.lit(1).alias("page_count"), F.lit(None).cast("date").alias("ingested_at"))
+
+    def batch(langs, title, sections):
+        docs = d.where(langs)
+        own = sections.join(docs.select("doc_id"), "doc_id", "left_semi")
+        return structure.document_nodes(doc(docs, title), structure.tree_json(own, structure.nested_sets(own))), structure.section_nodes(own)
+
+    one = structure.store_documents(None, *batch(F.col("lang") != "de", F.col("source"), s))
+    again = s.where("depth < 2").withColumn("title", F.concat(F.lit("new "), "title"))
+    docs, sections, edges = structure.store_documents(one[:2], *batch(F.col("lang").isin("de", "fr"), F.concat(F.lit("new "), "lang"), again))
+    held = sections.join(edges.select(F.col("subj").alias("id"), F.concat_ws(" ", "predicate", "obj").alias("detail")), "id")
+    return docs.select(F.lit("Document").alias("label"), "id", "title", F.col("tree_json").alias("detail")).unionByName(held.select(F.lit("Section").alias("label"), "id", "title", "detail"))
 
 
 @query(node_sql("select distinct label, lower(text) as canonical_name, arg_max(source_doc, {'c': confidence, 'o': -ord}) as section_id from mentions group by label, lower(text)"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import register
 from loomgraph.functions import text as T
-from loomgraph.operators import audit, logs, merge, ontology, resolve, search
+from loomgraph.operators import audit, logs, merge, ontology, resolve, search, structure
 from loomgraph.plans import demo
 from loomgraph.plans.demo import _plain, node_sql
 from loomgraph.plans.registry import query
@@ -225,12 +225,12 @@ def join5_explicit_pairs(spark, sf):
 # ---- provenance ----
 
 
-@query(node_sql("select label, canonical_name, d as source_doc, lower(label) || ' list' as title from (select label, canonical_name, unnest(string_split(source_docs, ', ')) as d from nodes)"))
+@query(demo.layer_sql("""select e.label, e.canonical_name, e.section_id, s.title as section_title, d.title as doc_title, d.filename as doc_filename
+  from extracted e join secs s on s.id = e.section_id join docs d on d.id = s.document_id"""))
 def join11_provenance(spark, sf):
-    """Every mention of a node is a link to its source."""
-    links = merge.keyed_mentions(demo.mentions(spark, sf)).join(demo.nodes(spark, sf), merge.NODE_KEY, "left_semi").select("label", "canonical_name", "source_doc")
-    docs = demo.mentions(spark, sf).select("source_doc", F.concat(F.lower("label"), F.lit(" list")).alias("title")).distinct()
-    return links.join(docs, "source_doc").select("label", "canonical_name", "source_doc", "title")
+    """From every entity to the sections it was found in, and from these to their documents."""
+    documents, sections, belongs, extracted = demo.structural(spark, sf)
+    return structure.provenance(structure.layered_edges(demo.edges(spark, sf), belongs, extracted), documents, sections)
 
 
 @query("select count(distinct source_doc) as covered, count(*) as mentions from (" + _plain(demo.MENTIONS) + ")")
