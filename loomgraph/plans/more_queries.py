@@ -231,7 +231,7 @@ def _arriving(spark, table, files=None):
 @query("select 'PART' as label, lower(p_name) as canonical_name, count(*) as n, max(confidence) as confidence, max(seen) as last_confirmed_at from (select p_name, (p_partkey % 41)::double / 40 as confidence, date '2024-01-01' + (p_partkey % 365)::int as seen from part) group by lower(p_name)")
 def str1_incremental_ingest(spark, sf):
     """The part table as a stream of mentions, merged batch by batch into snapshots."""
-    stream = _arriving(spark, spark.read.parquet(f"{sf}/part.parquet").repartition(3, "p_partkey"), 1)
+    stream = _arriving(spark, spark.read.parquet(f"{sf}/part.parquet"), 1)
     m = stream.select(F.lit("PART").alias("label"), F.lower("p_name").alias("canonical_name"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), ((F.col("p_partkey") % 41).cast("double") / 40).alias("confidence"), F.lit(True).alias("verified"), F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("source_doc"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 365).cast("int")).alias("seen"))
     out = ingest.ingest_mentions(m, _folder(spark, "stream"), merge.merge_node_fields)
     return out.select("label", "canonical_name", F.col("n_mentions").alias("n"), "confidence", "last_confirmed_at")
@@ -239,15 +239,41 @@ def str1_incremental_ingest(spark, sf):
 
 @query("select distinct sha256(text) as content from documents")
 def str2_seen_contents(spark, sf):
-    """The documents as a stream of three files; contents that an earlier batch had are skipped."""
-    stream = _arriving(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3, "doc_id"), 1)
-    return ingest.ingest_mentions(stream, _folder(spark, "contents"), ingest.first_contents).select("content")
+    """The documents as a stream of files; contents that an earlier batch had are skipped."""
+    stream = _arriving(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content")), 1)
+    return ingest.ingest_mentions(stream, _folder(spark, "contents"), ingest.first_contents, ["content"]).select("content")
+
+
+@query("select distinct sha256(text) as content from documents")
+def str2_new_contents(spark, sf):
+    """The same by state that forgets: here the watermark is wide enough for all documents."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("ts"))
+    return ingest.append(ingest.new_contents(_arriving(spark, d), "ts", "1000 days"), _folder(spark, "new-contents")).select("content")
 
 
 @query("select time_bucket(interval '1 hour', ts) as started, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def str3_live_activity(spark, sf):
-    stream = _arriving(spark, spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
-    return ingest.drain(ingest.activity_counts(stream, "ts"), _folder(spark, "activity"))
+    """Windows are put out once, when the watermark has passed them; a last row, a day later, closes those that are open."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    path, folder = _folder(spark, "arriving"), _folder(spark, "activity")
+    e.write.parquet(path)
+    counts = ingest.activity_counts(spark.readStream.schema(e.schema).parquet(path), "ts")
+    ingest.append(counts, folder)
+    e.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(*(F.col(c) if c == "ts" else F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns)).write.mode("append").parquet(path)
+    return ingest.append(counts, folder)
+
+
+@query("""with a as (select max(ts) - interval 2 hour as held from events where event_type = 'view')
+  select event_id, 'late by' as reason from events, a where event_type <> 'view' and time_bucket(interval '1 hour', ts) + interval 1 hour <= held""")
+def str3_late_rows(spark, sf):
+    """All views come first; of what comes after them, rows of windows that have ended are rejected."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    path, folder = _folder(spark, "arriving"), _folder(spark, "late")
+    stream = lambda: spark.readStream.schema(e.schema).parquet(path)
+    e.where("event_type = 'view'").write.parquet(path)
+    ingest.rejects(stream(), folder, "ts")
+    e.where("event_type != 'view'").write.mode("append").parquet(path)
+    return ingest.rejects(stream(), folder, "ts").select("event_id", F.substring("reason", 1, 7).alias("reason"))
 
 
 # ---- user functions and planned operators ----

@@ -1,10 +1,14 @@
 """Batches that run again change nothing; results do not depend on partitions or order."""
 
+from collections import Counter
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import logs, merge, search
 from loomgraph.streaming import ingest
+from loomgraph.streaming.buckets import Store
 
 MENTIONS = "label string, canonical_name string, ord long, text string, confidence double, verified boolean, source_doc string, seen string"
 
@@ -19,13 +23,78 @@ def rows(df):
 
 
 def test_a_batch_that_runs_again_is_skipped(spark, tmp_path):
-    folder = f"file://{tmp_path}/nodes"
+    store = Store(spark, f"file://{tmp_path}/nodes", merge.NODE_KEY, merge.merge_nodes, 4)
     m = mentions(spark)
     for k in (0, 1, 1, 0):
-        ingest.merge_batch(folder, merge.merge_nodes, m.where(F.col("ord") % 2 == k), k)
-    got = spark.read.parquet(ingest.snapshot_path(folder, 1))
+        store.merge(m.where(F.col("ord") % 2 == k), k)
     want = merge.merge_nodes(merge.merge_nodes(None, m.where("ord % 2 = 0")), m.where("ord % 2 = 1"))
-    assert rows(got) == rows(want)
+    assert rows(store.read()) == rows(want)
+    with pytest.raises(ValueError, match="before batch 5"):
+        store.merge(m, 5)
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/nodes", merge.NODE_KEY, merge.merge_node_fields, 16)
+    m = mentions(spark)
+    assert store.merge(m, 0) == m.select(F.pmod(F.xxhash64(*merge.NODE_KEY), F.lit(16))).distinct().count()
+    one = m.where("canonical_name = 'n3'")
+    assert store.merge(one, 1) == 1
+    data = tmp_path / "nodes" / "data"
+    assert len(list((data / "batch=00000001").glob("bucket=*"))) == 1
+    assert store.merge(one.limit(0), 2) == 0
+    assert rows(store.read()) == rows(merge.merge_node_fields(merge.merge_node_fields(None, m), one))
+    for k in range(3, 7):
+        store.merge(one, k)
+    assert store.batches() == [5, 6]  # older manifests are gone, and so are the buckets that only they named
+    assert sorted(p.name for p in data.glob("batch=*/bucket=*/..") if p.exists()) and len(list(data.glob("batch=0000000[1-4]/bucket=*"))) == 0
+    assert store.read(5).count() == store.read().count()
+    with pytest.raises(ValueError, match="16 buckets"):
+        Store(spark, f"file://{tmp_path}/nodes", merge.NODE_KEY, merge.merge_node_fields, 8).merge(m, 7)
+
+
+def test_a_crash_before_the_manifest_is_made_good(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/nodes", merge.NODE_KEY, merge.merge_node_fields, 4)
+    m = mentions(spark)
+    store.merge(m.where("ord < 30"), 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            store.merge(m.where("ord >= 30"), 1)
+    assert rows(store.read()) == rows(merge.merge_node_fields(None, m.where("ord < 30")))  # readers see the batch before
+    store.merge(m.where("ord >= 30"), 1)
+    assert rows(store.read()) == rows(merge.merge_node_fields(None, m))
+
+
+def test_windows_close_and_late_rows_are_rejected(spark, tmp_path):
+    """Rows within the watermark count, later ones are in the rejects, each row is in one of both; state stays as large as the open windows."""
+    schema = "event_id long, event_type string, value double, ts timestamp"
+    row = lambda k, hour: (k, "ab"[k % 2], 1.0, datetime(2024, 1, 1) + timedelta(hours=hour))
+    files = [[row(k, k / 4) for k in range(40)], [row(100, 8.5), row(101, 1.5), row(102, 12)], [row(103, 10.2), row(104, 30), row(105, 2)], [row(106, 500)]]
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    state = []
+    for rows_ in files:
+        spark.createDataFrame(rows_, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        counts = ingest.activity_counts(stream(), "ts")
+        q = ingest.run_to_end(counts, f"{tmp_path}/counts", lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/counts/result/batch={i:08d}"))
+        state.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        late = ingest.rejects(stream(), f"{tmp_path}/late", "ts")
+    counted = {(r.started.isoformat(), r.event_type): r.n for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/counts/result").collect()}
+    gone = {r.event_id for r in late.collect()}
+    assert gone == {101, 105}
+    want = Counter((r[3].replace(minute=0, second=0).isoformat(), r[1]) for f in files for r in f if r[0] not in gone and r[0] != 106)
+    assert counted == want
+    assert state[0] <= 8 and state[-1] == 1
+
+
+def test_new_contents_forget(spark, tmp_path):
+    schema = "doc_id long, text string, ts timestamp"
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    files = [[(1, "x", at(0)), (2, "x", at(0)), (3, None, at(0))], [(4, "x", at(0.5)), (5, "y", at(9))], [(6, "x", at(9)), (7, "y", at(9))]]
+    for f in files:
+        spark.createDataFrame(f, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        got = ingest.append(ingest.new_contents(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ts", "1 hour"), f"{tmp_path}/out")
+    texts = [r.text for r in got.collect()]
+    assert Counter(texts) == {"x": 2, "y": 1, None: 1}  # x came again long after the watermark had passed it
 
 
 def test_stream_of_files_is_the_batches_in_order(spark, tmp_path):
