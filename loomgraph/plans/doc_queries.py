@@ -11,6 +11,7 @@ from loomgraph.operators import pipe_tables as P
 from loomgraph.operators import structure
 from loomgraph.plans.registry import query
 from loomgraph.sources import documents as D
+from loomgraph.sources import formats
 from loomgraph.sources.folders import shared_folder
 
 #: Lines as pages; every third line opens a section, three levels deep in turn.
@@ -44,20 +45,35 @@ def _tree(spark, sf):
     return D.parents(_sections(spark, sf))
 
 
-@query("select page_id as doc_id, sha256(html) as content_id, length(html) as n from pages union all select doc_id, sha256(text), length(text) from documents")
-def src1_scan_files(spark, sf):
-    """The given documents and pages as files of JSON lines, beside files of another kind; scanned by a folder, a glob that names
-    some of them once more, and a single file, and read from their contents."""
+def _given_files(spark, sf):
+    """The given documents (markdown, text, and, of Spanish ones, a format that nobody reads), pages and turns, a file each."""
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    docs, pages = _docs(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    docs.write.option("maxRecordsPerFile", 2000).json(f"{folder}/documents/json")
-    docs.select(F.col("doc_id").cast("string")).write.text(f"{folder}/documents/ids")
-    pages.coalesce(1).write.json(f"{folder}/pages")
-    one = D.scan_files(spark, f"{folder}/pages", ["json"]).select("path")
-    files = D.scan_files(spark, [f"{folder}/documents", f"{folder}/documents/js*/part-*", *(r[0] for r in one.toLocalIterator())], [".JSON"])
-    line = F.explode(F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x != "")).alias("line")
-    read = files.select(line).select(F.from_json("line", "doc_id long, text string").alias("r"))
-    return read.select("r.doc_id", F.sha2("r.text", 256).alias("content_id"), F.length("r.text").alias("n"))
+    kind = F.when(F.col("lang") == "en", "md").when(F.col("lang") == "es", "pdf").when(F.col("lang") == "fr", "TXT").otherwise("text")
+    docs = _docs(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("name"), "text")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.format_string("p%d.%s", "page_id", F.when(F.col("page_id") % 2 == 0, "html").otherwise("htm")).alias("name"), F.col("html").alias("text"))
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    raw = F.concat(F.lit("From: "), "role", F.lit("@example.org\nSubject: turn "), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), F.coalesce("text", F.lit("")))
+    turns = c.select(F.format_string("c%d-%d.eml", "conv_id", "turn").alias("name"), raw.alias("text"))
+    for part, rows in (("documents", docs), ("pages", pages), ("turns", turns)):
+        formats.write_files(rows, f"{folder}/{part}")
+    return folder
+
+
+@query(r"""with f as (select 'd' || doc_id || case lang when 'en' then '.md' when 'es' then '.pdf' when 'fr' then '.TXT' else '.text' end as name, case lang when 'en' then 'markdown' when 'es' then 'rejected' else 'text' end as format, text from documents
+  union all select 'p' || page_id || case when page_id % 2 = 0 then '.html' else '.htm' end, 'html', null from pages
+  union all select 'c' || conv_id || '-' || turn || '.eml', 'mail', 'From: ' || role || '@example.org' || 'Subject: turn ' || turn || coalesce(text, '') from conversations)
+  select name, format, case when format = 'rejected' then 'unsupported type: pdf' when format <> 'html' then sha256(regexp_replace(text, '\s', '', 'g')) end as content from f""")
+def src1_scan_files(spark, sf):
+    """The given tables as files of four formats and one that is rejected: by file, all that its chunks have but white space, or the
+    reason; not for web pages, whose text SQL does not know."""
+    folder = _given_files(spark, sf)
+    chunks, lost = formats.chunks(formats.files(spark, folder))
+    parts = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    squeezed = F.regexp_replace(F.array_join(F.transform(parts, lambda p: p["text"]), ""), r"\s", "")
+    whole = chunks.groupBy("doc_id", "format").agg(F.sha2(squeezed, 256).alias("content"))
+    name = lambda c: F.element_at(F.split(c, "/"), -1).alias("name")
+    read = whole.select(name("doc_id"), "format", F.when(F.col("format") != "html", F.col("content")).alias("content"))
+    return read.unionByName(lost.select(name("path"), F.lit("rejected").alias("format"), F.col("reason").alias("content")))
 
 
 @query()

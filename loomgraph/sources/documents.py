@@ -93,6 +93,16 @@ def visible_text(html: str | None) -> str:
     return "\n\n".join(page.parts).strip()
 
 
+def visible(html: Column) -> Column:
+    """visible_text of a column."""
+
+    @F.pandas_udf("string")
+    def shown(pages: pd.Series) -> pd.Series:
+        return pages.map(visible_text)
+
+    return shown(html)
+
+
 def html_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, html, ...) to (doc_id, text): what a reader sees."""
 
@@ -132,12 +142,29 @@ def mail_pages(mails: DataFrame) -> DataFrame:
     return mails.select("doc_id", "raw").mapInPandas(run, "doc_id long, head string, text string")
 
 
+def mail_parts(raw: Column) -> Column:
+    """struct<head, text>: mail_text of a column."""
+
+    @F.pandas_udf("head string, text string")
+    def parts(mails: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([mail_text(m) for m in mails], columns=["head", "text"])
+
+    return parts(raw)
+
+
 def mail_chunks(mails: DataFrame) -> DataFrame:
     """mails (doc_id, raw) to chunks (doc_id, page_no, text): the headers, if there are any, and the body's paragraphs, packed."""
-    p = mail_pages(mails)
-    body = F.when(F.col("text") != "", paragraph_chunks(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.when(F.col("head") != "", F.array("head")).otherwise(F.array().cast("array<string>")), body)
-    return chunk_rows(p, F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(""))))
+    return _mail_chunks(mail_pages(mails))
+
+
+def _mail_chunks(p: DataFrame) -> DataFrame:
+    return chunk_rows(p, packed_mail(F.col("head"), F.col("text")))
+
+
+def packed_mail(head: Column, body: Column) -> Column:
+    none = F.array().cast("array<string>")
+    every = F.concat(F.when(head != "", F.array(head)).otherwise(none), F.when(body != "", paragraph_chunks(body)).otherwise(none))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("")))
 
 
 def line_pages(docs: DataFrame) -> DataFrame:
