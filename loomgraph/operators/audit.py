@@ -115,3 +115,17 @@ def properties(nodes: DataFrame, fields: list[str], nested: list[str] | None = N
         pairs = F.concat(pairs, F.coalesce(entries, F.array(F.struct(F.lit(f).alias("k"), F.col(f).alias("v")))))
     shown = F.filter(pairs, lambda p: p["v"].isNotNull() & ~p["v"].isin("", "{}"))
     return nodes.select("label", "canonical_name", F.explode(shown).alias("p")).select("label", "canonical_name", "p.k", "p.v")
+
+
+def dashboard(documents: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataFrame, episodes: DataFrame) -> DataFrame:
+    """One row: documents, pages, nodes, edges, density (edges of a node), sessions and turns."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    e = episodes.agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("turns"))
+    out = n(documents, "documents").join(n(pages, "pages")).join(n(nodes, "nodes")).join(n(edges, "edges")).join(e)
+    return out.withColumn("density", F.when(F.col("nodes") > 0, F.round(F.col("edges") / F.col("nodes"), 2)).otherwise(0.0))
+
+
+def type_histogram(records: DataFrame, by: str = "type") -> DataFrame:
+    """Types of extracted records and how many of each, and their share in percent."""
+    n = records.groupBy(by).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select(by, "n", F.round(F.col("n") / F.col("all") * 100, 1).alias("percent"))

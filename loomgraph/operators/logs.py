@@ -84,11 +84,14 @@ def empty_runs(steps: DataFrame, n: int = 3) -> DataFrame:
     return steps.select("session_id").distinct().join(hit, "session_id", "left").select("session_id", F.coalesce("t", F.lit(0)).alias("triggers"))
 
 
-def compaction_window(e: DataFrame, threshold: int = 3, keep: int = 2) -> DataFrame:
-    """Turns to compact: all but the last two of sessions with more than `threshold` turns."""
-    w = Window.partitionBy("session_id")
-    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))
-    return e.withColumn("n", F.count("*").over(w)).withColumn("back", back).where((F.col("n") > threshold) & (F.col("back") > keep)).drop("n", "back")
+def compaction_window(e: DataFrame, threshold: int = 3, keep: int = 2, compacted: DataFrame | None = None) -> DataFrame:
+    """Turns to compact: of sessions with more than `threshold` turns that are not compacted yet, those after the compacted ones and
+    before the last `keep`. compacted: session_id, compacted_turns (how many of the first turns are); none: 0."""
+    w = Window.partitionBy("session_id").orderBy("turn")
+    e = e.join(compacted.select("session_id", "compacted_turns"), "session_id", "left") if compacted is not None else e.withColumn("compacted_turns", F.lit(None).cast("int"))
+    e = e.withColumn("__done", F.coalesce("compacted_turns", F.lit(0))).withColumn("__n", F.count("*").over(Window.partitionBy("session_id"))).withColumn("__at", F.row_number().over(w))
+    late = (F.col("__n") - F.col("__done") > threshold) & (F.col("__at") > F.col("__done")) & (F.col("__at") <= F.col("__n") - keep)
+    return e.where(late).drop("__done", "__n", "__at", "compacted_turns")
 
 
 def last_turns_within(e: DataFrame, size: Column, budget: int) -> DataFrame:
@@ -97,31 +100,90 @@ def last_turns_within(e: DataFrame, size: Column, budget: int) -> DataFrame:
     return e.withColumn("upto", F.sum(size).over(w)).where(F.col("upto") <= budget)
 
 
-def context(e: DataFrame, budget: int) -> DataFrame:
-    """session_id, context: turns from the newest back, in full if they fit the budget of tokens, else short, until one fits neither.
+# What stands around the turns, and a turn's lines.
+HEADER, FOOTER = "═══ CONVERSATION CONTEXT (previous turns) ═══\n", "\n═══ CURRENT QUESTION ═══\n"
+SUMMARY = "[Summary of turns 1–%d]\n%s\n"
+QUESTION, TRACE, BRIEF, ANSWER = "Turn %d:\n  Question: %s", "\n  Graph queries & results:\n", "\n  Context from this turn:\n", "\n  Answer: "
 
-    A fold over a session's turns, newest first; a session's turns are what one prompt would hold.
+
+def context(e: DataFrame, budget: int, sessions: DataFrame | None = None) -> DataFrame:
+    """session_id, context: turns from the newest back, in full if they fit what is left of the budget of tokens (of four
+    characters), else in short, until one fits neither; in order, between a header and a footer, which count too.
+
+    e: session_id, turn, question, answer and, where there are any, trace and brief: a turn's queries with their results, and in
+    short. sessions: session_id, summary, compacted_turns; compacted turns are left out and the summary stands for them. No turn
+    and no summary: an empty context. A fold over a session's turns, newest first; they are what one prompt would hold.
     """
-    full = F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer")
-    short = F.concat(F.lit("Q: "), F.substring("question", 1, 80))
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("o"), full.alias("full"), short.alias("short"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
+    has = lambda c, mark: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(mark), c)).otherwise("") if c in e.columns else F.lit("")
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))
+    if sessions is None:
+        e = e.withColumns({"summary": F.lit(""), "done": F.lit(0)})
+    else:
+        e = e.join(sessions.select("session_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("compacted_turns", F.lit(0)).alias("done")), "session_id", "left").fillna({"summary": "", "done": 0})
+    start, end = F.format_string(QUESTION, F.col("number"), F.coalesce("question", F.lit(""))), F.concat(F.lit(ANSWER), F.coalesce("answer", F.lit("")))
+    forms = F.struct((-F.col("number")).alias("o"), F.concat(start, has("trace", TRACE), end).alias("full"), F.concat(start, has("brief", BRIEF), end).alias("short"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("number") > F.col("done"), forms)))
     tokens = lambda c: F.floor(F.length(c) / 4)
+    block = F.when(F.col("summary") != "", F.format_string(SUMMARY, F.col("done"), F.col("summary"))).otherwise("")
+    held = e.withColumn("number", number).groupBy("session_id").agg(rows.alias("rows"), F.first(block).alias("block"))
+    left = F.lit(budget) - (len(HEADER) + len(FOOTER)) // 4 - tokens(F.col("block"))
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
 
     def step(a, r):
-        a_full, a_short = ~a["over"] & (a["used"] + tokens(r["full"]) <= budget), ~a["over"] & (a["used"] + tokens(r["short"]) <= budget)
-        used = F.when(a_full, a["used"] + tokens(r["full"])).when(a_short, a["used"] + tokens(r["short"])).otherwise(a["used"])
-        out = F.when(a_full, F.concat(F.array(r["full"]), a["out"])).when(a_short, F.concat(F.array(r["short"]), a["out"])).otherwise(a["out"])
-        return F.struct(used.alias("used"), (a["over"] | ~(a_full | a_short)).alias("over"), out.alias("out"))
+        full, short = ~a["over"] & (a["used"] + tokens(r["full"]) <= F.col("left")), ~a["over"] & (a["used"] + tokens(r["short"]) <= F.col("left"))
+        used = F.when(full, a["used"] + tokens(r["full"])).when(short, a["used"] + tokens(r["short"])).otherwise(a["used"])
+        out = F.when(full, F.concat(F.array(r["full"]), a["out"])).when(short, F.concat(F.array(r["short"]), a["out"])).otherwise(a["out"])
+        return F.struct(used.alias("used"), (a["over"] | ~(full | short)).alias("over"), out.alias("out"))
+
+    parts = F.concat(F.when(F.col("block") != "", F.array("block")).otherwise(F.array().cast("array<string>")), F.aggregate("rows", none, step, lambda a: a["out"]))
+    made = held.withColumn("left", left).select("session_id", parts.alias("parts"))
+    return made.select("session_id", F.when(F.size("parts") > 0, F.concat(F.lit(HEADER), F.array_join("parts", "\n"), F.lit(FOOTER))).otherwise("").alias("context"))
 
-    return e.groupBy("session_id").agg(F.aggregate(rows, start, step, lambda a: F.array_join(a["out"], "\n")).alias("context"))
 
+GAPS, ACTIONS = "array<string>", "array<struct<tool:string,args:string,observation:string>>"
+LONG = 1000
 
-def session_markdown(e: DataFrame) -> DataFrame:
-    """session_id, markdown: the session's turns in order, with a line of metrics each."""
-    turn = F.concat(F.format_string("## Turn %d\n\n**Q:** %s\n\n**A:** %s\n\n", F.col("turn"), F.col("question"), F.col("answer")), F.format_string("*steps %d, confidence %.2f*", F.col("steps_taken"), F.col("confidence")))
-    rows = F.array_sort(F.collect_list(F.struct("turn", turn.alias("md"))))
-    return e.groupBy("session_id").agg(F.array_join(F.transform(rows, lambda r: r["md"]), "\n\n").alias("markdown"))
+
+def session_markdown(e: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """session_id, markdown: a header, then each turn with its answer, metrics, assessment, gaps and trace.
+
+    sessions: session_id, name, domain, started_at. e may lack completeness, assessment_reasoning, assessment_gaps (JSON list, or a gap)
+    and actions_log (JSON list of tool, args, observation; observations are cut after 1,000 characters); metrics that are null, and
+    counts and times that are 0, are not shown. Grouped by session, as one document of a session is asked for.
+    """
+    col = lambda c, kind="string": F.col(c) if c in e.columns else F.lit(None).cast(kind)
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    share = lambda c, name: F.when(col(c, "double").isNotNull(), F.concat(F.lit(f"{name}: "), F.format_string("%.0f%%", F.bround(col(c, "double") * 100, 0))))
+    count = lambda c, name, form="%d", unit="": F.when(col(c, "double") != 0, F.concat(F.lit(f"{name}: "), F.format_string(form, F.col(c)), F.lit(unit)))
+    metrics = F.array_join(F.array(
+        share("confidence", "Confidence"), share("groundedness", "Groundedness"), share("completeness", "Completeness"), count("steps_taken", "Steps"),
+        count("elapsed_seconds", "Time", "%.1f", "s"), count("entities_added", "Entities added"), count("rels_added", "Relationships added"),
+    ), " | ")
+    gaps = F.coalesce(F.from_json(col("assessment_gaps"), GAPS), F.when(col("assessment_gaps") != "", F.array(col("assessment_gaps"))), F.array().cast(GAPS))
+    actions = F.coalesce(F.from_json(col("actions_log"), ACTIONS), F.array().cast(ACTIONS))
+
+    def action(a, i):
+        o = F.when(F.length(a["observation"]) > LONG, F.concat(F.substring(a["observation"], 1, LONG), F.lit("\n\n... (truncated)"))).otherwise(a["observation"])
+        fence = lambda c, head="": F.when(F.coalesce(c, F.lit("")) != "", line(f"{head}```\n", c, "\n```\n")).otherwise("")
+        return line("**Step ", (i + 1).cast("string"), ": ", F.coalesce(a["tool"], F.lit("?")), "**\n", fence(a["args"]), fence(o, "Result:\n"), "\n")
+
+    trace = F.when(F.size(actions) > 0, line("<details>\n<summary>Reasoning Trace (", F.size(actions).cast("string"), " steps)</summary>\n\n", F.array_join(F.transform(actions, action), ""), "</details>\n\n")).otherwise("")
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))
+    turn = line(
+        "## Turn ", F.col("number").cast("string"), "\n\n**Q:** ", F.coalesce("question", F.lit("")), "\n\n**A:**\n\n", F.coalesce("answer", F.lit("")), "\n\n",
+        F.when(F.col("metrics") != "", line("*", F.col("metrics"), "*\n\n")).otherwise(""),
+        F.when(F.coalesce(col("assessment_reasoning"), F.lit("")) != "", line("> **Assessment:** ", col("assessment_reasoning"), "\n\n")).otherwise(""),
+        F.when(F.size(gaps) > 0, line("**Knowledge gaps:**\n", F.array_join(F.transform(gaps, lambda g: F.concat(F.lit("- "), g)), "\n"), "\n\n")).otherwise(""), trace, "---\n",
+    )
+    rows = F.array_sort(F.collect_list(F.struct("number", turn.alias("md"))))
+    out = e.withColumns({"number": number, "metrics": metrics}).groupBy("session_id").agg(F.array_join(F.transform(rows, lambda r: r["md"]), "\n").alias("body"), F.count("*").alias("turns"))
+    if sessions is None:
+        sessions = out.select("session_id", *(F.lit(None).cast("string").alias(c) for c in ("name", "domain", "started_at")))
+    named = sessions.join(out, "session_id", "left").withColumns({"turns": F.coalesce("turns", F.lit(0)), "body": F.coalesce("body", F.lit(""))})
+    some = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    about = F.array_join(F.array(line("**Domain**: ", some("domain")), line("**Started**: ", F.substring(some("started_at"), 1, 19)), line("**Turns**: ", F.col("turns").cast("string"))), " | ")
+    head = line("# Session: ", F.coalesce(some("name"), F.substring(F.col("session_id").cast("string"), 1, 8)), "\n\n", about, "\n\n---\n\n")
+    return named.select("session_id", F.concat(head, "body").alias("markdown"))
 
 
 def resolve_session(sessions: DataFrame, refs: DataFrame) -> DataFrame:
@@ -193,3 +255,8 @@ def action_summary(actions: Column, lines: int = 8, names: int = 10) -> Column:
     some = F.slice(F.array_distinct(F.filter(every, lambda n: n != "")), 1, names)
     ran = F.when(F.size(graph) > 0, F.concat(F.lit("    Queries: "), F.size(graph).cast("string"), F.lit(" graph queries executed")))
     return F.concat_ws("\n", ran, F.when(F.size(some) > 0, F.concat(F.lit("    Entities found: "), F.array_join(some, ", "))))
+
+
+def append_activity(items: DataFrame, path: str) -> None:
+    """Appends items to the log at path, each with the time of the append. Files are added; what is there is not read."""
+    items.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import canonical_name
+
 ACCEPT = 0.85
 RECORD = "text string, type string, confidence double"
 
@@ -20,13 +22,37 @@ def valid_entities(records: DataFrame, default: float = 0.5) -> DataFrame:
     return r.where("text != '' and type != ''")
 
 
-def valid_edges(records: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edge records (section, subj, predicate, obj) whose ends are both among their section's entities (section, text)."""
-    e = entities.select("section", F.lower("text").alias("k")).distinct()
-    r = records.withColumn("s", F.lower(F.trim("subj"))).withColumn("o", F.lower(F.trim("obj"))).withColumn("predicate", F.upper(F.trim("predicate"))).where("s != '' and o != '' and predicate != ''")
-    for c in ("s", "o"):
-        r = r.join(e.withColumnRenamed("k", c), ["section", c], "left_semi")
-    return r.select("section", F.col("s").alias("subj"), "predicate", F.col("o").alias("obj"))
+def _typed(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """records with s and o: the entity (text, type) of their section that each end names: by lower-cased text, else by canonical name;
+    the last one of equal names."""
+    last = lambda key, name: entities.groupBy("section", key.alias(name)).agg(F.max_by(F.struct("text", "type"), "ord").alias(f"{name}_e"))
+    for side, end in (("s", "subj"), ("o", "obj")):
+        records = records.withColumns({f"{side}1": F.lower(end), f"{side}2": canonical_name(F.col(end))})
+        records = records.join(last(F.lower("text"), f"{side}1"), ["section", f"{side}1"], "left").join(last(canonical_name(F.col("text")), f"{side}2"), ["section", f"{side}2"], "left")
+        records = records.withColumn(side, F.coalesce(f"{side}1_e", f"{side}2_e"))
+    return records
+
+
+def valid_edges(records: DataFrame, entities: DataFrame, default: float = 0.5) -> DataFrame:
+    """Edge records (section, subj, predicate, obj, confidence as string) whose ends are both among their section's entities (section,
+    ord, text, type), under the entities' texts, with their types."""
+    r = records.select("section", F.trim("subj").alias("subj"), F.upper(F.trim("predicate")).alias("predicate"), F.trim("obj").alias("obj"), F.coalesce(F.col("confidence").try_cast("double"), F.lit(default)).alias("confidence"))
+    r = _typed(r.where("subj != '' and obj != '' and predicate != ''"), entities).where("s is not null and o is not null")
+    return r.select("section", F.col("s.text").alias("subj"), F.col("s.type").alias("subj_type"), "predicate", F.col("o.text").alias("obj"), F.col("o.type").alias("obj_type"), "confidence")
+
+
+def enrichment_edges(records: DataFrame, predicates: DataFrame, entities: DataFrame, default: float = 0.7) -> DataFrame:
+    """Edge records (id, subj, predicate, obj, subj_type, obj_type, confidence as string) of known predicates (predicate), unverified, from
+    chat. A missing type is that of the entity (text, type, ord) of just that text, the last of equal texts, else empty."""
+    upper = lambda c: F.upper(F.trim(F.coalesce(c, F.lit("")))).alias(c)
+    bare = lambda c: F.trim(F.coalesce(c, F.lit(""))).alias(c)
+    r = records.select("id", bare("subj"), upper("predicate"), bare("obj"), upper("subj_type"), upper("obj_type"), F.coalesce(F.col("confidence").try_cast("double"), F.lit(default)).alias("confidence"))
+    r = r.where("subj != '' and obj != ''").join(predicates.select("predicate").distinct(), "predicate", "left_semi")
+    last = entities.groupBy("text").agg(F.max_by("type", "ord").alias("t"))
+    for side in ("subj", "obj"):
+        r = r.join(last.select(F.col("text").alias(side), F.col("t").alias(f"{side}_t")), side, "left")
+        r = r.withColumn(f"{side}_type", F.coalesce(F.nullif(f"{side}_type", F.lit("")), f"{side}_t", F.lit("")))
+    return r.select("id", "subj", "subj_type", "predicate", "obj", "obj_type", "confidence", F.lit(False).alias("verified"), F.lit("chat:enrichment").alias("source_doc"))
 
 
 def enrichment(records: DataFrame, types: DataFrame, default: float = 0.7) -> DataFrame:
@@ -88,14 +114,31 @@ def type_list(types: DataFrame) -> DataFrame:
     return types.groupBy("version_id").agg(F.array_join(rows, "\n").alias("listing"))
 
 
+def entity_list(entities: DataFrame, most: int = 200) -> DataFrame:
+    """One row, listing: `- text (TYPE)` of the first `most` entities (text, type) by text and type."""
+    first = entities.select("text", "type").orderBy("text", "type").limit(most)
+    rows = F.array_sort(F.collect_list(F.struct("text", "type")))
+    return first.agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), r["text"], F.lit(" ("), r["type"], F.lit(")"))), "\n").alias("listing"))
+
+
+def priority(first: DataFrame, second: DataFrame, by: str, keys: dict) -> DataFrame:
+    """All rows of first (`by`, `ord`, further columns), then those of second whose keys (columns) first has not within the same `by`, the
+    earliest of equal ones; with `source`, table or model."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    keyed = second.withColumns(dict(zip(names, keys.values(), strict=True)))
+    known = first.select(by, *(k.alias(n) for n, k in zip(names, keys.values(), strict=True))).distinct()
+    new = keyed.join(known, [by, *names], "left_anti").withColumn("__r", F.row_number().over(Window.partitionBy(by, *names).orderBy("ord"))).where("__r = 1")
+    return first.withColumn("source", F.lit("table")).unionByName(new.select(*first.columns).withColumn("source", F.lit("model")))
+
+
 def section_priority(table_records: DataFrame, model_records: DataFrame) -> DataFrame:
     """All table records, then model records whose lower-cased text is new in the section; the first of equal texts."""
-    t = table_records.select("section", "text", "ord")
-    m = model_records.select("section", "text", "ord").withColumn("k", F.lower("text"))
-    m = m.join(t.select("section", F.lower("text").alias("k")).distinct(), ["section", "k"], "left_anti")
-    w = Window.partitionBy("section", "k").orderBy("ord")
-    m = m.withColumn("r", F.row_number().over(w)).where("r = 1")
-    return t.withColumn("source", F.lit("table")).unionByName(m.select("section", "text", "ord", F.lit("model").alias("source")))
+    return priority(*(r.select("section", "text", "ord") for r in (table_records, model_records)), "section", {"text": F.lower("text")})
+
+
+def triple_priority(table_edges: DataFrame, model_edges: DataFrame) -> DataFrame:
+    """All table edges, then model edges (section, subj, predicate, obj, ord) that are new in the section, ends in any case."""
+    return priority(*(r.select("section", "subj", "predicate", "obj", "ord") for r in (table_edges, model_edges)), "section", {"s": F.lower("subj"), "p": F.col("predicate"), "o": F.lower("obj")})
 
 
 def _balanced(text: str) -> list[str]:

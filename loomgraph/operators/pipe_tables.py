@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import canonical_name, column_key, fill_template, predicate_name, product_prefix, strip, typed_cell
@@ -46,8 +46,9 @@ def row_properties(rows: DataFrame) -> DataFrame:
     """table_rows with `props`, map of column key to value: blanks left out, the shorter side ends it, the last of equal keys wins."""
     pairs = F.transform(F.arrays_zip("columns", "cells"), lambda z: F.struct(column_key(z["columns"]).alias("k"), z["cells"].alias("v")))
     kept = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["v"] != ""))
-    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["k"] == p["k"]))
-    return rows.withColumn("props", F.map_from_entries(last))
+    made = rows.withColumn("__kept", kept).withColumn("__back", F.reverse(F.transform("__kept", lambda p: p["k"])))  # keys are made once a row
+    last = F.filter("__kept", lambda p, i: F.array_position("__back", p["k"]) == F.size("__kept") - i)
+    return made.withColumn("props", F.map_from_entries(last)).drop("__kept", "__back")
 
 
 def row_entities(rows: DataFrame, texts: DataFrame, least_rows: int = 2) -> DataFrame:
@@ -117,21 +118,49 @@ def coverage(entities: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), "expected", F.round(F.coalesce("n", F.lit(0)) / F.col("expected"), 4).alias("coverage"))
 
 
-def store_tables(rows: DataFrame, name: str, ingest_id: int) -> tuple[DataFrame, DataFrame]:
-    """(tables, table_rows) to write: a table's id is a hash of document, number, name and ingest."""
-    tid = F.xxhash64("doc_id", "table_no", F.lit(name), F.lit(ingest_id)).alias("table_id")
-    tables = rows.groupBy("doc_id", "table_no").agg(F.first("columns").alias("columns"), F.count("*").alias("n_rows")).select(tid, F.col("doc_id").alias("source_doc"), F.concat(F.lit(name + "_"), F.col("table_no").cast("string")).alias("table_name"), "columns", F.lit(ingest_id).alias("ingest_id"))
-    return tables, row_properties(rows).select(tid, "row_index", "props")
+def table_name(prefix: Column, title: Column) -> Column:
+    """`prefix_title`, without underlines at the ends, blanks as underlines."""
+    return F.replace(F.regexp_replace(F.concat_ws("_", F.coalesce(prefix, F.lit("")), F.coalesce(title, F.lit(""))), "^_+|_+$", ""), F.lit(" "), F.lit("_"))
 
 
-def filter_rows(rows: DataFrame, filters: dict[str, str], limit: int, limit_first: bool = True) -> DataFrame:
-    """Rows (row_index, props) whose named columns equal the values, ignoring case. The limit comes before the filter unless told otherwise."""
-    hit = F.lit(True)
-    for k, v in filters.items():
-        hit = hit & (F.lower(F.coalesce(F.element_at("props", F.lit(k)), F.lit(""))) == v.lower())
-    return rows.where(F.col("row_index") < limit).where(hit) if limit_first else rows.where(hit).orderBy("row_index").limit(limit)
+def store_tables(rows: DataFrame, texts: DataFrame, ingest_id: int) -> tuple[DataFrame, DataFrame]:
+    """(tables, table_rows) to write: all table rows of a section are one table, named by its prefix and title, with the columns of its
+    first row that has any value. texts: doc_id, title, text. A table's id is a hash of document, name and ingest."""
+    named = texts.select("doc_id", table_name(product_prefix(F.col("text")), F.col("title")).alias("table_name"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("table_no", "row_index")) - 1
+    held = row_properties(rows).where(F.size("props") > 0).join(named, "doc_id").withColumn("row_index", at)
+    tid = F.xxhash64("doc_id", "table_name", F.lit(ingest_id)).alias("table_id")
+    tables = held.groupBy("doc_id", "table_name").agg(F.min_by(F.map_keys("props"), "row_index").alias("columns"), F.count("*").alias("n_rows"))
+    tables = tables.select(tid, F.col("doc_id").alias("source_doc"), "table_name", "columns", "n_rows", F.lit(ingest_id).alias("ingest_id"))
+    return tables, held.select(tid, "row_index", "props")
 
 
-def rows_like(rows: DataFrame, text: str) -> DataFrame:
-    """Rows whose JSON text holds the words, ignoring case."""
-    return rows.where(F.contains(F.lower(F.to_json("props")), F.lit(text.lower())))
+def newest_tables(tables: DataFrame) -> DataFrame:
+    """table_name, table_id of the newest table of each name (ingest_id, then source_doc)."""
+    last = F.max_by("table_id", F.struct("ingest_id", "source_doc")).alias("table_id")
+    return tables.groupBy("table_name").agg(last)
+
+
+def _asked(tables: DataFrame, rows: DataFrame, questions: DataFrame) -> DataFrame:
+    return questions.join(newest_tables(tables), "table_name").join(rows, "table_id")
+
+
+def _first(met: DataFrame, limit: int) -> DataFrame:
+    return met.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy("row_index"))).where(F.col("__r") <= limit).drop("__r")
+
+
+def filter_rows(tables: DataFrame, rows: DataFrame, questions: DataFrame, limit: int = 100, limit_first: bool = True) -> DataFrame:
+    """questions (qid, table_name, filters: map of column to value) to (qid, row_index, props): rows of the newest table of the name whose
+    columns equal the values in any case, a missing column being empty. The limit comes before the filters unless told otherwise."""
+    met = _asked(tables, rows, questions)
+    value = lambda k: F.lower(F.coalesce(F.try_element_at("props", k), F.lit("")))
+    hit = F.forall(F.map_entries("filters"), lambda f: value(f["key"]) == F.lower(f["value"]))
+    kept = _first(met, limit).where(hit) if limit_first else _first(met.where(hit), limit)
+    return kept.select("qid", "row_index", "props")
+
+
+def rows_like(tables: DataFrame, rows: DataFrame, questions: DataFrame, limit: int = 100) -> DataFrame:
+    """questions (qid, table_name, term) to (qid, row_index, props): the first rows, by index, of the newest table of the name whose JSON
+    text holds the term in any case; an empty term: any row."""
+    met = _asked(tables, rows, questions).where(F.contains(F.lower(F.to_json("props")), F.lower(F.coalesce("term", F.lit("")))))
+    return _first(met, limit).select("qid", "row_index", "props")

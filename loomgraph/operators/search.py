@@ -103,11 +103,28 @@ def shared_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(e.withColumnRenamed("subj", "b"), ["b", "obj_label", "obj"]).select("a", "b", "obj_label", "obj")
 
 
-def compare(props: DataFrame, a: str, b: str) -> DataFrame:
-    """Properties of two entities side by side."""
-    left = props.where(F.col("canonical_name") == a).select("k", F.col("v").alias("va"))
-    right = props.where(F.col("canonical_name") == b).select("k", F.col("v").alias("vb"))
-    return left.join(right, "k", "full_outer")
+def compare(questions: DataFrame, nodes: DataFrame, edges: DataFrame, props: DataFrame) -> DataFrame:
+    """questions (qid, a, b) to qid, side, kind, k, v: both names resolved as in find, exact names first; then, of questions with both,
+    `entity` (label, name), `property`, `→` (predicate, name) of each side 1 and 2, and `shared` of side 0: a node that both point
+    at, and the two predicates. A name that is not found is a row `missing`, the first one of a question alone.
+
+    props: label, canonical_name, k, v. Structure is left out.
+    """
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.trim(c).alias("term")) for i, c in ((1, "a"), (2, "b"))))
+    asked = questions.select("qid", F.explode(sides).alias("s")).select(F.struct("qid", "s.side").alias("qid"), "s.term")
+    found = find(nodes, asked, ["canonical_name"], limit=1, exact_first=True).select("qid", "label", "canonical_name")
+    all_ = asked.join(found, "qid", "left").select("qid.qid", "qid.side", "term", "label", "canonical_name")
+    lost = all_.where("canonical_name is null").groupBy("qid").agg(F.min_by(F.struct("side", "term"), "side").alias("m")).select("qid", "m.side", F.lit("missing").alias("kind"), F.col("m.term").alias("k"), F.lit(None).cast("string").alias("v"))
+    both = all_.join(lost.select("qid"), "qid", "left_anti")
+    e = edges.where(domain("subj_label") & domain("obj_label")).select("subj", "predicate", "obj_label", "obj").distinct()
+    row = lambda df, kind, k, v: df.select("qid", "side", F.lit(kind).alias("kind"), k.alias("k"), v.alias("v"))
+    own = row(both, "entity", F.col("label"), F.col("canonical_name"))
+    shown = row(both.join(props, ["label", "canonical_name"]), "property", F.col("k"), F.col("v"))
+    out = both.select("qid", "side", F.col("canonical_name").alias("subj")).join(e, "subj")
+    left, right = (out.where(F.col("side") == i).select("qid", "obj_label", "obj", F.col("predicate").alias(f"p{i}")) for i in (1, 2))
+    shared = left.join(right, ["qid", "obj_label", "obj"]).withColumn("side", F.lit(0))
+    met = row(shared, "shared", F.concat("obj_label", F.lit(" "), "obj"), F.concat_ws(" / ", "p1", "p2"))
+    return lost.unionByName(own).unionByName(shown).unionByName(row(out, "→", F.col("predicate"), F.col("obj"))).unionByName(met)
 
 
 def paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.operators import audit, structure
 from loomgraph.operators import pipe_tables as P
-from loomgraph.operators import structure
 from loomgraph.plans.registry import query
 from loomgraph.sources import documents as D
 from loomgraph.sources import formats
@@ -276,10 +276,14 @@ def tab4_row_edges(spark, sf):
     return P.row_edges(P.row_entities(_rows(spark, sf), _markdown(spark, sf)), "PRODUCT")
 
 
-@query("with " + _MD + " select doc_id as source_doc, 'sizes_1' as table_name, 'Part Name,Size (mm),Brand' as columns from md group by doc_id")
+def _titled(spark, sf):
+    return _markdown(spark, sf).withColumn("title", F.lit("Sizes of parts"))
+
+
+@query("with " + _MD + " select doc_id as source_doc, 'Cat' || doc_id || '_Sizes_of_parts' as table_name, 'part_name,size_mm,brand' as columns, count(*) as n_rows from md group by doc_id")
 def tab5_stored_tables(spark, sf):
-    t, _ = P.store_tables(_rows(spark, sf), "sizes", 1)
-    return t.select("source_doc", "table_name", F.array_join("columns", ",").alias("columns"))
+    t, _ = P.store_tables(_rows(spark, sf), _titled(spark, sf), 1)
+    return t.select("source_doc", "table_name", F.array_join("columns", ",").alias("columns"), "n_rows")
 
 
 @query("with " + _MD + " select doc_id, count(*) as n_rows, case when count(*) >= 10 then 'tables_only' when count(*) >= 3 then 'tables' else 'model' end as route from md group by doc_id")
@@ -322,14 +326,46 @@ def win14_row_batches(spark, sf):
     return P.row_batches(_rows(spark, sf))
 
 
-@query("with " + _MD + " select doc_id, row_index from md where row_index < 20 and lower(p_brand) = 'brand#3'")
+def _stored(spark, sf):
+    """Tables of two ingests: of the second are those without rows of Brand#1."""
+    rows, texts = _rows(spark, sf), _titled(spark, sf)
+    both = [P.store_tables(rows, texts, 1), P.store_tables(rows.where(~F.array_contains("cells", "Brand#1")), texts, 2)]
+    asked = texts.select(F.col("doc_id").alias("qid"), P.table_name(T.product_prefix(F.col("text")), F.col("title")).alias("table_name"))
+    return both[0][0].unionByName(both[1][0]), both[0][1].unionByName(both[1][1]), asked
+
+
+_NEWEST = _MD + ", newest as (select doc_id, row_number() over (partition by doc_id order by row_index) - 1 as row_index, name, size, p_brand from md where p_brand <> 'Brand#1')"
+
+
+@query("with " + _NEWEST + " select doc_id as qid, row_index from newest where row_index < 20 and lower(p_brand) = 'brand#3'")
 def flt12_filter_rows(spark, sf):
-    return P.filter_rows(P.row_properties(_rows(spark, sf)), {"brand": "BRAND#3"}, 20).select("doc_id", "row_index")
+    tables, rows, asked = _stored(spark, sf)
+    return P.filter_rows(tables, rows, asked.withColumn("filters", F.create_map(F.lit("brand"), F.lit("BRAND#3"))), 20).select("qid", "row_index")
 
 
-@query("with " + _MD + " select doc_id, row_index from md where contains(lower(name), 'steel') or contains(lower(p_brand), 'steel')")
+@query("with " + _NEWEST + " select doc_id as qid, row_index from newest where lower(p_brand) = 'brand#3' qualify row_number() over (partition by doc_id order by row_index) <= 3")
+def flt12_filter_then_limit(spark, sf):
+    tables, rows, asked = _stored(spark, sf)
+    return P.filter_rows(tables, rows, asked.withColumn("filters", F.create_map(F.lit("brand"), F.lit("BRAND#3"))), 3, limit_first=False).select("qid", "row_index")
+
+
+@query("with " + _NEWEST + " select doc_id as qid, row_index from newest where contains(lower(name || ' ' || p_brand), 'brand#2') or contains(lower(name), 'brand#2') qualify row_number() over (partition by doc_id order by row_index) <= 7")
 def flt13_rows_like(spark, sf):
-    return P.rows_like(P.row_properties(_rows(spark, sf)), "STEEL").select("doc_id", "row_index")
+    tables, rows, asked = _stored(spark, sf)
+    return P.rows_like(tables, rows, asked.withColumn("term", F.lit("BRAND#2")), 7).select("qid", "row_index")
+
+
+@query("with " + _MD + ", t as (select p_brand as type, count(*) as n from md group by p_brand) select type, n, round(n * 100.0 / (select sum(n) from t), 1)::double as percent from t")
+def tab9_type_histogram(spark, sf):
+    return audit.type_histogram(_rows(spark, sf).select(F.get("cells", F.lit(2)).alias("type")))
+
+
+@query("with " + PAGES + """, a as (select *, max(page_no) over (partition by doc_id) as n, md5('3:' || doc_id || ':' || page_no) as h from pg),
+  b as (select *, page_no > 2 and page_no < n as middle from a), c as (select *, row_number() over (partition by doc_id, middle order by h, page_no) as r from b)
+  select doc_id, page_no, text from c where not middle or r <= greatest(3, 50 // (select count(distinct doc_id) from pg)) order by doc_id, page_no limit 50""")
+def win12_sampled_pages(spark, sf):
+    """At most fifty pages of all documents together."""
+    return D.sample_pages(_pages(spark, sf), 50)
 
 
 @query("with " + _MD + ", t as (select doc_id, count(*) filter (p_brand <> 'Brand#1') as n_rows from md group by doc_id) select doc_id, n_rows from t")

@@ -299,9 +299,20 @@ def gq7_related_typed(spark, sf):
     return search.related(demo.edges(spark, sf), name, "SUPPLIES").select("direction", "predicate", "other_label", "other")
 
 
-@query(node_sql(", " + _PROPS + " select coalesce(a.k, b.k) as k, a.v as va, b.v as vb from (select * from props where canonical_name = 'supplier#000000001') a full join (select * from props where canonical_name = 'supplier#000000002') b on a.k = b.k"))
+@query(layer_sql(_PROPS + """, q as (select 'q' || a.s_suppkey as qid, lower(a.s_name) as a, lower(b.s_name) as b from supplier a join supplier b on b.s_suppkey = a.s_suppkey + 1),
+  side as (select qid, 1 as side, a as name from q union all select qid, 2, b from q),
+  facts as (select distinct subj, predicate, obj_label, obj from all_edges where subj_label not in ('Document', 'Section') and obj_label not in ('Document', 'Section'))
+  select 'none' as qid, 2 as side, 'missing' as kind, 'zzqx' as k, null as v
+  union all select qid, side, 'entity', 'SUPPLIER', name from side union all select qid, side, 'property', k, v from side join props on label = 'SUPPLIER' and canonical_name = name
+  union all select qid, side, '→', predicate, obj from side join facts on subj = name
+  union all select qid, 0, 'shared', x.obj_label || ' ' || x.obj, x.predicate || ' / ' || y.predicate from q join facts x on x.subj = q.a join facts y on y.subj = q.b and y.obj_label = x.obj_label and y.obj = x.obj"""))
 def gq8_compare(spark, sf):
-    return search.compare(_props(spark, sf), "supplier#000000001", "supplier#000000002")
+    """Every supplier beside the next one, and one question with a name that nobody has."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    pairs = s.select(F.col("s_name").alias("a"), F.col("s_suppkey").alias("k")).join(s.select(F.upper("s_name").alias("b"), (F.col("s_suppkey") - 1).alias("k")), "k")
+    asked = pairs.select(F.concat(F.lit("q"), F.col("k").cast("string")).alias("qid"), "a", "b")
+    asked = asked.unionByName(s.agg(F.min("s_name").alias("a")).select(F.lit("none").alias("qid"), "a", F.lit("zzqx").alias("b")))
+    return search.compare(asked, demo.all_nodes(spark, sf), demo.all_edges(spark, sf), _props(spark, sf))
 
 
 @query(graph_sql("select distinct a.subj as s, a.obj as p, b.obj as brand, c.obj as nation from edges a join edges b on b.subj = a.obj and b.predicate = 'HAS_BRAND' join edges c on c.subj = a.subj and c.predicate = 'LOCATED_IN' where a.predicate = 'SUPPLIES'"))

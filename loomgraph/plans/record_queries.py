@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from loomgraph.operators import audit, logs, merge, ontology, resolve, search, s
 from loomgraph.plans import demo
 from loomgraph.plans.demo import _plain, node_sql
 from loomgraph.plans.registry import query
+from loomgraph.sources.folders import shared_folder
 
 # ---- names ----
 
@@ -328,11 +331,28 @@ def flt8_valid_entities(spark, sf):
     return ontology.valid_entities(demo.base(spark, sf, RECORDS))
 
 
-@query("with e as (select distinct p_size as section, lower(p_name) as k from part where p_retailprice > 950) select p_size as section, lower(p_name) as subj, 'LIKE' as predicate, lower(p_name) as obj from part p where exists (select 1 from e where e.section = p_size and e.k = lower(p_name))")
+@query("""with e as (select p_size as section, lower(p_name) as k, arg_max(p_name, p_partkey) as text, arg_max(p_brand, p_partkey) as type from part where p_retailprice > 950 group by all)
+  select p.p_size as section, e.text as subj, e.type as subj_type, 'LIKE' as predicate, e.text as obj, e.type as obj_type, case when p_partkey % 3 = 0 then 0.25 else 0.5 end::double as confidence
+  from part p join e on e.section = p_size and e.k = lower(p_name)""".replace("group by all", "group by p_size, lower(p_name)"))
 def flt9_valid_edges(spark, sf):
+    """Ends are named in other cases, with a mark or with an accent."""
     p = spark.read.parquet(f"{sf}/part.parquet")
-    ents = p.where("p_retailprice > 950").select(F.col("p_size").alias("section"), F.col("p_name").alias("text"))
-    return ontology.valid_edges(p.select(F.col("p_size").alias("section"), F.concat(F.lit(" "), "p_name").alias("subj"), F.lit("like").alias("predicate"), F.upper("p_name").alias("obj")), ents)
+    ents = p.where("p_retailprice > 950").select(F.col("p_size").alias("section"), F.col("p_name").alias("text"), F.col("p_brand").alias("type"), F.col("p_partkey").alias("ord"))
+    subj = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.concat("p_name", F.lit("™")))
+    confidence = F.when(F.col("p_partkey") % 3 == 0, F.lit("0.25")).otherwise("much")
+    records = p.select(F.col("p_size").alias("section"), subj.alias("subj"), F.lit(" like").alias("predicate"), F.translate(F.upper("p_name"), "E", "É").alias("obj"), confidence.alias("confidence"))
+    return ontology.valid_edges(records, ents)
+
+
+@query("""select p_partkey as id, p_name as subj, case when p_partkey % 2 = 0 then 'PART' else '' end as subj_type, 'IS_A' as predicate, p_brand as obj, 'BRAND' as obj_type, 0.7::double as confidence, false as verified, 'chat:enrichment' as source_doc
+  from part where p_partkey % 5 <> 0""")
+def flt10_enrichment_edges(spark, sf):
+    """Predicates that are not known go; types that are missing are those of the entities of that text."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    kind = F.when(F.col("p_partkey") % 5 == 0, "was_a").otherwise(" is_a")
+    records = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" ")).alias("subj"), kind.alias("predicate"), F.col("p_brand").alias("obj"), F.when(F.col("p_partkey") % 2 == 0, "part").alias("subj_type"), F.lit("").alias("obj_type"), F.lit("").alias("confidence"))
+    entities = p.select(F.col("p_brand").alias("text"), F.lit("BRAND").alias("type"), F.col("p_partkey").alias("ord"))
+    return ontology.enrichment_edges(records, spark.createDataFrame([("IS_A",), ("HAS",)], "predicate string"), entities)
 
 
 @query(f"with {_REC} select id, text, upper(type) as type, coalesce(try_cast(confidence as double), 0.7) as confidence, false as verified, 'chat:enrichment' as source_doc from rec where upper(type) in ('BRAND#1', 'BRAND#2')")
@@ -368,6 +388,11 @@ def fn25_type_listing(spark, sf):
     return ontology.type_list(demo.base(spark, sf, TYPES))
 
 
+@query(node_sql("""select string_agg('- ' || name || ' (' || label || ')', chr(10) order by name, label) as listing from (select name, label from nodes order by name, label limit 200)"""))
+def fn25_entity_listing(spark, sf):
+    return ontology.entity_list(demo.nodes(spark, sf).select(F.col("name").alias("text"), F.col("label").alias("type")))
+
+
 @query(f"with {_TY} select version_id, '{{' || string_agg('\"' || type_name || '\":\"' || description || '\"', ',' order by type_name) || '}}' as json from ty group by version_id")
 def snk6_export_versions(spark, sf):
     return ontology.export_version(demo.base(spark, sf, TYPES))
@@ -430,6 +455,16 @@ def set2_section_priority(spark, sf):
     return ontology.section_priority(p.where("p_partkey % 2 = 0").select(*cols, F.col("p_name").alias("text")), p.where("p_partkey % 2 = 1").select(*cols, F.upper("p_name").alias("text")))
 
 
+@query("""with a as (select p_size as section, p_name as subj, 'IS' as predicate, p_brand as obj, p_partkey as ord from part)
+  select *, 'table' as source from a where ord % 2 = 0
+  union all select section, upper(subj), predicate, upper(obj), ord, 'model' from (select *, row_number() over (partition by section, lower(subj), lower(obj) order by ord) as r from a where ord % 2 = 1
+   and not exists (select 1 from a b where b.ord % 2 = 0 and b.section = a.section and lower(b.subj) = lower(a.subj) and lower(b.obj) = lower(a.obj))) where r = 1""")
+def set2_triple_priority(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    edges = p.select(F.col("p_size").alias("section"), F.col("p_name").alias("subj"), F.lit("IS").alias("predicate"), F.col("p_brand").alias("obj"), F.col("p_partkey").alias("ord"))
+    return ontology.triple_priority(edges.where("ord % 2 = 0"), edges.where("ord % 2 = 1").withColumns({"subj": F.upper("subj"), "obj": F.upper("obj")}))
+
+
 def _responses(spark, sf):
     """Each part as a response: sound, fenced, with trailing comma, cut off, or no JSON."""
     p = spark.read.parquet(f"{sf}/part.parquet")
@@ -496,11 +531,10 @@ def agg12_known_share(spark, sf):
     return out.select("id", F.round("types", 6).alias("types"), F.round("names", 6).alias("names"), "skip")
 
 
-@query(f"with {EPISODES} select (select count(*) from documents) as documents, (select count(distinct session_id) from ep) as sessions, (select count(*) from ep) as turns, (select sum(length(html))::bigint from pages) as page_chars")
+@query(demo.graph_sql(f", {EPISODES} select (select count(*) from documents) as documents, (select count(*) from pages) as pages, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(distinct session_id) from ep) as sessions, (select count(*) from ep) as turns, round((select count(*) from edges)::double / (select count(*) from nodes), 2) as density"))
 def agg13_dashboard_totals(spark, sf):
-    e = _episodes(spark, sf).agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("turns"))
-    d = spark.read.parquet(f"{sf}/documents.parquet").agg(F.count("*").alias("documents"))
-    return d.join(e).join(spark.read.parquet(f"{sf}/pages.parquet").agg(F.sum(F.length("html")).alias("page_chars")))
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    return audit.dashboard(read("documents"), read("pages"), demo.nodes(spark, sf), demo.edges(spark, sf), _episodes(spark, sf))
 
 
 @query("select event_id, ts from events where event_type = 'click'")
@@ -539,14 +573,37 @@ def win9_last_turns(spark, sf):
     return logs.last_turns_within(_episodes(spark, sf), F.floor((F.length("question") + F.length("answer")) / 4), 300).select("id")
 
 
-@query()
+_SESSIONS = "se as (select distinct session_id, case when session_id % 2 = 0 then 'so far ' || session_id else '' end as summary, (session_id % 3)::int as compacted_turns from ep)"
+
+
+def _sessions(e):
+    return e.select("session_id").distinct().select("session_id", F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("so far "), F.col("session_id").cast("string"))).otherwise("").alias("summary"), (F.col("session_id") % 3).cast("int").alias("compacted_turns"))
+
+
+@query("with recursive " + EPISODES + ", " + _SESSIONS + """, nl as (select chr(10) as nl),
+  hf as (select '═══ CONVERSATION CONTEXT (previous turns) ═══' || nl as h, nl || '═══ CURRENT QUESTION ═══' || nl as f from nl),
+  t as (select session_id, row_number() over (partition by session_id order by turn) as num, question, answer, substr(answer, 1, 120) as trace from ep),
+  w as (select t.*, 'Turn ' || num || ':' || nl || '  Question: ' || question as head, nl || '  Answer: ' || answer as tail, nl from t, nl),
+  x as (select session_id, num, head || case when trace <> '' then nl || '  Graph queries & results:' || nl || trace else '' end || tail as long, head || nl || '  Context from this turn:' || nl || 'brief' || tail as short from w),
+  b as (select session_id, compacted_turns as done, case when summary <> '' then '[Summary of turns 1–' || compacted_turns || ']' || nl || summary || nl else '' end as block from se, nl),
+  o as (select x.*, 260 - length(h || f) // 4 - length(block) // 4 as room, row_number() over (partition by x.session_id order by num desc) as back from x join b using (session_id), hf where num > done),
+  r as (select session_id, 0::bigint as back, 0::bigint as used, false as over, []::varchar[] as body from b
+    union all select o.session_id, o.back, used + case when over then 0 when used + length(long) // 4 <= room then length(long) // 4 when used + length(short) // 4 <= room then length(short) // 4 else 0 end,
+      over or (used + length(long) // 4 > room and used + length(short) // 4 > room),
+      case when over then body when used + length(long) // 4 <= room then list_prepend(long, body) when used + length(short) // 4 <= room then list_prepend(short, body) else body end
+    from r join o on o.session_id = r.session_id and o.back = r.back + 1),
+  l as (select session_id, arg_max(body, back) as body from r group by session_id)
+  select session_id, case when block = '' and len(body) = 0 then '' else h || array_to_string(case when block <> '' then list_prepend(block, body) else body end, chr(10)) || f end as context from l join b using (session_id), hf, nl""")
 def win9_context_packing(spark, sf):
-    return logs.context(_episodes(spark, sf), 300)
+    e = _episodes(spark, sf)
+    return logs.context(e.withColumns({"trace": F.substring("answer", 1, 120), "brief": F.lit("brief")}), 260, _sessions(e))
 
 
-@query(f"with {EPISODES}, u as (select *, count(*) over (partition by session_id) as n, row_number() over (partition by session_id order by turn desc) as back from ep) select id from u where n > 2 and back > 2")
+@query(f"""with {EPISODES}, {_SESSIONS}, u as (select *, count(*) over (partition by session_id) as n, row_number() over (partition by session_id order by turn) as num from ep)
+  select id from u join se using (session_id) where n - compacted_turns > 2 and num > compacted_turns and num <= n - 2""")
 def win10_compaction(spark, sf):
-    return logs.compaction_window(_episodes(spark, sf), 2).select("id")
+    e = _episodes(spark, sf)
+    return logs.compaction_window(e, 2, compacted=_sessions(e)).select("id")
 
 
 @query(f"with {EPISODES} select id, session_id, question, answer from (select *, row_number() over (partition by session_id order by id) as r from ep) where r <= 3")
@@ -574,16 +631,34 @@ def top4_episode_page(spark, sf):
     return _episodes(spark, sf).select("id").orderBy(F.desc("id")).offset(5).limit(10)
 
 
-@query(f"with {EPISODES} select session_id, string_agg('## Turn ' || turn || chr(10) || chr(10) || '**Q:** ' || question || chr(10) || chr(10) || '**A:** ' || answer || chr(10) || chr(10) || '*steps ' || steps_taken || ', confidence ' || printf('%.2f', confidence) || '*', chr(10) || chr(10) order by turn) as markdown from ep group by session_id")
+@query(f"""with {EPISODES}, nl as (select chr(10) as nl), x as (select *, row_number() over (partition by session_id order by turn) as num, repeat(answer, 4) as seen,
+    concat_ws(' | ', printf('Confidence: %.0f%%', confidence * 100), printf('Groundedness: %.0f%%', groundedness * 100), case when turn % 3 > 0 then printf('Completeness: %.0f%%', (turn % 3) / 2.0 * 100) end, 'Steps: ' || steps_taken,
+      case when elapsed_seconds > 0 then printf('Time: %.1fs', elapsed_seconds) end, case when entities_added > 0 then 'Entities added: ' || entities_added end, case when rels_added > 0 then 'Relationships added: ' || rels_added end) as metrics from ep),
+  y as (select session_id, num, '## Turn ' || num || nl || nl || '**Q:** ' || question || nl || nl || '**A:**' || nl || nl || answer || nl || nl || '*' || metrics || '*' || nl || nl
+    || case when turn % 4 = 0 then '> **Assessment:** thin' || nl || nl else '' end || case turn % 3 when 0 then '' when 1 then '**Knowledge gaps:**' || nl || '- sizes' || nl || '- dates' || nl || nl else '**Knowledge gaps:**' || nl || '- no list' || nl || nl end
+    || '<details>' || nl || '<summary>Reasoning Trace (2 steps)</summary>' || nl || nl || '**Step 1: FIND**' || nl || '```' || nl || 'a' || turn || nl || '```' || nl
+    || case when seen = '' then '' else 'Result:' || nl || '```' || nl || case when length(seen) > 1000 then substr(seen, 1, 1000) || nl || nl || '... (truncated)' else seen end || nl || '```' || nl end || nl || '**Step 2: ANSWER**' || nl || nl || '</details>' || nl || nl || '---' || nl as md from x, nl)
+  select session_id, '# Session: chat ' || session_id || nl || nl || '**Domain**: d' || session_id || ' | **Turns**: ' || count(*) || nl || nl || '---' || nl || nl || string_agg(md, chr(10) order by num) as markdown from y, nl group by session_id, nl""")
 def snk5_session_markdown(spark, sf):
-    return logs.session_markdown(_episodes(spark, sf))
+    e = _episodes(spark, sf)
+    gaps = F.when(F.col("turn") % 3 == 1, '["sizes", "dates"]').when(F.col("turn") % 3 == 2, "no list").otherwise("[]")
+    step = lambda tool, args, seen: F.struct(F.lit(tool).alias("tool"), args.alias("args"), seen.alias("observation"))
+    log = F.to_json(F.array(step("FIND", F.concat(F.lit("a"), F.col("turn").cast("string")), F.repeat("answer", F.lit(4))), step("ANSWER", F.lit(""), F.lit(""))))
+    more = {"completeness": F.when(F.col("turn") % 3 > 0, F.col("turn") % 3 / 2), "assessment_reasoning": F.when(F.col("turn") % 4 == 0, "thin"), "assessment_gaps": gaps, "actions_log": log}
+    name = lambda p: F.concat(F.lit(p), F.col("session_id").cast("string"))
+    sessions = e.select("session_id").distinct().select("session_id", name("chat ").alias("name"), name("d").alias("domain"), F.lit("").alias("started_at"))
+    return logs.session_markdown(e.withColumns(more), sessions)
 
 
 @query("select 'ingest' as action_type, text as item_name, 'entity' as item_type from (" + _plain(demo.MENTIONS) + ") union all select 'ingest', lower(subj) || ' → ' || predicate || ' → ' || lower(obj), 'relationship' from (" + _plain(demo.EDGE_MENTIONS) + ")")
 def snk4_activity_items(spark, sf):
+    """Two actions appended to a log, one after the other, and read back."""
     m = demo.mentions(spark, sf).select(F.lit("ingest").alias("action_type"), F.col("text").alias("item_name"), F.lit("entity").alias("item_type"))
     e = merge.keyed_edges(demo.edge_mentions(spark, sf))
-    return m.unionByName(e.select(F.lit("ingest").alias("action_type"), F.concat_ws(" → ", "subj", "predicate", "obj").alias("item_name"), F.lit("relationship").alias("item_type")))
+    path = f"{shared_folder(spark)}/activity-{uuid.uuid4().hex}"
+    logs.append_activity(m, path)
+    logs.append_activity(e.select(F.lit("ingest").alias("action_type"), F.concat_ws(" → ", "subj", "predicate", "obj").alias("item_name"), F.lit("relationship").alias("item_type")), path)
+    return spark.read.parquet(path).select("action_type", "item_name", "item_type")
 
 
 @query("""select conv_id * 1000 + turn as id, case k when 0 then 'FIND' when 1 then 'GRAPH_QUERY' when 2 then 'SCHEMA' when 3 then 'ANSWER' when 4 then 'SECTION_TEXT' when 5 then 'GRAPH_QUERY' end as tool,

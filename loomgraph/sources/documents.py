@@ -282,3 +282,15 @@ def stratified_pages(pages: DataFrame, most: int, seed: int = 3) -> DataFrame:
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("page_no").cast("string")))
     order = Window.partitionBy("doc_id").orderBy("edge", F.when(F.col("edge") == 2, F.col("h")), "page_no")
     return p.withColumn("edge", edge).withColumn("h", h).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("doc_id", "page_no", "text")
+
+
+def sample_pages(pages: DataFrame, most: int = 30, seed: int = 3) -> DataFrame:
+    """The first two pages of each document, the last, and seeded ones between, three or an even share of `most`; of all of
+    these the first `most`, by document and page."""
+    w = Window.partitionBy("doc_id")
+    docs = pages.select("doc_id").distinct().count()
+    between = max(3, most // max(docs, 1))
+    p = pages.withColumn("n", F.max("page_no").over(w)).withColumn("middle", (F.col("page_no") > 2) & (F.col("page_no") < F.col("n")))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("page_no").cast("string")))
+    drawn = p.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "middle").orderBy(h, "page_no")))
+    return drawn.where(~F.col("middle") | (F.col("r") <= between)).orderBy("doc_id", "page_no").limit(most).select("doc_id", "page_no", "text")
