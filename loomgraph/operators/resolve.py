@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomgraph.functions.text import abbreviation, canonical_name, digit_runs
+from loomgraph.operators.components import components
 from loomgraph.sources.folders import shared_folder
 
 THRESHOLD = 0.9
@@ -52,25 +53,31 @@ def ratio_candidates(names: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """(label, a, b), a the lesser, that may have a ratio of at least the threshold, and whose sets of digit runs are equal unless
     one of them is empty.
 
-    A pair above it differs by at most k = 2 |a| (1 - t) / t inserts and deletes, so one of k + 1 pieces of a stands in b,
-    shifted by k at most: an equi-join on label, piece and digits, and its place within the shift window. So numbered names
-    that are alike but for their numbers do not meet.
+    A pair above it, a no longer than b, differs by at most k = 2 |a| (1 - t) / t inserts and deletes, so one of k + 1 pieces of a
+    stands in b. All places where it is to be sought follow from the two lengths alone: a name asks, for each length that its
+    shorter partners can have, for the pieces' texts there, so names meet on (label, length, number of the piece, text, digits)
+    and on nothing wider. A piece shifted by more than there are pieces before it (or, seen from the end, after it) need not be
+    sought: as many changes on that side leave another piece whole on the other. Numbered names that are alike but for their
+    numbers do not meet.
     """
     own = F.array_join(digit_runs(F.col("name")), ",")
-    k = F.floor(2 * F.length("name") * F.lit((1 - threshold) / threshold) + 1e-9).cast("int")
-    n = names.withColumn("k", k).withColumn("len", F.length("name"))
-    piece = lambda i: (F.floor(F.col("len") * i / (F.col("k") + 1))).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct((piece(i) + 1).alias("at"), F.substring("name", piece(i) + 1, piece(i + 1) - piece(i)).alias("piece")))
-    a = n.select("label", F.col("name").alias("a"), "k", F.col("len").alias("la"), F.explode(F.filter(parts, lambda p: p["piece"] != "")).alias("p"), own.alias("own")).select("label", "a", "k", "la", "own", "p.piece", "p.at", F.length("p.piece").alias("w"))
+    base = names.select("label", "name", F.length("name").alias("n"), own.alias("own"))
+    allowed = lambda n: F.floor(2 * n * F.lit((1 - threshold) / threshold) + 1e-9).cast("int")
+    start = lambda i: F.floor(F.col("la") * i / (F.col("k") + 1)).cast("int")
+    piece = {"at": start(F.col("i")), "w": start(F.col("i") + 1) - start(F.col("i"))}
+    a = base.withColumns({"la": F.col("n"), "k": allowed(F.col("n"))}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumns(piece).where("w > 0")
     # equal digits meet on "=..."; a without digits meets b with some on "n", and the other way round on "x"
-    a = a.withColumn("d", F.explode(F.array(F.concat(F.lit("="), "own"), F.when(F.col("own") == "", "n").otherwise("x")))).drop("own")
-    widths = a.select("label", "la", "k", "w").distinct()
-    b = n.select("label", F.col("name").alias("b"), F.col("len").alias("lb")).join(widths, "label").where((F.col("lb") >= F.col("la")) & (F.col("la") >= F.col("lb") * F.lit(threshold / (2 - threshold)) - 1e-9))
-    b = b.select("label", "b", "lb", "w").distinct()
-    subs = F.transform(F.sequence(F.lit(1), F.col("lb") - F.col("w") + 1), lambda i: F.struct(i.alias("bt"), F.substring("b", i, F.col("w")).alias("piece")))
-    b = b.where("w <= lb").select("label", "b", "lb", F.explode(subs).alias("s")).select("label", "b", "lb", "s.bt", "s.piece")
-    b = b.withColumn("own", F.array_join(digit_runs(F.col("b")), ",")).withColumn("d", F.explode(F.array(F.concat(F.lit("="), "own"), F.when(F.col("own") == "", "x").otherwise("n")))).drop("own")
-    hit = a.join(b, ["label", "piece", "d"]).where((F.abs(F.col("at") - F.col("bt")) <= F.col("k")) & (F.col("lb") >= F.col("la")) & (F.col("la") >= F.col("lb") * F.lit(threshold / (2 - threshold)) - 1e-9) & (F.col("a") != F.col("b")))
+    digits = lambda none, some: F.explode(F.array(F.concat(F.lit("="), "own"), F.when(F.col("own") == "", none).otherwise(some)))
+    a = a.select("label", F.col("name").alias("a"), "la", "i", F.substring("name", F.col("at") + 1, F.col("w")).alias("piece"), digits("n", "x").alias("d"))
+    least = F.greatest(F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - 1e-9).cast("int"), F.lit(1))
+    b = base.where("n > 0").withColumn("la", F.explode(F.sequence(least, F.col("n")))).withColumn("k", allowed(F.col("la"))).where("n - la <= k")
+    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumns(piece).where("w > 0")
+    longer = F.col("n") - F.col("la")
+    low = F.greatest(F.col("at") - F.col("i"), F.col("at") + longer - (F.col("k") - F.col("i")), F.lit(0))
+    high = F.least(F.col("at") + F.col("i"), F.col("at") + longer + (F.col("k") - F.col("i")), F.col("n") - F.col("w"))
+    b = b.withColumns({"low": low, "high": high}).where("low <= high").withColumn("bt", F.explode(F.sequence("low", "high")))
+    b = b.select("label", F.col("name").alias("b"), "la", "i", F.substring("name", F.col("bt") + 1, F.col("w")).alias("piece"), digits("x", "n").alias("d"))
+    hit = a.join(b, ["label", "la", "i", "piece", "d"]).where("a != b")
     return hit.select("label", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select("label", F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -107,16 +114,54 @@ def alias_pairs(groups: DataFrame) -> DataFrame:
     return g.join(first, ["label", "alias"]).where("canonical_name != a").select("label", "a", F.col("canonical_name").alias("b"), F.lit("alias").alias("why"))
 
 
-def leaders(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Pairs of a component that one task decides.
+COMPONENT_PAIRS = 200_000
+
+
+def _led(pairs: pd.DataFrame) -> pd.DataFrame:
+    """A component's pairs (a, oa, b, ob) decided in first-seen order."""
+    later: dict[str, list[str]] = {}
+    first: dict[str, int] = {}
+    for a, oa, b, ob in zip(pairs["a"], pairs["oa"], pairs["b"], pairs["ob"], strict=True):
+        later.setdefault(a, []).append(b)
+        first[a], first[b] = oa, ob
+    leader: dict[str, str] = {}
+    for name in sorted(first, key=lambda x: (first[x], x)):
+        if leader.setdefault(name, name) == name:
+            for b in later.get(name, []):
+                leader.setdefault(b, name)
+    return pd.DataFrame({"label": [pairs["label"].iat[0]] * len(leader), "canonical_name": list(leader), "leader": list(leader.values())})
+
+
+def leaders(groups: DataFrame, pairs: DataFrame, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
     """(label, canonical_name, leader): in first-seen order a leader takes every later match that is still free; members are compared to it alone.
 
-    Each round decides all names that have no undecided earlier match: those without an earlier leader lead, and followers take
-    their earliest leader. A round is two joins on the pairs; checkpoints cut the plan. Every round decides the first open name
-    at least, so it ends; long chains take as many rounds as links.
+    Names of different components of the pairs do not touch each other, so a component of up to component_pairs pairs is decided in
+    one pass by one task, however long its chains; larger ones are decided by rounds over all of them. A name without a pair
+    leads itself.
     """
     shared_folder(groups.sparkSession)
     order = groups.select("label", F.col("canonical_name").alias("name"), "ord")
     e = pairs.join(order.select("label", F.col("name").alias("a"), F.col("ord").alias("oa")), ["label", "a"]).join(order.select("label", F.col("name").alias("b"), F.col("ord").alias("ob")), ["label", "b"]).select("label", "a", "oa", "b", "ob").checkpoint()
+    key = lambda c: F.concat_ws("\0", "label", c)
+    roots = components(e.select(key("a").alias("u"), key("b").alias("v")))
+    e = e.withColumn("node", key("a")).join(roots, "node").drop("node").checkpoint()
+    sizes = e.groupBy("root").agg(F.count("*").alias("n"))
+    small = e.join(sizes.where(F.col("n") <= component_pairs).select("root"), "root")
+    found = small.groupBy("root").applyInPandas(_led, "label string, canonical_name string, leader string")
+    large = e.join(sizes.where(F.col("n") > component_pairs).select("root"), "root").drop("root")
+    if large.take(1):
+        names = large.select("label", F.col("a").alias("name")).unionByName(large.select("label", F.col("b").alias("name"))).distinct()
+        found = found.unionByName(_by_rounds(order.join(names, ["label", "name"]), large.checkpoint()))
+    paired = e.select("label", F.explode(F.array("a", "b")).alias("name")).distinct()
+    alone = order.join(paired, ["label", "name"], "left_anti").select("label", F.col("name").alias("canonical_name"), F.col("name").alias("leader"))
+    return found.unionByName(alone)
+
+
+def _by_rounds(order: DataFrame, e: DataFrame) -> DataFrame:
+    """Each round decides all names that have no undecided earlier match: those without an earlier leader lead, and followers take
+    their earliest leader. A round is two joins on the pairs; checkpoints cut the plan. Every round decides the first open name
+    at least, so it ends."""
     state = order.select("label", "name", "ord", F.lit(None).cast("string").alias("leader"))
     loose = e.select("label", F.col("b").alias("name")).distinct()
     state = state.join(loose.withColumn("later", F.lit(True)), ["label", "name"], "left").withColumn("leader", F.when(F.col("later").isNull(), F.col("name"))).drop("later").checkpoint()
