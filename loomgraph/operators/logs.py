@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from loomgraph.functions.text import strip
 
@@ -40,17 +41,42 @@ def sessions_with_episodes(sessions: DataFrame, e: DataFrame) -> DataFrame:
     return sessions.join(n, "session_id").orderBy(F.desc("started_at"), "session_id")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, order: str) -> DataFrame:
-    """For each left row the last right row of its key at or before its time (columns of right get r_): one union, one window, no inequality join.
+#: Times at which a key's rows are cut for an as-of join.
+TIME_CUTS = 127
 
-    A running last value over both tables in time order, so a key's rows are sorted once and never multiplied.
+
+def _cut_times(rows: DataFrame, time: str, cuts: int) -> list:
+    """At most so many quantiles of a time; none if its type has no quantiles."""
+    kind = rows.schema[time].dataType
+    if cuts < 1 or not isinstance(kind, (DateType, NumericType, TimestampNTZType, TimestampType)):
+        return []
+    found = rows.agg(F.percentile_approx(time, [k / (cuts + 1) for k in range(1, cuts + 1)], F.lit(10_000))).first()[0]
+    return sorted(set(found or []))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, order: str, cuts: int = TIME_CUTS) -> DataFrame:
+    """For each left row the last right row of its key at or before its time (columns of right get r_), no inequality join.
+
+    Both tables are one, cut into stretches of time at quantiles of all times. Within a key and a stretch a running last value
+    finds the row, in one sort; what a stretch begins with is the last right row of the key's stretches before it, from a table
+    of one row for each key and stretch. So a key with most of all rows is as many groups as there are stretches, and rows are
+    never multiplied. Of right rows of one time the greatest `order`, as text, is the last; null times come first, null keys are a key.
     """
     names = [c for c in right.columns if c != key]
     r = right.select(F.col(key), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*names).alias("__r"), F.col(order).cast("string").alias("__o"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("__l"))
     lft = left.select(F.col(key), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.lit(None).cast("string").alias("__o"), F.struct(*left.columns).alias("__l"))
-    w = Window.partitionBy(key).orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(lft).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__l.*", *(F.col(f"__last.{c}").alias(f"r_{c}") for c in names))
+    both = r.unionByName(lft)
+    at = _cut_times(both.select("__t"), "__t", cuts)
+    place = F.size(F.filter(F.array(*(F.lit(c).cast(both.schema["__t"].dataType) for c in at)), lambda c: c <= F.col("__t"))) if at else F.lit(0)
+    both = both.withColumn("__b", F.when(F.col("__t").isNull(), 0).otherwise(place))
+    w = Window.partitionBy(key, "__b").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    if at:
+        ends = both.groupBy(F.col(key).alias("__key"), F.col("__b").alias("__stretch")).agg(F.max_by("__r", F.when(F.col("__side") == 0, F.struct("__t", "__o"))).alias("__end"))
+        before = F.last("__end", ignorenulls=True).over(Window.partitionBy("__key").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+        carried = ends.withColumn("__before", before).where("__before is not null").select("__key", "__stretch", "__before")
+        found = found.join(carried, found[key].eqNullSafe(carried["__key"]) & (found["__b"] == carried["__stretch"]), "left").withColumn("__last", F.coalesce("__last", "__before"))
+    return found.select("__l.*", *(F.col(f"__last.{c}").alias(f"r_{c}") for c in names))
 
 
 def review_context(nodes: DataFrame, chats: DataFrame, episodes: DataFrame, least: int = 20) -> DataFrame:

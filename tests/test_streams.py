@@ -1,5 +1,6 @@
 """Batches that run again change nothing; results do not depend on partitions or order."""
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -145,3 +146,24 @@ def test_empty_runs_count_anew_after_a_trigger(spark):
     steps = [("s", i, c == "e") for i, c in enumerate("eeeeeeeofeeof")] + [("t", 0, False)]
     got = {r.session_id: r.triggers for r in logs.empty_runs(spark.createDataFrame(steps, "session_id string, at int, empty boolean")).collect()}
     assert got == {"s": 2, "t": 0}
+
+
+@pytest.mark.parametrize("cuts", [0, 1, 7, 127])
+def test_as_of_is_brute_force(spark, cuts):
+    """A key with half of all rows, equal times on both sides, null times and keys, and keys that only one side has."""
+    rng = random.Random(9)
+    key = lambda: "hot" if rng.random() < 0.5 else rng.choice(["a", "b", None])
+    time = lambda: rng.randrange(40) if rng.random() < 0.9 else None
+    left = [(key(), time(), f"l{i}") for i in range(150)] + [("only", 3, "l-only")]
+    right = [(key(), time(), f"r{i:03d}") for i in range(90)] + [("other", 3, "r-other")]
+    got = logs.as_of(spark.createDataFrame(left, "k string, t int, x string"), spark.createDataFrame(right, "k string, u int, y string"), "k", "t", "u", "y", cuts)
+    rank = lambda t: -1 if t is None else t
+    want = {x: max(((rank(u), y) for rk, u, y in right if rk == k and rank(u) <= rank(t)), default=(None, None))[1] for k, t, x in left}
+    assert {r.x: r.r_y for r in got.collect()} == want and got.count() == len(left)
+
+
+def test_a_hot_key_is_spread_over_groups(spark):
+    rows = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
+    at = logs._cut_times(rows.select(F.col("t").alias("__t")), "__t", 31)
+    sizes = [b - a for a, b in zip([0, *at], [*at, 4000], strict=True)]
+    assert len(at) == 31 and max(sizes) < 300
