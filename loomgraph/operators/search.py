@@ -47,10 +47,12 @@ def grams(fields: list[str], size: int = GRAM) -> Column:
 def contains_join(nodes: DataFrame, probes: DataFrame, fields: list[str], hit: Column, least: int = 1) -> DataFrame:
     """nodes and probes (with a column `block`: `least` to three characters that a hit must hold) that meet `hit`.
 
-    An equi-join on the block for each of these lengths, so a probe meets only the nodes that hold it.
+    An equi-join on the block for each of these lengths that a probe has, so a probe meets only the nodes that hold it, and nodes
+    are not taken apart into single characters for nobody.
     """
+    sizes = {r[0] for r in probes.select(F.length("block")).distinct().collect()} & set(range(least, GRAM + 1))
     out = None
-    for size in range(GRAM, least - 1, -1):
+    for size in sorted(sizes or {GRAM}, reverse=True):
         met = nodes.withColumn("block", F.explode(grams(fields, size))).join(probes.where(F.length("block") == size), "block").where(hit).drop("block")
         out = met if out is None else out.unionByName(met)
     return out

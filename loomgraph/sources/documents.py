@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,10 +27,15 @@ def scan_files(spark: SparkSession, paths: str | list[str], extensions: list[str
     return files.where(keep).dropDuplicates(["path"])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def markdown_chunks(text: Column) -> Column:
     """Chunks that begin at headings of level 1 and 2; paragraphs are packed where that gives no more than one."""
     parts = F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,2}\s)"), strip), lambda c: c != "")
-    return F.when(F.size(parts) > 1, parts).otherwise(paragraph_chunks(text))
+    return _once(parts, lambda p: F.when(F.size(p) > 1, p).otherwise(paragraph_chunks(text)))
 
 
 def split_long(text: Column, size: int = CHUNK) -> Column:
@@ -60,7 +65,7 @@ def paragraph_chunks(text: Column, size: int = CHUNK) -> Column:
         return F.struct(out.alias("out"), cur.alias("cur"))
 
     chunks = F.aggregate(parts, empty, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
-    return F.when(F.size(chunks) > 0, chunks).otherwise(F.array(strip(text)))
+    return _once(chunks, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(strip(text))))
 
 
 def chunk_rows(docs: DataFrame, chunks: Column) -> DataFrame:
