@@ -33,7 +33,7 @@ def snk1_section_store(spark, sf):
 
 @query("with " + doc_queries._MD + " select doc_id as source_doc, row_index, name as part_name from md")
 def snk2_stored_rows(spark, sf):
-    tables, rows = pipe_tables.store_tables(doc_queries._rows(spark, sf), "sizes", 1)
+    tables, rows = pipe_tables.store_tables(doc_queries._rows(spark, sf), doc_queries._titled(spark, sf), 1)
     return tables.join(rows, "table_id").select("source_doc", "row_index", F.element_at("props", F.lit("part_name")).alias("part_name"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import register
 from loomgraph.functions import text as T
-from loomgraph.operators import audit, logs, merge, ontology, resolve, search, structure
+from loomgraph.operators import audit, logs, merge, ontology, resolve, search, structure, vectors
 from loomgraph.plans import demo
 from loomgraph.plans.demo import _plain, node_sql
 from loomgraph.plans.registry import query
@@ -288,6 +288,15 @@ def pln4_cosine_top10(spark, sf):
     return _cosine(spark, sf)
 
 
+@query("""with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(qv, embedding)::double, 5) as score from q join embeddings e on e.vec_id <> query_id)
+  select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
+def pln4_indexed_top10(spark, sf):
+    """The same by inverted lists, probed until no list that is left can hold a nearer row."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return vectors.nearest(rows, asked, digits=5).select("query_id", F.col("id").alias("vec_id"), F.col("like").alias("score"))
+
+
 _COSINE = """q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(qv, embedding)::double, 5) as score from q join embeddings e on e.vec_id <> query_id),
   v as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as r from s qualify r <= 10), st as (select query_id, vec_id from q join embeddings e on e.vec_id between query_id - 3 and query_id + 3 and e.vec_id <> query_id)"""
 
