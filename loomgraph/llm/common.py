@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,8 +45,12 @@ class Scratch:
     """Tables of one run, written as Parquet to a folder of their own in the shared folder: a plan goes on from them when
     executors are lost, and those that nothing reads any more can be dropped."""
 
+    #: Folders of this application, those that were cleared left out.
+    held: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", {}
+        self.held.append(self.folder)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
@@ -61,6 +66,20 @@ class Scratch:
     def clear(self) -> None:
         """Deletes all that was written: nothing may read it any more."""
         remove(self.spark, self.folder)
+        if self.folder in self.held:
+            self.held.remove(self.folder)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """What Scratch wrote within this is deleted at its end, when results that read it have been written elsewhere."""
+    before = len(Scratch.held)
+    try:
+        yield
+    finally:
+        for folder in Scratch.held[before:]:
+            remove(spark, folder)
+        del Scratch.held[before:]
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], scratch: Scratch, spread: int = 20_000, least: int = 1000) -> DataFrame:

@@ -871,3 +871,25 @@ def test_pipeline_is_its_parts(spark, texts, tmp_path):
     m = pieces.piece_model(vocabulary("piece_bpe_32k.model"))
     for i, v in got.items():
         assert m.decode(np.array(v[0], np.int64), np.array([len(v[0])]))[0].decode() == left[i].text
+
+
+def test_pipeline_of_nothing_and_of_further_columns(spark, texts, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = [*labelled(30), *rows_of(texts)[:20], (None, "a text without an id and some words", None, None, None, None, None), (7, None, None, None, None, None, None)]
+    d = docs(spark, rows).withColumnRenamed("key", "component").withColumnRenamed("part", "__s").withColumn("ids", F.lit(1)).withColumn("taken", F.lit("x"))
+    d.write.parquet(f"{tmp_path}/more/documents.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {x for x in os.listdir(shared) if x.startswith("scratch-")}
+    out = corpus_pipeline.run(spark, f"{tmp_path}/more")
+    assert out.columns == ["doc_id", "ids"] and out.count() > 20
+    assert {x for x in os.listdir(shared) if x.startswith("scratch-")} <= before
+    folder = max((os.path.join(shared, x) for x in os.listdir(shared) if x.startswith("pipeline-")), key=os.path.getmtime)
+    assert [x for x in os.listdir(folder)] == ["4-pieces"]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        d = stage(spark, d, str(tmp_path))
+        assert set(d.columns) == {"doc_id", "text", "lang", "source", "n_chars", "component", "__s", "ids", "taken"}
