@@ -8,7 +8,6 @@ combined in each task, to the ranges, where the transducers take them to ordinal
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,18 +30,18 @@ RANGE_TERMS, HELD, TASK_TERMS = 50_000, 400_000, 5_000_000
 #: Probabilities are whole numbers of this.
 UNIT = 1_000_000_000
 _PART = 4_000_000
-# On bytes, lower-cased: letters of ASCII and all beyond it.
-_TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
+# Of bytes: letters of ASCII in lower case and all beyond it, and a space for any other.
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def terms(text: str | None) -> Iterator[list[bytes]]:
     """The terms of a text in order, A-Z lower-cased, a long text's in several lists."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z alone
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS)
     at = 0
     while at < len(raw):
-        cut = _GAP.search(raw, at + _PART)
-        end = cut.start() if cut else len(raw)
-        yield _TERM.findall(raw, at, end)
+        gap = raw.find(b" ", at + _PART)
+        end = gap if gap >= 0 else len(raw)
+        yield raw[at:end].split()
         at = end
 
 
@@ -66,8 +65,11 @@ class Transducer:
             if last is not None and term <= last:
                 raise ValueError("terms are not sorted, or not different")
             last = last or b""
-            n = min(len(last), len(term))
-            same = next((k for k in range(n) if last[k] != term[k]), n)
+            same = 0
+            for x, y in zip(last, term):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
             self._finish(path, last, same)
             path += [[False, []] for _ in term[same:]]
             path[-1][0] = True
@@ -287,7 +289,8 @@ def recount(docs: DataFrame, kept: DataFrame, scratch: Scratch, range_terms: int
     streamed = docs.select("lang", "source", "text").mapInArrow(_streamed(bounds, salts), "part int, kind byte, lang string, source string, terms binary, n binary")
     parts = kinds.unionByName(streamed).repartitionById(len(bounds) * salts, F.col("part")).sortWithinPartitions("part", "kind", "lang", "source", "terms")
     found = parts.mapInArrow(_transduced(salts), "lang string, source string, ordinal long, n long")
-    return scratch.write(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))), vocabulary
+    # a range that one task reads is counted whole
+    return scratch.write(found if salts == 1 else found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))), vocabulary
 
 
 def _without_gaps(vocabulary: DataFrame, there: list[int]) -> DataFrame:
@@ -360,6 +363,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, range_t
     zero = F.when(whole > 0, probability(F.lit(0), F.greatest(whole, F.lit(1)))).otherwise(1)
     totals = scratch.write(groups.withColumn("zero", zero))
     counts = found.join(totals, ["lang", "source"]).withColumn("p", probability(F.col("n"), whole))
+    counts = scratch.write(counts.select("lang", "source", "ordinal", "n", "p", "zero", "v"))
     pairs = _pairs(counts.select("lang", "source", "ordinal", "p", "zero"), totals)
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank"))
     in_all = F.sum("n").over(Window.partitionBy("lang", "ordinal"))

@@ -271,3 +271,17 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_shared", lambda spark, hashes: spark.sparkContext.broadcast(collocations.Filter.of(hashes, 64)))
     rows = phrase_rows()
     assert sorted(tuple(r) for r in collocations.phrases(docs(spark, rows), top=10).collect()) == sorted(plain_phrases(rows, 10))
+
+
+def test_ranges_dealt_to_several_tasks_count_alike(spark):
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choice(["ab", "Ac", "öd", "x"]) + rng.choice("abc") for _ in range(40)), rng.choice(["en", "de", ""]), rng.choice("st")) for k in range(80)]
+    own = divergence._emptied(docs(spark, rows).repartition(6))
+    scratch = Scratch(spark)
+    kept = scratch.write(divergence.kept_terms(own))
+    one, vocabulary = divergence.recount(own, kept, scratch, 5)
+    many, _ = divergence.recount(own, kept, scratch, 5, 10)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    for lang in ("en", "de", ""):
+        found = [bytes(r.term) for r in vocabulary.where(F.col("lang") == lang).orderBy("ordinal").collect()]
+        assert found == sorted(found) and found
