@@ -9,12 +9,12 @@ combined in each task, to the ranges, where the transducers take them to ordinal
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,27 +24,33 @@ from loomgraph.llm.language_id import Transitions
 
 #: Documents of its language in which a kept term is at least; the terms shown of each source.
 LEAST_DOCS, TOP = 3, 200
-#: Terms of a range of a vocabulary, on average; different terms that a task holds before it sends them on; terms of documents
-#: that meet in a task, on average.
-RANGE_TERMS, HELD, TASK_TERMS = 50_000, 400_000, 5_000_000
+#: Terms of a range of a vocabulary, on average; bytes of text whose terms a task combines before it sends them on; terms of
+#: documents that meet in a task, on average.
+RANGE_TERMS, HELD, TASK_TERMS = 50_000, 16_000_000, 5_000_000
 #: Probabilities are whole numbers of this.
 UNIT = 1_000_000_000
 _PART = 4_000_000
-# Of bytes: letters of ASCII in lower case and all beyond it, and a space for any other.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+# Of bytes: letters of ASCII in lower case and all beyond it, and a line break for any other.
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 10 for b in range(256))
 
 
-def terms(text: str | None) -> Iterator[list[bytes]]:
-    """The terms of a text in order, A-Z lower-cased, a long text's in several lists."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS)
+def letters(text: bytes) -> Iterator[bytes]:
+    """The terms of a text (UTF-8) in order, A-Z lower-cased, with line breaks between them, a long text's in several parts."""
+    raw = text.translate(_LETTERS)
     at = 0
     while at < len(raw):
-        gap = raw.find(b" ", at + _PART)
+        gap = raw.find(b"\n", at + _PART)
         end = gap if gap >= 0 else len(raw)
-        yield raw[at:end].split()
+        yield raw[at:end]
         at = end
 
 
+def terms(text: str | bytes | None) -> Iterator[list[bytes]]:
+    """The terms of a text in order, a long text's in several lists."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return (part.split() for part in letters(raw))
+
+
 # ---- transducers ----
 
 
@@ -56,10 +62,8 @@ class Transducer:
     """
 
     def __init__(self, sorted_terms: Iterable[bytes]):
-        self._known: dict[tuple, int] = {}
-        self._arcs: list[tuple[tuple[int, int], ...]] = []
-        self._ends: list[bool] = []
-        path: list[list] = [[False, []]]  # states on the last term's way: final, arcs
+        self._known: dict[tuple[int, ...], int] = {}  # numbers go up as states are finished
+        path: list[list[int]] = [[0]]  # states on the last term's way: final, then an arc's byte and target in a number each
         last: bytes | None = None
         for term in sorted_terms:
             if last is not None and term <= last:
@@ -71,25 +75,20 @@ class Transducer:
                     break
                 same += 1
             self._finish(path, last, same)
-            path += [[False, []] for _ in term[same:]]
-            path[-1][0] = True
+            path += [[0] for _ in range(same, len(term))]
+            path[-1][0] = 1
             last = term
         self._finish(path, last or b"", 0)
-        self.root = self._state(*path[0])
+        self.root = self._known.setdefault(tuple(path[0]), len(self._known))
+        self._arcs = [tuple((arc & 255, arc >> 8) for arc in state[1:]) for state in self._known]
+        self._ends = [bool(state[0]) for state in self._known]
         self._number()
 
-    def _state(self, final: bool, arcs: list[tuple[int, int]]) -> int:
-        key = (final, *arcs)
-        if key not in self._known:
-            self._known[key] = len(self._arcs)
-            self._arcs.append(tuple(arcs))
-            self._ends.append(final)
-        return self._known[key]
-
-    def _finish(self, path: list[list], last: bytes, keep: int) -> None:
-        while len(path) - 1 > keep:
-            done = self._state(*path.pop())
-            path[-1][1].append((last[len(path) - 1], done))
+    def _finish(self, path: list[list[int]], last: bytes, keep: int) -> None:
+        known = self._known
+        for at in range(len(path) - 2, keep - 1, -1):
+            done = known.setdefault(tuple(path.pop()), len(known))
+            path[-1].append(done << 8 | last[at])
 
     def _number(self) -> None:
         """Arc numbers in a table, their targets and outputs. A state's targets were made before it, so one pass counts the terms beyond each."""
@@ -149,23 +148,56 @@ def _emptied(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
-def _combined(rows: Iterable[tuple], whole: bool) -> Iterator[tuple[tuple, Counter]]:
-    """(key, counts of terms) of rows (*key, text), whenever many are held; whole: a text counts a term once."""
-    held: dict[tuple, Counter] = {}
-    n = 0
+def _parts(rows: Iterable[tuple], whole: bool) -> Iterator[list[tuple[tuple, bytes]]]:
+    """Keys and terms of rows (*key, text), some megabytes at a time; whole: each text in one part, a long one's terms once."""
+    part: list[tuple[tuple, bytes]] = []
+    size = 0
     for *key, text in rows:
-        counts = held.setdefault(tuple(key), Counter())
-        before = len(counts)
+        pieces = [b"\n".join(set().union(*terms(text)))] if whole and len(text) > _PART else letters(text)
+        for piece in pieces:
+            part.append((tuple(key), piece))
+            size += len(piece)
+            if size >= HELD:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, sorted, and how often each is there."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return x[first], np.diff(np.concatenate((first, [len(x)]))).astype(np.int64)
+
+
+def _combined(rows: Iterable[tuple], whole: bool) -> Iterator[tuple[list[tuple], pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms of rows (*key, text), combined in each of their parts: the part's keys, its terms in order, each with a line break
+    after it, and key, term (places in these) and count, by key and term; whole: a text counts a term once."""
+    for part in _parts(rows, whole):
+        keys = sorted({key for key, _ in part})
+        place = {key: k for k, key in enumerate(keys)}
+        of = np.fromiter((place[key] for key, _ in part), np.int64, len(part))
+        size = np.fromiter((len(raw) + 1 for _, raw in part), np.int64, len(part))
+        buf = np.frombuffer(b"\n".join([*(raw for _, raw in part), b""]), np.uint8)
+        inside = buf != 10
+        after = np.zeros(len(buf), bool)
+        after[1:] = inside[:-1]
+        text = buf[inside | after]
+        ends = np.concatenate(([0], np.flatnonzero(text == 10) + 1)).astype(np.int64)
+        each = np.diff(np.concatenate(([0], np.searchsorted(np.flatnonzero(inside & ~after), np.cumsum(size)))))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        names = coded.dictionary.take(order)
+        rank = np.empty(len(names), np.int64)
+        rank[order.to_numpy()] = np.arange(len(names))
+        term, most = rank[coded.indices.to_numpy()], max(len(names), 1)
         if whole:
-            counts.update(set().union(*terms(text)))
+            once, _ = _runs(np.repeat(np.arange(len(part)), each) * most + term)
+            found, n = _runs(of[once // most] * most + once % most)
         else:
-            for part in terms(text):
-                counts.update(part)
-        n += len(counts) - before
-        if n > HELD:
-            yield from held.items()
-            held, n = {}, 0
-    yield from held.items()
+            found, n = _runs(np.repeat(of, each) * most + term)
+        yield keys, names, found // most, found % most, n
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -181,11 +213,12 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, term (bytes) and docs of all terms that are in so many documents of their language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lang,), counts in _combined(_plain(_rows(batches)), True):
-            columns = [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs"])
+        for keys, names, key, term, n in _combined(_plain(_rows(batches)), True):
+            bare = pc.binary_slice(names, 0, -1).cast(pa.binary())
+            lang = pa.array([k for (k,) in keys], pa.string())
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(key)), bare.take(pa.array(term)), pa.array(n)], ["lang", "term", "docs"])
 
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
+    found = docs.select("lang", F.col("text").cast("binary")).mapInArrow(run, "lang string, term binary, docs long")
     return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
 
 
@@ -202,28 +235,36 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], ["lang", "term", "ordinal"])
 
 
+def _text(names: pa.Array) -> bytes:
+    """All values, one after another."""
+    at = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, names.offset * 8)
+    return names.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes()
+
+
 def _streamed(bounds: list[tuple[str, bytes]], salts: int):
     """Terms of texts, combined and sorted: a row for each range that they are in, of terms and counts. Terms before all ranges are in none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         salt = task.partitionId() if task else 0
-        for (lang, source), counts in _combined(_plain(_rows(batches)), False):
-            salt += 1
-            names = sorted(counts)
-            n = np.fromiter(map(counts.__getitem__, names), np.int64, len(names))
-            first, last = bisect_right(bounds, (lang,)), bisect_right(bounds, (lang + "\0",))  # the ranges that begin in this language
-            cuts = [0, *(bisect_left(names, b[1]) for b in bounds[first:last]), len(names)]
-            rows = [(first - 1 + k, lo, hi) for k, (lo, hi) in enumerate(pairwise(cuts)) if lo < hi and first - 1 + k >= 0]
-            columns = [
-                pa.array([k * salts + salt % salts for k, _, _ in rows], pa.int32()),
-                pa.array([1] * len(rows), pa.int8()),
-                pa.array([lang] * len(rows), pa.string()),
-                pa.array([source] * len(rows), pa.string()),
-                pa.array([b"\n".join([*names[lo:hi], b""]) for _, lo, hi in rows], pa.binary()),
-                pa.array([n[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "kind", "lang", "source", "terms", "n"])
+        for keys, names, key, term, n in _combined(_plain(_rows(batches)), False):
+            firsts = [bisect_left(range(len(names)), b[1], key=lambda k: names[k].as_py()) for b in bounds]
+            group = np.searchsorted(key, np.arange(len(keys) + 1)).tolist()
+            for (lang, source), begin, end in zip(keys, group[:-1], group[1:], strict=True):
+                salt += 1
+                first, last = bisect_right(bounds, (lang,)), bisect_right(bounds, (lang + "\0",))  # the ranges that begin in this language
+                cuts = [begin, *(begin + np.searchsorted(term[begin:end], firsts[first:last])).tolist(), end]
+                rows = [(first - 1 + k, lo, hi) for k, (lo, hi) in enumerate(pairwise(cuts)) if lo < hi and first - 1 + k >= 0]
+                own = [pa.array(term[lo:hi]) for _, lo, hi in rows]
+                columns = [
+                    pa.array([k * salts + salt % salts for k, _, _ in rows], pa.int32()),
+                    pa.array([1] * len(rows), pa.int8()),
+                    pa.array([lang] * len(rows), pa.string()),
+                    pa.array([source] * len(rows), pa.string()),
+                    pa.array([_text(names.take(t)) for t in own], pa.binary()),
+                    pa.array([n[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "kind", "lang", "source", "terms", "n"])
 
     return run
 
@@ -286,7 +327,7 @@ def recount(docs: DataFrame, kept: DataFrame, scratch: Scratch, range_terms: int
     none = F.lit(b"")
     each = F.explode(F.sequence(of * salts, of * salts + (salts - 1)))
     kinds = vocabulary.select(each.alias("part"), F.lit(0).cast("byte").alias("kind"), "lang", F.lit("").alias("source"), F.col("term").alias("terms"), none.alias("n"))
-    streamed = docs.select("lang", "source", "text").mapInArrow(_streamed(bounds, salts), "part int, kind byte, lang string, source string, terms binary, n binary")
+    streamed = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_streamed(bounds, salts), "part int, kind byte, lang string, source string, terms binary, n binary")
     parts = kinds.unionByName(streamed).repartitionById(len(bounds) * salts, F.col("part")).sortWithinPartitions("part", "kind", "lang", "source", "terms")
     found = parts.mapInArrow(_transduced(salts), "lang string, source string, ordinal long, n long")
     # a range that one task reads is counted whole
