@@ -212,3 +212,17 @@ def unwrap_records(parsed: DataFrame, keys: list[str]) -> DataFrame:
     single = F.array(F.from_json("json", "map<string,string>"))
     rows = F.when(F.trim("json").startswith("["), of_list).otherwise(F.coalesce(*of_key, single))
     return parsed.where("json is not null").select("id", F.posexplode(rows).alias("at", "record"))
+
+
+def typed_records(parsed: DataFrame, keys: list[str], fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(id, at, record, and a column of each field) from parsed responses, as unwrap_records, with the types that the JSON has.
+
+    record is a VARIANT, so nested objects, numbers and booleans stay what they are. fields: name to (path, type), as
+    {"size": ("$.properties.size", "int")}; what is absent or cannot be cast is null. A key that holds no list is passed
+    over, elements that are no objects are left out (at keeps their places), and a lone object is one record.
+    """
+    value = F.try_parse_json("json")
+    listed = [F.try_variant_get(value, path, "array<variant>") for path in ("$", *(f"$.{k}" for k in keys))]
+    rows = parsed.select("id", F.posexplode(F.coalesce(*listed, F.array(value))).alias("at", "record"))
+    objects = rows.where(F.schema_of_variant("record").startswith("OBJECT"))
+    return objects.select("*", *(F.try_variant_get("record", path, kind).alias(name) for name, (path, kind) in fields.items()))

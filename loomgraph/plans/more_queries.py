@@ -111,6 +111,31 @@ def fn26_unwrapped_records(spark, sf):
     return out.select("id", "at", F.element_at("record", F.lit("text")).alias("text"))
 
 
+_TYPED = """
+select p_partkey as id, n as at, p_name as text, p_retailprice as price, (p_size + n) > 20 as verified, p_size + n as size, case p_partkey % 2 when 0 then p_brand end as brand,
+    case p_partkey % 2 when 0 then 'OBJECT<brand: STRING, size: BIGINT>' else 'OBJECT<size: BIGINT>' end as kind
+from part, (values (0), (1)) v(n) where n = 0 or p_partkey % 3 = 0"""
+
+
+@query(_TYPED)
+def fn26_typed_records(spark, sf):
+    """Numbers, booleans and nested objects of a list of two, of a list under the second key, or of one record; a brand may be absent."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+
+    def record(n):
+        size = F.col("p_size") + n
+        nested = F.struct(size.alias("size"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("brand"))
+        return F.struct(F.col("p_name").alias("text"), F.col("p_retailprice").alias("price"), (size > 20).alias("verified"), nested.alias("properties"))
+
+    k = F.col("p_partkey") % 3
+    second = F.to_json(F.struct(F.lit("none").alias("entities"), F.array(record(0)).alias("items")))
+    body = F.when(k == 0, F.to_json(F.array(record(0), record(1)))).when(k == 1, second).otherwise(F.to_json(record(0)))
+    types = {"text": "string", "price": "double", "verified": "boolean", "properties": "variant"}
+    fields = {name: (f"$.{name}", kind) for name, kind in types.items()} | {"size": ("$.properties.size", "int"), "brand": ("$.properties.brand", "string")}
+    out = ontology.typed_records(p.select(F.col("p_partkey").alias("id"), body.alias("json")), ["entities", "items"], fields)
+    return out.withColumn("kind", F.schema_of_variant("properties")).drop("record", "properties")
+
+
 @query(graph_sql("select (select count(*) from documents) as documents, (select count(*) from nodes) as entities, (select count(*) from edges) as relationships, (select count(*) from edge_mentions m where not exists (select 1 from nodes n where n.label = m.obj_label and n.canonical_name = lower(m.obj))) as rejected"))
 def agg15_ingest_summary(spark, sf):
     n = demo.nodes(spark, sf)

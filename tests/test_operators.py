@@ -5,7 +5,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import audit, layouts, logs, merge, pipe_tables, resolve, search
+from loomgraph.operators import audit, layouts, logs, merge, ontology, pipe_tables, resolve, search
 from loomgraph.sources import documents as D
 
 MENTION = "label string, canonical_name string, ord long, text string, confidence double, verified boolean, source_doc string, seen string, properties string, source_text string"
@@ -110,3 +110,23 @@ def test_scanned_paths(spark, tmp_path):
     assert names(str(tmp_path)) == ["a.md", "b.MD", "d.md"]
     assert names([str(tmp_path), f"{tmp_path}/*.md", f"{tmp_path}/sub/d.md"]) == ["a.md", "b.MD", "d.md"]
     assert names([f"{tmp_path}/sub/d.md"]) == ["d.md"]
+
+
+def test_typed_records_keep_types_and_places(spark):
+    rows = [
+        (1, '[{"text": "a", "ok": true, "p": {"n": 3, "deep": {"x": "y"}}}, 7, {"text": 5, "ok": "perhaps"}]'),
+        (2, '{"entities": "none", "items": [{"text": "b", "p": {"n": 2.5}}]}'),
+        (3, '{"text": "c", "p": {"n": null}}'),
+        (4, "not json"),
+        (5, None),
+        (6, "[]"),
+        (7, "12"),
+        (8, '{"entities": []}'),
+    ]
+    fields = {"text": ("$.text", "string"), "ok": ("$.ok", "boolean"), "n": ("$.p.n", "double"), "x": ("$.p.deep.x", "string"), "deep": ("$.p.deep", "variant")}
+    got = ontology.typed_records(spark.createDataFrame(rows, "id int, json string"), ["entities", "items"], fields)
+    assert dict(got.dtypes)["record"] == "variant" and dict(got.dtypes)["deep"] == "variant"
+    out = sorted(tuple(r) for r in got.select("id", "at", "text", "ok", "n", "x", F.schema_of_variant("record").alias("kind")).collect())
+    assert [r[:6] for r in out] == [(1, 0, "a", True, 3.0, "y"), (1, 2, "5", None, None, None), (2, 0, "b", None, 2.5, None), (3, 0, "c", None, None, None)]
+    assert "n: BIGINT" in out[0][6] and "n: DECIMAL" in out[2][6] and "text: BIGINT" in out[1][6]
+    assert ontology.typed_records(spark.createDataFrame([], "id int, json string"), ["entities"], fields).count() == 0
