@@ -26,7 +26,7 @@ from loomgraph.llm.language_id import Transitions
 LEAST_DOCS, TOP = 3, 200
 #: Terms of a range of a vocabulary, on average; bytes of text whose terms a task combines before it sends them on; terms of
 #: documents that meet in a task, on average.
-RANGE_TERMS, HELD, TASK_TERMS = 50_000, 16_000_000, 5_000_000
+RANGE_TERMS, HELD, TASK_TERMS = 50_000, 8_000_000, 5_000_000
 #: Probabilities are whole numbers of this.
 UNIT = 1_000_000_000
 _PART = 4_000_000
