@@ -285,3 +285,21 @@ def test_ranges_dealt_to_several_tasks_count_alike(spark):
     for lang in ("en", "de", ""):
         found = [bytes(r.term) for r in vocabulary.where(F.col("lang") == lang).orderBy("ordinal").collect()]
         assert found == sorted(found) and found
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_terms_combined_in_small_parts_count_alike(monkeypatch, whole):
+    monkeypatch.setattr(divergence, "_PART", 7)
+    monkeypatch.setattr(divergence, "HELD", 20)
+    rows = [("en", "ab AB cd, ab"), ("", ""), ("en", "1 2 -"), ("de", "Ü xß ab cdefghijkl ab xß"), ("en", "cd a ab abc"), ("de", "ab"), ("de", "ab")]
+    got, want = {}, {}
+    for keys, names, key, term, n in divergence._combined([(lang, text.encode()) for lang, text in rows], whole):
+        assert names.to_pylist() == sorted(names.to_pylist())
+        for k, t, c in zip(key.tolist(), term.tolist(), n.tolist(), strict=True):
+            at = (keys[k][0], names[t].as_py().decode().removesuffix("\n"))
+            got[at] = got.get(at, 0) + c
+    for lang, text in rows:
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered(text))
+        for t in set(found) if whole else found:
+            want[lang, t] = want.get((lang, t), 0) + 1
+    assert got == want
