@@ -224,23 +224,35 @@ def new_names(batch: DataFrame, known: DataFrame, threshold: float | None = None
     return b.join(first, ["label", "canonical_name"], "left_semi")
 
 
+def _met_by_key(taken_apart: DataFrame) -> DataFrame:
+    """Rows that were made of others, for a join: many more than the size of their files tells, so the planner must not send them to
+    every executor by way of the driver."""
+    return taken_apart.hint("merge")
+
+
+def _held(subjects: DataFrame, taken_apart: DataFrame, key: str) -> DataFrame:
+    """Subjects and the runs of objects that have the same key; the runs that no subject has go before any shuffle where the keys are few."""
+    return subjects.join(_met_by_key(taken_apart.join(subjects.select(key).distinct(), key, "left_semi")), key)
+
+
 def prefix_rule(subjects: DataFrame, objects: DataFrame, predicate: str, block: int = 4) -> DataFrame:
     """For each object (name, ord), the longest subject that its name starts with, ignoring case; first seen on ties. Short subjects meet the objects' first characters in an equi-join."""
     s, o = subjects.select(F.lower("name").alias("s"), F.col("ord").alias("so")), objects.select(F.lower("name").alias("o"), F.col("ord").alias("oo"))
-    long = s.where(F.length("s") >= block).withColumn("g", F.substring("s", 1, block)).join(o.withColumn("g", F.substring("o", 1, block)), "g").drop("g")
+    long = s.where(F.length("s") >= block).withColumn("g", F.substring("s", 1, block)).join(_met_by_key(o.withColumn("g", F.substring("o", 1, block))), "g").drop("g")
     starts = F.transform(F.sequence(F.lit(1), F.least(F.length("o"), F.lit(block - 1))), lambda n: F.substring("o", F.lit(1), n))
-    short = s.where(F.length("s") < block).join(o.where(F.length("o") > 0).withColumn("s", F.explode(starts)), "s").select("s", "so", "o", "oo")
+    short = s.where(F.length("s") < block).join(_met_by_key(o.where(F.length("o") > 0).withColumn("s", F.explode(starts))), "s").select("s", "so", "o", "oo")
     return _longest(long.unionByName(short).where(F.startswith("o", "s")), predicate)
 
 
 def contains_rule(subjects: DataFrame, objects: DataFrame, predicate: str, block: int = 4) -> DataFrame:
-    """For each object, the longest subject that its name holds: blocked on the subject's first characters."""
+    """For each object, the longest subject that its name holds: blocked on the subject's first characters. Of the objects' runs of
+    characters only those go on that some subject begins with or is."""
     gram = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("o") - block + 1, F.lit(1))), lambda i: F.substring("o", i, F.lit(block))))
     s, o = subjects.select(F.lower("name").alias("s"), F.col("ord").alias("so")), objects.select(F.lower("name").alias("o"), F.col("ord").alias("oo"))
-    long = s.where(F.length("s") >= block).withColumn("g", F.substring("s", 1, block)).join(o.withColumn("g", F.explode(gram)), "g").drop("g")
+    long = _held(s.where(F.length("s") >= block).withColumn("g", F.substring("s", 1, block)), o.withColumn("g", F.explode(gram)), "g").drop("g")
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("o") - n + 1, F.lit(1))), lambda i: F.substring("o", i, F.lit(n)))
     inside = F.array_distinct(F.concat(*(runs(n) for n in range(1, block))))
-    short = s.where(F.length("s") < block).join(o.withColumn("s", F.explode(inside)), "s").select("s", "so", "o", "oo")
+    short = _held(s.where(F.length("s") < block), o.withColumn("s", F.explode(inside)), "s").select("s", "so", "o", "oo")
     return _longest(long.unionByName(short).where(F.contains("o", "s")), predicate)
 
 

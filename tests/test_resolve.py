@@ -107,3 +107,16 @@ def test_same_pairs_are_those_of_a_loop(spark):
                 want.add((a, b))
     coded = {(r.a, r.b) for r in resolve.same_pairs(groups).where("why = 'code'").collect()}
     assert got - coded == want - coded and want <= got
+
+
+def test_rules_send_no_runs_of_characters_through_the_driver(spark, tmp_path):
+    """Runs of many names look small in their compressed file; broadcast, they filled the driver."""
+    spark.range(2000).selectExpr("concat('New red bolt mark ', id) as name", "id as ord").write.parquet(f"{tmp_path}/o")
+    objects = spark.read.parquet(f"{tmp_path}/o")
+    subjects = spark.createDataFrame([("Red bolt", 1), ("red", 2), ("bolt", 3)], "name string, ord long")
+    for rule, want in ((resolve.contains_rule, "red bolt"), (resolve.prefix_rule, None)):
+        out = rule(subjects, objects, "part_of")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not any("BroadcastHashJoin" in line and "Inner" in line for line in plan.splitlines())
+        assert {(r.subj, r.n) for r in out.groupBy("subj").agg({"*": "count"}).toDF("subj", "n").collect()} == ({(want, 2000)} if want else set())
