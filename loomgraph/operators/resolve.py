@@ -37,6 +37,12 @@ def exact_groups(mentions: DataFrame) -> DataFrame:
     return m.groupBy("label", "canonical_name").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), best.alias("best"), F.array_sort(F.collect_set("source_doc")).alias("docs"), code.alias("code"))
 
 
+def _met_by_key(taken_apart: DataFrame) -> DataFrame:
+    """Rows that were made of others, for a join: many more than the size of their files tells, so the planner must not send them to
+    every executor by way of the driver."""
+    return taken_apart.hint("merge")
+
+
 def containment_pairs(names: DataFrame) -> DataFrame:
     """(label, a, b) where a is in b, has 4 characters at least and 0.35 of b's length: blocked on that run of four characters of
     a which the fewest names have, so that a beginning which many names share is no block."""
@@ -44,8 +50,8 @@ def containment_pairs(names: DataFrame) -> DataFrame:
     long = names.where(F.length("name") >= LEAST_CONTAINED)
     b = long.select("label", F.col("name").alias("b"), F.explode(gram(F.col("name"))).alias("g"))
     held = b.groupBy("label", "g").agg(F.count("*").alias("n"))
-    a = b.join(held, ["label", "g"]).groupBy("label", F.col("b").alias("a")).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    hit = a.join(b, ["label", "g"]).where((F.col("a") != F.col("b")) & F.contains("b", "a") & (F.length("a") / F.length("b") >= CONTAINED_SHARE))
+    a = _met_by_key(b).join(held, ["label", "g"]).groupBy("label", F.col("b").alias("a")).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    hit = a.join(_met_by_key(b), ["label", "g"]).where((F.col("a") != F.col("b")) & F.contains("b", "a") & (F.length("a") / F.length("b") >= CONTAINED_SHARE))
     return hit.select("label", "a", "b").distinct()
 
 
@@ -77,26 +83,27 @@ def ratio_candidates(names: DataFrame, threshold: float = THRESHOLD) -> DataFram
     high = F.least(F.col("at") + F.col("i"), F.col("at") + longer + (F.col("k") - F.col("i")), F.col("n") - F.col("w"))
     b = b.withColumns({"low": low, "high": high}).where("low <= high").withColumn("bt", F.explode(F.sequence("low", "high")))
     b = b.select("label", F.col("name").alias("b"), "la", "i", F.substring("name", F.col("bt") + 1, F.col("w")).alias("piece"), digits("x", "n").alias("d"))
-    hit = a.join(b, ["label", "la", "i", "piece", "d"]).where("a != b")
+    hit = _met_by_key(a).join(b, ["label", "la", "i", "piece", "d"]).where("a != b")
     return hit.select("label", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select("label", F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def same_pairs(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(label, a, b) of canonical names that are the same entity, a seen before b; `why` is ratio, contained or code."""
     names = groups.select("label", F.col("canonical_name").alias("name"), "ord", F.col("best.text").alias("text"))
-    order = names.select("label", "name", "ord")
+    order = _met_by_key(names.select("label", "name", "ord"))
     both = lambda p: p.join(order.select("label", F.col("name").alias("a"), F.col("ord").alias("oa")), ["label", "a"]).join(order.select("label", F.col("name").alias("b"), F.col("ord").alias("ob")), ["label", "b"]).select("label", F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("b"))
     digits = (F.size(digit_runs(F.col("a"))) == 0) | (F.size(digit_runs(F.col("b"))) == 0) | (digit_runs(F.col("a")) == digit_runs(F.col("b")))
     ratio = both(ratio_candidates(names, threshold)).where(digits).where(similarity_ratio("a", "b") >= threshold).withColumn("why", F.lit("ratio"))
     inside = both(containment_pairs(names)).withColumn("why", F.lit("contained"))
     code = names.select("label", "name", abbreviation(F.col("name")).alias("code")).where("code is not null")
-    coded = both(code.withColumnRenamed("name", "a").join(code.withColumnRenamed("name", "b"), ["label", "code"]).where("a < b").select("label", "a", "b")).withColumn("why", F.lit("code"))
+    coded = both(_met_by_key(code.withColumnRenamed("name", "a")).join(code.withColumnRenamed("name", "b"), ["label", "code"]).where("a < b").select("label", "a", "b")).withColumn("why", F.lit("code"))
     return ratio.unionByName(inside).unionByName(coded).groupBy("label", "a", "b").agg(F.max("why").alias("why"))
 
 
 def typed_pairs(groups: DataFrame, thresholds: dict[str, float], default: float = THRESHOLD) -> DataFrame:
-    """same_pairs with the threshold of each label, the default for others; labels of one threshold are one job."""
-    out = None
+    """same_pairs with the threshold of each label, the default for others; labels of one threshold are one job. Groups are made once."""
+    shared_folder(groups.sparkSession)
+    groups, out = groups.checkpoint(), None
     for t in sorted({default, *thresholds.values()}):
         some = [label for label, x in thresholds.items() if x == t]
         hit = F.col("label").isin(some)
@@ -224,12 +231,6 @@ def new_names(batch: DataFrame, known: DataFrame, threshold: float | None = None
     return b.join(first, ["label", "canonical_name"], "left_semi")
 
 
-def _met_by_key(taken_apart: DataFrame) -> DataFrame:
-    """Rows that were made of others, for a join: many more than the size of their files tells, so the planner must not send them to
-    every executor by way of the driver."""
-    return taken_apart.hint("merge")
-
-
 def _held(subjects: DataFrame, taken_apart: DataFrame, key: str) -> DataFrame:
     """Subjects and the runs of objects that have the same key; the runs that no subject has go before any shuffle where the keys are few."""
     return subjects.join(_met_by_key(taken_apart.join(subjects.select(key).distinct(), key, "left_semi")), key)

@@ -120,3 +120,13 @@ def test_rules_send_no_runs_of_characters_through_the_driver(spark, tmp_path):
         assert "SortMergeJoin" in plan
         assert not any("BroadcastHashJoin" in line and "Inner" in line for line in plan.splitlines())
         assert {(r.subj, r.n) for r in out.groupBy("subj").agg({"*": "count"}).toDF("subj", "n").collect()} == ({(want, 2000)} if want else set())
+
+
+def test_names_taken_apart_are_not_sent_through_the_driver(spark, tmp_path):
+    """Pieces of names look as small as the compressed file of the names; broadcast, they filled the driver."""
+    spark.range(300).selectExpr("id as ord", "'PART' as label", "concat('red bolt of ', chr(97 + cast(id % 20 as int)), 'xyz') as text", "0.5D as confidence", "'d' as source_doc").write.parquet(f"{tmp_path}/m")
+    groups = resolve.exact_groups(spark.read.parquet(f"{tmp_path}/m"))
+    pairs = resolve.typed_pairs(groups, {"PART": 0.9})
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert pairs.count() == 20 * 19 / 2
