@@ -6,6 +6,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from loomgraph.operators import audit, layouts, logs, merge, ontology, pipe_tables, resolve, search
+from loomgraph.plans import demo
 from loomgraph.sources import documents as D
 
 MENTION = "label string, canonical_name string, ord long, text string, confidence double, verified boolean, source_doc string, seen string, properties string, source_text string"
@@ -130,3 +131,14 @@ def test_typed_records_keep_types_and_places(spark):
     assert [r[:6] for r in out] == [(1, 0, "a", True, 3.0, "y"), (1, 2, "5", None, None, None), (2, 0, "b", None, 2.5, None), (3, 0, "c", None, None, None)]
     assert "n: BIGINT" in out[0][6] and "n: DECIMAL" in out[2][6] and "text: BIGINT" in out[1][6]
     assert ontology.typed_records(spark.createDataFrame([], "id int, json string"), ["entities"], fields).count() == 0
+
+
+def test_edges_of_lines_are_merged_by_keys_alike(spark):
+    """What merge_edges and resolve_ends make of all mentions, and no exchange of the lines holds a part's name."""
+    sf = "/root/testdata/sf0.001"
+    want = merge.resolve_ends(merge.merge_edges(None, merge.keyed_edges(demo.edge_mentions(spark, sf))), demo.nodes(spark, sf))
+    got = demo.merged_edges(spark, sf).select(*want.columns)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    plan = demo._line_edges(spark, sf, demo.nodes(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [l_" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(l_partkey" in x and "obj" in x]
