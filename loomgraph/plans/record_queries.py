@@ -292,9 +292,7 @@ def pln4_cosine_top10(spark, sf):
   select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
 def pln4_indexed_top10(spark, sf):
     """The same by inverted lists, probed until no list that is left can hold a nearer row."""
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    return vectors.nearest(rows, asked, digits=5).select("query_id", F.col("id").alias("vec_id"), F.col("like").alias("score"))
+    return vectors.nearest(*_vectors(spark, sf), digits=5).select("query_id", F.col("id").alias("vec_id"), F.col("like").alias("score"))
 
 
 _COSINE = """q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(qv, embedding)::double, 5) as score from q join embeddings e on e.vec_id <> query_id),
@@ -311,16 +309,13 @@ def pln4_hybrid(spark, sf):
     return search.hybrid(near.select("query_id", "vec_id", F.row_number().over(w).alias("r")), beside.select("query_id", "vec_id", F.col("vec_id").alias("r")), ["query_id"], "vec_id")
 
 
+def _vectors(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rows, rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
 def _cosine(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))))
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = rows.join(q, "block").where("vec_id != query_id").select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 5).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r")
+    return vectors.every_pair(*_vectors(spark, sf), digits=5).select("query_id", F.col("id").alias("vec_id"), F.col("like").alias("score"))
 
 
 @query("select distinct a.p_name as a, b.p_name as b from part a join part b on b.p_partkey = a.p_partkey + 1 where a.p_name <> b.p_name")
