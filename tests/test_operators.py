@@ -142,3 +142,17 @@ def test_edges_of_lines_are_merged_by_keys_alike(spark):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     plan = demo._line_edges(spark, sf, demo.nodes(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [l_" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(l_partkey" in x and "obj" in x]
+
+
+def test_long_keys_meet_on_long_ends(spark):
+    """Numbers that end alike are no candidates: each key of sixteen characters meets the one name that holds it."""
+    n = spark.range(500).selectExpr("'X' as label", "format_string('name#%09d', id * 1000 + 7) as canonical_name", "0.5D as confidence")
+    q = n.selectExpr("canonical_name as qid", "canonical_name as term")
+    candidates = search.contains_join(n, q.withColumn("block", search.ending(F.col("term"))), ["canonical_name"], F.lit(True))
+    assert candidates.count() == 500
+    found = search.find(n, q, ["canonical_name"])
+    assert found.where("qid = canonical_name").count() == found.count() == 500
+    odd = spark.createDataFrame([("X", "asia minor", 0.1), ("X", "as", 0.2), ("X", "a", None)], "label string, canonical_name string, confidence double")
+    asked = spark.createDataFrame([("1", "asia"), ("2", "as"), ("3", "a"), ("4", "sia minor"), ("5", "zz"), ("6", "")], "qid string, term string")
+    rows = {(r.qid, r.canonical_name) for r in search.find(odd, asked, ["canonical_name"]).collect()}
+    assert rows == {("1", "asia minor"), ("2", "as"), ("2", "asia minor"), ("3", "a"), ("3", "as"), ("3", "asia minor"), ("4", "asia minor")}
