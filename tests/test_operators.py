@@ -156,3 +156,16 @@ def test_long_keys_meet_on_long_ends(spark):
     asked = spark.createDataFrame([("1", "asia"), ("2", "as"), ("3", "a"), ("4", "sia minor"), ("5", "zz"), ("6", "")], "qid string, term string")
     rows = {(r.qid, r.canonical_name) for r in search.find(odd, asked, ["canonical_name"]).collect()}
     assert rows == {("1", "asia minor"), ("2", "as"), ("2", "asia minor"), ("3", "a"), ("3", "as"), ("3", "asia minor"), ("4", "asia minor")}
+
+
+def test_orphans_and_paths_shuffle_little(spark, tmp_path):
+    """Ends are distinct before they are shuffled and met once; no hash of an edge is shuffled with it."""
+    e = spark.createDataFrame([("A", "a", "P", "B", "b"), ("A", "a", "Q", "B", "b"), ("B", "b", "P", "C", "c")], merge.EDGE_KEY)
+    e.write.parquet(f"{tmp_path}/e")
+    e, n = spark.read.parquet(f"{tmp_path}/e"), spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c"), ("C", "a")], merge.NODE_KEY)
+    assert {tuple(r) for r in merge.orphans(n, e).collect()} == {("C", "a")}
+    left = merge.delete_orphans(n, e)
+    assert {tuple(r) for r in left.collect()} == {("A", "a"), ("B", "b"), ("C", "c")}
+    assert "LeftAnti" not in left._jdf.queryExecution().executedPlan().toString()
+    found = search.paths(e, n.where("label = 'A'"), 2)
+    assert sorted(tuple(r) for r in found.select("predicates", "names").collect()) == [("P", "a>b"), ("P>P", "a>b>c"), ("P>Q", "a>b>a"), ("Q", "a>b"), ("Q>P", "a>b>a"), ("Q>P", "a>b>c")]
