@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import functools
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -40,13 +41,14 @@ def markdown_chunks(text: Column) -> Column:
 
 def split_long(text: Column, size: int = CHUNK) -> Column:
     """Sentences packed into chunks of fewer than `size` characters; a longer sentence is a chunk of its own."""
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))  # n: characters of cur
 
     def step(acc, s):
-        fits = F.length(acc["cur"]) + F.length(s) < size
-        joined = F.when(acc["cur"] != "", F.concat_ws(" ", acc["cur"], s)).otherwise(s)
-        done = F.when(fits | (acc["cur"] == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"]))))
-        return F.struct(done.alias("out"), F.when(fits, joined).otherwise(s).alias("cur"))
+        fits = acc["n"] + F.length(s) < size
+        joined = F.when(acc["n"] > 0, F.concat_ws(" ", acc["cur"], s)).otherwise(s)
+        done = F.when(fits | (acc["n"] == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"]))))
+        n = F.when(fits & (acc["n"] > 0), acc["n"] + 1).otherwise(0) + F.length(s)
+        return F.struct(done.alias("out"), F.when(fits, joined).otherwise(s).alias("cur"), n.alias("n"))
 
     return F.aggregate(F.split(text, r"(?U)(?<=[.!?])\s+"), empty, step, lambda a: F.when(a["cur"] != "", F.concat(a["out"], F.array(strip(a["cur"])))).otherwise(a["out"]))
 
@@ -54,15 +56,16 @@ def split_long(text: Column, size: int = CHUNK) -> Column:
 def paragraph_chunks(text: Column, size: int = CHUNK) -> Column:
     """Paragraphs packed into chunks of fewer than `size` characters (the separator is not counted); longer ones are split at sentences."""
     parts = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda p: p != "")
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))  # n: characters of cur
 
     def step(acc, p):
-        fits = F.length(acc["cur"]) + F.length(p) < size
-        closed = F.when(acc["cur"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"])))
+        fits = acc["n"] + F.length(p) < size
+        closed = F.when(acc["n"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"])))
         long = F.length(p) > size
         out = F.when(fits, acc["out"]).when(long, F.concat(closed, split_long(p, size))).otherwise(closed)
-        cur = F.when(fits, F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))).when(long, F.lit("")).otherwise(p)
-        return F.struct(out.alias("out"), cur.alias("cur"))
+        cur = F.when(fits, F.when(acc["n"] == 0, p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))).when(long, F.lit("")).otherwise(p)
+        n = F.when(fits & (acc["n"] > 0), acc["n"] + 2 + F.length(p)).when(long & ~fits, F.lit(0)).otherwise(F.length(p))
+        return F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
 
     chunks = F.aggregate(parts, empty, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
     return _once(chunks, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(strip(text))))
@@ -92,8 +95,10 @@ class _Visible(HTMLParser):
 
 def visible_text(html: str | None) -> str:
     """The text between tags, piece by piece with an empty line between, so that each is a paragraph; hidden parts are left out."""
+    if not html:
+        return ""
     page = _Visible()
-    page.feed(html or "")
+    page.feed(html)
     page.close()
     return "\n\n".join(page.parts).strip()
 
@@ -118,10 +123,16 @@ def html_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "doc_id long, text string")
 
 
+#: Headers are parsed once for each value: most mails share kinds, senders and character sets.
+MAIL = email.policy.default.clone(header_factory=functools.lru_cache(1 << 14)(email.policy.default.header_factory))
+
+
 def mail_text(raw: str | None) -> tuple[str, str]:
     """(header chunk, body); a plain body is preferred to an HTML one."""
-    m = email.message_from_string(raw or "", policy=email.policy.default)
-    head = "\n".join(f"{k}: {m[k]}" for k in ("From", "To", "Subject", "Date") if m[k])
+    if not raw:
+        return "", ""
+    m = email.message_from_string(raw, policy=MAIL)
+    head = "\n".join(f"{k}: {v}" for k in ("From", "To", "Subject", "Date") if (v := m[k]))
     body = m.get_body(preferencelist=("plain", "html"))
     text = ""
     if body is not None and str(body.get("Content-Transfer-Encoding", "8bit")).lower() in ("7bit", "8bit", "binary"):

@@ -3,6 +3,8 @@ read goes to a table of rejects with the reason."""
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,27 +33,49 @@ def route(path: Column, length: Column, largest: int = LARGEST) -> Column:
     return F.struct(F.when(reason.isNull(), found).alias("format"), reason.alias("reason"))
 
 
-def files(spark: SparkSession, paths: str | list[str], largest: int = LARGEST) -> DataFrame:
-    """path, format, reason, content of every file under paths; contents are read of files with a format alone."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).dropDuplicates(["path"])
+def _listed_once(paths: str | list[str]) -> bool:
+    """Paths without patterns, none of which lies under another: no file is found twice."""
+    every = sorted(p.rstrip("/") + "/" for p in ([paths] if isinstance(paths, str) else paths))
+    return not any(re.search(r"[*?\[\]{}\\]", p) for p in every) and not any(b.startswith(a) for a, b in itertools.pairwise(every))
+
+
+def files(spark: SparkSession, paths: str | list[str], largest: int = LARGEST, tasks: int | None = None) -> DataFrame:
+    """path, format, reason, content of every file under paths; contents are read of files with a format alone. A file under several of
+    the paths counts once; contents are shuffled for that only where paths can overlap.
+
+    tasks: the most that read. Spark makes one for every 32 small files or so; they are put together, the largest files first."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    found = found.coalesce(tasks) if tasks else found
+    found = found if _listed_once(paths) else found.dropDuplicates(["path"])
     routed = found.withColumn("r", route(F.col("path"), F.col("length"), largest))
     return routed.select("path", "r.format", "r.reason", F.when(F.col("r.format").isNotNull(), F.col("content")).alias("content"))
 
 
-def chunks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, format, page_no, text) and the rejects (path, reason) of files. doc_id is the path. A file that is no UTF-8 is a reject;
-    one of white space is a chunk without text, as the chunkers have it; one of no bytes is passed over by the scan."""
+def folders(folder: str) -> list[str]:
+    """The folders right in a folder that write_files wrote: of more than 32 of them Spark lists the files in a job."""
+    store, root = fs.FileSystem.from_uri(folder)
+    return sorted(f"{folder}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory)
+
+
+def chunked(found: DataFrame) -> DataFrame:
+    """A row for each file (path, format, reason, parts): the chunks of a file that was read, in order, or the reason why it was not. A
+    file that is no UTF-8 is a reject; one of white space is a chunk without text, as the chunkers have it; one of no bytes is passed
+    over by the scan."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    read = found.select(F.col("path").alias("doc_id"), "format", "reason", F.when(F.col("format").isNotNull(), text).alias("text"))
+    read = found.select("path", "format", "reason", F.when(F.col("format").isNotNull(), text).alias("text"))
     broken = F.when(F.col("format").isNotNull() & F.col("text").isNull(), F.lit("not UTF-8")).otherwise(F.col("reason"))
-    lost = read.withColumn("reason", broken).where("reason is not null").select(F.col("doc_id").alias("path"), "reason")
     is_ = lambda name: F.col("format") == name
-    good = read.where("format is not null and text is not null").select("doc_id", "format", "text")
-    seen = good.withColumns({"shown": D.visible(F.when(is_("html"), F.col("text"))), "mail": D.mail_parts(F.when(is_("mail"), F.col("text")))})
+    seen = read.withColumns({"reason": broken, "shown": D.visible(F.when(is_("html"), F.col("text"))), "mail": D.mail_parts(F.when(is_("mail"), F.col("text")))})
     packed = D.paragraph_chunks(F.when(is_("html"), F.col("shown")).otherwise(F.col("text")))
     parts = F.when(is_("markdown"), D.markdown_chunks(F.col("text"))).when(is_("mail"), D.packed_mail(F.col("mail.head"), F.col("mail.text"))).otherwise(packed)
-    out = seen.select("doc_id", "format", F.posexplode(parts).alias("at", "text"))
-    return out.select("doc_id", "format", (F.col("at") + 1).alias("page_no"), "text"), lost
+    return seen.select("path", F.when(F.col("reason").isNull(), F.col("format")).alias("format"), "reason", F.when(F.col("reason").isNull(), parts).alias("parts"))
+
+
+def chunks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, format, page_no, text) and the rejects (path, reason) of files, as `chunked` has them. doc_id is the path."""
+    read = chunked(found)
+    out = read.select(F.col("path").alias("doc_id"), "format", F.posexplode("parts").alias("at", "text"))
+    return out.select("doc_id", "format", (F.col("at") + 1).alias("page_no"), "text"), read.where("reason is not null").select("path", "reason")
 
 
 def write_files(rows: DataFrame, folder: str) -> int:

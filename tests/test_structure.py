@@ -140,6 +140,20 @@ def test_files_are_routed_by_extension(spark, tmp_path):
     assert {r.reason for r in large.collect()} >= {"too large"}
 
 
+def test_files_of_apart_folders_are_read_once_and_not_shuffled(spark, tmp_path):
+    folder = f"file://{tmp_path}/in"
+    rows = spark.createDataFrame([(f"{k}.txt", f"text {k}") for k in range(200)], "name string, text string").repartition(3)
+    formats.write_files(rows, folder)
+    each = formats.folders(folder)
+    assert len(each) == 3
+    found = formats.files(spark, each, tasks=2)
+    read = formats.chunked(found)
+    assert found.rdd.getNumPartitions() == 2 and "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.path.rsplit("/", 1)[1], r.format, r.reason, tuple(r.parts)) for r in read.collect()) == sorted((f"{k}.txt", "text", None, (f"text {k}",)) for k in range(200))
+    for twice in ([folder, each[0]], [each[0], each[0] + "/", *each], f"{folder}/*", [f"{folder}/*", folder]):
+        assert formats.files(spark, twice).count() == 200
+
+
 @pytest.mark.parametrize("layer", [True, False])
 def test_edges_merge_before_or_after_their_ends_are_looked_up(spark, layer):
     e = spark.createDataFrame([("P", "a", "R", "P", "b", k, k / 10, True, "d", "2024-01-01") for k in range(3)] + [("P", "a", "R", "P", "gone", 4, 0.4, True, "d", "2024-01-02")], "subj_label string, subj string, predicate string, obj_label string, obj string, ord long, confidence double, verified boolean, source_doc string, seen string")
