@@ -2,11 +2,14 @@
 
 import datetime
 import itertools
+import os
 
+import duckdb
 from pyspark.sql import functions as F
 
 from loomgraph.operators import audit, layouts, logs, merge, ontology, pipe_tables, resolve, search
 from loomgraph.plans import demo
+from loomgraph.plans.queries import ORACLES, QUERIES
 from loomgraph.sources import documents as D
 
 MENTION = "label string, canonical_name string, ord long, text string, confidence double, verified boolean, source_doc string, seen string, properties string, source_text string"
@@ -169,3 +172,18 @@ def test_orphans_and_paths_shuffle_little(spark, tmp_path):
     assert "LeftAnti" not in left._jdf.queryExecution().executedPlan().toString()
     found = search.paths(e, n.where("label = 'A'"), 2)
     assert sorted(tuple(r) for r in found.select("predicates", "names").collect()) == [("P", "a>b"), ("P>P", "a>b>c"), ("P>Q", "a>b>a"), ("Q", "a>b"), ("Q>P", "a>b>a"), ("Q>P", "a>b>c")]
+
+
+def test_suppliers_of_one_name_are_asked_for_once(spark, tmp_path):
+    """As the SQL has it: a name that three suppliers have is one name, whose edges are given once."""
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    for t in os.listdir(sf):
+        if t != "supplier.parquet":
+            os.symlink(f"{sf}/{t}", tmp_path / t)
+    con = duckdb.connect()
+    con.execute(f"copy (select s_suppkey + 100000 * k as s_suppkey, * exclude (s_suppkey, k) from '{sf}/supplier.parquet', range(3) r(k)) to '{tmp_path}/supplier.parquet' (format parquet)")
+    for t in demo.TABLES:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = [tuple(r) for r in QUERIES["join6_related"](spark, str(tmp_path)).collect()]
+    want = con.execute(ORACLES["join6_related"]).fetchall()
+    assert sorted(got) == sorted(want) and want
