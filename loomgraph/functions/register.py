@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomgraph.functions.bloom import bloom, possible
 from loomgraph.operators.resolve import similarity_ratio
 
 MENTION = "section_id string, text string, label string, at int, confidence double"
@@ -39,10 +40,17 @@ def produce(sections: DataFrame, producer: Callable[[Iterator[pd.DataFrame]], It
 
 
 def gazetteer_mentions(sections: DataFrame, names: DataFrame, words: int = 3) -> DataFrame:
-    """Mentions of the names (name, label) of up to `words` words in sections: word runs meet the names in an equi-join, so no text is tried against every name."""
+    """Mentions of the names (name, label) of up to `words` words in sections: word runs meet the names in an equi-join, so no text is tried
+    against every name. Runs are made only of words that may begin a name, and shuffled only where they may be one, by a Bloom filter."""
+    k = names.where("name is not null").select(F.lower("name").alias("run"), "label").distinct()
+    begins = lambda word: F.concat(word, F.lit(" "))
+    held = bloom(k.select(F.explode(F.array("run", begins(F.substring_index("run", " ", 1))))))
     tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
-    t = sections.select("section_id", tokens.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("run"), F.size(F.slice("w", i, n)).alias("n"), n.alias("want")))))
-    r = t.select("section_id", F.explode(F.filter(runs, lambda x: x["n"] == x["want"])).alias("r")).select("section_id", "r.at", "r.run")
-    k = names.select(F.lower("name").alias("run"), "label").distinct()
+    # a row for each word with those after it: null past the end
+    after = [F.slice("w", n + 1, F.greatest(F.size("w"), F.lit(0))).alias(f"w{n}") for n in range(words)]
+    t = sections.select("section_id", tokens.alias("w")).select("section_id", *after)
+    r = t.select("section_id", F.posexplode(F.arrays_zip(*(f"w{n}" for n in range(words)))).alias("at", "z")).select("section_id", (F.col("at") + 1).alias("at"), "z.*")
+    runs = F.array(*(F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *(f"w{i}" for i in range(n + 1)))) for n in range(words)))
+    r = possible(r.withColumn("begins", begins(F.col("w0"))), "begins", held).select("section_id", "at", F.explode(runs).alias("run"))
+    r = possible(r, "run", held)
     return r.join(k, "run").select("section_id", F.col("run").alias("text"), "label", "at", F.lit(1.0).alias("confidence"))
