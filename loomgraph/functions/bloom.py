@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of 256 bits (four longs): 8 MB with their keys at most, 12 bits each for 2.8 million keys. More keys let more rows through.
-BLOCKS = 1 << 17
+#: Blocks of 256 bits (four longs): 16 MB as rows at most, 12 bits each for 5.6 million keys. More keys let more rows through.
+BLOCKS = 1 << 18
 
 
 def _block(key: Column) -> Column:

@@ -2,20 +2,9 @@
 
 import re
 
-from loomgraph.functions import register
-
+from counted import shuffled_records
 
-def shuffled_records(spark, run) -> int:
-    sc, group = spark.sparkContext, "counted"
-    sc.setJobGroup(group, "")
-    try:
-        run()
-    finally:
-        sc.setLocalProperty("spark.jobGroup.id", None)
-    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
-    store = sc._jsc.sc().statusStore()
-    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+from loomgraph.functions import register
 
 
 def test_only_runs_that_may_be_names_are_shuffled(spark):
@@ -29,11 +18,7 @@ def test_only_runs_that_may_be_names_are_shuffled(spark):
     sections = spark.createDataFrame(list(enumerate(texts)), "section_id long, text string").repartition(3)
     found = register.gazetteer_mentions(sections, spark.createDataFrame([(n, "N") for n in names * 2], "name string, label string"), 3)
     got = []
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many names
-    try:
-        n = shuffled_records(spark, lambda: got.extend(tuple(r) for r in found.collect()))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n = shuffled_records(spark, lambda: got.extend(tuple(r) for r in found.collect()))
     assert sorted(got) == sorted(want) and len(want) > 1000
     assert n < len(want) + 500  # of some 15,000 runs
     one = register.gazetteer_mentions(sections, spark.createDataFrame([("CD", "N"), ("ab cd", "N")], "name string, label string"), 1)
